@@ -1,0 +1,33 @@
+from .expr import (
+    as_text,
+    dual_share_band,
+    exact_avg,
+    exact_sum_double,
+    kpi_div,
+    numeric_text,
+    pct,
+    risk_band,
+    rural_mix_band,
+    safe_div,
+    to_double,
+    to_long,
+    year_date,
+)
+from .sql import register_sql_functions
+
+__all__ = [
+    "as_text",
+    "dual_share_band",
+    "exact_avg",
+    "exact_sum_double",
+    "kpi_div",
+    "numeric_text",
+    "pct",
+    "register_sql_functions",
+    "risk_band",
+    "rural_mix_band",
+    "safe_div",
+    "to_double",
+    "to_long",
+    "year_date",
+]

@@ -1,0 +1,20 @@
+"""Join helpers with a checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Row bound under which a dimension side is broadcast. Beyond it the join is left
+# to Catalyst/AQE (sort-merge, or a runtime broadcast if the measured size fits).
+DEFAULT_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after proving ``df`` has at most ``max_rows`` rows.
+
+    The check is a ``limit(max_rows + 1).count()`` job, which stops reading as soon
+    as the bound is exceeded, so it stays cheap even for a huge input.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
