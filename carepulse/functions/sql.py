@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 from .expr import NUMERIC_TEXT_PATTERN, SUPPRESSED
 
+# Backslashes are escape characters inside Spark SQL string literals.
+_PATTERN_LITERAL = NUMERIC_TEXT_PATTERN.replace("\\", "\\\\")
+
 _FUNCTIONS = {
     "safe_div": (
         "(num DOUBLE, den DOUBLE) RETURNS DOUBLE "
@@ -21,7 +24,7 @@ _FUNCTIONS = {
     ),
     "pct": (
         "(raw STRING) RETURNS DOUBLE RETURN "
-        f"CASE WHEN raw = '{SUPPRESSED}' OR NOT raw RLIKE '{NUMERIC_TEXT_PATTERN}' THEN NULL "
+        f"CASE WHEN raw = '{SUPPRESSED}' OR NOT raw RLIKE '{_PATTERN_LITERAL}' THEN NULL "
         "ELSE try_cast(raw AS DOUBLE) END"
     ),
 }
