@@ -56,6 +56,22 @@ def zero_fill(df: DataFrame, columns: list[str] = ZERO_FILL_COLUMNS) -> DataFram
     )
 
 
+def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Coerce columns to double without filling: non-numeric values become NULL."""
+    fill = set(columns)
+    return df.select(*[(F.col(c).try_cast("double").alias(c) if c in fill else F.col(c)) for c in df.columns])
+
+
+def load_state_summary_sql(spark, table: str, year: int, service_category: str) -> DataFrame:
+    """The state summary slice as parameterised SQL (named markers, no string splicing)."""
+    cols = ", ".join(f"`{c}`" for c in STATE_READ_COLUMNS)
+    return spark.sql(
+        f"SELECT {cols} FROM {table} "
+        "WHERE `YEAR` = :year AND `YEAR_DATE` = make_date(:year, 1, 1) AND service_category = :svc",
+        args={"year": year, "svc": service_category},
+    )
+
+
 # ------------------------------------------------------------------------ KPIs
 def kpis(df: DataFrame, keys: list[str]) -> DataFrame:
     """Total payment, beneficiaries and service days, and the two per-unit KPIs.
@@ -101,7 +117,8 @@ def states_ranked(gold_state: DataFrame) -> DataFrame:
     w = Window.partitionBy("YEAR", "service_category").orderBy(
         F.col("pay_per_bene").desc_nulls_last(), F.col("provider_state").asc_nulls_last()
     )
-    return gold_state.select(*STATE_READ_COLUMNS, F.row_number().over(w).alias("pay_rank"))
+    coerced = coerce_numeric(gold_state.select(*STATE_READ_COLUMNS), ["pay_per_bene", "total_medicare_payment_amt"])
+    return coerced.select("*", F.row_number().over(w).alias("pay_rank"))
 
 
 def top_order() -> list[Column]:

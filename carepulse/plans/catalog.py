@@ -34,7 +34,7 @@ from ..operators.gold import build_gold_provider, build_gold_state, gold_provide
 from ..operators.silver import build_silver, provider_level, suppression_audit
 from ..session import run_dir
 from ..sources.bronze import read_bronze, read_landing, write_landing
-from ..sources.fixtures import bronze_from_test_tables
+from ..sources.fixtures import write_bronze_from_test_tables
 from ..sources.sinks import read_table, write_table
 from ..streaming.incremental import load_available, newest_drop, read_loaded
 from . import oracle as O
@@ -61,7 +61,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> dict:
         if key not in _prepared:
             root = run_dir(spark, "tables")
             bronze_path = f"{root}/bronze"
-            bronze_from_test_tables(spark, sf_dir).write.mode("overwrite").parquet(bronze_path)
+            write_bronze_from_test_tables(spark, sf_dir, bronze_path)
             paths = run_pipeline(spark, read_bronze(spark, bronze_path), root)
             paths["bronze"] = bronze_path
             _prepared[key] = paths
@@ -127,6 +127,12 @@ def q_state_summary_read(spark, sf_dir):
     return serve.load_state_summary(gs, YEAR, CATEGORY)
 
 
+def q_state_summary_read_sql(spark, sf_dir):
+    _, gs = gold(spark, sf_dir)
+    gs.createOrReplaceTempView("carepulse_gold_state")
+    return serve.load_state_summary_sql(spark, "carepulse_gold_state", YEAR, CATEGORY)
+
+
 def q_provider_read_one_state(spark, sf_dir):
     gp, _ = gold(spark, sf_dir)
     return serve.load_provider_metrics(gp, YEAR, STATE, CATEGORY)
@@ -246,6 +252,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gold_provider_metrics": q_gold_provider_metrics,
     "gold_state_summary": q_gold_state_summary,
     "state_summary_read": q_state_summary_read,
+    "state_summary_read_sql": q_state_summary_read_sql,
     "provider_read_one_state": q_provider_read_one_state,
     "provider_read_all_states": q_provider_read_all_states,
     "national_kpis": q_national_kpis,
@@ -351,6 +358,7 @@ def oracle_statements() -> dict[str, str]:
         "gold_provider_metrics": w(f"SELECT {O.GOLD_PROVIDER_COLS} FROM gold_provider"),
         "gold_state_summary": w(f"SELECT {O.GOLD_STATE_COLS} FROM gold_state"),
         "state_summary_read": w(f"SELECT {O.cols(STATE_READ_COLUMNS)} FROM gold_state WHERE {_SLICE}"),
+        "state_summary_read_sql": w(f"SELECT {O.cols(STATE_READ_COLUMNS)} FROM gold_state WHERE {_SLICE}"),
         "provider_read_one_state": w(f"SELECT {O.cols(PROVIDER_READ_COLUMNS)} FROM gold_provider WHERE {one_state}"),
         "provider_read_all_states": w(
             f"SELECT {_zero_filled_select(PROVIDER_READ_COLUMNS)} FROM gold_provider WHERE {_SLICE}"

@@ -115,6 +115,19 @@ def state_rows(provider: DataFrame) -> DataFrame:
 
 
 def bronze_from_test_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full bronze analog: PROVIDER rows plus STATE roll-up rows (bag union)."""
+    """The full bronze analog: PROVIDER rows plus STATE roll-up rows (bag union).
+
+    As one plan the roll-up branch recomputes the provider rows; use
+    ``write_bronze_from_test_tables`` to materialise it without that.
+    """
     provider = provider_rows(spark, sf_dir)
     return provider.unionByName(state_rows(provider))
+
+
+def write_bronze_from_test_tables(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Write the bronze analog as Parquet: PROVIDER rows once, then the roll-up rows
+    computed from the written table and appended (no recomputation of the join)."""
+    provider_rows(spark, sf_dir).write.mode("overwrite").parquet(path)
+    written = spark.read.parquet(path)
+    state_rows(written).write.mode("append").parquet(path)
+    return path

@@ -48,4 +48,9 @@ def test_gold_aggregation_is_partial_then_final(spark):
 
 def test_top_n_limits_before_shuffle(spark):
     plan = _formatted(catalog.QUERIES["top_providers_every_state"](spark, SMOKE_DIR))
-    assert "WindowGroupLimit" in plan
+    tree = plan.split("\n\n")[0]
+    # Partial limit below the exchange (the tree prints parents first), final above it.
+    lines = [line.strip(" +-:") for line in tree.splitlines()]
+    order = [line.split(" (")[0] for line in lines if line]
+    assert order.index("Exchange") < max(i for i, n in enumerate(order) if n == "WindowGroupLimit")
+    assert ", 10, Partial" in plan and ", 10, Final" in plan
