@@ -3,8 +3,9 @@
 Spark's ``percentile`` aggregate merges a value->count map per group in a single
 task, which breaks when one group holds a large share of the rows. Here:
 
-1. range-partition by (group keys, value) and sort inside each partition. Spark
-   samples the keys to pick the bounds, so a hot group spreads over many tasks;
+1. range-partition by (group keys, value, unique tie-breaker) and sort inside
+   each partition. Spark samples the keys to pick the bounds, so a hot group, and
+   even a long run of one repeated value, spreads over many tasks;
 2. ``monotonically_increasing_id`` then numbers rows inside each partition in
    sorted order; the frame is checkpointed so those numbers are fixed;
 3. a small table of (partition, group) row counts, with a running sum over the
@@ -29,15 +30,21 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked_values(df: DataFrame, keys: list[str], value: str, n_partitions: int | None = None) -> DataFrame:
-    """Rows (keys, _v, _rank, _n): each non-NULL value with its 0-based rank in its group."""
+def ordered_values(df: DataFrame, keys: list[str], value: str, n_partitions: int | None = None) -> DataFrame:
+    """Non-NULL values range-partitioned by (keys, value), sorted in each partition,
+    numbered in that order, and checkpointed to the shared folder.
+
+    A unique tie-breaker joins the range key, so even a run of identical
+    (group, value) pairs (say, a third of all rows equal to 0) is cut into
+    several partitions instead of landing in one task.
+    """
     checkpoint_root(df.sparkSession)  # make sure a checkpoint folder exists
     p = n_partitions or _partitions(df)
-    ordered = (
-        df.select(*keys, F.col(value).cast("double").alias("_v"))
+    return (
+        df.select(*keys, F.col(value).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_tie"))
         .where(F.col("_v").isNotNull())
-        .repartitionByRange(p, *keys, "_v")
-        .sortWithinPartitions(*keys, "_v")
+        .repartitionByRange(p, *keys, "_v", "_tie")
+        .sortWithinPartitions(*keys, "_v", "_tie")
         .select(
             *keys,
             "_v",
@@ -46,6 +53,11 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, n_partitions: int
         )
         .checkpoint(eager=True)
     )
+
+
+def ranked_values(df: DataFrame, keys: list[str], value: str, n_partitions: int | None = None) -> DataFrame:
+    """Rows (keys, _v, _rank, _n): each non-NULL value with its 0-based rank in its group."""
+    ordered = ordered_values(df, keys, value, n_partitions)
     counts = ordered.groupBy("_pid", *keys).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first")
     )

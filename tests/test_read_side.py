@@ -93,3 +93,17 @@ def test_box_summary_whiskers(spark):
     r = box_summary(df, ["k"], "v").collect()[0]
     assert (r.q1, r.median, r.q3) == (2.0, 3.0, 4.0)
     assert (r.lower_whisker, r.upper_whisker, r.n_outliers) == (1.0, 4.0, 1)
+
+
+def test_repeated_value_run_is_split_across_partitions(spark):
+    from carepulse.operators.quantiles import ordered_values
+
+    # A third of all rows are the same (group, value) pair.
+    rows = [("hot", 0.0)] * 3000 + [(f"g{i % 50}", float(i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    ordered = ordered_values(df, ["k"], "v", n_partitions=12)
+    per_part = ordered.where("k = 'hot'").groupBy("_pid").count().collect()
+    assert len(per_part) >= 3
+    assert max(r["count"] for r in per_part) < 3000
+    q = exact_quantiles(df, ["k"], "v", {"median": 0.5}, n_partitions=12).where("k = 'hot'").collect()[0]
+    assert (q.n, q.median) == (3000, 0.0)
