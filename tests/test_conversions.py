@@ -1,0 +1,64 @@
+"""Property tests: the text-to-number conversions against a plain Python statement of the rules."""
+
+import math
+import re
+from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from carepulse.functions.expr import NUMERIC_TEXT_PATTERN, pct, to_double, to_long
+
+_PATTERN = re.compile(NUMERIC_TEXT_PATTERN)
+_LONG_MIN, _LONG_MAX = -(2**63), 2**63 - 1
+
+
+def _valid(s):
+    return s is not None and _PATTERN.match(s) is not None
+
+
+def ref_double(s):
+    if not _valid(s):
+        return None
+    d = float(s.strip())
+    return d if math.isfinite(d) else None
+
+
+def ref_long(s):
+    if not _valid(s):
+        return None
+    try:
+        d = Decimal(s.strip()).quantize(Decimal("0.000001"), rounding=ROUND_HALF_UP)
+    except InvalidOperation:
+        return None
+    if d.adjusted() >= 32:  # beyond decimal(38,6)
+        return None
+    i = int(d)  # truncates toward zero
+    return i if _LONG_MIN <= i <= _LONG_MAX else None
+
+
+digits = st.text(alphabet="0123456789", min_size=1, max_size=12)
+numerals = st.builds(
+    lambda sign, a, frac, exp, pad: f"{pad}{sign}{a}{frac}{exp}{pad}",
+    st.sampled_from(["", "+", "-"]),
+    digits,
+    st.one_of(st.just(""), st.just("."), digits.map(lambda d: "." + d)),
+    st.one_of(st.just(""), st.integers(-30, 30).map(lambda e: f"e{e}")),
+    st.sampled_from(["", " ", "  "]),
+)
+junk = st.one_of(
+    st.sampled_from(["", "*", "NaN", "Infinity", "-Infinity", "12d", "1,234", "abc", ".", "-", "1e", "e5", "0x10", "1 2"]),
+    st.text(alphabet="0123456789.-+eE*x ,", max_size=8),
+)
+cells = st.lists(st.one_of(numerals, junk, st.none()), min_size=1, max_size=120)
+
+
+@settings(max_examples=6, deadline=None)
+@given(cells)
+def test_conversions_follow_the_rules(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    rows = df.select("s", to_double("s").alias("d"), to_long("s").alias("n"), pct("s").alias("p")).collect()
+    for r in rows:
+        assert r.d == ref_double(r.s), r.s
+        assert r.n == ref_long(r.s), r.s
+        assert r.p == (None if r.s == "*" else ref_double(r.s)), r.s

@@ -86,3 +86,18 @@ def test_stream_reads_new_paths_not_rewritten_ones(spark, tmp_dir):
     assert loaded.count() == 3
     assert [r.TOT_SRVC_DAYS for r in newest_drop(loaded).collect()] == ["7"]
     assert [r[CORRUPT_RECORD] for r in corrupt_lines(loaded).collect()] == ["not json"]
+
+
+def test_job_cli_from_jsonl_landing(spark, tmp_dir, capsys):
+    from carepulse.plans.job import main
+    from carepulse.sources.bronze import write_landing
+
+    landing = os.path.join(tmp_dir, "landing")
+    rows = [bronze_row(PRVDR_ID="1", YEAR="2022"), bronze_row(PRVDR_ID="2", YEAR="2023", STATE="RI")]
+    write_landing(bronze_df(spark, rows), landing)
+    out = os.path.join(tmp_dir, "warehouse")
+    main(["--bronze", landing, "--format", "json", "--out", out])
+    gp, gs = read_gold(spark, {k: f"{out}/{k}" for k in ("silver", "gold_provider", "gold_state")})
+    assert sorted((r.YEAR, r.provider_state) for r in gs.collect()) == [(2022, "MA"), (2023, "RI")]
+    assert gp.count() == 2
+    assert "gold_state" in capsys.readouterr().out
