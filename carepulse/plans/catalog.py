@@ -73,9 +73,15 @@ def bronze(spark, sf_dir) -> DataFrame:
 
 
 def silver(spark, sf_dir) -> DataFrame:
+    """Silver computed from the bronze scan (the F1-F6 projection itself)."""
     return build_silver(bronze(spark, sf_dir))
 
 
+def silver_table(spark, sf_dir) -> DataFrame:
+    """The written silver table, as the job's gold builds read it (pruned Parquet columns)."""
+    return read_table(spark, prepared(spark, sf_dir)["silver"], silver_schema())
+
+
 def gold(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return read_gold(spark, prepared(spark, sf_dir))
 
@@ -94,15 +100,15 @@ def q_silver_suppression_audit(spark, sf_dir):
 
 
 def q_provider_level_rows(spark, sf_dir):
-    return provider_level(silver(spark, sf_dir))
+    return provider_level(silver_table(spark, sf_dir))
 
 
 def q_gold_provider_base(spark, sf_dir):
-    return gold_provider_base(silver(spark, sf_dir))
+    return gold_provider_base(silver_table(spark, sf_dir))
 
 
 def q_gold_provider_ratios(spark, sf_dir):
-    return build_gold_provider(silver(spark, sf_dir)).select(
+    return build_gold_provider(silver_table(spark, sf_dir)).select(
         *GOLD_PROVIDER_KEYS, *[r for r, _, _ in GOLD_PROVIDER_RATIOS]
     )
 
@@ -111,15 +117,15 @@ _BAND_INPUTS = ["avg_bene_risk_score", "avg_dual_pct", "avg_rural_pct"]
 
 
 def q_gold_provider_bands(spark, sf_dir):
-    return build_gold_provider(silver(spark, sf_dir)).select(*GOLD_PROVIDER_KEYS, *_BAND_INPUTS, *GOLD_PROVIDER_BANDS)
+    return build_gold_provider(silver_table(spark, sf_dir)).select(*GOLD_PROVIDER_KEYS, *_BAND_INPUTS, *GOLD_PROVIDER_BANDS)
 
 
 def q_gold_provider_metrics(spark, sf_dir):
-    return build_gold_provider(silver(spark, sf_dir))
+    return build_gold_provider(silver_table(spark, sf_dir))
 
 
 def q_gold_state_summary(spark, sf_dir):
-    return build_gold_state(silver(spark, sf_dir))
+    return build_gold_state(silver_table(spark, sf_dir))
 
 
 def q_state_summary_read(spark, sf_dir):

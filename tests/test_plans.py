@@ -54,3 +54,12 @@ def test_top_n_limits_before_shuffle(spark):
     order = [line.split(" (")[0] for line in lines if line]
     assert order.index("Exchange") < max(i for i, n in enumerate(order) if n == "WindowGroupLimit")
     assert ", 10, Partial" in plan and ", 10, Final" in plan
+
+
+def test_gold_build_prunes_silver_and_pushes_provider_filter(spark):
+    plan = _formatted(catalog.QUERIES["gold_state_summary"](spark, SMOKE_DIR))
+    assert "EqualTo(summary_category,PROVIDER)" in plan
+    read = [line for line in plan.splitlines() if line.startswith("ReadSchema")]
+    assert len(read) == 1
+    assert "bene_female_pct" not in read[0] and "provider_city" not in read[0]
+    assert "total_charge_amt" in read[0]
