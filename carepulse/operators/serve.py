@@ -118,7 +118,7 @@ def states_ranked(gold_state: DataFrame) -> DataFrame:
         F.col("pay_per_bene").desc_nulls_last(), F.col("provider_state").asc_nulls_last()
     )
     coerced = coerce_numeric(gold_state.select(*STATE_READ_COLUMNS), ["pay_per_bene", "total_medicare_payment_amt"])
-    return coerced.select("*", F.row_number().over(w).alias("pay_rank"))
+    return coerced.select("*", F.row_number().over(w).cast("bigint").alias("pay_rank"))
 
 
 def top_order() -> list[Column]:
@@ -146,7 +146,8 @@ def top_providers(df: DataFrame, n: int = TOP_N) -> DataFrame:
     in the top-table projection, with the rank; chart order is ascending."""
     keys = ["YEAR", "service_category", "provider_state"]
     top = top_n_per_group(df, keys, top_order(), n, "pay_rank")
-    return top.select(*keys, *TOP_TABLE_COLUMNS, "pay_rank")
+    # The cast comes after the filter, so the limit still reaches below the shuffle.
+    return top.select(*keys, *TOP_TABLE_COLUMNS, F.col("pay_rank").cast("bigint").alias("pay_rank"))
 
 
 def chart_order(df: DataFrame) -> DataFrame:

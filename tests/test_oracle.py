@@ -8,6 +8,7 @@ import __spark_entry__ as entry_module
 from .conftest import SMOKE_DIR
 
 TABLES = ["lineitem", "orders", "supplier", "nation"]
+_DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
 
 
 @pytest.fixture(scope="module")
@@ -37,8 +38,13 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", sorted(entry_module.queries()))
 def test_query_matches_oracle(spark, duck, name):
-    got = entry_module.queries()[name](spark, SMOKE_DIR).toPandas()
-    want = duck.sql(entry_module.oracle_sql()[name]).df()
+    df = entry_module.queries()[name](spark, SMOKE_DIR)
+    sql = entry_module.oracle_sql()[name]
+    spark_types = {f.name: _DUCK_TYPE.get(f.dataType.simpleString()) for f in df.schema.fields}
+    duck_types = {r[0]: r[1] for r in duck.sql(f"DESCRIBE {sql}").fetchall()}
+    assert spark_types == duck_types
+    got = df.toPandas()
+    want = duck.sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     a, b = _canonical(got), _canonical(want)
