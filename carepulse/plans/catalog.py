@@ -38,7 +38,7 @@ from ..sources.fixtures import write_bronze_from_test_tables
 from ..sources.sinks import read_table, write_table
 from ..streaming.incremental import load_available, newest_drop, read_loaded
 from . import oracle as O
-from .job import read_gold, run_pipeline
+from .job import read_gold, run_job
 
 # Slice parameters of the dashboard-style reads (present at every test scale).
 YEAR = 1998
@@ -62,7 +62,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> dict:
             root = run_dir(spark, "tables")
             bronze_path = f"{root}/bronze"
             write_bronze_from_test_tables(spark, sf_dir, bronze_path)
-            paths = run_pipeline(spark, read_bronze(spark, bronze_path), root)
+            paths = run_job(spark, read_bronze(spark, bronze_path), root)
             paths["bronze"] = bronze_path
             _prepared[key] = paths
         return _prepared[key]

@@ -20,7 +20,7 @@ from ..sources.bronze import read_bronze
 from ..sources.sinks import read_table, write_table
 
 
-def run_pipeline(spark: SparkSession, bronze: DataFrame, out_root: str, dynamic_overwrite: bool = False) -> dict:
+def run_job(spark: SparkSession, bronze: DataFrame, out_root: str, dynamic_overwrite: bool = False) -> dict:
     """Write silver, gold provider and gold state under ``out_root``; return their paths."""
     paths = {
         "silver": f"{out_root}/silver",
@@ -68,7 +68,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--dynamic-overwrite", action="store_true", help="replace only the years present")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("carepulse-job").getOrCreate()
-    paths = run_pipeline(spark, read_bronze(spark, args.bronze, args.format), args.out, args.dynamic_overwrite)
+    paths = run_job(spark, read_bronze(spark, args.bronze, args.format), args.out, args.dynamic_overwrite)
     print(paths)
 
 

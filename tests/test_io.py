@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from carepulse.contracts import BRONZE_COLUMNS, CORRUPT_RECORD, silver_schema
 from carepulse.operators.silver import build_silver
-from carepulse.plans.job import read_gold, run_pipeline
+from carepulse.plans.job import read_gold, run_job
 from carepulse.sources.bronze import read_landing, union_years
 from carepulse.sources.sinks import read_table, write_table
 from carepulse.streaming.incremental import corrupt_lines, load_available, newest_drop, read_loaded
@@ -51,14 +51,14 @@ def test_partitioned_table_roundtrip_keeps_contract_order(spark, tmp_dir):
 def test_dynamic_overwrite_replaces_only_present_years(spark, tmp_dir):
     root = os.path.join(tmp_dir, "out")
     first = bronze_df(spark, [bronze_row(YEAR="2020"), bronze_row(YEAR="2021")])
-    run_pipeline(spark, first, root)
+    run_job(spark, first, root)
     again = bronze_df(spark, [bronze_row(YEAR="2021", TOT_SRVC_DAYS="99")])
-    paths = run_pipeline(spark, again, root, dynamic_overwrite=True)
+    paths = run_job(spark, again, root, dynamic_overwrite=True)
     gp, gs = read_gold(spark, paths)
     state_rows, n_providers = gs.collect(), gp.count()
     assert {r.YEAR: r.total_service_days for r in state_rows} == {2020: 10, 2021: 99}
     # Running the same partial load twice gives the same tables (idempotent).
-    run_pipeline(spark, again, root, dynamic_overwrite=True)
+    run_job(spark, again, root, dynamic_overwrite=True)
     gp2, gs2 = read_gold(spark, paths)
     assert sorted(map(str, gs2.collect())) == sorted(map(str, state_rows))
     assert gp2.count() == n_providers == 2
