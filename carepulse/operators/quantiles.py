@@ -125,22 +125,22 @@ def box_summary(df: DataFrame, keys: list[str], value: str, whisker: float = 1.5
     """Box-plot numbers per group: quartiles, whiskers (last point within
     ``whisker`` x IQR of the box) and the count of points beyond them."""
     quart = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    # The quartiles ride along with the fences, so no join back is needed at the end.
     side = {k: f"_k{i}" for i, k in enumerate(keys)}
+    stats = ["n", "min", "q1", "median", "q3", "max"]
     fences = quart.select(
         *[F.col(k).alias(side[k]) for k in keys],
+        *[F.col(c).alias(f"_s_{c}") for c in stats],
         (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("_lf"),
         (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("_uf"),
     )
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     cond = [F.col(k).eqNullSafe(F.col(side[k])) for k in keys]
-    j = v.join(broadcast_if_bounded(fences), cond).select(*keys, "_v", "_lf", "_uf")
+    j = v.join(broadcast_if_bounded(fences), cond)
     inside = (F.col("_v") >= F.col("_lf")) & (F.col("_v") <= F.col("_uf"))
-    wh = j.groupBy(*keys).agg(
+    return j.groupBy(*keys).agg(
+        *[F.max(f"_s_{c}").alias(c) for c in stats],
         F.min(F.when(inside, F.col("_v"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("_v"))).alias("upper_whisker"),
         F.count_if(~inside).alias("n_outliers"),
-    ).select(*[F.col(k).alias(side[k]) for k in keys], "lower_whisker", "upper_whisker", "n_outliers")
-    cond2 = [F.col(k).eqNullSafe(F.col(side[k])) for k in keys]
-    return quart.join(wh, cond2).select(
-        *keys, "n", "min", "q1", "median", "q3", "max", "lower_whisker", "upper_whisker", "n_outliers"
     )

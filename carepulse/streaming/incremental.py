@@ -65,6 +65,15 @@ def read_loaded(spark: SparkSession, bronze_dir: str) -> DataFrame:
     return spark.read.parquet(bronze_dir)
 
 
+def drop_order(time_col: str = DROP_TIME, file_col: str = DROP_FILE):
+    """One ``long`` that orders drops: modification time in ms, then a 21-bit hash
+    of the file path as a fixed tie-break for drops stamped in the same ms (object
+    stores often keep only seconds). Being a plain long, its ``max`` runs as a
+    hash aggregate with map-side partial aggregation (a struct would force a sort)."""
+    millis = F.unix_millis(F.col(time_col))
+    return millis * F.lit(1 << 21) + F.pmod(F.xxhash64(F.col(file_col)), F.lit(1 << 21))
+
+
 def newest_drop(loaded: DataFrame) -> DataFrame:
     """Per record key, the rows of the newest drop only (bronze columns).
 
@@ -72,13 +81,11 @@ def newest_drop(loaded: DataFrame) -> DataFrame:
     combined before the shuffle), joined back on the key; AQE's skew-join
     splitting handles a key with very many rows.
     """
-    good = loaded.where(F.col(CORRUPT_RECORD).isNull())
-    stamp = F.struct(F.col(DROP_TIME), F.col(DROP_FILE))
-    latest = good.groupBy(*RECORD_KEY).agg(F.max(stamp).alias("_latest"))
-    cond = [good[k].eqNullSafe(latest[k]) for k in RECORD_KEY] + [
-        good[DROP_TIME] == latest["_latest"][DROP_TIME],
-        good[DROP_FILE] == latest["_latest"][DROP_FILE],
-    ]
+    good = loaded.where(F.col(CORRUPT_RECORD).isNull()).withColumn("_order", drop_order())
+    latest = good.groupBy(*RECORD_KEY).agg(F.max("_order").alias("_latest"))
+    side = {k: f"_k{i}" for i, k in enumerate(RECORD_KEY)}
+    latest = latest.select(*[F.col(k).alias(side[k]) for k in RECORD_KEY], "_latest")
+    cond = [F.col(k).eqNullSafe(F.col(side[k])) for k in RECORD_KEY] + [F.col("_order") == F.col("_latest")]
     return good.join(latest, cond, "left_semi").select(*BRONZE_COLUMNS)
 
 
