@@ -63,3 +63,18 @@ def test_gold_build_prunes_silver_and_pushes_provider_filter(spark):
     assert len(read) == 1
     assert "bene_female_pct" not in read[0] and "provider_city" not in read[0]
     assert "total_charge_amt" in read[0]
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_hot_operators_are_whole_stage_codegen(spark, name):
+    # The static plan (AQE off) shows codegen stage ids; a node without one runs
+    # row by row through the interpreter (e.g. an aggregate over 100 fields).
+    df = catalog.QUERIES[name](spark, SMOKE_DIR)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _formatted(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    heads = [line for line in plan.splitlines() if line.startswith("(")]
+    hot = [h for h in heads if h.split(" ")[1] in ("HashAggregate", "Project", "Filter", "BroadcastHashJoin")]
+    assert all("[codegen id" in h for h in hot), (name, [h for h in hot if "[codegen id" not in h])
