@@ -4,13 +4,14 @@ from .expr import (
     exact_avg,
     exact_sum_double,
     kpi_div,
-    numeric_text,
+    finite,
     pct,
     risk_band,
     rural_mix_band,
     safe_div,
     to_double,
     to_long,
+    try_double,
     year_date,
 )
 from .sql import register_sql_functions
@@ -21,7 +22,7 @@ __all__ = [
     "exact_avg",
     "exact_sum_double",
     "kpi_div",
-    "numeric_text",
+    "finite",
     "pct",
     "register_sql_functions",
     "risk_band",
@@ -29,5 +30,6 @@ __all__ = [
     "safe_div",
     "to_double",
     "to_long",
+    "try_double",
     "year_date",
 ]

@@ -4,8 +4,9 @@ Everything here stays inside Catalyst (no Python UDFs), so the expressions are
 code-generated and pushed through projections like any built-in.
 
 Semantics are fixed for ANSI Spark 4: every text-to-number conversion is a
-``try_cast`` guarded by an explicit numeral pattern, so a malformed cell becomes
-NULL instead of failing the job (the audit in ``operators.silver`` counts them).
+``try_cast``, so a malformed cell becomes NULL instead of failing the job (the
+audit in ``operators.silver`` counts them), and NaN or infinite results become
+NULL too, so they never land in a band or a sum.
 """
 
 from __future__ import annotations
@@ -13,10 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A plain decimal numeral with optional sign, fraction and exponent, optionally
-# surrounded by blanks. Rejects "NaN", "Infinity", "12d", "1,234" and "".
-NUMERIC_TEXT_PATTERN = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-
 # --- fixed values -----------------------------------------------------------
 SUPPRESSED = "*"  # the source's marker for a suppressed (small-count) cell
 RISK_LOW_BELOW = 1.5
@@ -43,26 +40,45 @@ def as_text(c: Column | str) -> Column:
     return _col(c).cast("string")
 
 
-def numeric_text(c: Column | str) -> Column:
-    """The text when it is a plain numeral, else NULL."""
-    s = as_text(c)
-    return F.when(s.rlike(NUMERIC_TEXT_PATTERN), s)
+def finite(d: Column | str) -> Column:
+    """The double when finite, else NULL (NaN and +-Infinity compare >= Infinity)."""
+    x = _col(d)
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
+def try_double(c: Column | str) -> Column:
+    """Text to double as Spark parses numbers; NULL when it does not parse."""
+    return as_text(c).try_cast("double")
 
 
 def to_double(c: Column | str) -> Column:
-    """Text to double; malformed text, NaN and out-of-range values become NULL."""
-    d = numeric_text(c).try_cast("double")
-    return F.when(F.abs(d) < F.lit(float("inf")), d)
+    """Text to a finite double; malformed text, NaN and infinities become NULL.
+
+    In a wide projection prefer ``try_double`` in one ``select`` and ``finite``
+    in the next (as ``operators.silver`` does): the cast then runs once per cell
+    and each column's generated code stays small. Dozens of larger per-column
+    expressions fused into one method get too big for the JIT, which cost about
+    6x in the silver step.
+    """
+    return finite(try_double(c))
 
 
 def to_long(c: Column | str) -> Column:
-    """Text to a whole number, truncating a fraction ('12.7' -> 12, '-12.7' -> -12)."""
-    return numeric_text(c).try_cast("decimal(38,6)").try_cast("bigint")
+    """Text to a whole number, truncating a fraction ('12.7' -> 12, '-12.7' -> -12).
+
+    Through decimal, so '25.0' and '12.7' are counts (a plain bigint cast rejects
+    them) and NaN, Infinity and type suffixes are rejected by the decimal parser.
+    """
+    return as_text(c).try_cast("decimal(38,6)").try_cast("bigint")
 
 
 def pct(c: Column | str) -> Column:
-    """Suppressed marker to NULL, else the number as double."""
-    return to_double(F.nullif(as_text(c), F.lit(SUPPRESSED)))
+    """Suppressed marker to NULL, else the number as a finite double.
+
+    The marker does not parse as a number, so it becomes NULL through the same
+    cast; the audit counts it apart from malformed text.
+    """
+    return to_double(c)
 
 
 def year_date(year: Column | str) -> Column:

@@ -8,10 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .expr import NUMERIC_TEXT_PATTERN, SUPPRESSED
-
-# Backslashes are escape characters inside Spark SQL string literals.
-_PATTERN_LITERAL = NUMERIC_TEXT_PATTERN.replace("\\", "\\\\")
 
 _FUNCTIONS = {
     "safe_div": (
@@ -24,8 +20,7 @@ _FUNCTIONS = {
     ),
     "pct": (
         "(raw STRING) RETURNS DOUBLE RETURN "
-        f"CASE WHEN raw = '{SUPPRESSED}' OR NOT raw RLIKE '{_PATTERN_LITERAL}' THEN NULL "
-        "ELSE try_cast(raw AS DOUBLE) END"
+        "CASE WHEN abs(try_cast(raw AS DOUBLE)) < double('inf') THEN try_cast(raw AS DOUBLE) END"
     ),
 }
 

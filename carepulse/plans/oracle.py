@@ -27,7 +27,6 @@ from ..functions.expr import (
     DUAL_LOW_BELOW,
     DUAL_MEDIUM_BELOW,
     MONEY_DECIMAL,
-    NUMERIC_TEXT_PATTERN,
     RISK_LOW_BELOW,
     RISK_MEDIUM_BELOW,
     RURAL_DOMINANT_FROM,
@@ -113,17 +112,13 @@ bronze AS (
 
 
 # ---------------------------------------------------------------------- silver
-def numeric_text_sql(x: str) -> str:
-    return f"CASE WHEN regexp_full_match({x}, '{NUMERIC_TEXT_PATTERN}') THEN {x} END"
-
-
 def to_double_sql(x: str) -> str:
-    d = f"TRY_CAST({numeric_text_sql(x)} AS DOUBLE)"
+    d = f"TRY_CAST({x} AS DOUBLE)"
     return f"CASE WHEN abs({d}) < 'inf'::DOUBLE THEN {d} END"
 
 
 def to_long_sql(x: str) -> str:
-    return f"TRY_CAST(trunc(TRY_CAST({numeric_text_sql(x)} AS DECIMAL(38,6))) AS BIGINT)"
+    return f"TRY_CAST(trunc(TRY_CAST({x} AS DECIMAL(38,6))) AS BIGINT)"
 
 
 def pct_sql(x: str) -> str:

@@ -1,34 +1,40 @@
-"""Property tests: the text-to-number conversions against a plain Python statement of the rules."""
+"""Property tests: the text-to-number conversions against a plain Python statement of the rules.
+
+Doubles: what the number parser accepts, finite only (NaN and infinities become
+NULL). Counts: a decimal numeral, rounded to 6 places, truncated toward zero.
+Type suffixes and hex floats (accepted by the JVM parser) are left out of the
+generated text; ``test_edge_rows`` pins the suffix case.
+"""
 
 import math
-import re
 from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from carepulse.functions.expr import NUMERIC_TEXT_PATTERN, pct, to_double, to_long
+from carepulse.functions.expr import pct, to_double, to_long
 
-_PATTERN = re.compile(NUMERIC_TEXT_PATTERN)
 _LONG_MIN, _LONG_MAX = -(2**63), 2**63 - 1
 
 
-def _valid(s):
-    return s is not None and _PATTERN.match(s) is not None
-
-
 def ref_double(s):
-    if not _valid(s):
+    if s is None:
+        return None
+    try:
+        d = float(s)
+    except ValueError:
         return None
-    d = float(s.strip())
     return d if math.isfinite(d) else None
 
 
 def ref_long(s):
-    if not _valid(s):
+    if s is None:
         return None
     try:
-        d = Decimal(s.strip()).quantize(Decimal("0.000001"), rounding=ROUND_HALF_UP)
+        d = Decimal(s.strip())
+        if not d.is_finite():
+            return None
+        d = d.quantize(Decimal("0.000001"), rounding=ROUND_HALF_UP)
     except InvalidOperation:
         return None
     if d.adjusted() >= 32:  # beyond decimal(38,6)
@@ -39,21 +45,22 @@ def ref_long(s):
 
 digits = st.text(alphabet="0123456789", min_size=1, max_size=12)
 numerals = st.builds(
-    lambda sign, a, frac, exp, pad: f"{pad}{sign}{a}{frac}{exp}{pad}",
+    lambda sign, a, frac, exp, pad: f"{pad}{sign}{a}{frac}{exp}{pad[::-1]}",
     st.sampled_from(["", "+", "-"]),
     digits,
     st.one_of(st.just(""), st.just("."), digits.map(lambda d: "." + d)),
     st.one_of(st.just(""), st.integers(-30, 30).map(lambda e: f"e{e}")),
-    st.sampled_from(["", " ", "  "]),
+    st.sampled_from(["", " ", "  ", "\t", " \t"]),
 )
 junk = st.one_of(
-    st.sampled_from(["", "*", "NaN", "Infinity", "-Infinity", "12d", "1,234", "abc", ".", "-", "1e", "e5", "0x10", "1 2"]),
-    st.text(alphabet="0123456789.-+eE*x ,", max_size=8),
+    st.sampled_from(["", "*", "NaN", "Infinity", "-Infinity", "inf", "-inf", "1e999", "-1e999",
+                     "1,234", "abc", ".", "-", "1e", "e5", "1 2", "12\t", "\t12", " 12 ", "12.", "\n5\n"]),
+    st.text(alphabet="0123456789.-+eE* \t,", max_size=8),
 )
 cells = st.lists(st.one_of(numerals, junk, st.none()), min_size=1, max_size=120)
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=12, deadline=None)
 @given(cells)
 def test_conversions_follow_the_rules(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "s string")

@@ -50,7 +50,7 @@ def test_count_text_truncates_like_legacy_cast(spark):
 def test_nan_and_infinity_become_null_and_bands_unknown(spark):
     rows = [
         bronze_row(BENE_AVG_RISK_SCRE="NaN", BENE_DUAL_PCT="Infinity", BENE_RRL_PCT="-Infinity"),
-        bronze_row(BENE_AVG_RISK_SCRE="12d", BENE_DUAL_PCT="1e999", BENE_RRL_PCT="nan"),
+        bronze_row(BENE_AVG_RISK_SCRE="inf", BENE_DUAL_PCT="1e999", BENE_RRL_PCT="-1e999"),
     ]
     silver = build_silver(bronze_df(spark, rows))
     for r in silver.collect():
@@ -60,6 +60,12 @@ def test_nan_and_infinity_become_null_and_bands_unknown(spark):
     assert (g[0].risk_band, g[0].dual_share_band, g[0].rural_mix_band) == ("UNKNOWN",) * 3
 
 
+def test_number_text_follows_spark_parsing(spark):
+    # A type suffix parses as a number (as Spark's own cast reads it); a count does not.
+    r = _silver_one(spark, BENE_FEML_PCT="12d", TOT_SRVC_DAYS="12d", BENE_MALE_PCT=" 4.5 ")
+    assert (r.bene_female_pct, r.total_service_days, r.bene_male_pct) == (12.0, None, 4.5)
+
+
 def test_null_and_bad_year(spark):
     for v in [None, "20x"]:
         r = _silver_one(spark, YEAR=v)
