@@ -69,3 +69,29 @@ def test_conversions_follow_the_rules(spark, values):
         assert r.d == ref_double(r.s), r.s
         assert r.n == ref_long(r.s), r.s
         assert r.p == (None if r.s == "*" else ref_double(r.s)), r.s
+
+
+money = st.decimals(min_value=-10**9, max_value=10**9, places=4, allow_nan=False, allow_infinity=False)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), money), min_size=1, max_size=200), st.integers(1, 7))
+def test_exact_sums_equal_decimal_sums_in_any_order(spark, rows, n_parts):
+    from collections import defaultdict
+
+    from pyspark.sql import functions as F
+
+    from carepulse.functions.expr import exact_avg, exact_sum_double
+
+    df = spark.createDataFrame([(g, float(v)) for g, v in rows], "g int, x double").repartition(n_parts)
+    got = {
+        r.g: (r.s, r.a)
+        for r in df.groupBy("g").agg(exact_sum_double("x").alias("s"), exact_avg("x").alias("a")).collect()
+    }
+    want = defaultdict(list)
+    for g, v in rows:
+        want[g].append(Decimal(str(float(v))).quantize(Decimal("0.0001")))
+    for g, vals in want.items():
+        total = sum(vals)
+        assert got[g][0] == float(total), (g, vals)
+        assert got[g][1] == float(sum(v.quantize(Decimal("0.00000001")) for v in vals)) / len(vals)
