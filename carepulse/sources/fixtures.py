@@ -34,6 +34,11 @@ def _text(c):
     return c.cast("string")
 
 
+def _units_text(units, places: int = 4):
+    """Integer units of 10**-places as decimal text ('1234.5600' for 4 places)."""
+    return _text((units.cast("decimal(38,0)") / F.lit(10**places)).cast(f"decimal(38,{places})"))
+
+
 def _suppress(cond, value):
     return F.when(cond, F.lit("*")).otherwise(_text(value))
 
@@ -47,11 +52,13 @@ def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", F.year("o_orderdate").alias("y")
     )
-    # Factors are cast to decimal before multiplying, so sums are exact.
-    ext = F.col("l_extendedprice").cast("decimal(12,2)")
-    disc = F.col("l_discount").cast("decimal(4,2)")
-    tax = F.col("l_tax").cast("decimal(4,2)")
-    one = F.lit(1)
+    # Money in fixed-point integers: price in cents, discount and tax in
+    # hundredths, so each product is an exact count of 1/10000 units (the price
+    # alone of 1/100 units) and the sums are exact `long` sums (a decimal(28,4)
+    # sum buffer is much slower).
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+    disc = F.rint(F.col("l_discount") * 100).cast("bigint")
+    tax = F.rint(F.col("l_tax") * 100).cast("bigint")
     per_group = (
         li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(
@@ -64,10 +71,10 @@ def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).alias("n"),
             F.countDistinct("o_custkey").alias("n_cust"),
             F.sum("l_quantity").alias("qty"),
-            F.sum(ext * (one - disc)).alias("pay"),
-            F.sum(ext * (one - tax)).alias("std"),
-            F.sum(ext * (one + tax)).alias("chg"),
-            F.sum(ext).alias("alw"),
+            F.sum(cents * (100 - disc)).alias("pay"),
+            F.sum(cents * (100 - tax)).alias("std"),
+            F.sum(cents * (100 + tax)).alias("chg"),
+            F.sum(cents).alias("alw"),
         )
     )
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -90,10 +97,10 @@ def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "TOT_SRVC_DAYS": F.when((sk + y) % 17 == 0, F.lit("0")).otherwise(_text(F.col("qty").cast("bigint"))),
         "TOT_EPSD_STAY_CNT": _text(n),
         "BENE_DSTNCT_CNT": _text(F.col("n_cust")),
-        "TOT_MDCR_PYMT_AMT": _text(F.col("pay")),
-        "TOT_MDCR_STDZD_PYMT_AMT": _text(F.col("std")),
-        "TOT_CHRG_AMT": _text(F.col("chg")),
-        "TOT_ALOWD_AMT": _text(F.col("alw")),
+        "TOT_MDCR_PYMT_AMT": _units_text(F.col("pay")),
+        "TOT_MDCR_STDZD_PYMT_AMT": _units_text(F.col("std")),
+        "TOT_CHRG_AMT": _units_text(F.col("chg")),
+        "TOT_ALOWD_AMT": _units_text(F.col("alw"), places=2),
         "BENE_AVG_RISK_SCRE": _suppress(
             n < 11, (F.lit(Decimal("0.6")) + (sk % 7) * F.lit(Decimal("0.5"))).cast("decimal(6,2)")
         ),
