@@ -32,7 +32,7 @@ from ..functions.sql import register_sql_functions
 from ..operators import serve
 from ..operators.gold import build_gold_provider, build_gold_state, gold_provider_base
 from ..operators.silver import build_silver, provider_level, suppression_audit
-from ..session import run_dir
+from ..session import app_key, run_dir
 from ..sources.bronze import read_bronze, read_landing, write_landing
 from ..sources.fixtures import write_bronze_from_test_tables
 from ..sources.sinks import read_table, write_table
@@ -56,7 +56,7 @@ _lock = threading.Lock()
 
 def prepared(spark: SparkSession, sf_dir: str) -> dict:
     """Bronze, silver and gold tables for ``sf_dir``, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (app_key(spark), sf_dir)
     with _lock:
         if key not in _prepared:
             root = run_dir(spark, "tables")

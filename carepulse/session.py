@@ -33,15 +33,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; set a private one only if none is configured."""
-    sc = spark.sparkContext
-    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    root = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="carepulse-ckpt-")
-        sc.setCheckpointDir(root)
-        root = sc.getCheckpointDir() or root
+        if sc is not None:
+            sc.setCheckpointDir(root)
+            root = sc.getCheckpointDir() or root
+        else:
+            spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def app_key(spark: SparkSession) -> str:
+    """An id of the running application (for caching per application)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run's intermediate tables, under the shared root."""
     return f"{checkpoint_root(spark)}/carepulse/{name}-{uuid.uuid4().hex[:12]}"
