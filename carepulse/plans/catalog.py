@@ -9,6 +9,7 @@ Writes go under the session's shared checkpoint folder.
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,10 +134,16 @@ def q_state_summary_read(spark, sf_dir):
     return serve.load_state_summary(gs, YEAR, CATEGORY)
 
 
+def _view(df: DataFrame, prefix: str) -> str:
+    """Register ``df`` under a fresh temporary view name (safe for concurrent callers)."""
+    name = f"{prefix}_{uuid.uuid4().hex[:12]}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
 def q_state_summary_read_sql(spark, sf_dir):
     _, gs = gold(spark, sf_dir)
-    gs.createOrReplaceTempView("carepulse_gold_state")
-    return serve.load_state_summary_sql(spark, "carepulse_gold_state", YEAR, CATEGORY)
+    return serve.load_state_summary_sql(spark, _view(gs, "carepulse_gold_state"), YEAR, CATEGORY)
 
 
 def q_provider_read_one_state(spark, sf_dir):
@@ -236,13 +243,13 @@ def q_incremental_bronze(spark, sf_dir):
 def q_sql_function_ratio(spark, sf_dir):
     register_sql_functions(spark)
     _, gs = gold(spark, sf_dir)
-    gs.createOrReplaceTempView("carepulse_gold_state")
+    view = _view(gs, "carepulse_gold_state")
     return spark.sql(
-        """
+        f"""
         SELECT `YEAR`, service_category, provider_state,
                safe_div(total_medicare_payment_amt, total_distinct_benes) AS pay_per_bene_sql,
                kpi_div(total_medicare_payment_amt, total_service_days) AS pay_per_service_day_kpi
-        FROM carepulse_gold_state
+        FROM {view}
         """
     )
 
