@@ -60,6 +60,27 @@ def load_available(spark: SparkSession, landing_dir: str, bronze_dir: str, check
     return int(sum(p.get("numInputRows", 0) for p in progress)) if progress else 0
 
 
+def start_continuous_load(
+    spark: SparkSession,
+    landing_dir: str,
+    bronze_dir: str,
+    checkpoint_dir: str,
+    every: str = "1 minute",
+    max_files_per_trigger: int | None = None,
+):
+    """Keep loading: a micro-batch every ``every`` picks up files that arrived since
+    the last one (the always-on form of ``load_available``). Returns the query."""
+    return (
+        landing_stream(spark, landing_dir, max_files_per_trigger)
+        .writeStream.format("parquet")
+        .option("path", bronze_dir)
+        .option("checkpointLocation", checkpoint_dir)
+        .outputMode("append")
+        .trigger(processingTime=every)
+        .start()
+    )
+
+
 def read_loaded(spark: SparkSession, bronze_dir: str) -> DataFrame:
     """The streamed bronze table as written (every drop, with drop columns)."""
     return spark.read.parquet(bronze_dir)

@@ -101,3 +101,21 @@ def test_job_cli_from_jsonl_landing(spark, tmp_dir, capsys):
     assert sorted((r.YEAR, r.provider_state) for r in gs.collect()) == [(2022, "MA"), (2023, "RI")]
     assert gp.count() == 2
     assert "gold_state" in capsys.readouterr().out
+
+
+def test_continuous_load_picks_up_new_files(spark, tmp_dir):
+    from carepulse.streaming.incremental import start_continuous_load
+
+    landing, table, ckpt = (os.path.join(tmp_dir, d) for d in ("landing", "bronze", "ckpt"))
+    os.makedirs(landing)
+    with open(os.path.join(landing, "a.jsonl"), "w") as f:
+        f.write('{"PRVDR_ID": "1", "YEAR": "2023"}\n')
+    q = start_continuous_load(spark, landing, table, ckpt, every="1 second")
+    try:
+        q.processAllAvailable()
+        with open(os.path.join(landing, "b.jsonl"), "w") as f:
+            f.write('{"PRVDR_ID": "2", "YEAR": "2023"}\n')
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(r.PRVDR_ID for r in read_loaded(spark, table).collect()) == ["1", "2"]
