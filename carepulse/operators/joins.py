@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
 # Row bound under which a dimension side is broadcast. Beyond it the join is left
 # to Catalyst/AQE (sort-merge, or a runtime broadcast if the measured size fits).
 DEFAULT_BROADCAST_ROWS = 1_000_000
@@ -18,3 +20,15 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS)
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def materialize_and_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """For a small side derived by an expensive plan (an aggregate over a big input):
+    compute it once into a reliable checkpoint, prove its row bound with a count of
+    that (now cheap) table, and broadcast it only if the bound holds. Without
+    this, the bound check and the join would each compute the side again.
+    """
+    checkpoint_root(df.sparkSession)
+    materialized = df.checkpoint(eager=True)
+    n = materialized.count()
+    return F.broadcast(materialized) if n <= max_rows else materialized

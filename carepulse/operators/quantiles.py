@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
-from .joins import broadcast_if_bounded
+from .joins import materialize_and_broadcast
 
 
 def _partitions(df: DataFrame) -> int:
@@ -72,7 +72,7 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, n_partitions: int
         F.sum("_cnt").over(by_group).alias("_n"),
     )
     cond = [F.col("_pid") == F.col("_cpid")] + [F.col(k).eqNullSafe(F.col(side[k])) for k in keys]
-    joined = ordered.join(broadcast_if_bounded(counts), cond)
+    joined = ordered.join(materialize_and_broadcast(counts), cond)
     return joined.select(
         *keys,
         "_v",
@@ -136,7 +136,7 @@ def box_summary(df: DataFrame, keys: list[str], value: str, whisker: float = 1.5
     )
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     cond = [F.col(k).eqNullSafe(F.col(side[k])) for k in keys]
-    j = v.join(broadcast_if_bounded(fences), cond)
+    j = v.join(materialize_and_broadcast(fences), cond)
     inside = (F.col("_v") >= F.col("_lf")) & (F.col("_v") <= F.col("_uf"))
     return j.groupBy(*keys).agg(
         *[F.max(f"_s_{c}").alias(c) for c in stats],

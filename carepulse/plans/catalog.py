@@ -25,8 +25,6 @@ from ..contracts import (
     TOP_N,
     TOP_TABLE_COLUMNS,
     ZERO_FILL_COLUMNS,
-    gold_provider_columns,
-    gold_state_columns,
     silver_schema,
 )
 from ..functions.sql import register_sql_functions
@@ -36,7 +34,7 @@ from ..operators.silver import build_silver, provider_level, suppression_audit
 from ..session import app_key, run_dir
 from ..sources.bronze import read_bronze, read_landing, write_landing
 from ..sources.fixtures import write_bronze_from_test_tables
-from ..sources.sinks import read_table, write_table
+from ..sources.sinks import read_table
 from ..streaming.incremental import load_available, newest_drop, read_loaded
 from . import oracle as O
 from .job import read_gold, run_job
@@ -404,4 +402,4 @@ def oracle_statements() -> dict[str, str]:
     }
 
 
-__all__ = ["QUERIES", "oracle_statements", "prepared", "gold_provider_columns", "gold_state_columns"]
+__all__ = ["QUERIES", "oracle_statements", "prepared", "bronze", "silver", "silver_table", "gold"]

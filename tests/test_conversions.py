@@ -79,8 +79,6 @@ money = st.decimals(min_value=-10**9, max_value=10**9, places=4, allow_nan=False
 def test_exact_sums_equal_decimal_sums_in_any_order(spark, rows, n_parts):
     from collections import defaultdict
 
-    from pyspark.sql import functions as F
-
     from carepulse.functions.expr import exact_avg, exact_sum_double
 
     df = spark.createDataFrame([(g, float(v)) for g, v in rows], "g int, x double").repartition(n_parts)
