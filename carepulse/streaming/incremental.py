@@ -44,10 +44,21 @@ def landing_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger:
     )
 
 
-def load_available(spark: SparkSession, landing_dir: str, bronze_dir: str, checkpoint_dir: str) -> int:
-    """Drain every new landing file into the bronze table; returns rows appended."""
+def load_available(
+    spark: SparkSession,
+    landing_dir: str,
+    bronze_dir: str,
+    checkpoint_dir: str,
+    max_files_per_trigger: int | None = None,
+) -> int:
+    """Drain every new landing file into the bronze table; returns rows appended.
+
+    With ``max_files_per_trigger`` a large backlog is taken in several bounded
+    micro-batches (each committed to the sink's log and the checkpoint) instead
+    of one huge one. Readers of the table see only committed batches.
+    """
     query = (
-        landing_stream(spark, landing_dir)
+        landing_stream(spark, landing_dir, max_files_per_trigger)
         .writeStream.format("parquet")
         .option("path", bronze_dir)
         .option("checkpointLocation", checkpoint_dir)
