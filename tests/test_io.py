@@ -119,3 +119,14 @@ def test_continuous_load_picks_up_new_files(spark, tmp_dir):
     finally:
         q.stop()
     assert sorted(r.PRVDR_ID for r in read_loaded(spark, table).collect()) == ["1", "2"]
+
+
+def test_backlog_drained_in_bounded_batches(spark, tmp_dir):
+    landing, table, ckpt = (os.path.join(tmp_dir, d) for d in ("landing", "bronze", "ckpt"))
+    os.makedirs(landing)
+    for i in range(3):
+        with open(os.path.join(landing, f"drop-{i}.jsonl"), "w") as f:
+            f.write(f'{{"PRVDR_ID": "{i}", "YEAR": "2023"}}\n')
+    assert load_available(spark, landing, table, ckpt, max_files_per_trigger=1) == 3
+    assert sorted(r.PRVDR_ID for r in read_loaded(spark, table).collect()) == ["0", "1", "2"]
+    assert len([f for f in os.listdir(os.path.join(ckpt, "commits")) if not f.startswith(".")]) == 3
