@@ -130,3 +130,27 @@ def test_backlog_drained_in_bounded_batches(spark, tmp_dir):
     assert load_available(spark, landing, table, ckpt, max_files_per_trigger=1) == 3
     assert sorted(r.PRVDR_ID for r in read_loaded(spark, table).collect()) == ["0", "1", "2"]
     assert len([f for f in os.listdir(os.path.join(ckpt, "commits")) if not f.startswith(".")]) == 3
+
+
+def test_report_pages(spark, tmp_dir, capsys):
+    from carepulse.plans.report import main as report_main
+    from carepulse.plans.report import provider_page, state_page
+
+    rows = [
+        bronze_row(PRVDR_ID="1", YEAR="2023", TOT_MDCR_PYMT_AMT="100", BENE_DSTNCT_CNT="10"),
+        bronze_row(PRVDR_ID="2", YEAR="2023", TOT_MDCR_PYMT_AMT="300", BENE_DSTNCT_CNT="10"),
+        bronze_row(PRVDR_ID="3", YEAR="2023", STATE="RI", TOT_MDCR_PYMT_AMT="50", BENE_DSTNCT_CNT="0"),
+    ]
+    root = os.path.join(tmp_dir, "wh")
+    paths = run_job(spark, bronze_df(spark, rows), root)
+    gp, gs = read_gold(spark, paths)
+    sp = state_page(gs, 2023, "SNF")
+    k = sp["national_kpis"].collect()[0]
+    assert (k.total_medicare_payment_amt, k.total_distinct_benes, k.avg_pay_per_bene) == (450.0, 20, 22.5)
+    assert [r.provider_state for r in sp["states_by_pay_per_bene"].collect()] == ["MA", "RI"]
+    pp = provider_page(gp, 2023, "SNF", "MA")
+    assert [r.provider_id for r in pp["top_providers"].collect()] == ["2", "1"]
+    assert pp["state_kpis"].collect()[0].avg_pay_per_bene == 20.0
+    report_main(["--tables", root, "--year", "2023", "--state", "MA"])
+    out = capsys.readouterr().out
+    assert "== top_providers" in out and "== episodes_by_risk_band" in out
