@@ -254,3 +254,25 @@ def gold_provider_columns() -> list[str]:
 
 def gold_state_columns() -> list[str]:
     return GOLD_STATE_KEYS + [m for m, _, _ in GOLD_STATE_MEASURES] + [r for r, _, _ in GOLD_STATE_RATIOS]
+
+
+_KEY_TYPES = {"YEAR": T.LongType(), "YEAR_DATE": T.DateType()}
+_MEASURE_TYPES = {"sum_long": T.LongType(), "sum_money": T.DoubleType(), "avg": T.DoubleType()}
+
+
+def _gold_schema(keys, measures, ratios, bands) -> T.StructType:
+    fields = [_field(k, _KEY_TYPES.get(k, T.StringType()), "grouping key") for k in keys]
+    fields += [_field(out, _MEASURE_TYPES[kind], f"{kind} of silver {src}") for out, kind, src in measures]
+    fields += [_field(out, T.DoubleType(), f"{num} / {den}; NULL if the denominator is 0 or NULL") for out, num, den in ratios]
+    fields += [_field(b, T.StringType(), "band of the matching average") for b in bands]
+    return T.StructType(fields)
+
+
+def gold_provider_schema() -> T.StructType:
+    """provider_year_metrics: 7 keys, 7 sums, 9 averages, 7 ratios, 3 bands."""
+    return _gold_schema(GOLD_PROVIDER_KEYS, GOLD_PROVIDER_MEASURES, GOLD_PROVIDER_RATIOS, GOLD_PROVIDER_BANDS)
+
+
+def gold_state_schema() -> T.StructType:
+    """state_year_summary: 4 keys, 4 sums, 3 averages, 4 ratios."""
+    return _gold_schema(GOLD_STATE_KEYS, GOLD_STATE_MEASURES, GOLD_STATE_RATIOS, [])

@@ -13,7 +13,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..contracts import silver_schema
+from ..contracts import gold_provider_schema, gold_state_schema, silver_schema
 from ..operators.gold import build_gold_provider, build_gold_state
 from ..operators.silver import build_silver
 from ..sources.bronze import read_bronze
@@ -50,13 +50,10 @@ def run_job(spark: SparkSession, bronze: DataFrame, out_root: str, dynamic_overw
 
 
 def read_gold(spark: SparkSession, paths: dict) -> tuple[DataFrame, DataFrame]:
-    """(gold provider, gold state) read back in contract column order."""
-    silver = read_table(spark, paths["silver"], silver_schema())
-    provider_schema = build_gold_provider(silver).schema
-    state_schema = build_gold_state(silver).schema
+    """(gold provider, gold state) read back with their contracts, in contract column order."""
     return (
-        read_table(spark, paths["gold_provider"], provider_schema),
-        read_table(spark, paths["gold_state"], state_schema),
+        read_table(spark, paths["gold_provider"], gold_provider_schema()),
+        read_table(spark, paths["gold_state"], gold_state_schema()),
     )
 
 

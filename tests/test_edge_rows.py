@@ -154,3 +154,13 @@ def test_bronze_contract_has_37_text_columns():
     assert len(silver_schema().fields) == 38
     assert len(gold_provider_columns()) == 33
     assert len(gold_state_columns()) == 15
+
+
+def test_gold_builds_match_their_contracts(spark):
+    from carepulse.contracts import gold_provider_schema, gold_state_schema
+
+    silver = build_silver(bronze_df(spark, [bronze_row()]))
+    def shape(schema):
+        return [(f.name, f.dataType.simpleString()) for f in schema.fields]
+    assert shape(build_gold_provider(silver).schema) == shape(gold_provider_schema())
+    assert shape(build_gold_state(silver).schema) == shape(gold_state_schema())
