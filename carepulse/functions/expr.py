@@ -1,9 +1,16 @@
-"""Column-expression macros: plain Python functions that return a ``Column``.
-
-Everything here stays inside Catalyst (no Python UDFs), so the expressions are
-code-generated and pushed through projections like any built-in.
-
-Semantics are fixed for ANSI Spark 4: every text-to-number conversion is a
+"""Column-expression macros.
+
+Each rule is written once, as a Spark SQL expression template (the ``*_sql``
+functions, which return text), and offered as a ``Column`` through one
+``F.expr`` call. Wide builders (silver, the audit, gold) pass the text to
+``selectExpr`` / ``F.expr`` directly: building a projection from SQL text is one
+parse on the JVM, while composing the same expression from ``Column`` calls
+costs several Python-to-JVM round trips per node, which dominated the driver
+time of a 38-column projection. Either way the result is an ordinary Catalyst
+expression (no Python UDFs), code-generated and pushed like any built-in.
+
+Operands are column names (quoted here as identifiers) or ``Sql`` expression
+text. Semantics are fixed for ANSI Spark 4: every text-to-number conversion is a
 ``try_cast``, so a malformed cell becomes NULL instead of failing the job (the
 audit in ``operators.silver`` counts them), and NaN or infinite results become
 NULL too, so they never land in a band or a sum.
@@ -11,6 +18,8 @@ NULL too, so they never land in a band or a sum.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,144 +44,193 @@ MONEY_DECIMAL = f"decimal(38,{MONEY_SCALE})"
 AVG_DECIMAL = f"decimal(38,{AVG_SCALE})"
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+class Sql(str):
+    """Spark SQL expression text, as opposed to a column name."""
+
+
+def ident(name: str) -> str:
+    """A column name as a quoted SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _ref(c: str) -> str:
+    if isinstance(c, Sql):
+        return f"({c})"
+    if isinstance(c, str):
+        return ident(c)
+    raise TypeError(f"expected a column name or Sql text, got {type(c).__name__}")
+
+
+def _double(x: float) -> str:
+    """A double literal (a bare 1.5 would be a decimal in Spark SQL)."""
+    return f"{float(x)!r}D"
+
+
+def aliased(expr: str, name: str) -> str:
+    """``expr AS `name``` for ``selectExpr``."""
+    return f"{expr} AS {ident(name)}"
+
+
+def select_names(df, names: list[str]):
+    """``df.select(*names)`` as one ``selectExpr`` call (a name at a time costs a
+    JVM round trip each)."""
+    return df.selectExpr(*[ident(n) for n in names])
 
 
-def as_text(c: Column | str) -> Column:
+def _column(sql_fn: Callable[..., Sql]) -> Callable[..., Column]:
+    """The Column form of a SQL template: one ``F.expr`` call."""
+
+    def make(*args, **kwargs) -> Column:
+        return F.expr(sql_fn(*args, **kwargs))
+
+    make.__name__ = sql_fn.__name__.removesuffix("_sql")
+    make.__doc__ = sql_fn.__doc__
+    return make
+
+
+# ------------------------------------------------------------ scalar rules
+def as_text_sql(c: str) -> Sql:
     """Cast to string; works whether the bronze column is text or already numeric."""
-    return _col(c).cast("string")
+    return Sql(f"CAST({_ref(c)} AS STRING)")
 
 
-def finite(d: Column | str) -> Column:
+def finite_sql(d: str) -> Sql:
     """The double when finite, else NULL (NaN and +-Infinity compare >= Infinity)."""
-    x = _col(d)
-    return F.when(F.abs(x) < F.lit(float("inf")), x)
+    x = _ref(d)
+    return Sql(f"CASE WHEN abs({x}) < double('Infinity') THEN {x} END")
 
 
-def try_double(c: Column | str) -> Column:
+def try_double_sql(c: str) -> Sql:
     """Text to double as Spark parses numbers; NULL when it does not parse."""
-    return as_text(c).try_cast("double")
+    return Sql(f"try_cast({as_text_sql(c)} AS DOUBLE)")
 
 
-def to_double(c: Column | str) -> Column:
+def to_double_sql(c: str) -> Sql:
     """Text to a finite double; malformed text, NaN and infinities become NULL.
 
-    In a wide projection prefer ``try_double`` in one ``select`` and ``finite``
+    In a wide projection prefer ``try_double`` in one projection and ``finite``
     in the next (as ``operators.silver`` does): the cast then runs once per cell
     and each column's generated code stays small. Dozens of larger per-column
     expressions fused into one method get too big for the JIT, which cost about
     6x in the silver step.
     """
-    return finite(try_double(c))
+    return finite_sql(try_double_sql(c))
 
 
-def to_long(c: Column | str) -> Column:
+def to_long_sql(c: str) -> Sql:
     """Text to a whole number, truncating a fraction ('12.7' -> 12, '-12.7' -> -12).
 
     Through decimal, so '25.0' and '12.7' are counts (a plain bigint cast rejects
     them) and NaN, Infinity and type suffixes are rejected by the decimal parser.
     """
-    return as_text(c).try_cast("decimal(38,6)").try_cast("bigint")
+    return Sql(f"try_cast(try_cast({as_text_sql(c)} AS DECIMAL(38,6)) AS BIGINT)")
 
 
-def pct(c: Column | str) -> Column:
+def pct_sql(c: str) -> Sql:
     """Suppressed marker to NULL, else the number as a finite double.
 
     The marker does not parse as a number, so it becomes NULL through the same
     cast; the audit counts it apart from malformed text.
     """
-    return to_double(c)
+    return to_double_sql(c)
 
 
-def year_date(year: Column | str) -> Column:
+def year_date_sql(year: str) -> Sql:
     """January 1 of the year; NULL for NULL or out-of-range years."""
-    y = _col(year)
-    return F.when(y.between(1, 9999), F.make_date(y.cast("int"), F.lit(1), F.lit(1)))
+    y = _ref(year)
+    return Sql(f"CASE WHEN {y} BETWEEN 1 AND 9999 THEN make_date(CAST({y} AS INT), 1, 1) END")
 
 
-def safe_div(num: Column | str, den: Column | str) -> Column:
+def safe_div_sql(num: str, den: str) -> Sql:
     """num / den as double; NULL when den is NULL or zero."""
-    return F.try_divide(_col(num).cast("double"), _col(den).cast("double"))
+    return Sql(f"try_divide(CAST({_ref(num)} AS DOUBLE), CAST({_ref(den)} AS DOUBLE))")
 
 
-def kpi_div(num: Column | str, den: Column | str) -> Column:
+def kpi_div_sql(num: str, den: str) -> Sql:
     """Dashboard-style ratio: 0 instead of NULL when the denominator is 0 or missing."""
-    return F.coalesce(safe_div(num, den), F.lit(0.0))
-
-
-def _fixed_point_parts(x: Column, scale: int) -> tuple[Column, Column]:
-    """Split a double into whole units and fractional units of 10**-scale (both bigint).
-
-    ``x - floor(x)`` is exact in double arithmetic, so for any value written with
-    at most ``scale`` decimals the fractional units are exact; otherwise they are
-    the nearest unit, like a cast to decimal(38, scale).
-    """
-    whole = F.floor(x)
-    frac = F.rint((x - whole) * F.lit(float(10**scale))).cast("bigint")
-    return whole, frac
-
-
-def _fixed_point_total(whole_sum: Column, frac_sum: Column, scale: int) -> Column:
-    """Exact total of the two sums (once per group, in decimal), returned as double."""
-    units = whole_sum.cast("decimal(38,0)") * F.lit(10**scale).cast("decimal(38,0)") + frac_sum.cast(
-        "decimal(38,0)"
-    )
-    return units.cast("double") / F.lit(float(10**scale))
+    return Sql(f"coalesce({safe_div_sql(num, den)}, 0.0D)")
 
 
-def exact_sum_double(c: Column | str, scale: int = MONEY_SCALE) -> Column:
+# ------------------------------------------------------------ exact sums
+def exact_sum_double_sql(c: str, scale: int = MONEY_SCALE) -> Sql:
     """Order-independent, exact sum of a double column at ``scale`` decimals, as double.
 
-    Two ``long`` sums (whole units, fractional units) instead of a decimal(38,s)
-    sum: aggregation buffers wider than 18 digits are stored as bytes and
-    updated through BigDecimal on every row, about 4x slower for the gold builds.
-    Whole parts overflow only past 9.2e18 (an ANSI error, never a silent wrap);
-    fractional units cannot overflow below ~1e14 rows per group.
+    Each value is split into whole units (``floor``) and fractional units of
+    10**-scale (``x - floor(x)`` is exact in double arithmetic, so for a value
+    written with at most ``scale`` decimals they are exact; otherwise the
+    nearest unit, like a cast to decimal(38, scale)). Both are summed as
+    ``long`` and combined once per group in decimal. A decimal(38,s) sum buffer
+    is stored as bytes and updated through BigDecimal on every row, about 4x
+    slower for the gold builds. Whole parts overflow only past 9.2e18 (an ANSI
+    error, never a silent wrap); fractional units cannot overflow below ~1e14
+    rows per group.
     """
-    whole, frac = _fixed_point_parts(_col(c), scale)
-    return _fixed_point_total(F.sum(whole), F.sum(frac), scale)
+    x = _ref(c)
+    unit = _double(10**scale)
+    whole = f"sum(floor({x}))"
+    frac = f"sum(CAST(rint(({x} - floor({x})) * {unit}) AS BIGINT))"
+    units = (
+        f"CAST({whole} AS DECIMAL(38,0)) * CAST({10**scale} AS DECIMAL(38,0)) + CAST({frac} AS DECIMAL(38,0))"
+    )
+    return Sql(f"CAST({units} AS DOUBLE) / {unit}")
 
 
-def exact_avg(c: Column | str, scale: int = AVG_SCALE) -> Column:
+def exact_avg_sql(c: str, scale: int = AVG_SCALE) -> Sql:
     """Average over non-NULL rows, unweighted, from an exact fixed-point sum."""
-    x = _col(c)
-    return F.try_divide(exact_sum_double(x, scale), F.count(x))
+    return Sql(f"try_divide({exact_sum_double_sql(c, scale)}, count({_ref(c)}))")
 
 
-def risk_band(score: Column | str) -> Column:
-    s = _col(score)
-    return (
-        F.when(s.isNull(), "UNKNOWN")
-        .when(s < RISK_LOW_BELOW, "LOW_RISK")
-        .when(s < RISK_MEDIUM_BELOW, "MEDIUM_RISK")
-        .otherwise("HIGH_RISK")
+# ------------------------------------------------------------------ bands
+def risk_band_sql(score: str) -> Sql:
+    s = _ref(score)
+    return Sql(
+        f"CASE WHEN {s} IS NULL THEN 'UNKNOWN' "
+        f"WHEN {s} < {_double(RISK_LOW_BELOW)} THEN 'LOW_RISK' "
+        f"WHEN {s} < {_double(RISK_MEDIUM_BELOW)} THEN 'MEDIUM_RISK' "
+        "ELSE 'HIGH_RISK' END"
     )
 
 
-def dual_share_band(share: Column | str) -> Column:
-    s = _col(share)
-    return (
-        F.when(s.isNull(), "UNKNOWN")
-        .when(s < DUAL_LOW_BELOW, "LOW_DUAL")
-        .when(s < DUAL_MEDIUM_BELOW, "MEDIUM_DUAL")
-        .when(s < DUAL_HIGH_BELOW, "HIGH_DUAL")
-        .otherwise("VERY_HIGH_DUAL")
+def dual_share_band_sql(share: str) -> Sql:
+    s = _ref(share)
+    return Sql(
+        f"CASE WHEN {s} IS NULL THEN 'UNKNOWN' "
+        f"WHEN {s} < {DUAL_LOW_BELOW} THEN 'LOW_DUAL' "
+        f"WHEN {s} < {DUAL_MEDIUM_BELOW} THEN 'MEDIUM_DUAL' "
+        f"WHEN {s} < {DUAL_HIGH_BELOW} THEN 'HIGH_DUAL' "
+        "ELSE 'VERY_HIGH_DUAL' END"
     )
 
 
-def rural_mix_band(share: Column | str) -> Column:
-    s = _col(share)
-    return (
-        F.when(s.isNull(), "UNKNOWN")
-        .when(s >= RURAL_DOMINANT_FROM, "RURAL_DOMINANT")
-        .when(s >= RURAL_MIXED_FROM, "MIXED")
-        .otherwise("URBAN_DOMINANT")
+def rural_mix_band_sql(share: str) -> Sql:
+    s = _ref(share)
+    return Sql(
+        f"CASE WHEN {s} IS NULL THEN 'UNKNOWN' "
+        f"WHEN {s} >= {RURAL_DOMINANT_FROM} THEN 'RURAL_DOMINANT' "
+        f"WHEN {s} >= {RURAL_MIXED_FROM} THEN 'MIXED' "
+        "ELSE 'URBAN_DOMINANT' END"
     )
 
 
+# ------------------------------------------------------------ Column forms
+as_text = _column(as_text_sql)
+finite = _column(finite_sql)
+try_double = _column(try_double_sql)
+to_double = _column(to_double_sql)
+to_long = _column(to_long_sql)
+pct = _column(pct_sql)
+year_date = _column(year_date_sql)
+safe_div = _column(safe_div_sql)
+kpi_div = _column(kpi_div_sql)
+exact_sum_double = _column(exact_sum_double_sql)
+exact_avg = _column(exact_avg_sql)
+risk_band = _column(risk_band_sql)
+dual_share_band = _column(dual_share_band_sql)
+rural_mix_band = _column(rural_mix_band_sql)
+
+# band column -> (SQL template, gold input column)
 BAND_FUNCTIONS = {
-    "risk_band": (risk_band, "avg_bene_risk_score"),
-    "dual_share_band": (dual_share_band, "avg_dual_pct"),
-    "rural_mix_band": (rural_mix_band, "avg_rural_pct"),
+    "risk_band": (risk_band_sql, "avg_bene_risk_score"),
+    "dual_share_band": (dual_share_band_sql, "avg_dual_pct"),
+    "rural_mix_band": (rural_mix_band_sql, "avg_rural_pct"),
 }

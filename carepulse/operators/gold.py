@@ -20,17 +20,17 @@ from ..contracts import (
     GOLD_STATE_MEASURES,
     GOLD_STATE_RATIOS,
 )
-from ..functions.expr import BAND_FUNCTIONS, exact_avg, exact_sum_double, safe_div
+from ..functions.expr import BAND_FUNCTIONS, aliased, exact_avg_sql, exact_sum_double_sql, ident, safe_div_sql
 from .silver import provider_level
 
 
-def measure(kind: str, source: str):
+def measure_sql(kind: str, source: str) -> str:
     if kind == "sum_long":
-        return F.sum(source)
+        return f"sum({ident(source)})"
     if kind == "sum_money":
-        return exact_sum_double(source)
+        return exact_sum_double_sql(source)
     if kind == "avg":
-        return exact_avg(source)
+        return exact_avg_sql(source)
     raise ValueError(kind)
 
 
@@ -38,7 +38,7 @@ def _aggregate(silver: DataFrame, keys: list[str], measures) -> DataFrame:
     return (
         provider_level(silver)
         .groupBy(*keys)
-        .agg(*[measure(kind, src).alias(out) for out, kind, src in measures])
+        .agg(*[F.expr(aliased(measure_sql(kind, src), out)) for out, kind, src in measures])
     )
 
 
@@ -48,12 +48,12 @@ def gold_provider_base(silver: DataFrame) -> DataFrame:
 
 
 def add_ratios(df: DataFrame, ratios) -> DataFrame:
-    return df.select("*", *[safe_div(num, den).alias(out) for out, num, den in ratios])
+    return df.selectExpr("*", *[aliased(safe_div_sql(num, den), out) for out, num, den in ratios])
 
 
 def add_bands(df: DataFrame) -> DataFrame:
-    bands = [BAND_FUNCTIONS[b][0](BAND_FUNCTIONS[b][1]).alias(b) for b in GOLD_PROVIDER_BANDS]
-    return df.select("*", *bands)
+    bands = [aliased(BAND_FUNCTIONS[b][0](BAND_FUNCTIONS[b][1]), b) for b in GOLD_PROVIDER_BANDS]
+    return df.selectExpr("*", *bands)
 
 
 def build_gold_provider(silver: DataFrame) -> DataFrame:

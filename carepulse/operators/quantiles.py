@@ -22,10 +22,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import ident
 from ..session import checkpoint_root
 from .joins import materialize_and_broadcast
 
 
+def _keys(keys: list[str]) -> list[str]:
+    return [ident(k) for k in keys]
+
+
+def _null_safe_equal(keys: list[str], side: dict[str, str]):
+    """Join condition: each key equal, NULL matching NULL (NULL keys form a group)."""
+    return F.expr(" AND ".join(f"{ident(k)} <=> {ident(side[k])}" for k in keys))
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -41,16 +51,11 @@ def ordered_values(df: DataFrame, keys: list[str], value: str, n_partitions: int
     checkpoint_root(df.sparkSession)  # make sure a checkpoint folder exists
     p = n_partitions or _partitions(df)
     return (
-        df.select(*keys, F.col(value).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_tie"))
-        .where(F.col("_v").isNotNull())
+        df.selectExpr(*_keys(keys), f"CAST({ident(value)} AS DOUBLE) AS _v", "monotonically_increasing_id() AS _tie")
+        .where("_v IS NOT NULL")
         .repartitionByRange(p, *keys, "_v", "_tie")
         .sortWithinPartitions(*keys, "_v", "_tie")
-        .select(
-            *keys,
-            "_v",
-            F.spark_partition_id().alias("_pid"),
-            F.monotonically_increasing_id().alias("_mid"),
-        )
+        .selectExpr(*_keys(keys), "_v", "spark_partition_id() AS _pid", "monotonically_increasing_id() AS _mid")
         .checkpoint(eager=True)
     )
 
@@ -58,27 +63,20 @@ def ordered_values(df: DataFrame, keys: list[str], value: str, n_partitions: int
 def ranked_values(df: DataFrame, keys: list[str], value: str, n_partitions: int | None = None) -> DataFrame:
     """Rows (keys, _v, _rank, _n): each non-NULL value with its 0-based rank in its group."""
     ordered = ordered_values(df, keys, value, n_partitions)
-    counts = ordered.groupBy("_pid", *keys).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first")
-    )
-    by_group = Window.partitionBy(*keys)
-    before = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ordered.groupBy("_pid", *keys).agg(F.expr("count(1) AS _cnt"), F.expr("min(_mid) AS _first"))
     side = {k: f"_k{i}" for i, k in enumerate(keys)}
-    counts = counts.select(
-        F.col("_pid").alias("_cpid"),
-        *[F.col(k).alias(side[k]) for k in keys],
+    group = ", ".join(_keys(keys))
+    counts = counts.selectExpr(
+        "_pid AS _cpid",
+        *[f"{ident(k)} AS {ident(side[k])}" for k in keys],
         "_first",
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_cnt").over(by_group).alias("_n"),
+        f"coalesce(sum(_cnt) OVER (PARTITION BY {group} ORDER BY _pid "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _offset",
+        f"sum(_cnt) OVER (PARTITION BY {group}) AS _n",
     )
-    cond = [F.col("_pid") == F.col("_cpid")] + [F.col(k).eqNullSafe(F.col(side[k])) for k in keys]
+    cond = F.expr("_pid = _cpid") & _null_safe_equal(keys, side)
     joined = ordered.join(materialize_and_broadcast(counts), cond)
-    return joined.select(
-        *keys,
-        "_v",
-        (F.col("_offset") + F.col("_mid") - F.col("_first")).alias("_rank"),
-        "_n",
-    )
+    return joined.selectExpr(*_keys(keys), "_v", "_offset + _mid - _first AS _rank", "_n")
 
 
 def exact_quantiles(
@@ -90,35 +88,25 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group: keys, n, min, max and one column per entry of ``probs``."""
     r = ranked_values(df, keys, value, n_partitions)
-    n = F.col("_n")
-    pos = {name: F.lit(p) * (n - 1) for name, p in probs.items()}
-    lo = {name: F.floor(x) for name, x in pos.items()}
-    hi = {name: F.ceil(x) for name, x in pos.items()}
-    wanted = [F.lit(0), n - 1] + list(lo.values()) + list(hi.values())
-    rank = F.col("_rank")
-    keep = r.where(_any_equal(rank, wanted))
-    aggs = [F.max("_n").alias("n"), F.max(F.when(rank == 0, F.col("_v"))).alias("min")]
+    pos = {name: f"({float(p)!r}D * (_n - 1))" for name, p in probs.items()}
+    lo = {name: f"floor({x})" for name, x in pos.items()}
+    hi = {name: f"ceil({x})" for name, x in pos.items()}
+    wanted = ["0", "_n - 1", *lo.values(), *hi.values()]
+    keep = r.where(" OR ".join(f"_rank = {w}" for w in wanted))
+    aggs = ["max(_n) AS n", "max(CASE WHEN _rank = 0 THEN _v END) AS min"]
     for name in probs:
         aggs += [
-            F.max(F.when(rank == lo[name], F.col("_v"))).alias(f"_{name}_lo"),
-            F.max(F.when(rank == hi[name], F.col("_v"))).alias(f"_{name}_hi"),
-            F.max(pos[name] - lo[name]).alias(f"_{name}_frac"),
+            f"max(CASE WHEN _rank = {lo[name]} THEN _v END) AS _{name}_lo",
+            f"max(CASE WHEN _rank = {hi[name]} THEN _v END) AS _{name}_hi",
+            f"max({pos[name]} - {lo[name]}) AS _{name}_frac",
         ]
-    aggs.append(F.max(F.when(rank == n - 1, F.col("_v"))).alias("max"))
-    g = keep.groupBy(*keys).agg(*aggs)
-    out = [*keys, "n", "min"]
+    aggs.append("max(CASE WHEN _rank = _n - 1 THEN _v END) AS max")
+    g = keep.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+    out = [*_keys(keys), "n", "min"]
     for name in probs:
-        a, b, d = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_frac")
-        out.append((a + (b - a) * d).alias(name))
+        out.append(f"_{name}_lo + (_{name}_hi - _{name}_lo) * _{name}_frac AS {ident(name)}")
     out.append("max")
-    return g.select(*out)
-
-
-def _any_equal(c, values):
-    cond = c == values[0]
-    for v in values[1:]:
-        cond = cond | (c == v)
-    return cond
+    return g.selectExpr(*out)
 
 
 def box_summary(df: DataFrame, keys: list[str], value: str, whisker: float = 1.5) -> DataFrame:
@@ -128,19 +116,18 @@ def box_summary(df: DataFrame, keys: list[str], value: str, whisker: float = 1.5
     # The quartiles ride along with the fences, so no join back is needed at the end.
     side = {k: f"_k{i}" for i, k in enumerate(keys)}
     stats = ["n", "min", "q1", "median", "q3", "max"]
-    fences = quart.select(
-        *[F.col(k).alias(side[k]) for k in keys],
-        *[F.col(c).alias(f"_s_{c}") for c in stats],
-        (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("_lf"),
-        (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("_uf"),
+    fences = quart.selectExpr(
+        *[f"{ident(k)} AS {ident(side[k])}" for k in keys],
+        *[f"{ident(c)} AS _s_{c}" for c in stats],
+        f"q1 - {float(whisker)!r}D * (q3 - q1) AS _lf",
+        f"q3 + {float(whisker)!r}D * (q3 - q1) AS _uf",
     )
-    v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    cond = [F.col(k).eqNullSafe(F.col(side[k])) for k in keys]
-    j = v.join(materialize_and_broadcast(fences), cond)
-    inside = (F.col("_v") >= F.col("_lf")) & (F.col("_v") <= F.col("_uf"))
+    v = df.selectExpr(*_keys(keys), f"CAST({ident(value)} AS DOUBLE) AS _v").where("_v IS NOT NULL")
+    j = v.join(materialize_and_broadcast(fences), _null_safe_equal(keys, side))
+    inside = "(_v >= _lf AND _v <= _uf)"
     return j.groupBy(*keys).agg(
-        *[F.max(f"_s_{c}").alias(c) for c in stats],
-        F.min(F.when(inside, F.col("_v"))).alias("lower_whisker"),
-        F.max(F.when(inside, F.col("_v"))).alias("upper_whisker"),
-        F.count_if(~inside).alias("n_outliers"),
+        *[F.expr(f"max(_s_{c}) AS {ident(c)}") for c in stats],
+        F.expr(f"min(CASE WHEN {inside} THEN _v END) AS lower_whisker"),
+        F.expr(f"max(CASE WHEN {inside} THEN _v END) AS upper_whisker"),
+        F.expr(f"count_if(NOT {inside}) AS n_outliers"),
     )

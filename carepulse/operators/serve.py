@@ -12,45 +12,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import PROVIDER_READ_COLUMNS, STATE_READ_COLUMNS, TOP_N, TOP_TABLE_COLUMNS, ZERO_FILL_COLUMNS
-from ..functions.expr import exact_sum_double, kpi_div, year_date
+from ..functions.expr import Sql, aliased, exact_sum_double_sql, ident, kpi_div_sql, select_names, year_date_sql
 from .quantiles import box_summary
 
 
 # ----------------------------------------------------------------- slice scans
-def _year_filter(year: int) -> Column:
-    # YEAR alone does not prune partitions; the equivalent YEAR_DATE predicate does.
-    return (F.col("YEAR") == F.lit(year)) & (F.col("YEAR_DATE") == year_date(F.lit(year)))
+def _slice_filter(year: int, service_category: str, state: str | None = None) -> Column:
+    """Equality predicates of one slice, as bound literals (no text splicing).
+
+    YEAR alone does not prune partitions; the equivalent YEAR_DATE predicate does.
+    """
+    cond = (
+        (F.col("YEAR") == F.lit(int(year)))
+        & (F.col("YEAR_DATE") == F.expr(year_date_sql(Sql(str(int(year))))))
+        & (F.col("service_category") == F.lit(service_category))
+    )
+    if state is not None:
+        cond = cond & (F.col("provider_state") == F.lit(state))
+    return cond
 
 
 def load_state_summary(gold_state: DataFrame, year: int, service_category: str) -> DataFrame:
     """State summary rows of one year and category (15 columns)."""
-    return gold_state.where(_year_filter(year) & (F.col("service_category") == service_category)).select(
-        *STATE_READ_COLUMNS
-    )
+    return select_names(gold_state.where(_slice_filter(year, service_category)), STATE_READ_COLUMNS)
 
 
 def load_provider_metrics(gold_provider: DataFrame, year: int, state: str, service_category: str) -> DataFrame:
     """Provider rows of one year, state and category (31 columns)."""
-    return gold_provider.where(
-        _year_filter(year)
-        & (F.col("provider_state") == state)
-        & (F.col("service_category") == service_category)
-    ).select(*PROVIDER_READ_COLUMNS)
+    return select_names(gold_provider.where(_slice_filter(year, service_category, state)), PROVIDER_READ_COLUMNS)
 
 
 def load_provider_data(gold_provider: DataFrame, year: int, service_category: str) -> DataFrame:
     """Provider rows of one year and category, every state (31 columns)."""
-    return gold_provider.where(_year_filter(year) & (F.col("service_category") == service_category)).select(
-        *PROVIDER_READ_COLUMNS
-    )
+    return select_names(gold_provider.where(_slice_filter(year, service_category)), PROVIDER_READ_COLUMNS)
 
 
 def zero_fill(df: DataFrame, columns: list[str] = ZERO_FILL_COLUMNS) -> DataFrame:
     """Coerce the measure columns to double; NULL or non-numeric becomes 0."""
     fill = set(columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) if c in fill else F.col(c))
+            (aliased(f"coalesce(try_cast({ident(c)} AS DOUBLE), 0.0D)", c) if c in fill else ident(c))
             for c in df.columns
         ]
     )
@@ -59,7 +61,9 @@ def zero_fill(df: DataFrame, columns: list[str] = ZERO_FILL_COLUMNS) -> DataFram
 def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Coerce columns to double without filling: non-numeric values become NULL."""
     fill = set(columns)
-    return df.select(*[(F.col(c).try_cast("double").alias(c) if c in fill else F.col(c)) for c in df.columns])
+    return df.selectExpr(
+        *[(aliased(f"try_cast({ident(c)} AS DOUBLE)", c) if c in fill else ident(c)) for c in df.columns]
+    )
 
 
 def load_state_summary_sql(spark, table: str, year: int, service_category: str) -> DataFrame:
@@ -80,14 +84,16 @@ def kpis(df: DataFrame, keys: list[str]) -> DataFrame:
     dashboard (unlike the gold ratios, which are NULL there).
     """
     agg = df.groupBy(*keys).agg(
-        F.coalesce(exact_sum_double("total_medicare_payment_amt"), F.lit(0.0)).alias("total_medicare_payment_amt"),
-        F.coalesce(F.sum("total_distinct_benes"), F.lit(0)).cast("bigint").alias("total_distinct_benes"),
-        F.coalesce(F.sum("total_service_days"), F.lit(0)).cast("bigint").alias("total_service_days"),
+        F.expr(
+            aliased(f"coalesce({exact_sum_double_sql('total_medicare_payment_amt')}, 0.0D)", "total_medicare_payment_amt")
+        ),
+        F.expr("CAST(coalesce(sum(total_distinct_benes), 0) AS BIGINT) AS total_distinct_benes"),
+        F.expr("CAST(coalesce(sum(total_service_days), 0) AS BIGINT) AS total_service_days"),
     )
-    return agg.select(
+    return agg.selectExpr(
         "*",
-        kpi_div("total_medicare_payment_amt", "total_distinct_benes").alias("avg_pay_per_bene"),
-        kpi_div("total_medicare_payment_amt", "total_service_days").alias("avg_pay_per_service_day"),
+        aliased(kpi_div_sql("total_medicare_payment_amt", "total_distinct_benes"), "avg_pay_per_bene"),
+        aliased(kpi_div_sql("total_medicare_payment_amt", "total_service_days"), "avg_pay_per_service_day"),
     )
 
 
@@ -117,7 +123,7 @@ def states_ranked(gold_state: DataFrame) -> DataFrame:
     w = Window.partitionBy("YEAR", "service_category").orderBy(
         F.col("pay_per_bene").desc_nulls_last(), F.col("provider_state").asc_nulls_last()
     )
-    coerced = coerce_numeric(gold_state.select(*STATE_READ_COLUMNS), ["pay_per_bene", "total_medicare_payment_amt"])
+    coerced = coerce_numeric(select_names(gold_state, STATE_READ_COLUMNS), ["pay_per_bene", "total_medicare_payment_amt"])
     return coerced.select("*", F.row_number().over(w).cast("bigint").alias("pay_rank"))
 
 
@@ -147,7 +153,7 @@ def top_providers(df: DataFrame, n: int = TOP_N) -> DataFrame:
     keys = ["YEAR", "service_category", "provider_state"]
     top = top_n_per_group(df, keys, top_order(), n, "pay_rank")
     # The cast comes after the filter, so the limit still reaches below the shuffle.
-    return top.select(*keys, *TOP_TABLE_COLUMNS, F.col("pay_rank").cast("bigint").alias("pay_rank"))
+    return top.selectExpr(*[ident(c) for c in keys + TOP_TABLE_COLUMNS], "CAST(pay_rank AS BIGINT) AS pay_rank")
 
 
 def chart_order(df: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from ..contracts import (
     ZERO_FILL_COLUMNS,
     silver_schema,
 )
+from ..functions.expr import aliased, ident, select_names
 from ..functions.sql import register_sql_functions
 from ..operators import serve
 from ..operators.gold import build_gold_provider, build_gold_state, gold_provider_base
@@ -68,7 +69,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> dict:
 
 
 def bronze(spark, sf_dir) -> DataFrame:
-    return read_bronze(spark, prepared(spark, sf_dir)["bronze"]).select(*BRONZE_COLUMNS)
+    return select_names(read_bronze(spark, prepared(spark, sf_dir)["bronze"]), BRONZE_COLUMNS)
 
 
 def silver(spark, sf_dir) -> DataFrame:
@@ -107,8 +108,8 @@ def q_gold_provider_base(spark, sf_dir):
 
 
 def q_gold_provider_ratios(spark, sf_dir):
-    return build_gold_provider(silver_table(spark, sf_dir)).select(
-        *GOLD_PROVIDER_KEYS, *[r for r, _, _ in GOLD_PROVIDER_RATIOS]
+    return select_names(
+        build_gold_provider(silver_table(spark, sf_dir)), GOLD_PROVIDER_KEYS + [r for r, _, _ in GOLD_PROVIDER_RATIOS]
     )
 
 
@@ -116,7 +117,9 @@ _BAND_INPUTS = ["avg_bene_risk_score", "avg_dual_pct", "avg_rural_pct"]
 
 
 def q_gold_provider_bands(spark, sf_dir):
-    return build_gold_provider(silver_table(spark, sf_dir)).select(*GOLD_PROVIDER_KEYS, *_BAND_INPUTS, *GOLD_PROVIDER_BANDS)
+    return select_names(
+        build_gold_provider(silver_table(spark, sf_dir)), GOLD_PROVIDER_KEYS + _BAND_INPUTS + GOLD_PROVIDER_BANDS
+    )
 
 
 def q_gold_provider_metrics(spark, sf_dir):
@@ -210,18 +213,18 @@ def q_multi_year_union(spark, sf_dir):
     The data sets are read back together as one bag union."""
     root = f"{run_dir(spark, 'years')}/landing"
     b = bronze(spark, sf_dir)
-    legacy = F.col("YEAR").try_cast("int") < LEGACY_LAYOUT_BEFORE
-    drops = b.select(
+    legacy = f"try_cast(`YEAR` AS INT) < {LEGACY_LAYOUT_BEFORE}"
+    drops = b.selectExpr(
         *[
-            (F.when(~legacy, F.col(c)).alias(c) if c == "BENE_CC_PH_COPD_V2_PCT" else F.col(c))
+            (aliased(f"CASE WHEN NOT ({legacy}) THEN {ident(c)} END", c) if c == "BENE_CC_PH_COPD_V2_PCT" else ident(c))
             for c in BRONZE_COLUMNS
         ],
-        F.col("YEAR").alias("landing_year"),
+        "`YEAR` AS landing_year",
     )
     write_landing(drops, root, partition_by="landing_year")
-    # The list of yearly data sets (a handful of values, like a years config file).
-    years = sorted(r[0] for r in b.select("YEAR").distinct().collect())
-    return read_landing(spark, [f"{root}/landing_year={y}" for y in years])
+    # Every yearly data set under the landing root, read together (a glob, so no
+    # list of years has to come back to the driver).
+    return read_landing(spark, [f"{root}/landing_year=*"])
 
 
 def q_incremental_bronze(spark, sf_dir):

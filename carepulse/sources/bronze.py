@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import BRONZE_COLUMNS, CORRUPT_RECORD, bronze_schema
+from ..functions.expr import select_names
 
 
 def read_bronze(spark: SparkSession, source: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -37,7 +38,7 @@ def read_landing(spark: SparkSession, paths: list[str], keep_corrupt: bool = Fal
         .option("columnNameOfCorruptRecord", CORRUPT_RECORD)
         .json(paths)
     )
-    return df if keep_corrupt else df.select(*BRONZE_COLUMNS)
+    return df if keep_corrupt else select_names(df, BRONZE_COLUMNS)
 
 
 def write_landing(df: DataFrame, path: str, partition_by: str | None = None) -> str:

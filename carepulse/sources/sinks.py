@@ -10,9 +10,10 @@ That sort is local to a task; it adds no shuffle and keeps all write tasks busy.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.expr import ident
+
 PARTITION_COLUMN = "YEAR_DATE"
 
 
@@ -42,7 +43,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     ``partitionBy`` moves the partition column to the end on read; the explicit
     schema keeps its type (DATE) and the final select restores the order.
     """
-    return spark.read.schema(schema).parquet(path).select(*[F.col(f.name) for f in schema.fields])
+    return spark.read.schema(schema).parquet(path).selectExpr(*[ident(f.name) for f in schema.fields])
 
 
 def is_empty(df: DataFrame) -> bool:

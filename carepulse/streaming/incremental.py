@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import BRONZE_COLUMNS, CORRUPT_RECORD, bronze_schema
+from ..functions.expr import ident, select_names
 
 DROP_TIME = "_drop_time"
 DROP_FILE = "_drop_file"
@@ -36,11 +37,11 @@ def landing_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger:
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     src = reader.json(landing_dir)
-    return src.select(
-        *BRONZE_COLUMNS,
-        CORRUPT_RECORD,
-        F.col("_metadata.file_modification_time").alias(DROP_TIME),
-        F.col("_metadata.file_path").alias(DROP_FILE),
+    return src.selectExpr(
+        *[ident(c) for c in BRONZE_COLUMNS],
+        ident(CORRUPT_RECORD),
+        f"_metadata.file_modification_time AS {DROP_TIME}",
+        f"_metadata.file_path AS {DROP_FILE}",
     )
 
 
@@ -116,9 +117,9 @@ def newest_drop(loaded: DataFrame) -> DataFrame:
     good = loaded.where(F.col(CORRUPT_RECORD).isNull()).withColumn("_order", drop_order())
     latest = good.groupBy(*RECORD_KEY).agg(F.max("_order").alias("_latest"))
     side = {k: f"_k{i}" for i, k in enumerate(RECORD_KEY)}
-    latest = latest.select(*[F.col(k).alias(side[k]) for k in RECORD_KEY], "_latest")
-    cond = [F.col(k).eqNullSafe(F.col(side[k])) for k in RECORD_KEY] + [F.col("_order") == F.col("_latest")]
-    return good.join(latest, cond, "left_semi").select(*BRONZE_COLUMNS)
+    latest = latest.selectExpr(*[f"{ident(k)} AS {side[k]}" for k in RECORD_KEY], "_latest")
+    cond = " AND ".join([f"{ident(k)} <=> {side[k]}" for k in RECORD_KEY] + ["_order = _latest"])
+    return select_names(good.join(latest, F.expr(cond), "left_semi"), BRONZE_COLUMNS)
 
 
 def corrupt_lines(loaded: DataFrame) -> DataFrame:
