@@ -10,8 +10,6 @@ All work is joins and aggregations, so it grows with the input tables.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,17 +28,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _text(c):
-    return c.cast("string")
-
-
-def _units_text(units, places: int = 4):
+def _units_text(units: str, places: int = 4) -> str:
     """Integer units of 10**-places as decimal text ('1234.5600' for 4 places)."""
-    return _text((units.cast("decimal(38,0)") / F.lit(10**places)).cast(f"decimal(38,{places})"))
+    return f"CAST(CAST(CAST({units} AS DECIMAL(38,0)) / {10**places} AS DECIMAL(38,{places})) AS STRING)"
 
 
-def _suppress(cond, value):
-    return F.when(cond, F.lit("*")).otherwise(_text(value))
+def _suppress(cond: str, value: str) -> str:
+    """The marker when ``cond`` holds, else the value as text."""
+    return f"CASE WHEN {cond} THEN '*' ELSE CAST({value} AS STRING) END"
 
 
 def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,43 +77,42 @@ def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = supplier.join(broadcast_if_bounded(nation), F.col("s_nationkey") == F.col("n_nationkey"))
     g = per_group.join(dims, F.col("sk") == F.col("s_suppkey"))
 
-    sk, y, nk, n = F.col("s_suppkey"), F.col("y"), F.col("s_nationkey"), F.col("n")
-    o3 = F.when(F.col("ls") == "O", 3).otherwise(0)
+    o3 = "CASE WHEN ls = 'O' THEN 3 ELSE 0 END"
     cols = {
-        "PRVDR_ID": F.lpad(_text(sk), 6, "0"),
-        "PRVDR_NAME": F.col("s_name"),
-        "PRVDR_CITY": F.concat(F.lit("CITY_"), _text(nk)),
-        "PRVDR_ZIP": F.lpad(_text(sk), 5, "0"),
-        "STATE": F.col("n_name"),
-        "SRVC_CTGRY": F.when(F.col("rf") == "N", "SNF").when(F.col("rf") == "A", "HH").otherwise("HOSPICE"),
-        "SMRY_CTGRY": F.lit(PROVIDER_LEVEL),
-        "YEAR_TYPE": F.when(F.col("ls") == "O", "CY").otherwise("FY"),
-        "YEAR": _text(y),
-        "TOT_SRVC_DAYS": F.when((sk + y) % 17 == 0, F.lit("0")).otherwise(_text(F.col("qty").cast("bigint"))),
-        "TOT_EPSD_STAY_CNT": _text(n),
-        "BENE_DSTNCT_CNT": _text(F.col("n_cust")),
-        "TOT_MDCR_PYMT_AMT": _units_text(F.col("pay")),
-        "TOT_MDCR_STDZD_PYMT_AMT": _units_text(F.col("std")),
-        "TOT_CHRG_AMT": _units_text(F.col("chg")),
-        "TOT_ALOWD_AMT": _units_text(F.col("alw"), places=2),
-        "BENE_AVG_RISK_SCRE": _suppress(
-            n < 11, (F.lit(Decimal("0.6")) + (sk % 7) * F.lit(Decimal("0.5"))).cast("decimal(6,2)")
-        ),
-        "BENE_DUAL_PCT": _suppress((n < 11) | ((sk + y) % 11 == 0), (sk * 37 + o3) % 100),
-        "BENE_RRL_PCT": _suppress((sk + y) % 13 == 0, (nk * 41 + y + o3) % 100),
+        "PRVDR_ID": "lpad(CAST(s_suppkey AS STRING), 6, '0')",
+        "PRVDR_NAME": "s_name",
+        "PRVDR_CITY": "concat('CITY_', CAST(s_nationkey AS STRING))",
+        "PRVDR_ZIP": "lpad(CAST(s_suppkey AS STRING), 5, '0')",
+        "STATE": "n_name",
+        "SRVC_CTGRY": "CASE WHEN rf = 'N' THEN 'SNF' WHEN rf = 'A' THEN 'HH' ELSE 'HOSPICE' END",
+        "SMRY_CTGRY": f"'{PROVIDER_LEVEL}'",
+        "YEAR_TYPE": "CASE WHEN ls = 'O' THEN 'CY' ELSE 'FY' END",
+        "YEAR": "CAST(y AS STRING)",
+        "TOT_SRVC_DAYS": "CASE WHEN (s_suppkey + y) % 17 = 0 THEN '0' ELSE CAST(CAST(qty AS BIGINT) AS STRING) END",
+        "TOT_EPSD_STAY_CNT": "CAST(n AS STRING)",
+        "BENE_DSTNCT_CNT": "CAST(n_cust AS STRING)",
+        "TOT_MDCR_PYMT_AMT": _units_text("pay"),
+        "TOT_MDCR_STDZD_PYMT_AMT": _units_text("std"),
+        "TOT_CHRG_AMT": _units_text("chg"),
+        "TOT_ALOWD_AMT": _units_text("alw", places=2),
+        "BENE_AVG_RISK_SCRE": _suppress("n < 11", "CAST(0.6BD + (s_suppkey % 7) * 0.5BD AS DECIMAL(6,2))"),
+        "BENE_DUAL_PCT": _suppress("n < 11 OR (s_suppkey + y) % 11 = 0", f"(s_suppkey * 37 + {o3}) % 100"),
+        "BENE_RRL_PCT": _suppress("(s_suppkey + y) % 13 = 0", f"(s_nationkey * 41 + y + {o3}) % 100"),
     }
     for i, raw in enumerate(GENERIC_PCT_COLUMNS):
-        cols[raw] = _suppress((sk + y + i) % 19 == 0, (sk * (7 + 2 * i) + y * (i + 1) + o3) % 100)
-    return g.select(*[cols[c].alias(c) for c in BRONZE_COLUMNS])
+        cols[raw] = _suppress(
+            f"(s_suppkey + y + {i}) % 19 = 0", f"(s_suppkey * {7 + 2 * i} + y * {i + 1} + {o3}) % 100"
+        )
+    return g.selectExpr(*[f"{cols[c]} AS {c}" for c in BRONZE_COLUMNS])
 
 
 def state_rows(provider: DataFrame) -> DataFrame:
     """One roll-up row per state x category x year: ids empty, other cells the text max."""
     measured = [c for c in BRONZE_COLUMNS if c not in _IDS + _STATE_KEYS + ["SMRY_CTGRY"]]
-    agg = provider.groupBy(*_STATE_KEYS).agg(*[F.max(c).alias(c) for c in measured])
-    extra = {c: F.lit("") for c in _IDS}
-    extra["SMRY_CTGRY"] = F.lit(STATE_LEVEL)
-    return agg.select(*[(extra[c].alias(c) if c in extra else F.col(c)) for c in BRONZE_COLUMNS])
+    agg = provider.groupBy(*_STATE_KEYS).agg(*[F.expr(f"max({c}) AS {c}") for c in measured])
+    extra = {c: "''" for c in _IDS}
+    extra["SMRY_CTGRY"] = f"'{STATE_LEVEL}'"
+    return agg.selectExpr(*[(f"{extra[c]} AS {c}" if c in extra else c) for c in BRONZE_COLUMNS])
 
 
 def bronze_from_test_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
