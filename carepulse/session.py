@@ -39,6 +39,14 @@ def checkpoint_root(spark: SparkSession) -> str:
         sc = None
     root = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = (sc.master if sc is not None else spark.conf.get("spark.master", "")) or ""
+        if not master.startswith("local"):
+            # A driver-local folder is not visible to executors and is lost with the
+            # driver; on a cluster the shared folder must come from the configuration.
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set; set it to a folder shared by the cluster "
+                "(for example on the distributed file system) before running carepulse jobs"
+            )
         root = tempfile.mkdtemp(prefix="carepulse-ckpt-")
         if sc is not None:
             sc.setCheckpointDir(root)
