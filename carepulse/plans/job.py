@@ -20,6 +20,26 @@ from ..sources.bronze import read_bronze
 from ..sources.sinks import read_table, write_table
 
 
+# Settings for a large run, applied by the job's entry point only where the
+# submitter set nothing: start shuffles wide and let AQE coalesce them (AQE can
+# merge small partitions but not split a stage that started with too few), size
+# scan splits and shuffle partitions to fit executor memory, and split skewed
+# join partitions at run time.
+SCALE_DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": "512m",
+}
+
+
+def settings_to_apply(explicit: set[str]) -> dict[str, str]:
+    """The scale defaults the submitter did not set explicitly."""
+    return {k: v for k, v in SCALE_DEFAULTS.items() if k not in explicit}
+
+
 def run_job(spark: SparkSession, bronze: DataFrame, out_root: str, dynamic_overwrite: bool = False) -> dict:
     """Write silver, gold provider and gold state under ``out_root``; return their paths."""
     paths = {
@@ -64,7 +84,12 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--dynamic-overwrite", action="store_true", help="replace only the years present")
     args = ap.parse_args(argv)
+    joined = SparkSession.getActiveSession()
     spark = SparkSession.builder.appName("carepulse-job").getOrCreate()
+    if joined is None:  # a session of our own; one we joined keeps its settings
+        explicit = {k for k, _ in spark.sparkContext.getConf().getAll()}
+        for key, value in settings_to_apply(explicit).items():
+            spark.conf.set(key, value)
     paths = run_job(spark, read_bronze(spark, args.bronze, args.format), args.out, args.dynamic_overwrite)
     print(paths)
 

@@ -101,6 +101,8 @@ def test_job_cli_from_jsonl_landing(spark, tmp_dir, capsys):
     assert sorted((r.YEAR, r.provider_state) for r in gs.collect()) == [(2022, "MA"), (2023, "RI")]
     assert gp.count() == 2
     assert "gold_state" in capsys.readouterr().out
+    # The job joined this session, so it left the session's settings alone.
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None
 
 
 def test_continuous_load_picks_up_new_files(spark, tmp_dir):

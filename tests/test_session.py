@@ -41,3 +41,12 @@ def test_local_master_gets_a_private_folder():
     s = _Session("local[2]")
     root = checkpoint_root(s)
     assert root and s.sparkContext.getCheckpointDir() == root
+
+
+def test_job_scale_defaults_respect_submitted_settings():
+    from carepulse.plans.job import SCALE_DEFAULTS, settings_to_apply
+
+    assert settings_to_apply(set()) == SCALE_DEFAULTS
+    mine = settings_to_apply({"spark.sql.files.maxPartitionBytes"})
+    assert "spark.sql.files.maxPartitionBytes" not in mine
+    assert mine["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "20000"
