@@ -1,34 +1,92 @@
-"""Join helpers with a checked broadcast."""
+"""Join helpers with a checked broadcast.
+
+A side is broadcast only after its size is proven: a row count, taken cheaply,
+times the width of its schema must fit the session's broadcast threshold
+(``spark.sql.autoBroadcastJoinThreshold``, 10 MB by default; -1 disables
+broadcasts). Otherwise the join is left to Catalyst/AQE: sort-merge, or a
+runtime broadcast if the measured shuffle size fits.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_root
 
-# Row bound under which a dimension side is broadcast. Beyond it the join is left
-# to Catalyst/AQE (sort-merge, or a runtime broadcast if the measured size fits).
-DEFAULT_BROADCAST_ROWS = 1_000_000
+# Bytes per value, as Spark estimates them for its own size statistics (strings 20).
+_WIDTH = {
+    T.BooleanType: 1,
+    T.ByteType: 1,
+    T.ShortType: 2,
+    T.IntegerType: 4,
+    T.DateType: 4,
+    T.FloatType: 4,
+    T.LongType: 8,
+    T.DoubleType: 8,
+    T.TimestampType: 8,
+    T.TimestampNTZType: 8,
+    T.StringType: 20,
+}
+_ROW_OVERHEAD = 8
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """Estimated bytes per row (decimals 16, other types 64, plus a row header)."""
+    total = _ROW_OVERHEAD
+    for f in schema.fields:
+        if isinstance(f.dataType, T.DecimalType):
+            total += 16
+        else:
+            total += _WIDTH.get(type(f.dataType), 64)
+    return total
+
+
+def _bytes(text: str) -> int:
+    m = re.fullmatch(r"\s*(-?\d+)\s*([bkmgt]?)b?\s*", text.lower())
+    if not m:
+        raise ValueError(f"not a byte size: {text!r}")
+    return int(m.group(1)) * _UNITS[m.group(2)]
+
+
+def broadcast_threshold(df: DataFrame) -> int:
+    """The session's broadcast threshold in bytes (<= 0: broadcasts disabled)."""
+    return _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB"))
+
+
+def row_bound(df: DataFrame, max_bytes: int | None = None) -> int:
+    """Most rows of ``df`` that fit ``max_bytes`` (default: the session threshold)."""
+    limit = broadcast_threshold(df) if max_bytes is None else max_bytes
+    return max(limit, 0) // row_bytes(df.schema)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after proving ``df`` has at most ``max_rows`` rows.
+def broadcast_if_bounded(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Broadcast hint only after proving ``df`` fits the broadcast size.
 
-    The check is a ``limit(max_rows + 1).count()`` job, which stops reading as soon
+    The check is a ``limit(bound + 1).count()`` job, which stops reading as soon
     as the bound is exceeded, so it stays cheap even for a huge input.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    bound = row_bound(df, max_bytes)
+    if bound <= 0:
+        return df
+    n = df.limit(bound + 1).count()
+    return F.broadcast(df) if n <= bound else df
 
 
-def materialize_and_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def materialize_and_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """For a small side derived by an expensive plan (an aggregate over a big input):
-    compute it once into a reliable checkpoint, prove its row bound with a count of
-    that (now cheap) table, and broadcast it only if the bound holds. Without
-    this, the bound check and the join would each compute the side again.
+    compute it once into a reliable checkpoint, prove its size with a count of that
+    (now cheap) table, and broadcast it only if it fits. Without this, the check
+    and the join would each compute the side again.
     """
     checkpoint_root(df.sparkSession)
     materialized = df.checkpoint(eager=True)
+    bound = row_bound(materialized, max_bytes)
+    if bound <= 0:
+        return materialized
     n = materialized.count()
-    return F.broadcast(materialized) if n <= max_rows else materialized
+    return F.broadcast(materialized) if n <= bound else materialized
