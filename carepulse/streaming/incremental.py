@@ -28,7 +28,19 @@ DROP_FILE = "_drop_file"
 RECORD_KEY = ["PRVDR_ID", "STATE", "SRVC_CTGRY", "SMRY_CTGRY", "YEAR_TYPE", "YEAR"]
 
 
-def landing_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def landing_stream(
+    spark: SparkSession,
+    landing_dir: str,
+    max_files_per_trigger: int | None = None,
+    archive_dir: str | None = None,
+) -> DataFrame:
+    """Landing files as a stream of bronze rows with their drop's file and time.
+
+    With ``archive_dir`` every file is moved there once its batch is committed
+    (``cleanSource=archive``). The source lists the landing folder on every
+    trigger, so without archiving that listing grows with every drop ever
+    received. The archive folder must lie outside the landing folder.
+    """
     reader = (
         spark.readStream.schema(bronze_schema(with_corrupt_record=True))
         .option("mode", "PERMISSIVE")
@@ -36,6 +48,8 @@ def landing_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger:
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    if archive_dir:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     src = reader.json(landing_dir)
     return src.selectExpr(
         *[ident(c) for c in BRONZE_COLUMNS],
@@ -51,15 +65,17 @@ def load_available(
     bronze_dir: str,
     checkpoint_dir: str,
     max_files_per_trigger: int | None = None,
+    archive_dir: str | None = None,
 ) -> int:
     """Drain every new landing file into the bronze table; returns rows appended.
 
     With ``max_files_per_trigger`` a large backlog is taken in several bounded
     micro-batches (each committed to the sink's log and the checkpoint) instead
-    of one huge one. Readers of the table see only committed batches.
+    of one huge one. Readers of the table see only committed batches. With
+    ``archive_dir`` loaded files are moved out of the landing folder.
     """
     query = (
-        landing_stream(spark, landing_dir, max_files_per_trigger)
+        landing_stream(spark, landing_dir, max_files_per_trigger, archive_dir)
         .writeStream.format("parquet")
         .option("path", bronze_dir)
         .option("checkpointLocation", checkpoint_dir)
@@ -79,11 +95,12 @@ def start_continuous_load(
     checkpoint_dir: str,
     every: str = "1 minute",
     max_files_per_trigger: int | None = None,
+    archive_dir: str | None = None,
 ):
     """Keep loading: a micro-batch every ``every`` picks up files that arrived since
     the last one (the always-on form of ``load_available``). Returns the query."""
     return (
-        landing_stream(spark, landing_dir, max_files_per_trigger)
+        landing_stream(spark, landing_dir, max_files_per_trigger, archive_dir)
         .writeStream.format("parquet")
         .option("path", bronze_dir)
         .option("checkpointLocation", checkpoint_dir)

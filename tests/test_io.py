@@ -156,3 +156,27 @@ def test_report_pages(spark, tmp_dir, capsys):
     report_main(["--tables", root, "--year", "2023", "--state", "MA"])
     out = capsys.readouterr().out
     assert "== top_providers" in out and "== episodes_by_risk_band" in out
+
+
+def test_loaded_files_are_archived_out_of_the_landing_folder(spark, tmp_dir):
+    import time
+
+    landing, table, ckpt, archive = (os.path.join(tmp_dir, d) for d in ("landing", "bronze", "ckpt", "archive"))
+    os.makedirs(landing)
+    for i in range(2):
+        with open(os.path.join(landing, f"drop-{i}.jsonl"), "w") as f:
+            f.write(f'{{"PRVDR_ID": "{i}", "YEAR": "2023"}}\n')
+    assert load_available(spark, landing, table, ckpt, max_files_per_trigger=1, archive_dir=archive) == 2
+
+    def archived():
+        return {f for _, _, files in os.walk(archive) for f in files if f.endswith(".jsonl")}
+
+    # A batch's files are moved (by a background cleaner) once the next batch
+    # starts: the first batch's drop leaves now, the last one on the next run.
+    deadline = time.time() + 30
+    while time.time() < deadline and not archived():
+        time.sleep(0.2)
+    moved = archived()
+    assert len(moved) == 1
+    assert not moved & set(os.listdir(landing))
+    assert sorted(r.PRVDR_ID for r in read_loaded(spark, table).collect()) == ["0", "1"]
