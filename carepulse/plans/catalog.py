@@ -96,7 +96,8 @@ def q_silver_typed(spark, sf_dir):
 
 
 def q_silver_suppression_audit(spark, sf_dir):
-    return suppression_audit(bronze(spark, sf_dir))
+    # Valid counts come from the written silver table, so no cell is parsed twice.
+    return suppression_audit(bronze(spark, sf_dir), silver_table(spark, sf_dir))
 
 
 def q_provider_level_rows(spark, sf_dir):

@@ -39,6 +39,19 @@ def test_malformed_numbers_become_null_and_are_audited(spark):
     assert audit["YEAR"].n_valid == 6
 
 
+def test_audit_from_silver_equals_audit_from_bronze(spark):
+    cells = ["", "abc", "1,234", None, "*", "12.5", "NaN", "Infinity", "-3", "12.7", "1e3"]
+    rows = [
+        bronze_row(BENE_MALE_PCT=v, TOT_EPSD_STAY_CNT=v, TOT_ALOWD_AMT=v, YEAR=(v if i % 2 else "2023"))
+        for i, v in enumerate(cells)
+    ]
+    bronze = bronze_df(spark, rows)
+    by_parsing = sorted(map(tuple, suppression_audit(bronze).collect()))
+    by_silver = sorted(map(tuple, suppression_audit(bronze, build_silver(bronze)).collect()))
+    assert by_parsing == by_silver
+    assert len(by_silver) == 29
+
+
 def test_count_text_truncates_like_legacy_cast(spark):
     got = [
         _silver_one(spark, TOT_SRVC_DAYS=v).total_service_days
