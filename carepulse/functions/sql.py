@@ -1,27 +1,21 @@
 """The column macros as temporary SQL functions, for users who write SQL.
 
-SQL functions are inlined by the analyzer into ordinary expressions, so a query
-that calls ``safe_div(a, b)`` plans exactly like one that spells out the CASE.
+The bodies are the same SQL templates the DataFrame code uses (``functions.expr``),
+so each rule is still written once. SQL functions are inlined by the analyzer into
+ordinary expressions, so a query that calls ``safe_div(a, b)`` plans exactly like
+one that spells the expression out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .expr import kpi_div_sql, pct_sql, safe_div_sql
 
 _FUNCTIONS = {
-    "safe_div": (
-        "(num DOUBLE, den DOUBLE) RETURNS DOUBLE "
-        "RETURN CASE WHEN den IS NULL OR den = 0 THEN NULL ELSE num / den END"
-    ),
-    "kpi_div": (
-        "(num DOUBLE, den DOUBLE) RETURNS DOUBLE "
-        "RETURN coalesce(CASE WHEN den IS NULL OR den = 0 THEN NULL ELSE num / den END, 0D)"
-    ),
-    "pct": (
-        "(raw STRING) RETURNS DOUBLE RETURN "
-        "CASE WHEN abs(try_cast(raw AS DOUBLE)) < double('inf') THEN try_cast(raw AS DOUBLE) END"
-    ),
+    "safe_div": f"(num DOUBLE, den DOUBLE) RETURNS DOUBLE RETURN {safe_div_sql('num', 'den')}",
+    "kpi_div": f"(num DOUBLE, den DOUBLE) RETURNS DOUBLE RETURN {kpi_div_sql('num', 'den')}",
+    "pct": f"(raw STRING) RETURNS DOUBLE RETURN {pct_sql('raw')}",
 }
 
 

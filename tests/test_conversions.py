@@ -93,3 +93,17 @@ def test_exact_sums_equal_decimal_sums_in_any_order(spark, rows, n_parts):
         total = sum(vals)
         assert got[g][0] == float(total), (g, vals)
         assert got[g][1] == float(sum(v.quantize(Decimal("0.00000001")) for v in vals)) / len(vals)
+
+
+def test_sql_functions_equal_the_column_macros(spark):
+    from carepulse.functions.expr import kpi_div, safe_div
+    from carepulse.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    values = ["12.5", "*", "", "abc", None, "NaN", "Infinity", "-3", "1e3"]
+    df = spark.createDataFrame([(v, float(i) - 2, float(i % 3) if i % 4 else None) for i, v in enumerate(values)],
+                               "s string, a double, b double")
+    got = df.selectExpr("pct(s) AS p", "safe_div(a, b) AS q", "kpi_div(a, b) AS k").collect()
+    want = df.select(pct("s").alias("p"), safe_div("a", "b").alias("q"), kpi_div("a", "b").alias("k")).collect()
+    assert got == want
+    assert [r.p for r in got][:3] == [12.5, None, None]
