@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
@@ -71,7 +71,7 @@ def aliased(expr: str, name: str) -> str:
     return f"{expr} AS {ident(name)}"
 
 
-def select_names(df, names: list[str]):
+def select_names(df: DataFrame, names: list[str]) -> DataFrame:
     """``df.select(*names)`` as one ``selectExpr`` call (a name at a time costs a
     JVM round trip each)."""
     return df.selectExpr(*[ident(n) for n in names])
