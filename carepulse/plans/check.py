@@ -28,12 +28,15 @@ def _canonical(pdf):
 def main(argv: list[str] | None = None) -> int:
     import duckdb
 
+    from pyspark.sql import SparkSession
+
     from ..session import local_session
     from .catalog import QUERIES, oracle_statements
 
     args = sys.argv[1:] if argv is None else argv
     sf_dir, only = args[0].rstrip("/"), set(args[1:])
-    spark = local_session(app="carepulse-check")
+    joined = SparkSession.getActiveSession()
+    spark = joined or local_session(app="carepulse-check")
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:
@@ -56,7 +59,8 @@ def main(argv: list[str] | None = None) -> int:
         bad += not same
         print(f"{name:28s} {'OK ' if same else 'BAD'} rows={len(got)} spark={secs:.2f}s")
     print(f"mismatches: {bad}")
-    spark.stop()
+    if joined is None:  # stop only a session this tool started
+        spark.stop()
     return 1 if bad else 0
 
 

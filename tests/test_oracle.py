@@ -50,3 +50,13 @@ def test_query_matches_oracle(spark, duck, name):
     a, b = _canonical(got), _canonical(want)
     for c in a.columns:
         assert (a[c] == b[c]).all(), (name, c)
+
+
+def test_check_tool_reports_a_match(spark, capsys):
+    from carepulse.plans.check import main
+
+    assert main([SMOKE_DIR, "gold_state_summary"]) == 0
+    out = capsys.readouterr().out
+    assert "gold_state_summary" in out and "OK" in out and "mismatches: 0" in out
+    # The tool joined the test session and left it running.
+    assert spark.range(3).count() == 3
