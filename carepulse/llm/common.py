@@ -191,3 +191,23 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], name: str) ->
         .join(F.broadcast(moved), "__part", "left")
         .select(*[F.col(c) for c in df.columns], (F.col("__at") + F.coalesce(F.col("__shift"), F.lit(0))).alias(name))
     )
+
+
+def remainder(id_col: str, modulus: int):
+    """crc32 of the id as text, modulo ``modulus`` (null for a null id)."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trained, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__y, __text): at most ``per_class`` documents of each label 0 and 1.
+
+    Taken by a hash of the id among the labels that ``trained`` (a condition on the id
+    column, ``__id``) admits, so the sample is the same at every run and is bounded at
+    every size; the chosen ids (2 * per_class rows of two numbers) are broadcast.
+    Null ids, labels and texts are not learned from; of rows with one id one is taken.
+    """
+    rows = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label).cast("int").alias("__y")).where(trained)
+    picks = [rows.where(F.col("__y") == c).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for c in (0, 1)]
+    chosen = F.broadcast(picks[0].union(picks[1]).dropDuplicates(["__id"]))
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    return texts.where("__text IS NOT NULL").join(chosen, "__id").dropDuplicates(["__id"]).select("__y", "__text")

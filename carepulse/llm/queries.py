@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import ship_package
+from . import quality, simhash, toxicity
+from .common import remainder, ship_package
 
 
 def _table(spark, sf_dir, name):
@@ -22,7 +22,31 @@ def op2_simhash_near_dedup(spark, sf_dir):
     )
 
 
+def op6_toxicity_subsequence_svm(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, remainder("__id", 4) != 2)
+    return toxicity.score(docs, model, ["doc_id"]).select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op7_quality_crf(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, remainder("__id", 3) != 1)
+    return quality.score(docs, model, ["doc_id"]).select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
+    "op7_quality_crf": op7_quality_crf,
+    "op6_toxicity_subsequence_svm": op6_toxicity_subsequence_svm,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
 }
 
