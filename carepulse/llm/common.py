@@ -10,6 +10,7 @@ import os
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold at most SLICE_BYTES of text (or one row)."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     if not len(size):
@@ -90,7 +91,7 @@ def map_texts(
     def run(batches):
         fn = start()
         for batch in batches:
-            for part in _slices(batch, width):
+            for part in text_slices(batch, width):
                 made = fn(part.column(width).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(width)]
@@ -109,7 +110,7 @@ def filter_texts(df: DataFrame, text: str, start: Callable[[], Callable]) -> Dat
     def run(batches):
         fn = start()
         for batch in batches:
-            for part in _slices(batch, where):
+            for part in text_slices(batch, where):
                 yield part.filter(pa.array(fn(part.column(where).to_pylist()), type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
@@ -198,16 +199,16 @@ def remainder(id_col: str, modulus: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trained, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__y, __text): at most ``per_class`` documents of each label 0 and 1.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trained, per_class: int, id_col: str = "doc_id", text_col: str = "text", classes=(0, 1)) -> DataFrame:
+    """(__y, __text): at most ``per_class`` documents of each label of ``classes``.
 
     Taken by a hash of the id among the labels that ``trained`` (a condition on the id
     column, ``__id``) admits, so the sample is the same at every run and is bounded at
-    every size; the chosen ids (2 * per_class rows of two numbers) are broadcast.
+    every size; the chosen ids (per_class rows of two numbers for each label) are broadcast.
     Null ids, labels and texts are not learned from; of rows with one id one is taken.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label).cast("int").alias("__y")).where(trained)
-    picks = [rows.where(F.col("__y") == c).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for c in (0, 1)]
-    chosen = F.broadcast(picks[0].union(picks[1]).dropDuplicates(["__id"]))
+    picks = [rows.where(F.col("__y") == c).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for c in classes]
+    chosen = F.broadcast(reduce(DataFrame.union, picks).dropDuplicates(["__id"]))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     return texts.where("__text IS NOT NULL").join(chosen, "__id").dropDuplicates(["__id"]).select("__y", "__text")

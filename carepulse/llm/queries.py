@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality, simhash, toxicity
+from . import decontaminate, langid, quality, simhash, toxicity
 from .common import remainder, ship_package
 
 
@@ -44,7 +44,21 @@ def op7_quality_crf(spark, sf_dir):
     )
 
 
+def op4_langid_output_codes(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs, remainder("__id", 3) != 1)
+    return langid.predict(docs, model, ["doc_id"]).select(
+        "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
+
+
+def op10_decontaminate_cgk(spark, sf_dir):
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op4_langid_output_codes": op4_langid_output_codes,
+    "op10_decontaminate_cgk": op10_decontaminate_cgk,
     "op7_quality_crf": op7_quality_crf,
     "op6_toxicity_subsequence_svm": op6_toxicity_subsequence_svm,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,

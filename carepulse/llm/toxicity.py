@@ -34,8 +34,8 @@ from .common import labelled_sample, map_texts
 
 DECAY = 0.6
 MAX_GAPS = 3
-PER_CLASS = 1500
-SENTENCES = 48
+PER_CLASS = 1000
+SENTENCES = 32
 LANDMARKS = 96
 PLAIN_LANDMARKS = 32
 WORD_PIECE = 48
@@ -119,18 +119,19 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
     table = np.zeros((len(used) + 1, len(right)))
     np.add.at(table, (compact, r), v)
     norm = np.sqrt((table**2).sum(axis=0))
-    out = np.zeros((len(left), len(right)))
-    for lo in range(0, len(left), 20_000):
-        l, u, v = subsequences(left[lo : lo + 20_000])
-        own = np.sqrt(np.bincount(l, v * v, minlength=min(20_000, len(left) - lo)))
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for lo in range(0, len(left), 2_000):
+        l, u, v = subsequences(left[lo : lo + 2_000])
+        own = np.sqrt(np.bincount(l, v * v, minlength=min(2_000, len(left) - lo)))
         at = np.searchsorted(used, u) if len(used) else np.zeros(len(u), dtype=np.int64)
         at = np.where((at < len(used)) & (used[np.minimum(at, len(used) - 1)] == u), at, len(used)) if len(used) else at
         hit = np.flatnonzero(at < len(used))
         if len(hit):
             first = np.flatnonzero(np.append(True, l[hit][1:] != l[hit][:-1]))
             out[l[hit][first] + lo] = np.add.reduceat(table[at[hit]] * v[hit, None], first, axis=0)
-        out[lo : lo + 20_000] /= np.maximum(own[:, None], 1e-9)
-    return out / np.maximum(norm, 1e-9)
+        out[lo : lo + 2_000] /= np.maximum(own[:, None], 1e-9)
+    out /= np.maximum(norm, 1e-9)
+    return out
 
 
 @dataclass
@@ -183,19 +184,26 @@ def _surprise(k: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
     return np.where(k > n * max(rate, 0.5), llr, 0.0)
 
 
-def _landmarks(contexts: dict[str, list[int]], rate: float) -> list[str]:
-    """The strings that stand out most, none of them close to one taken before."""
-    pos, tot = Counter(), Counter()
-    for word, (clean, toxic) in contexts.items():
-        marked = f"\0{word}\0"
-        grams = {marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)} | {marked}
-        for g in grams:
-            tot[g] += clean + toxic
-            if toxic:
-                pos[g] += toxic
-    names = list(pos)
-    score = _surprise([pos[g] for g in names], [tot[g] for g in names], rate)
-    order = sorted(np.flatnonzero(score > 6.0).tolist(), key=lambda i: (-score[i], -len(names[i]), names[i]))[:2000]
+def _grams(word: str) -> set[str]:
+    marked = f"\0{word}\0"
+    return {marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)} | {marked}
+
+
+def _landmarks(words: list[str], clean: np.ndarray, toxic: np.ndarray) -> list[str]:
+    """The strings that stand out most, none of them part of one taken before."""
+    rate = toxic.sum() / max(1, toxic.sum() + clean.sum())
+    pos: Counter = Counter()
+    for i in np.flatnonzero(toxic > clean).tolist():
+        for g in _grams(words[i]):
+            pos[g] += int(toxic[i])
+    total = {g: 0 for g, n in pos.items() if n >= 3}
+    for i, w in enumerate(words):
+        for g in _grams(w):
+            if g in total:
+                total[g] += int(clean[i] + toxic[i])
+    names = sorted(total)
+    score = _surprise([pos[g] for g in names], [total[g] for g in names], rate)
+    order = sorted(np.flatnonzero(score > 10.0).tolist(), key=lambda i: (-score[i], -len(names[i]), names[i]))[:2000]
     taken: list[str] = []
     for i in order:
         g = names[i].strip("\0")
@@ -251,46 +259,40 @@ def fit(docs: DataFrame, labels: DataFrame, trained, label: str = "toxic", id_co
     if rows["y"].nunique() < 2:
         return None
     rows = rows.sort_values(["doc", "sentence", "y"], ignore_index=True)
-    seen: set[tuple[int, str, str]] = set()
-    contexts: dict[str, list[int]] = {}
-    sentence_words: list[list[str]] = []
-    totals = [0, 0]
-    for y, s in zip(rows["y"], rows["sentence"]):
-        words = [p for w in words_of(s) for p in _pieces(w) if p]
-        sentence_words.append(words)
-        before = ""
-        for w in words:
-            if (y, before, w) not in seen:
-                seen.add((y, before, w))
-                contexts.setdefault(w, [0, 0])[y] += 1
-                totals[y] += 1
-            before = w
-    del seen
-    rate = totals[1] / max(1, sum(totals))
-    marks = _landmarks(contexts, rate)
+    number: dict[str, int] = {"": 0}
+    idx: list[np.ndarray] = []
+    for text in rows["sentence"]:
+        idx.append(np.array([number.setdefault(p, len(number)) for w in words_of(text) for p in _pieces(w) if p], dtype=np.int64))
+    vocabulary = list(number)
+    y = rows["y"].to_numpy()
+    # Contexts: each pair of a word and the word before it counts once for each label.
+    word = np.concatenate(idx)
+    before = np.concatenate([np.append(0, i[:-1]) if len(i) else i for i in idx])
+    pairs = np.unique((np.repeat(y, [len(i) for i in idx]) * len(number) + before) * len(number) + word)
+    label = pairs // len(number) ** 2
+    clean = np.bincount(pairs[label == 0] % len(number), minlength=len(number))
+    toxic = np.bincount(pairs[label == 1] % len(number), minlength=len(number))
+    del word, before, pairs, label
+    marks = _landmarks(vocabulary, clean, toxic)
     if not marks:
         return None
-    common = sorted((w for w, c in contexts.items() if c[0] and not c[1]), key=lambda w: zlib.crc32(w.encode("utf-8", "replace")))
-    marks = marks + common[:PLAIN_LANDMARKS]
-    vocabulary = sorted(contexts)
-    number = {w: i for i, w in enumerate(vocabulary)}
+    ordinary = [vocabulary[i] for i in np.flatnonzero((clean > 0) & (toxic == 0)).tolist()]
+    ordinary = sorted(ordinary, key=lambda w: zlib.crc32(w.encode("utf-8", "replace")))[:PLAIN_LANDMARKS]
+    telling = len(marks)
+    marks = marks + ordinary
     values = kernel(vocabulary, marks)
     lam, vec = np.linalg.eigh(kernel(marks, marks))
     whiten = vec @ np.diag(1 / np.sqrt(np.maximum(lam, 1e-3))) @ vec.T
-    clean = np.array([contexts[w][0] for w in vocabulary])
-    plain = min(PLAIN_LANDMARKS, len(common))
-    margin = values[:, : len(marks) - plain].max(axis=1) - 2.0 * (clean > 0)
-    y = rows["y"].to_numpy()
-    idx = [np.array([number[w] for w in ws], dtype=np.int64) for ws in sentence_words]
+    nearest = values[:, :telling].max(axis=1)
+    margin = nearest - 2.0 * (clean > 0)
     w, b = np.zeros(len(marks)), 0.0
     for turn in range(3):
         # Each sentence stands for its strongest word; sentences of toxic documents
         # whose strongest word is seen in clean ones too say nothing and are left out.
         strongest = np.array([i[np.argmax(margin[i])] if len(i) else -1 for i in idx])
-        use = (strongest >= 0) & ((y == 0) | ((clean[strongest] == 0) & (values[strongest, : len(marks) - plain].max(axis=1) > 0.5)))
+        use = (strongest >= 0) & ((y == 0) | ((clean[strongest] == 0) & (nearest[strongest] > 0.5)))
         pick, kind = strongest[use], y[use]
-        pairs, counts = np.unique(np.stack([pick, kind]), axis=1, return_counts=True)
-        pick, kind = pairs
+        (pick, kind), counts = np.unique(np.stack([pick, kind]), axis=1, return_counts=True)
         counts = np.sqrt(counts)  # rare words are to be told apart as well
         weight = counts / np.where(kind == 1, counts[kind == 1].sum(), counts[kind == 0].sum())
         if len(set(kind.tolist())) < 2:
