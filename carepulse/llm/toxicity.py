@@ -10,9 +10,9 @@ sentences, each represented by its strongest word (its own margin picks the word
 
 A linear function of kernel values with fixed landmarks is a linear function of the
 subsequence features, so the fitted model is folded into one weight per subsequence:
-scoring a word needs no landmark any more. A sentence scores as its strongest word, a
-document as its strongest sentence; a logistic curve turns that into a probability,
-moved so that THRESHOLD falls where the training documents are told apart best.
+scoring a word needs no landmark any more. A sentence scores as its strongest word; a
+logistic curve over the strongest few, each word counted once, turns a document into a
+probability, moved so that THRESHOLD falls where training documents are told apart best.
 
 Learning takes a bounded sample (``PER_CLASS`` documents of each label, at most
 ``SENTENCES`` sentences of each, by hash); scoring covers every word of every text.
@@ -24,13 +24,14 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import labelled_sample, map_texts
+from .common import cut, labelled_sample, map_texts
 
 DECAY = 0.6
 MAX_GAPS = 3
@@ -38,6 +39,10 @@ PER_CLASS = 1000
 SENTENCES = 32
 LANDMARKS = 96
 PLAIN_LANDMARKS = 32
+STEMS = 2000
+STEM_WORDS = 4
+#: A document is judged by its so many strongest words, each counted once.
+STRONGEST = 3
 WORD_PIECE = 48
 CACHE = 300_000
 THRESHOLD = 0.3
@@ -140,7 +145,7 @@ class ToxicityModel:
 
     weights: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     offset: float
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -158,8 +163,8 @@ class ToxicityModel:
             np.maximum.at(best, owner[lo : lo + 50_000], dot / np.maximum(norm, 1e-9) + self.bias)
         return best
 
-    def probability(self, margin):
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * np.asarray(margin) + self.offset, -30, 30)))
+    def probability(self, strongest: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(strongest @ self.slopes + self.offset, -30, 30)))
 
 
 def _training_sentences(batches):
@@ -189,11 +194,17 @@ def _grams(word: str) -> set[str]:
     return {marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)} | {marked}
 
 
-def _landmarks(words: list[str], clean: np.ndarray, toxic: np.ndarray) -> list[str]:
-    """The strings that stand out most, none of them part of one taken before."""
+def _landmarks(words: list[str], clean: np.ndarray, toxic: np.ndarray) -> tuple[list[str], list[str]]:
+    """Telling words and ordinary ones.
+
+    Stems (short strings) that stand out are taken one by one, each only if most of its
+    toxic contexts are not yet covered; a stem brings its commonest words of toxic
+    documents and, as counterexamples, its commonest words of clean ones.
+    """
     rate = toxic.sum() / max(1, toxic.sum() + clean.sum())
     pos: Counter = Counter()
-    for i in np.flatnonzero(toxic > clean).tolist():
+    suspects = np.flatnonzero(toxic > clean).tolist()
+    for i in suspects:
         for g in _grams(words[i]):
             pos[g] += int(toxic[i])
     total = {g: 0 for g, n in pos.items() if n >= 3}
@@ -203,15 +214,29 @@ def _landmarks(words: list[str], clean: np.ndarray, toxic: np.ndarray) -> list[s
                 total[g] += int(clean[i] + toxic[i])
     names = sorted(total)
     score = _surprise([pos[g] for g in names], [total[g] for g in names], rate)
-    order = sorted(np.flatnonzero(score > 10.0).tolist(), key=lambda i: (-score[i], -len(names[i]), names[i]))[:2000]
-    taken: list[str] = []
+    order = sorted(np.flatnonzero(score > 10.0).tolist(), key=lambda i: (-score[i], -len(names[i]), names[i]))[:STEMS]
+    found: dict[str, list[int]] = {names[i]: [] for i in order}
+    for i, w in enumerate(words):
+        for g in _grams(w):
+            if g in found:
+                found[g].append(i)
+    covered: set[int] = set()
+    telling: list[str] = []
+    against: list[str] = []
     for i in order:
-        g = names[i].strip("\0")
-        if len(g) >= 3 and not any(g in t or t in g for t in taken):
-            taken.append(g)
-            if len(taken) == LANDMARKS:
-                break
-    return taken
+        own = [j for j in found[names[i]] if toxic[j] > clean[j]]
+        fresh = [j for j in own if j not in covered]
+        if toxic[fresh].sum() < 0.5 * toxic[own].sum() or len(telling) >= LANDMARKS:
+            continue
+        covered.update(own)
+        by_count = sorted(fresh, key=lambda j: (-toxic[j], words[j]))
+        telling += [words[j] for j in by_count[:STEM_WORDS]]
+        known = sorted((j for j in found[names[i]] if clean[j] and toxic[j] <= clean[j]), key=lambda j: (-clean[j], words[j]))
+        against += [words[j] for j in known[:STEM_WORDS]]
+    telling = [w for w in dict.fromkeys(telling) if len(w) >= 3][:LANDMARKS]
+    spare = sorted((words[i] for i in np.flatnonzero(clean).tolist()), key=lambda w: zlib.crc32(w.encode("utf-8", "replace")))
+    ordinary = [w for w in dict.fromkeys(against[:PLAIN_LANDMARKS] + spare[:PLAIN_LANDMARKS]) if w and w not in telling]
+    return telling, ordinary
 
 
 def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -227,19 +252,17 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300)
     return w, b
 
 
-def _logistic_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's curve: a logistic fit with softened targets."""
-    pos, neg = (y == 1).sum(), (y == 0).sum()
+def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Non-negative slopes of a logistic fit with softened targets, each label counting alike."""
+    pos, neg = max(1, (y == 1).sum()), max(1, (y == 0).sum())
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        d, h = p - target, np.maximum(p * (1 - p), 1e-6)
-        g = np.array([(d * margin).sum() + 1e-3 * a, d.sum()])
-        hess = np.array([[(h * margin**2).sum() + 1e-3, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-9]])
-        step = np.linalg.solve(hess, g)
-        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
-    return float(max(a, 1e-3)), float(b)
+    weight = np.where(y == 1, 0.5 / pos, 0.5 / neg)
+    w, b = np.ones(x.shape[1]), 0.0
+    for _ in range(3000):
+        d = (target - 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))) * weight
+        w = np.maximum(0.0, w + 2.0 * (x.T @ d - 1e-4 * w))
+        b += 2.0 * d.sum()
+    return w
 
 
 def _best_cut(margin: np.ndarray, y: np.ndarray) -> float:
@@ -254,7 +277,7 @@ def _best_cut(margin: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, trained, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
     """A model from the sampled labelled documents; None if one of the labels is missing."""
-    sample = labelled_sample(docs, labels, label, trained, PER_CLASS, id_col, text_col)
+    sample = cut(labelled_sample(docs, labels, label, trained, PER_CLASS, id_col, text_col))
     rows = sample.mapInArrow(_training_sentences, "y int, doc long, sentence string").toPandas()
     if rows["y"].nunique() < 2:
         return None
@@ -273,11 +296,9 @@ def fit(docs: DataFrame, labels: DataFrame, trained, label: str = "toxic", id_co
     clean = np.bincount(pairs[label == 0] % len(number), minlength=len(number))
     toxic = np.bincount(pairs[label == 1] % len(number), minlength=len(number))
     del word, before, pairs, label
-    marks = _landmarks(vocabulary, clean, toxic)
+    marks, ordinary = _landmarks(vocabulary, clean, toxic)
     if not marks:
         return None
-    ordinary = [vocabulary[i] for i in np.flatnonzero((clean > 0) & (toxic == 0)).tolist()]
-    ordinary = sorted(ordinary, key=lambda w: zlib.crc32(w.encode("utf-8", "replace")))[:PLAIN_LANDMARKS]
     telling = len(marks)
     marks = marks + ordinary
     values = kernel(vocabulary, marks)
@@ -303,28 +324,44 @@ def fit(docs: DataFrame, labels: DataFrame, trained, label: str = "toxic", id_co
     r, u, v = subsequences(marks)
     norm = np.sqrt(np.bincount(r, v * v, minlength=len(marks)))
     weights = np.bincount(u, v * (whiten @ w)[r] / np.maximum(norm[r], 1e-9), minlength=_FEATURES)
-    best = rows.assign(m=[float(margin[i].max()) if len(i) else b for i in idx]).groupby(["doc", "y"])["m"].max().reset_index()
-    slope, _ = _logistic_curve(best["m"].to_numpy(), best["y"].to_numpy())
-    offset = np.log(THRESHOLD / (1 - THRESHOLD)) - slope * _best_cut(best["m"].to_numpy(), best["y"].to_numpy())
-    return ToxicityModel(weights.astype(np.float32), float(b), slope, offset)
+    model = ToxicityModel(weights.astype(np.float32), float(b), np.ones(STRONGEST), 0.0)
+    # The curve is fitted on the sample's whole documents.
+    judged = sample.mapInArrow(_strongest(model), "y int, m array<double>").toPandas()
+    x, y = np.array(judged["m"].tolist()), judged["y"].to_numpy()
+    model.slopes = _fit_curve(x, y)
+    model.offset = float(np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(x @ model.slopes, y))
+    return model
+
 
+def _strongest(model: ToxicityModel):
+    def run(batches):
+        top = _scorer(model)()
+        for batch in batches:
+            made = top(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.tolist(), pa.list_(pa.float64()))], names=["y", "m"])
+
+    return run
+
+
+def _scorer(model: ToxicityModel):
+    """Per task: texts to the margins of each one's strongest words, with a bounded cache of words."""
 
-def _scorer(model: ToxicityModel | None):
     def start():
         cache: dict[str, float] = {}
 
-        def score(texts):
-            if model is None:
-                return [0.0] * len(texts)
-            lists = [words_of(t) if t else [] for t in texts]
+        def top(texts):
+            sets = [set(words_of(t)) if t else set() for t in texts]
             if len(cache) > CACHE:
                 cache.clear()
-            new = list({w for ws in lists for w in ws if w not in cache})
+            new = list({w for ws in sets for w in ws if w not in cache})
             cache.update(zip(new, model.margins(new).tolist()))
-            best = [max(map(cache.__getitem__, ws)) if ws else model.bias for ws in lists]
-            return model.probability(best).tolist()
+            out = np.full((len(texts), STRONGEST), model.bias)
+            for i, ws in enumerate(sets):
+                best = nlargest(STRONGEST, map(cache.__getitem__, ws))
+                out[i, : len(best)] = best
+            return out
 
-        return score
+        return top
 
     return start
 
@@ -333,8 +370,14 @@ def score(docs: DataFrame, model: ToxicityModel | None, keep: list[str], text_co
     """``keep`` and ``score`` (0 to 1) per row of ``docs``.
 
     Every word of every text is scored. Null and empty texts, and texts without any
-    letter, score as a word that shares nothing with the landmarks does; without a
-    model (a label is missing) every score is 0.
+    letter, score as words that share nothing with the landmarks do; without a model
+    (a label is missing, or nothing tells the labels apart) every score is 0.
     """
-    start = _scorer(model)
-    return map_texts(docs, text_col, keep, [T.StructField("score", T.DoubleType())], lambda: (lambda f: lambda texts: {"score": f(texts)})(start()))
+
+    def start():
+        if model is None:
+            return lambda texts: {"score": [0.0] * len(texts)}
+        top = _scorer(model)()
+        return lambda texts: {"score": model.probability(top(texts)).tolist()}
+
+    return map_texts(docs, text_col, keep, [T.StructField("score", T.DoubleType())], start)
