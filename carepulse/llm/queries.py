@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, quality, simhash, toxicity
+from . import decontaminate, embeddings, langid, quality, sentencepieces, simhash, toxicity
 from .common import remainder, ship_package
 
 
@@ -56,7 +56,17 @@ def op10_decontaminate_cgk(spark, sf_dir):
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_sentencepiece_nbest(spark, sf_dir):
+    return sentencepieces.encode(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op9_embedding_near_dedup_itq(spark, sf_dir):
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op8_sentencepiece_nbest": op8_sentencepiece_nbest,
+    "op9_embedding_near_dedup_itq": op9_embedding_near_dedup_itq,
     "op4_langid_output_codes": op4_langid_output_codes,
     "op10_decontaminate_cgk": op10_decontaminate_cgk,
     "op7_quality_crf": op7_quality_crf,
