@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import labelled_sample, map_texts
+from .common import filter_texts, labelled_sample, map_texts
 
 PER_CLASS = 1500
 TRAIN_LINES = 64
@@ -286,3 +286,8 @@ def score(docs: DataFrame, model: QualityModel | None, keep: list[str], text_col
     word score 0; without a model (a label is missing) every score is 1.
     """
     return map_texts(docs, text_col, keep, [T.StructField("score", T.DoubleType())], _scorer(model))
+
+
+def accept(docs: DataFrame, model: QualityModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that score THRESHOLD or more (all without a model)."""
+    return filter_texts(docs, text_col, lambda: lambda texts: [True] * len(texts) if model is None else (model.quality(texts) >= THRESHOLD).tolist())

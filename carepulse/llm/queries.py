@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, quality, sentencepieces, simhash, toxicity
+from ..session import run_dir
+from . import chat, decontaminate, embeddings, langid, quality, sentencepieces, sharding, simhash, toxicity, warc
 from .common import remainder, ship_package
 
 
@@ -64,7 +65,26 @@ def op9_embedding_near_dedup_itq(spark, sf_dir):
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op1_warc_seekable_zstd(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    return warc.read_records(warc.write_bundles(pages, run_dir(spark, "warc")))
+
+
+def op3_chat_perspectives(spark, sf_dir):
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
+def op5_shard_bounded_ring(spark, sf_dir):
+    found = sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=8)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 QUERIES = {
+    "op1_warc_seekable_zstd": op1_warc_seekable_zstd,
+    "op3_chat_perspectives": op3_chat_perspectives,
+    "op5_shard_bounded_ring": op5_shard_bounded_ring,
     "op8_sentencepiece_nbest": op8_sentencepiece_nbest,
     "op9_embedding_near_dedup_itq": op9_embedding_near_dedup_itq,
     "op4_langid_output_codes": op4_langid_output_codes,
@@ -74,4 +94,18 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Equal payloads have equal html, so the page that the others revisit is found by html.
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+top AS (SELECT body, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY body)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
+  CASE WHEN p.page_id < top.first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id < top.first THEN top.first END AS refers_to
+FROM p LEFT JOIN top ON p.n >= 1000 AND p.body = top.body
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_seekable_zstd": OP1_SQL,
+    "op3_chat_perspectives": chat.ORACLE,
+}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import cut, labelled_sample, map_texts
+from .common import cut, filter_texts, labelled_sample, map_texts
 
 DECAY = 0.6
 MAX_GAPS = 3
@@ -381,3 +381,15 @@ def score(docs: DataFrame, model: ToxicityModel | None, keep: list[str], text_co
         return lambda texts: {"score": model.probability(top(texts)).tolist()}
 
     return map_texts(docs, text_col, keep, [T.StructField("score", T.DoubleType())], start)
+
+
+def accept(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that score under THRESHOLD (all without a model)."""
+
+    def start():
+        if model is None:
+            return lambda texts: [True] * len(texts)
+        top = _scorer(model)()
+        return lambda texts: (model.probability(top(texts)) < THRESHOLD).tolist()
+
+    return filter_texts(docs, text_col, start)
