@@ -33,6 +33,7 @@ N_BEST = 4
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE = 500_000
+LONG_WORD = 256
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _LIKELY_BITS = 23
@@ -180,6 +181,14 @@ class Segmenter:
             by_size.setdefault(len(w), []).append(w)
         best, second, lists = [self.best], [self.second], []
         for n in sorted(by_size):
+            if n > LONG_WORD:  # few and long: one at a time
+                for w in by_size[n]:
+                    paths = self.word_paths(w, 2)
+                    self.number[w] = len(self.number)
+                    best.append(np.array([paths[0][0]]))
+                    second.append(np.array([paths[1][0] if len(paths) > 1 else -np.inf]))
+                    lists.append(np.array(paths[0][1], dtype=np.int32))
+                continue
             step = max(1, 4_000_000 // n)
             for lo in range(0, len(by_size[n]), step):
                 part = by_size[n][lo : lo + step]
@@ -207,15 +216,23 @@ class Segmenter:
                 if got is not None:
                     edges[p].append((k, *got))
                     forward[p] = max(forward[p], forward[p - k] + got[0])
+        # Partial paths are kept as (next step, id), so long words cost no copies. Of equal
+        # scores the one that has come nearest to the start goes on: the longer last piece.
+        chain: list[tuple[int, int]] = [(-1, -1)]
+        heap = [(-forward[size], size, 0, 0.0)]
         out: list[tuple[float, list[int]]] = []
-        heap = [(-forward[size], (), size, 0.0, ())]
         while heap and len(out) < n:
-            _, way, p, behind, path = heapq.heappop(heap)
+            _, p, node, behind = heapq.heappop(heap)
             if p == 0:
-                out.append((behind, self._with_bytes(word, list(path)) if -1 in path else list(path)))
+                path = []
+                while chain[node][0] >= 0:
+                    path.append(chain[node][1])
+                    node = chain[node][0]
+                out.append((behind, self._with_bytes(word, path) if -1 in path else path))
                 continue
-            for k, score, i in edges[p]:
-                heapq.heappush(heap, (-(behind + score + forward[p - k]), (*way, -k), p - k, behind + score, (i, *path)))
+            for k, score, i in reversed(edges[p]):
+                chain.append((node, i))
+                heapq.heappush(heap, (-(behind + score + forward[p - k]), p - k, len(chain) - 1, behind + score))
         return out
 
     @staticmethod

@@ -154,7 +154,7 @@ class ToxicityModel:
             for p in _pieces(w):
                 pieces.append(p)
                 owner.append(i)
-        best = np.full(len(words), self.bias)
+        best = np.full(len(words), -np.inf)
         for lo in range(0, len(pieces), 50_000):
             part = pieces[lo : lo + 50_000]
             l, u, v = subsequences(part)
