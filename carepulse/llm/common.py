@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..session import checkpoint_root
 
 #: A task hands an operator at most this much text at once (one longer text goes alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _ARROW = {
     T.BooleanType: pa.bool_(),

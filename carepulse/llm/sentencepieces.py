@@ -32,7 +32,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 500_000
+CACHE = 200_000
 LONG_WORD = 256
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -189,7 +189,7 @@ class Segmenter:
                     second.append(np.array([paths[1][0] if len(paths) > 1 else -np.inf]))
                     lists.append(np.array(paths[0][1], dtype=np.int32))
                 continue
-            step = max(1, 4_000_000 // n)
+            step = max(1, 500_000 // n)
             for lo in range(0, len(by_size[n]), step):
                 part = by_size[n][lo : lo + step]
                 b, s, ids = self._solve(part)

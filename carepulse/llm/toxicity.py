@@ -44,7 +44,7 @@ STEM_WORDS = 4
 #: A document is judged by its so many strongest words, each counted once.
 STRONGEST = 3
 WORD_PIECE = 48
-CACHE = 300_000
+CACHE = 200_000
 THRESHOLD = 0.3
 
 _OFFSETS = [(a, b) for a in range(1, MAX_GAPS + 2) for b in range(1, MAX_GAPS + 2) if a + b - 2 <= MAX_GAPS]
@@ -155,12 +155,12 @@ class ToxicityModel:
                 pieces.append(p)
                 owner.append(i)
         best = np.full(len(words), -np.inf)
-        for lo in range(0, len(pieces), 50_000):
-            part = pieces[lo : lo + 50_000]
+        for lo in range(0, len(pieces), 10_000):
+            part = pieces[lo : lo + 10_000]
             l, u, v = subsequences(part)
             dot = np.bincount(l, v * self.weights[u], minlength=len(part))
             norm = np.sqrt(np.bincount(l, v * v, minlength=len(part)))
-            np.maximum.at(best, owner[lo : lo + 50_000], dot / np.maximum(norm, 1e-9) + self.bias)
+            np.maximum.at(best, owner[lo : lo + 10_000], dot / np.maximum(norm, 1e-9) + self.bias)
         return best
 
     def probability(self, strongest: np.ndarray) -> np.ndarray:
