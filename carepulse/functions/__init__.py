@@ -1,71 +0,0 @@
-from .expr import (
-    Sql,
-    aliased,
-    as_text,
-    as_text_sql,
-    dual_share_band,
-    dual_share_band_sql,
-    exact_avg,
-    exact_avg_sql,
-    exact_sum_double,
-    exact_sum_double_sql,
-    finite,
-    finite_sql,
-    ident,
-    kpi_div,
-    kpi_div_sql,
-    pct,
-    pct_sql,
-    risk_band,
-    risk_band_sql,
-    rural_mix_band,
-    rural_mix_band_sql,
-    safe_div,
-    safe_div_sql,
-    select_names,
-    to_double,
-    to_double_sql,
-    to_long,
-    to_long_sql,
-    try_double,
-    try_double_sql,
-    year_date,
-    year_date_sql,
-)
-from .sql import register_sql_functions
-
-__all__ = [
-    "Sql",
-    "aliased",
-    "as_text",
-    "as_text_sql",
-    "dual_share_band",
-    "dual_share_band_sql",
-    "exact_avg",
-    "exact_avg_sql",
-    "exact_sum_double",
-    "exact_sum_double_sql",
-    "finite",
-    "finite_sql",
-    "ident",
-    "kpi_div",
-    "kpi_div_sql",
-    "pct",
-    "pct_sql",
-    "register_sql_functions",
-    "risk_band",
-    "risk_band_sql",
-    "rural_mix_band",
-    "rural_mix_band_sql",
-    "safe_div",
-    "safe_div_sql",
-    "select_names",
-    "to_double",
-    "to_double_sql",
-    "to_long",
-    "to_long_sql",
-    "try_double",
-    "try_double_sql",
-    "year_date",
-    "year_date_sql",
-]

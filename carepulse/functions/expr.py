@@ -153,26 +153,28 @@ def kpi_div_sql(num: str, den: str) -> Sql:
 
 # ------------------------------------------------------------ exact sums
 def exact_sum_double_sql(c: str, scale: int = MONEY_SCALE) -> Sql:
-    """Order-independent, exact sum of a double column at ``scale`` decimals, as double.
-
-    Each value is split into whole units (``floor``) and fractional units of
-    10**-scale (``x - floor(x)`` is exact in double arithmetic, so for a value
-    written with at most ``scale`` decimals they are exact; otherwise the
-    nearest unit, like a cast to decimal(38, scale)). Both are summed as
-    ``long`` and combined once per group in decimal. A decimal(38,s) sum buffer
-    is stored as bytes and updated through BigDecimal on every row, about 4x
-    slower for the gold builds. Whole parts overflow only past 9.2e18 (an ANSI
-    error, never a silent wrap); fractional units cannot overflow below ~1e14
-    rows per group.
+    """Order-independent sum of a double column, as double; safe for every finite cell.
+
+    Each value is split into its nearest whole number and the (exact) rest. Whole parts
+    are summed as doubles, which is exact while the sum stays below 2**53; rests are
+    summed as ``long`` units of 10**-scale. What a rest holds beyond ``scale`` decimals
+    (more than the value's own rounding error) is summed as a double beside them, so
+    finer cells are not rounded away; for cells of at most ``scale`` decimals it is 0
+    and the result does not depend on the order of rows. No cell is dropped, and
+    none fails the job: beyond 2**53 the sum is a plain double sum.
     """
     x = _ref(c)
     unit = _double(10**scale)
-    whole = f"sum(floor({x}))"
-    frac = f"sum(CAST(rint(({x} - floor({x})) * {unit}) AS BIGINT))"
-    units = (
-        f"CAST({whole} AS DECIMAL(38,0)) * CAST({10**scale} AS DECIMAL(38,0)) + CAST({frac} AS DECIMAL(38,0))"
+    rest = f"({x} - rint({x})) * {unit}"
+    whole = f"sum(rint({x}))"
+    units = f"sum(CAST(rint({rest}) AS BIGINT))"
+    finer = f"({rest} - rint({rest}))"
+    fine = f"sum(CASE WHEN abs({finer}) > {unit} * abs({x}) * 2.3E-16D + 1E-9D THEN {finer} ELSE 0.0D END)"
+    return Sql(
+        f"CASE WHEN abs({whole}) < 9007199254740992D THEN "
+        f"CAST(CAST({whole} AS DECIMAL(38,0)) * CAST({10**scale} AS DECIMAL(10,0)) + CAST({units} AS DECIMAL(38,0)) AS DOUBLE) / {unit} "
+        f"ELSE {whole} + {units} / {unit} END + {fine} / {unit}"
     )
-    return Sql(f"CAST({units} AS DOUBLE) / {unit}")
 
 
 def exact_avg_sql(c: str, scale: int = AVG_SCALE) -> Sql:

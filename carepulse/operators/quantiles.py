@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ident
 from ..session import checkpoint_root
-from .joins import materialize_and_broadcast
 
 
 def _keys(keys: list[str]) -> list[str]:
@@ -36,8 +35,10 @@ def _null_safe_equal(keys: list[str], side: dict[str, str]):
     return F.expr(" AND ".join(f"{ident(k)} <=> {ident(side[k])}" for k in keys))
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder: computed once, joined as AQE sees fit."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def ordered_values(df: DataFrame, keys: list[str], value: str, n_partitions: int | None = None) -> DataFrame:
@@ -46,23 +47,21 @@ def ordered_values(df: DataFrame, keys: list[str], value: str, n_partitions: int
 
     A unique tie-breaker joins the range key, so even a run of identical
     (group, value) pairs (say, a third of all rows equal to 0) is cut into
-    several partitions instead of landing in one task.
+    several partitions instead of landing in one task. Without ``n_partitions`` the
+    number of partitions is AQE's choice.
     """
-    checkpoint_root(df.sparkSession)  # make sure a checkpoint folder exists
-    p = n_partitions or _partitions(df)
-    return (
+    bounds = [n_partitions] if n_partitions else []
+    return _cut(
         df.selectExpr(*_keys(keys), f"CAST({ident(value)} AS DOUBLE) AS _v", "monotonically_increasing_id() AS _tie")
         .where("_v IS NOT NULL")
-        .repartitionByRange(p, *keys, "_v", "_tie")
+        .repartitionByRange(*bounds, *keys, "_v", "_tie")
         .sortWithinPartitions(*keys, "_v", "_tie")
         .selectExpr(*_keys(keys), "_v", "spark_partition_id() AS _pid", "monotonically_increasing_id() AS _mid")
-        .checkpoint(eager=True)
     )
 
 
-def ranked_values(df: DataFrame, keys: list[str], value: str, n_partitions: int | None = None) -> DataFrame:
-    """Rows (keys, _v, _rank, _n): each non-NULL value with its 0-based rank in its group."""
-    ordered = ordered_values(df, keys, value, n_partitions)
+def ranked_values(ordered: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, _v, _rank, _n): each of the ``ordered_values`` with its 0-based rank in its group."""
     counts = ordered.groupBy("_pid", *keys).agg(F.expr("count(1) AS _cnt"), F.expr("min(_mid) AS _first"))
     side = {k: f"_k{i}" for i, k in enumerate(keys)}
     group = ", ".join(_keys(keys))
@@ -75,7 +74,7 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, n_partitions: int
         f"sum(_cnt) OVER (PARTITION BY {group}) AS _n",
     )
     cond = F.expr("_pid = _cpid") & _null_safe_equal(keys, side)
-    joined = ordered.join(materialize_and_broadcast(counts), cond)
+    joined = ordered.join(_cut(counts), cond)
     return joined.selectExpr(*_keys(keys), "_v", "_offset + _mid - _first AS _rank", "_n")
 
 
@@ -87,7 +86,12 @@ def exact_quantiles(
     n_partitions: int | None = None,
 ) -> DataFrame:
     """One row per group: keys, n, min, max and one column per entry of ``probs``."""
-    r = ranked_values(df, keys, value, n_partitions)
+    return quantiles_of(ordered_values(df, keys, value, n_partitions), keys, probs)
+
+
+def quantiles_of(ordered: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """``exact_quantiles`` over values that ``ordered_values`` has numbered."""
+    r = ranked_values(ordered, keys)
     pos = {name: f"({float(p)!r}D * (_n - 1))" for name, p in probs.items()}
     lo = {name: f"floor({x})" for name, x in pos.items()}
     hi = {name: f"ceil({x})" for name, x in pos.items()}
@@ -112,7 +116,8 @@ def exact_quantiles(
 def box_summary(df: DataFrame, keys: list[str], value: str, whisker: float = 1.5) -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers (last point within
     ``whisker`` x IQR of the box) and the count of points beyond them."""
-    quart = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    ordered = ordered_values(df, keys, value)
+    quart = quantiles_of(ordered, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     # The quartiles ride along with the fences, so no join back is needed at the end.
     side = {k: f"_k{i}" for i, k in enumerate(keys)}
     stats = ["n", "min", "q1", "median", "q3", "max"]
@@ -122,8 +127,8 @@ def box_summary(df: DataFrame, keys: list[str], value: str, whisker: float = 1.5
         f"q1 - {float(whisker)!r}D * (q3 - q1) AS _lf",
         f"q3 + {float(whisker)!r}D * (q3 - q1) AS _uf",
     )
-    v = df.selectExpr(*_keys(keys), f"CAST({ident(value)} AS DOUBLE) AS _v").where("_v IS NOT NULL")
-    j = v.join(materialize_and_broadcast(fences), _null_safe_equal(keys, side))
+    # The input is not read again: the whiskers come from the numbered values.
+    j = ordered.join(fences, _null_safe_equal(keys, side))
     inside = "(_v >= _lf AND _v <= _uf)"
     return j.groupBy(*keys).agg(
         *[F.expr(f"max(_s_{c}) AS {ident(c)}") for c in stats],

@@ -70,9 +70,9 @@ def load_state_summary_sql(spark, table: str, year: int, service_category: str)
     """The state summary slice as parameterised SQL (named markers, no string splicing)."""
     cols = ", ".join(f"`{c}`" for c in STATE_READ_COLUMNS)
     return spark.sql(
-        f"SELECT {cols} FROM {table} "
-        "WHERE `YEAR` = :year AND `YEAR_DATE` = make_date(:year, 1, 1) AND service_category = :svc",
-        args={"year": year, "svc": service_category},
+        f"SELECT {cols} FROM IDENTIFIER(:t) WHERE `YEAR` = :year AND service_category = :svc "
+        f"AND `YEAR_DATE` = {year_date_sql(Sql(str(int(year))))}",
+        args={"t": table, "year": int(year), "svc": service_category},
     )
 
 
@@ -156,6 +156,15 @@ def top_providers(df: DataFrame, n: int = TOP_N) -> DataFrame:
     return top.selectExpr(*[ident(c) for c in keys + TOP_TABLE_COLUMNS], "CAST(pay_rank AS BIGINT) AS pay_rank")
 
 
+def top_providers_of_slice(df: DataFrame, n: int = TOP_N) -> DataFrame:
+    """``top_providers`` for the rows of one (year, category, state): a plain top-k
+    (TakeOrderedAndProject), ranked afterwards over the ``n`` rows that are left."""
+    keys = ["YEAR", "service_category", "provider_state"]
+    top = df.orderBy(*top_order()).limit(n)
+    ranked = top.withColumn("pay_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*top_order())).cast("bigint"))
+    return select_names(ranked, keys + TOP_TABLE_COLUMNS + ["pay_rank"])
+
+
 def chart_order(df: DataFrame) -> DataFrame:
     """Ascending payment per beneficiary (missing last), as the bar chart draws it."""
     return df.orderBy(F.col("pay_per_bene").asc_nulls_last(), F.col("pay_rank").desc())

@@ -4,20 +4,23 @@ Silver is written once and read back for both gold builds, so the raw table is
 scanned and typed once, and each gold build reads only the Parquet columns it
 needs (the source job scanned and cast the raw table three times).
 
-    python -m carepulse.plans.job --bronze PATH [--format parquet|json|table] --out ROOT
+    python -m carepulse.plans.job --bronze PATH [--format parquet|json|table] [--incremental] --out ROOT
 """
 
 from __future__ import annotations
 
 import argparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..contracts import gold_provider_schema, gold_state_schema, silver_schema
 from ..operators.gold import build_gold_provider, build_gold_state
-from ..operators.silver import build_silver
-from ..sources.bronze import read_bronze
+from ..operators.silver import build_silver, suppression_audit
+from ..sources.bronze import corrupt_landing_lines, read_bronze
 from ..sources.sinks import read_table, write_table
+from ..streaming.incremental import corrupt_lines, newest_drop, read_loaded
 
 
 # Settings for a large run, applied by the job's entry point only where the
@@ -40,32 +43,51 @@ def settings_to_apply(explicit: set[str]) -> dict[str, str]:
     return {k: v for k, v in SCALE_DEFAULTS.items() if k not in explicit}
 
 
-def run_job(spark: SparkSession, bronze: DataFrame, out_root: str, dynamic_overwrite: bool = False) -> dict:
-    """Write silver, gold provider and gold state under ``out_root``; return their paths."""
-    paths = {
-        "silver": f"{out_root}/silver",
-        "gold_provider": f"{out_root}/gold_provider",
-        "gold_state": f"{out_root}/gold_state",
-    }
+def _with_earlier_undated(silver: DataFrame, path: str) -> DataFrame:
+    """``silver`` plus the earlier rows without a valid year that it does not hold itself.
+
+    Rows whose YEAR does not parse share one partition, whichever load they came from,
+    so a partial rerun must not replace that partition with its own rows alone. Earlier
+    rows are matched by value (EXCEPT ALL), so running a load twice changes nothing.
+    """
+    try:
+        earlier = read_table(silver.sparkSession, path, silver_schema()).where("YEAR_DATE IS NULL")
+    except AnalysisException:  # nothing written yet
+        return silver
+    return silver.unionByName(earlier.exceptAll(silver.where("YEAR_DATE IS NULL")))
+
+
+def run_job(
+    spark: SparkSession, bronze: DataFrame, out_root: str, dynamic_overwrite: bool = False, quarantine: DataFrame | None = None
+) -> dict:
+    """Write silver, gold provider, gold state and the audit under ``out_root``; return their paths.
+
+    With ``dynamic_overwrite`` only this load's years are aggregated and replaced. The
+    audit is of this load's bronze. ``quarantine`` (lines that did not parse) is written
+    beside them.
+    """
+    paths = {name: f"{out_root}/{name}" for name in ("silver", "gold_provider", "gold_state", "audit")}
+    new = build_silver(bronze)
     write_table(
-        build_silver(bronze),
+        _with_earlier_undated(new, paths["silver"]) if dynamic_overwrite else new,
         paths["silver"],
         cluster_by=["summary_category", "provider_state", "service_category"],
         dynamic_overwrite=dynamic_overwrite,
     )
     silver = read_table(spark, paths["silver"], silver_schema())
-    write_table(
-        build_gold_provider(silver),
-        paths["gold_provider"],
-        cluster_by=["service_category", "provider_state"],
-        dynamic_overwrite=dynamic_overwrite,
-    )
-    write_table(
-        build_gold_state(silver),
-        paths["gold_state"],
-        cluster_by=["service_category", "provider_state"],
-        dynamic_overwrite=dynamic_overwrite,
-    )
+    if dynamic_overwrite:
+        # The years of this load: a few numbers, so a plain list prunes the scan.
+        years = [r["YEAR_DATE"] for r in new.select("YEAR_DATE").distinct().collect()]
+        dated = F.col("YEAR_DATE").isin([y for y in years if y is not None])
+        silver = silver.where(dated | F.col("YEAR_DATE").isNull() if None in years else dated)
+    for name, build in (("gold_provider", build_gold_provider), ("gold_state", build_gold_state)):
+        write_table(build(silver), paths[name], cluster_by=["service_category", "provider_state"], dynamic_overwrite=dynamic_overwrite)
+    # Silver's counts stand for this bronze only if the table holds nothing else.
+    audit = suppression_audit(bronze) if dynamic_overwrite else suppression_audit(bronze, silver)
+    write_table(audit, paths["audit"], partition_by=None)
+    if quarantine is not None:
+        paths["quarantine"] = f"{out_root}/quarantine"
+        write_table(quarantine, paths["quarantine"], partition_by=None)
     return paths
 
 
@@ -81,6 +103,8 @@ def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(description=__doc__)
     ap.add_argument("--bronze", required=True)
     ap.add_argument("--format", default="parquet")
+    ap.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="an option of the input's reader")
+    ap.add_argument("--incremental", action="store_true", help="--bronze is a streamed table; only the newest drop of each record counts")
     ap.add_argument("--out", required=True)
     ap.add_argument("--dynamic-overwrite", action="store_true", help="replace only the years present")
     args = ap.parse_args(argv)
@@ -90,7 +114,16 @@ def main(argv: list[str] | None = None) -> None:
         explicit = {k for k, _ in spark.sparkContext.getConf().getAll()}
         for key, value in settings_to_apply(explicit).items():
             spark.conf.set(key, value)
-    paths = run_job(spark, read_bronze(spark, args.bronze, args.format), args.out, args.dynamic_overwrite)
+    options = dict(o.split("=", 1) for o in args.option)
+    quarantine = None
+    if args.incremental:
+        loaded = read_loaded(spark, args.bronze)
+        bronze, quarantine = newest_drop(loaded), corrupt_lines(loaded)
+    else:
+        bronze = read_bronze(spark, args.bronze, args.format, **options)
+        if args.format == "json":
+            quarantine = corrupt_landing_lines(spark, [args.bronze], **options)
+    paths = run_job(spark, bronze, args.out, args.dynamic_overwrite, quarantine)
     print(paths)
 
 

@@ -36,8 +36,9 @@ def provider_page(gold_provider: DataFrame, year: int, category: str, state: str
     filled = serve.zero_fill(rows)
     return {
         "state_kpis": serve.kpis(filled, ["YEAR", "service_category", "provider_state"]),
-        "top_providers": serve.top_providers(rows, TOP_N).orderBy("pay_rank"),
-        "top_providers_zero_filled": serve.top_providers(filled, TOP_N).orderBy("pay_rank"),
+        "top_providers": serve.top_providers_of_slice(rows, TOP_N).orderBy("pay_rank"),
+        "providers": filled.orderBy(*serve.top_order()),
+        "top_providers_zero_filled": serve.top_providers_of_slice(filled, TOP_N).orderBy("pay_rank"),
         "episodes_by_risk_band": serve.episodes_box_by_risk(rows).orderBy("risk_band"),
     }
 
@@ -62,7 +63,7 @@ def main(argv: list[str] | None = None) -> None:
         pages.update(provider_page(gold_provider, args.year, args.category, args.state))
     for title, df in pages.items():
         print(f"== {title}")
-        df.show(n=100, truncate=False)
+        df.show(n=df.count(), truncate=False)
     if not args.state:
         print("Add --state with one of the listed states for the provider page.")
 

@@ -2,7 +2,7 @@
 
 The raw data arrives as JSON Lines, one flat object per row, one data set per
 year. Everything is read as text with an explicit schema (no inference pass
-over the data) plus ``_corrupt_record``, so a malformed line is kept, not lost.
+over the data) plus ``_corrupt_record``, so a malformed line can go to a quarantine table.
 """
 
 from __future__ import annotations
@@ -16,29 +16,42 @@ from ..contracts import BRONZE_COLUMNS, CORRUPT_RECORD, bronze_schema
 from ..functions.expr import select_names
 
 
+# Spark refuses a raw JSON scan that needs the corrupt-record column alone, as a count
+# of good or bad lines does; this condition (always true) names a second column.
+_ALSO = f"length(concat_ws('', {BRONZE_COLUMNS[0]})) >= 0"
+
+
 def read_bronze(spark: SparkSession, source: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Scan a bronze table: a path (``fmt`` = parquet, json, orc, ...) or, with
     ``fmt='table'``, a catalog table name. Other connectors take their options."""
     if fmt == "table":
-        return spark.read.table(source)
+        return spark.read.options(**options).table(source)
     if fmt == "json":
-        return read_landing(spark, [source])
+        return read_landing(spark, [source], **options)
     return spark.read.format(fmt).options(**options).load(source)
 
 
-def read_landing(spark: SparkSession, paths: list[str], keep_corrupt: bool = False) -> DataFrame:
+def read_landing(spark: SparkSession, paths: list[str], keep_corrupt: bool = False, **options: str) -> DataFrame:
     """Read JSON Lines landing files as all-text bronze (a multi-path read is a bag union).
 
-    A field missing from a file is NULL; a line that does not parse becomes a row
-    whose only non-NULL cell is ``_corrupt_record`` (kept when ``keep_corrupt``).
+    A field missing from a file is NULL. A line that does not parse is no bronze row
+    (as in the stream); with ``keep_corrupt`` it is a row whose only non-NULL cell is
+    ``_corrupt_record``. ``corrupt_landing_lines`` gives those lines with their file.
     """
     df = (
         spark.read.schema(bronze_schema(with_corrupt_record=True))
+        .options(**options)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT_RECORD)
         .json(paths)
     )
-    return df if keep_corrupt else select_names(df, BRONZE_COLUMNS)
+    return df if keep_corrupt else select_names(df.where(f"{CORRUPT_RECORD} IS NULL AND {_ALSO}"), BRONZE_COLUMNS)
+
+
+def corrupt_landing_lines(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
+    """(_corrupt_record, file) of the landing lines that did not parse, for a quarantine table."""
+    df = read_landing(spark, paths, keep_corrupt=True, **options).select("*", F.col("_metadata.file_path").alias("file"))
+    return df.where(f"{CORRUPT_RECORD} IS NOT NULL AND {_ALSO}").select(CORRUPT_RECORD, "file")
 
 
 def write_landing(df: DataFrame, path: str, partition_by: str | None = None) -> str:

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import BRONZE_COLUMNS, PROVIDER_LEVEL, SILVER_MAPPING
-from ..operators.joins import broadcast_if_bounded
 
 STATE_LEVEL = "STATE"  # summary level of the added roll-up rows
 _SPECIAL = {"BENE_AVG_RISK_SCRE", "BENE_DUAL_PCT", "BENE_RRL_PCT"}
@@ -74,7 +73,7 @@ def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    dims = supplier.join(broadcast_if_bounded(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    dims = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     g = per_group.join(dims, F.col("sk") == F.col("s_suppkey"))
 
     o3 = "CASE WHEN ls = 'O' THEN 3 ELSE 0 END"

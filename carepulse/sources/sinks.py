@@ -1,10 +1,10 @@
 """Table sinks and contract-ordered scans for silver and gold.
 
-Tables are Parquet, one directory per ``YEAR_DATE`` (``partitionBy``), so a read
-that names a year touches only that directory. Within each write task the rows
-are sorted by the read-side filter columns, which gives tight row-group min/max
-statistics: a state or category predicate then skips row groups inside the file.
-That sort is local to a task; it adds no shuffle and keeps all write tasks busy.
+Tables are partitioned by ``YEAR_DATE``, so a read that names a year touches only its
+files. Rows are rebalanced by the partition column before the write: AQE merges small
+years into few files and splits large ones over many tasks. Within a task rows are
+sorted by the read-side filter columns. A table is a path, or with ``table`` a named
+table of the session's catalog; the file format and the writer's options are free.
 """
 
 from __future__ import annotations
@@ -19,31 +19,53 @@ PARTITION_COLUMN = "YEAR_DATE"
 
 def write_table(
     df: DataFrame,
-    path: str,
+    path: str | None,
     cluster_by: list[str] | None = None,
     partition_by: str | None = PARTITION_COLUMN,
     dynamic_overwrite: bool = False,
+    table: str | None = None,
+    fmt: str = "parquet",
+    **options: str,
 ) -> str:
-    """Overwrite ``path`` with ``df``; ``dynamic_overwrite`` replaces only the years present."""
-    out = df
+    """Overwrite ``path`` (or the named ``table``) with ``df``; ``dynamic_overwrite``
+    replaces only the years present."""
+    out = df.hint("rebalance", partition_by) if partition_by else df
     if cluster_by:
         out = out.sortWithinPartitions(*([partition_by] if partition_by else []), *cluster_by)
-    writer = out.write.mode("overwrite").option(
+    writer = out.write.format(fmt).mode("overwrite").options(**options).option(
         "partitionOverwriteMode", "dynamic" if dynamic_overwrite else "static"
     )
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    spark = df.sparkSession
+    if table and dynamic_overwrite and spark.catalog.tableExists(table):
+        # insertInto takes no write mode of its own, so the years go to the table's folder.
+        rows = spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:t)", args={"t": table}).where("col_name = 'Location'").collect()
+        writer.save(rows[0]["data_type"])
+        spark.sql("ALTER TABLE IDENTIFIER(:t) RECOVER PARTITIONS", args={"t": table})
+        spark.catalog.refreshTable(table)
+        return table
+    if table:
+        (writer.option("path", path) if path else writer).saveAsTable(table)
+        return table
+    writer.save(path)
     return path
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str | None, schema: T.StructType, table: str | None = None, fmt: str = "parquet", **options: str
+) -> DataFrame:
     """Scan a written table with its contract schema, columns back in contract order.
 
     ``partitionBy`` moves the partition column to the end on read; the explicit
-    schema keeps its type (DATE) and the final select restores the order.
+    schema keeps its type (DATE) and the final select restores the order. A named
+    table brings its own schema.
     """
-    return spark.read.schema(schema).parquet(path).selectExpr(*[ident(f.name) for f in schema.fields])
+    if table:
+        df = spark.read.options(**options).table(table)
+    else:
+        df = spark.read.format(fmt).schema(schema).options(**options).load(path)
+    return df.selectExpr(*[ident(f.name) for f in schema.fields])
 
 
 def is_empty(df: DataFrame) -> bool:

@@ -8,14 +8,18 @@ The query is a stateless append; each row carries the landing file's path and
 modification time.
 
 A file stream does not re-read a path it has seen, even if rewritten, so every
-drop needs a new file name. If a year is sent again in a later drop, the
-``newest_drop`` view keeps, per record key, only the rows of the newest drop,
-so re-sent data is not counted twice.
+drop needs a new name. A drop is what stands directly in the landing folder: a
+folder with any number of part files, or one file. Drops are ordered by that name
+(a date or a padded number), not by file times. If a record is sent again in a
+later drop, the ``newest_drop`` view keeps, per record key, all rows of the newest
+drop that has it and no others, so re-sent data is not counted twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import BRONZE_COLUMNS, CORRUPT_RECORD, bronze_schema
@@ -23,6 +27,7 @@ from ..functions.expr import ident, select_names
 
 DROP_TIME = "_drop_time"
 DROP_FILE = "_drop_file"
+DROP = "_drop"
 # A record's identity across drops: one provider (or roll-up), category, level,
 # year type and year.
 RECORD_KEY = ["PRVDR_ID", "STATE", "SRVC_CTGRY", "SMRY_CTGRY", "YEAR_TYPE", "YEAR"]
@@ -50,13 +55,15 @@ def landing_stream(
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     if archive_dir:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
-    src = reader.json(landing_dir)
+    # Part files lie in a folder per drop; names like "drop=1" are no partitions.
+    src = reader.option("recursiveFileLookup", "true").json(landing_dir)
+    inside = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", landing_dir).strip("/"))
     return src.selectExpr(
         *[ident(c) for c in BRONZE_COLUMNS],
         ident(CORRUPT_RECORD),
         f"_metadata.file_modification_time AS {DROP_TIME}",
         f"_metadata.file_path AS {DROP_FILE}",
-    )
+    ).withColumn(DROP, F.coalesce(F.nullif(F.regexp_extract(F.url_decode(DROP_FILE), f"{inside}/+([^/]+)", 1), F.lit("")), DROP_FILE))
 
 
 def load_available(
@@ -79,13 +86,19 @@ def load_available(
         .writeStream.format("parquet")
         .option("path", bronze_dir)
         .option("checkpointLocation", checkpoint_dir)
+        .partitionBy(DROP)
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
-    progress = query.recentProgress
-    return int(sum(p.get("numInputRows", 0) for p in progress)) if progress else 0
+    # Only the last batches' progress is kept, so it is taken while the query runs.
+    rows: dict[int, int] = {}
+    while True:
+        ended = query.awaitTermination(0.2)
+        for p in query.recentProgress:
+            rows[p["batchId"]] = max(rows.get(p["batchId"], 0), p["numInputRows"])
+        if ended:
+            return sum(rows.values())
 
 
 def start_continuous_load(
@@ -104,6 +117,7 @@ def start_continuous_load(
         .writeStream.format("parquet")
         .option("path", bronze_dir)
         .option("checkpointLocation", checkpoint_dir)
+        .partitionBy(DROP)
         .outputMode("append")
         .trigger(processingTime=every)
         .start()
@@ -112,26 +126,25 @@ def start_continuous_load(
 
 def read_loaded(spark: SparkSession, bronze_dir: str) -> DataFrame:
     """The streamed bronze table as written (every drop, with drop columns)."""
-    return spark.read.parquet(bronze_dir)
-
-
-def drop_order(time_col: str = DROP_TIME, file_col: str = DROP_FILE):
-    """One ``long`` that orders drops: modification time in ms, then a 21-bit hash
-    of the file path as a fixed tie-break for drops stamped in the same ms (object
-    stores often keep only seconds). Being a plain long, its ``max`` runs as a
-    hash aggregate with map-side partial aggregation (a struct would force a sort)."""
-    millis = F.unix_millis(F.col(time_col))
-    return millis * F.lit(1 << 21) + F.pmod(F.xxhash64(F.col(file_col)), F.lit(1 << 21))
+    schema = bronze_schema(with_corrupt_record=True).add(DROP_TIME, "timestamp").add(DROP_FILE, "string").add(DROP, "string")
+    return spark.read.schema(schema).parquet(bronze_dir)
 
 
-def newest_drop(loaded: DataFrame) -> DataFrame:
-    """Per record key, the rows of the newest drop only (bronze columns).
+def newest_drop(loaded: DataFrame, years: list[str] | None = None) -> DataFrame:
+    """Per record key, all rows of the newest drop that has it (bronze columns).
 
-    The newest drop per key is an aggregate (partial per task, so a hot key is
-    combined before the shuffle), joined back on the key; AQE's skew-join
-    splitting handles a key with very many rows.
+    Drops are numbered in the order of their names (one row per drop), so the newest
+    one per key is a ``max`` of numbers: a hash aggregate, partial in each task, joined
+    back on the key; AQE's skew-join splitting handles a key with very many rows. The
+    table is partitioned by drop, so listing the drops reads no cells. With ``years``
+    (those a new drop touches) only their records are resolved.
     """
-    good = loaded.where(F.col(CORRUPT_RECORD).isNull()).withColumn("_order", drop_order())
+    good = loaded.where(F.col(CORRUPT_RECORD).isNull())
+    if years is not None:
+        good = good.where(F.col("YEAR").isin(years))
+    names = loaded.select(F.col(DROP).cast("string").alias("_name")).distinct()
+    order = names.select("_name", F.row_number().over(Window.orderBy("_name")).cast("long").alias("_order"))
+    good = good.join(order, F.col(DROP).cast("string") == F.col("_name"))
     latest = good.groupBy(*RECORD_KEY).agg(F.max("_order").alias("_latest"))
     side = {k: f"_k{i}" for i, k in enumerate(RECORD_KEY)}
     latest = latest.selectExpr(*[f"{ident(k)} AS {side[k]}" for k in RECORD_KEY], "_latest")

@@ -50,23 +50,3 @@ def test_job_scale_defaults_respect_submitted_settings():
     mine = settings_to_apply({"spark.sql.files.maxPartitionBytes"})
     assert "spark.sql.files.maxPartitionBytes" not in mine
     assert mine["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "20000"
-
-
-def test_broadcast_only_within_the_session_threshold(spark):
-    from carepulse.operators.joins import broadcast_if_bounded, row_bound, row_bytes
-
-    df = spark.range(1000).selectExpr("id", "CAST(id AS STRING) AS s")
-    assert row_bytes(df.schema) == 8 + 8 + 20
-    assert row_bound(df, 36 * 500) == 500
-
-    def hinted(d):
-        return "broadcast" in d._jdf.queryExecution().logical().toString().lower()
-
-    assert hinted(broadcast_if_bounded(df, 36 * 1000))
-    assert not hinted(broadcast_if_bounded(df, 36 * 999))
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert not hinted(broadcast_if_bounded(df))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -15,7 +15,7 @@ import pytest
 from carepulse.contracts import BRONZE_COLUMNS, CORRUPT_RECORD
 from carepulse.operators.gold import gold_provider_base
 from carepulse.operators.silver import build_silver
-from carepulse.streaming.incremental import DROP_FILE, DROP_TIME, newest_drop
+from carepulse.streaming.incremental import DROP, DROP_FILE, DROP_TIME, newest_drop
 
 from .conftest import bronze_df, bronze_row
 
@@ -88,16 +88,16 @@ def test_newest_drop_keeps_the_whole_newest_drop_of_a_hot_key(spark, skew_join_c
             # A third of each drop is one record key; other keys are in some drops only.
             pid = "000001" if i % 3 == 0 else f"{rnd.randrange(2, 400):06d}"
             cells = bronze_row(PRVDR_ID=pid, TOT_SRVC_DAYS=f"{drop}-{i}")
-            loaded.append(tuple(cells[c] for c in BRONZE_COLUMNS) + (None, when, path))
+            loaded.append(tuple(cells[c] for c in BRONZE_COLUMNS) + (None, when, path, f"drop-{drop}"))
     schema = ", ".join(f"{c} string" for c in BRONZE_COLUMNS) + f", {CORRUPT_RECORD} string, "
-    schema += f"{DROP_TIME} timestamp, {DROP_FILE} string"
+    schema += f"{DROP_TIME} timestamp, {DROP_FILE} string, {DROP} string"
     df = spark.createDataFrame(loaded, schema).repartition(8)
 
     got = sorted(r.TOT_SRVC_DAYS for r in newest_drop(df).collect())
 
     newest = {}
     for row in loaded:
-        newest[row[0]] = max(newest.get(row[0], row[-2]), row[-2])
-    want = sorted(row[BRONZE_COLUMNS.index("TOT_SRVC_DAYS")] for row in loaded if row[-2] == newest[row[0]])
+        newest[row[0]] = max(newest.get(row[0], row[-1]), row[-1])
+    want = sorted(row[BRONZE_COLUMNS.index("TOT_SRVC_DAYS")] for row in loaded if row[-1] == newest[row[0]])
     assert got == want
     assert sum(1 for v in got if v.startswith("2-") and int(v[2:]) % 3 == 0) == 500
