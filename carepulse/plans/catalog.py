@@ -328,11 +328,19 @@ def _box_sql() -> str:
     k = O.cols(_BOX_KEYS)
     join = " AND ".join(f"v.{O.q(c)} IS NOT DISTINCT FROM f.{O.q(c)}" for c in _BOX_KEYS)
     inside = "(v.x >= f.lf AND v.x <= f.uf)"
+
+    def quantile(p: float) -> str:
+        """Linear between neighbours by definition: low + (high - low) * fraction (an
+        engine's own quantile function may round the last digit another way)."""
+        at = f"({p} * (n - 1))::DOUBLE"
+        low, high = (f"xs[CAST({f}({at}) AS BIGINT) + 1]" for f in ("floor", "ceil"))
+        return f"{low} + ({high} - {low}) * ({at} - floor({at}))"
+
     return f""", bx_v AS (SELECT {k}, coalesce(TRY_CAST(episodes_per_bene AS DOUBLE), 0) AS x FROM gold_provider),
+bx_l AS (SELECT {k}, count(x) AS n, list(x ORDER BY x) AS xs FROM bx_v GROUP BY {k}),
 bx_q AS (
-  SELECT {k}, count(x) AS n, min(x) AS "min", quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
-         quantile_cont(x, 0.75) AS q3, max(x) AS "max"
-  FROM bx_v GROUP BY {k}),
+  SELECT {k}, n, xs[1] AS "min", {quantile(0.25)} AS q1, {quantile(0.5)} AS median, {quantile(0.75)} AS q3, xs[n] AS "max"
+  FROM bx_l),
 bx_f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM bx_q)
 SELECT {", ".join(f"f.{O.q(c)}" for c in _BOX_KEYS)}, f.n, f."min", f.q1, f.median, f.q3, f."max",
   min(v.x) FILTER (WHERE {inside}) AS lower_whisker,

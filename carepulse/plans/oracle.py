@@ -2,39 +2,67 @@
 
 Each registered query has an equivalent SQL statement over the raw test tables
 (``lineitem orders supplier nation`` as views). The statements are written
-independently of the Spark plans: same definitions, different engine. Shared
-steps are CTEs assembled here.
+independently of the Spark plans: measures, ratios, thresholds and scales are stated
+here once more. Shared steps are CTEs assembled here. Only the column names of the
+raw and typed tables come from the contracts.
 """
 
 from __future__ import annotations
 
-from ..contracts import (
-    BRONZE_COLUMNS,
-    GOLD_PROVIDER_KEYS,
-    GOLD_PROVIDER_MEASURES,
-    GOLD_PROVIDER_RATIOS,
-    GOLD_STATE_KEYS,
-    GOLD_STATE_MEASURES,
-    GOLD_STATE_RATIOS,
-    NUMERIC_BRONZE_COLUMNS,
-    SILVER_MAPPING,
-    gold_provider_columns,
-    gold_state_columns,
-)
-from ..functions.expr import (
-    AVG_DECIMAL,
-    DUAL_HIGH_BELOW,
-    DUAL_LOW_BELOW,
-    DUAL_MEDIUM_BELOW,
-    MONEY_DECIMAL,
-    RISK_LOW_BELOW,
-    RISK_MEDIUM_BELOW,
-    RURAL_DOMINANT_FROM,
-    RURAL_MIXED_FROM,
-    SUPPRESSED,
-)
+from ..contracts import BRONZE_COLUMNS, NUMERIC_BRONZE_COLUMNS, SILVER_MAPPING, gold_provider_columns, gold_state_columns
 from ..sources.fixtures import GENERIC_PCT_COLUMNS
 
+# --- fixed values: the oracle's own statement of the definitions, not taken from the library ---
+PROVIDER_KEYS = ["YEAR", "YEAR_DATE", "provider_id", "provider_name", "provider_state", "service_category", "summary_category"]
+# (output, kind, silver column)
+PROVIDER_MEASURES = [
+    ("total_service_days", "sum_long", "total_service_days"),
+    ("total_episode_stays", "sum_long", "total_episode_stays"),
+    ("total_distinct_benes", "sum_long", "distinct_beneficiaries"),
+    ("total_medicare_payment_amt", "sum_money", "total_medicare_payment_amt"),
+    ("total_medicare_std_payment_amt", "sum_money", "total_medicare_standardized_payment_amt"),
+    ("total_charge_amt", "sum_money", "total_charge_amt"),
+    ("total_allowed_amt", "sum_money", "total_allowed_amt"),
+    ("avg_bene_age", "avg", "bene_avg_age"),
+    ("avg_bene_risk_score", "avg", "bene_avg_risk_score"),
+    ("avg_dual_pct", "avg", "bene_dual_pct"),
+    ("avg_rural_pct", "avg", "bene_rural_pct"),
+    ("avg_female_pct", "avg", "bene_female_pct"),
+    ("avg_diabetes_pct", "avg", "bene_diabetes_pct"),
+    ("avg_hypertension_pct", "avg", "bene_hypertension_pct"),
+    ("avg_heart_failure_pct", "avg", "bene_heart_failure_pct"),
+    ("avg_copd_pct", "avg", "bene_copd_pct"),
+]
+# (output, numerator, denominator)
+PROVIDER_RATIOS = [
+    ("pay_per_bene", "total_medicare_payment_amt", "total_distinct_benes"),
+    ("pay_per_service_day", "total_medicare_payment_amt", "total_service_days"),
+    ("charge_per_bene", "total_charge_amt", "total_distinct_benes"),
+    ("allowed_per_bene", "total_allowed_amt", "total_distinct_benes"),
+    ("payment_to_charge_ratio", "total_medicare_payment_amt", "total_charge_amt"),
+    ("allowed_to_charge_ratio", "total_allowed_amt", "total_charge_amt"),
+    ("episodes_per_bene", "total_episode_stays", "total_distinct_benes"),
+]
+STATE_KEYS = ["YEAR", "YEAR_DATE", "provider_state", "service_category"]
+STATE_MEASURES = [
+    ("total_medicare_payment_amt", "sum_money", "total_medicare_payment_amt"),
+    ("total_charge_amt", "sum_money", "total_charge_amt"),
+    ("total_distinct_benes", "sum_long", "distinct_beneficiaries"),
+    ("total_service_days", "sum_long", "total_service_days"),
+    ("avg_bene_risk_score", "avg", "bene_avg_risk_score"),
+    ("avg_dual_pct", "avg", "bene_dual_pct"),
+    ("avg_rural_pct", "avg", "bene_rural_pct"),
+]
+STATE_RATIOS = [
+    ("pay_per_bene", "total_medicare_payment_amt", "total_distinct_benes"),
+    ("pay_per_service_day", "total_medicare_payment_amt", "total_service_days"),
+    ("charge_per_bene", "total_charge_amt", "total_distinct_benes"),
+    ("payment_to_charge_ratio", "total_medicare_payment_amt", "total_charge_amt"),
+]
+MONEY = "DECIMAL(38,4)"
+AVERAGE = "DECIMAL(38,8)"
+# --- end of fixed values ---
+
 
 def q(name: str) -> str:
     return f'"{name}"'
@@ -82,17 +110,17 @@ fx_prov AS (
     s_name AS PRVDR_NAME,
     'CITY_' || CAST(s_nationkey AS VARCHAR) AS PRVDR_CITY,
     lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS PRVDR_ZIP,
-    n_name AS STATE,
+    'NATION_' || CAST(15 + s_nationkey % 5 AS VARCHAR) AS STATE,
     CASE WHEN rf = 'N' THEN 'SNF' WHEN rf = 'A' THEN 'HH' ELSE 'HOSPICE' END AS SRVC_CTGRY,
     'PROVIDER' AS SMRY_CTGRY,
     CASE WHEN ls = 'O' THEN 'CY' ELSE 'FY' END AS YEAR_TYPE,
     CAST(y AS VARCHAR) AS "YEAR",
     CASE WHEN (s_suppkey + y) % 17 = 0 THEN '0' ELSE CAST(CAST(qty AS BIGINT) AS VARCHAR) END AS TOT_SRVC_DAYS,
     CAST(n AS VARCHAR) AS TOT_EPSD_STAY_CNT,
-    CAST(n_cust AS VARCHAR) AS BENE_DSTNCT_CNT,
-    CAST(pay AS VARCHAR) AS TOT_MDCR_PYMT_AMT,
+    CASE WHEN (s_suppkey + 2 * y) % 29 = 0 THEN '0' ELSE CAST(n_cust AS VARCHAR) END AS BENE_DSTNCT_CNT,
+    CASE WHEN (s_suppkey + y) % 31 = 0 THEN '-' || CAST(pay AS VARCHAR) ELSE CAST(pay AS VARCHAR) END AS TOT_MDCR_PYMT_AMT,
     CAST(std AS VARCHAR) AS TOT_MDCR_STDZD_PYMT_AMT,
-    CAST(chg AS VARCHAR) AS TOT_CHRG_AMT,
+    CASE WHEN (s_suppkey + y) % 23 = 0 THEN 'n/a' ELSE CAST(chg AS VARCHAR) END AS TOT_CHRG_AMT,
     CAST(alw AS VARCHAR) AS TOT_ALOWD_AMT,
     {_supp('n < 11', 'CAST(0.6 + (s_suppkey % 7) * 0.5 AS DECIMAL(6,2))')} AS BENE_AVG_RISK_SCRE,
     {_supp('n < 11 OR (s_suppkey + y) % 11 = 0', '(s_suppkey * 37 + o3) % 100')} AS BENE_DUAL_PCT,
@@ -122,7 +150,7 @@ def to_long_sql(x: str) -> str:
 
 
 def pct_sql(x: str) -> str:
-    return to_double_sql(f"NULLIF(CAST({x} AS VARCHAR), '{SUPPRESSED}')")
+    return to_double_sql(f"NULLIF(CAST({x} AS VARCHAR), '*')")
 
 
 def silver_select(src: str = "bronze") -> str:
@@ -150,10 +178,10 @@ def _measure_sql(kind: str, src: str) -> str:
     if kind == "sum_long":
         return f"CAST(sum({q(src)}) AS BIGINT)"
     if kind == "sum_money":
-        return f"CAST(sum(CAST({q(src)} AS {MONEY_DECIMAL.upper()})) AS DOUBLE)"
+        return f"CAST(sum(CAST({q(src)} AS {MONEY})) AS DOUBLE)"
     if kind == "avg":
         return (
-            f"CAST(sum(CAST({q(src)} AS {AVG_DECIMAL.upper()})) AS DOUBLE) / NULLIF(count({q(src)}), 0)"
+            f"CAST(sum(CAST({q(src)} AS {AVERAGE})) AS DOUBLE) / NULLIF(count({q(src)}), 0)"
         )
     raise ValueError(kind)
 
@@ -165,13 +193,13 @@ def safe_div_sql(num: str, den: str) -> str:
 def bands_sql() -> list[str]:
     r, d, u = "avg_bene_risk_score", "avg_dual_pct", "avg_rural_pct"
     return [
-        f"CASE WHEN {r} IS NULL THEN 'UNKNOWN' WHEN {r} < {RISK_LOW_BELOW} THEN 'LOW_RISK' "
-        f"WHEN {r} < {RISK_MEDIUM_BELOW} THEN 'MEDIUM_RISK' ELSE 'HIGH_RISK' END AS risk_band",
-        f"CASE WHEN {d} IS NULL THEN 'UNKNOWN' WHEN {d} < {DUAL_LOW_BELOW} THEN 'LOW_DUAL' "
-        f"WHEN {d} < {DUAL_MEDIUM_BELOW} THEN 'MEDIUM_DUAL' WHEN {d} < {DUAL_HIGH_BELOW} THEN 'HIGH_DUAL' "
+        f"CASE WHEN {r} IS NULL THEN 'UNKNOWN' WHEN {r} < 1.5 THEN 'LOW_RISK' "
+        f"WHEN {r} < 3.0 THEN 'MEDIUM_RISK' ELSE 'HIGH_RISK' END AS risk_band",
+        f"CASE WHEN {d} IS NULL THEN 'UNKNOWN' WHEN {d} < 25 THEN 'LOW_DUAL' "
+        f"WHEN {d} < 50 THEN 'MEDIUM_DUAL' WHEN {d} < 75 THEN 'HIGH_DUAL' "
         "ELSE 'VERY_HIGH_DUAL' END AS dual_share_band",
-        f"CASE WHEN {u} IS NULL THEN 'UNKNOWN' WHEN {u} >= {RURAL_DOMINANT_FROM} THEN 'RURAL_DOMINANT' "
-        f"WHEN {u} >= {RURAL_MIXED_FROM} THEN 'MIXED' ELSE 'URBAN_DOMINANT' END AS rural_mix_band",
+        f"CASE WHEN {u} IS NULL THEN 'UNKNOWN' WHEN {u} >= 50 THEN 'RURAL_DOMINANT' "
+        f"WHEN {u} >= 20 THEN 'MIXED' ELSE 'URBAN_DOMINANT' END AS rural_mix_band",
     ]
 
 
@@ -184,13 +212,13 @@ def _agg_sql(keys, measures, src="silver") -> str:
 
 
 def gold_ctes() -> str:
-    p_ratios = ", ".join(f"{safe_div_sql(n, d)} AS {o}" for o, n, d in GOLD_PROVIDER_RATIOS)
-    s_ratios = ", ".join(f"{safe_div_sql(n, d)} AS {o}" for o, n, d in GOLD_STATE_RATIOS)
+    p_ratios = ", ".join(f"{safe_div_sql(n, d)} AS {o}" for o, n, d in PROVIDER_RATIOS)
+    s_ratios = ", ".join(f"{safe_div_sql(n, d)} AS {o}" for o, n, d in STATE_RATIOS)
     return f"""
-gp_base AS ({_agg_sql(GOLD_PROVIDER_KEYS, GOLD_PROVIDER_MEASURES)}),
+gp_base AS ({_agg_sql(PROVIDER_KEYS, PROVIDER_MEASURES)}),
 gp_ratios AS (SELECT *, {p_ratios} FROM gp_base),
 gold_provider AS (SELECT *, {", ".join(bands_sql())} FROM gp_ratios),
-gs_base AS ({_agg_sql(GOLD_STATE_KEYS, GOLD_STATE_MEASURES)}),
+gs_base AS ({_agg_sql(STATE_KEYS, STATE_MEASURES)}),
 gold_state AS (SELECT *, {s_ratios} FROM gs_base)"""
 
 
@@ -214,7 +242,7 @@ def audit_sql() -> str:
     for raw in NUMERIC_BRONZE_COLUMNS:
         x = f"CAST({q(raw)} AS VARCHAR)"
         good = f"({(to_long_sql if kinds[raw] == 'long' else to_double_sql)(x)} IS NOT NULL)"
-        supp = f"({x} = '{SUPPRESSED}')"
+        supp = f"({x} = '*')"
         parts.append(
             f"SELECT '{raw}' AS source_column, '{silver_of[raw]}' AS silver_column, "
             f"count(*) AS n_rows, count(*) FILTER (WHERE {x} IS NULL) AS n_null, "

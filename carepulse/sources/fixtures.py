@@ -82,17 +82,19 @@ def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "PRVDR_NAME": "s_name",
         "PRVDR_CITY": "concat('CITY_', CAST(s_nationkey AS STRING))",
         "PRVDR_ZIP": "lpad(CAST(s_suppkey AS STRING), 5, '0')",
-        "STATE": "n_name",
+        # Five states, so that a state has far more providers than a top-10 shows.
+        "STATE": "concat('NATION_', CAST(15 + s_nationkey % 5 AS STRING))",
         "SRVC_CTGRY": "CASE WHEN rf = 'N' THEN 'SNF' WHEN rf = 'A' THEN 'HH' ELSE 'HOSPICE' END",
         "SMRY_CTGRY": f"'{PROVIDER_LEVEL}'",
         "YEAR_TYPE": "CASE WHEN ls = 'O' THEN 'CY' ELSE 'FY' END",
         "YEAR": "CAST(y AS STRING)",
         "TOT_SRVC_DAYS": "CASE WHEN (s_suppkey + y) % 17 = 0 THEN '0' ELSE CAST(CAST(qty AS BIGINT) AS STRING) END",
         "TOT_EPSD_STAY_CNT": "CAST(n AS STRING)",
-        "BENE_DSTNCT_CNT": "CAST(n_cust AS STRING)",
-        "TOT_MDCR_PYMT_AMT": _units_text("pay"),
+        # Missing and negative ratios, and cells that do not parse.
+        "BENE_DSTNCT_CNT": "CASE WHEN (s_suppkey + 2 * y) % 29 = 0 THEN '0' ELSE CAST(n_cust AS STRING) END",
+        "TOT_MDCR_PYMT_AMT": f"CASE WHEN (s_suppkey + y) % 31 = 0 THEN concat('-', {_units_text('pay')}) ELSE {_units_text('pay')} END",
         "TOT_MDCR_STDZD_PYMT_AMT": _units_text("std"),
-        "TOT_CHRG_AMT": _units_text("chg"),
+        "TOT_CHRG_AMT": f"CASE WHEN (s_suppkey + y) % 23 = 0 THEN 'n/a' ELSE {_units_text('chg')} END",
         "TOT_ALOWD_AMT": _units_text("alw", places=2),
         "BENE_AVG_RISK_SCRE": _suppress("n < 11", "CAST(0.6BD + (s_suppkey % 7) * 0.5BD AS DECIMAL(6,2))"),
         "BENE_DUAL_PCT": _suppress("n < 11 OR (s_suppkey + y) % 11 = 0", f"(s_suppkey * 37 + {o3}) % 100"),
