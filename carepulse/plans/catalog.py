@@ -136,6 +136,22 @@ def q_state_summary_read(spark, sf_dir):
     return serve.load_state_summary(gs, YEAR, CATEGORY)
 
 
+def q_empty_slice_check(spark, sf_dir):
+    """The dashboard's empty-result check, for a slice with rows and one without: each
+    reads one row of its pruned slice at most."""
+    _, gs = gold(spark, sf_dir)
+    checks = [
+        serve.load_state_summary(gs, YEAR, category).limit(1).selectExpr(f"'{category}' AS slice", "CAST(count(1) = 0 AS INT) AS is_empty")
+        for category in (CATEGORY, "NONE")
+    ]
+    return checks[0].union(checks[1])
+
+
+def q_job_audit(spark, sf_dir):
+    """The audit table that the job writes beside silver and gold."""
+    return spark.read.parquet(prepared(spark, sf_dir)["audit"])
+
+
 def _view(df: DataFrame, prefix: str) -> str:
     """Register ``df`` under a fresh temporary view name (safe for concurrent callers)."""
     name = f"{prefix}_{uuid.uuid4().hex[:12]}"
@@ -269,6 +285,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gold_state_summary": q_gold_state_summary,
     "state_summary_read": q_state_summary_read,
     "state_summary_read_sql": q_state_summary_read_sql,
+    "empty_slice_check": q_empty_slice_check,
+    "job_audit": q_job_audit,
     "provider_read_one_state": q_provider_read_one_state,
     "provider_read_all_states": q_provider_read_all_states,
     "national_kpis": q_national_kpis,
@@ -375,6 +393,14 @@ def oracle_statements() -> dict[str, str]:
         "bronze_scan": w("SELECT * FROM bronze"),
         "silver_typed": w("SELECT * FROM silver"),
         "silver_suppression_audit": O.audit_sql(),
+        "job_audit": O.audit_sql(),
+        "empty_slice_check": w(
+            " UNION ALL ".join(
+                f"SELECT '{c}' AS slice, CAST(count(*) = 0 AS INTEGER) AS is_empty FROM "
+                f"(SELECT 1 FROM gold_state WHERE \"YEAR\" = {YEAR} AND service_category = '{c}' LIMIT 1)"
+                for c in (CATEGORY, "NONE")
+            )
+        ),
         "provider_level_rows": w("SELECT * FROM silver WHERE summary_category = 'PROVIDER'"),
         "gold_provider_base": w("SELECT * FROM gp_base"),
         "gold_provider_ratios": w(f"SELECT {keys_ratios} FROM gold_provider"),
