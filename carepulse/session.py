@@ -67,3 +67,12 @@ def app_key(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run's intermediate tables, under the shared root."""
     return f"{checkpoint_root(spark)}/carepulse/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``run_dir`` that nothing reads any more."""
+    root = f"{checkpoint_root(spark)}/carepulse/"
+    if not path.startswith(root) or ".." in path:
+        raise ValueError(f"not a folder of a run: {path}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -50,3 +50,16 @@ def test_job_scale_defaults_respect_submitted_settings():
     mine = settings_to_apply({"spark.sql.files.maxPartitionBytes"})
     assert "spark.sql.files.maxPartitionBytes" not in mine
     assert mine["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "20000"
+
+
+def test_discard_deletes_only_folders_of_a_run(spark):
+    from carepulse.session import discard, run_dir
+
+    path = run_dir(spark, "discard-test")
+    spark.range(3).write.parquet(path)
+    discard(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    for other in ("/tmp/elsewhere", f"{path}/../../other"):
+        with pytest.raises(ValueError):
+            discard(spark, other)
