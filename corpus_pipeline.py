@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from carepulse.llm import decontaminate, quality, sentencepieces, simhash, toxicity
 from carepulse.llm.common import ship_package
-from carepulse.session import run_dir
+from carepulse.session import discard, run_dir
 
 ORACLE_SQL = None
 
@@ -62,12 +62,19 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage's result is written and read again."""
+def run(spark: SparkSession, sf_dir: str, keep_stages: bool = False) -> DataFrame:
+    """All stages over ``documents``; every stage's result is written and read again.
+
+    A stage's result is deleted once its successor's is written, unless ``keep_stages``.
+    """
     docs = _table(spark, sf_dir, "documents")
     root = run_dir(spark, "pipeline")
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{root}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before and not keep_stages:
+            discard(spark, before)
+        before = path
     return docs
