@@ -215,20 +215,13 @@ def rural_mix_band_sql(share: str) -> Sql:
 
 
 # ------------------------------------------------------------ Column forms
-as_text = _column(as_text_sql)
-finite = _column(finite_sql)
-try_double = _column(try_double_sql)
 to_double = _column(to_double_sql)
 to_long = _column(to_long_sql)
 pct = _column(pct_sql)
-year_date = _column(year_date_sql)
 safe_div = _column(safe_div_sql)
 kpi_div = _column(kpi_div_sql)
 exact_sum_double = _column(exact_sum_double_sql)
 exact_avg = _column(exact_avg_sql)
-risk_band = _column(risk_band_sql)
-dual_share_band = _column(dual_share_band_sql)
-rural_mix_band = _column(rural_mix_band_sql)
 
 # band column -> (SQL template, gold input column)
 BAND_FUNCTIONS = {

@@ -3,8 +3,8 @@
     python -m carepulse.plans.check /root/testdata/sf0.01 [query ...]
 
 The same check the tests run at sf0.001, for any test-table folder: each query's
-rows (collected; the results are small) against DuckDB's over the same Parquet
-files, after sorting columns by name and rows by value. Prints one line per query
+rows against DuckDB's over the same Parquet files, compared in Spark as bags (EXCEPT
+ALL both ways), with DuckDB's result written to a local folder: a tool for one machine. Prints one line per query
 and exits non-zero on any mismatch.
 """
 
@@ -12,19 +12,19 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 
+from pyspark.sql import functions as F
+
+from ..functions.expr import ident
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
 
 
-def _canonical(pdf):
-    cols = sorted(pdf.columns)
-    return pdf[cols].astype(str).sort_values(cols).reset_index(drop=True)
-
-
 def main(argv: list[str] | None = None) -> int:
     import duckdb
 
@@ -44,20 +44,29 @@ def main(argv: list[str] | None = None) -> int:
         if os.path.exists(path):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}'")
     sql = oracle_statements()
+    folder = tempfile.mkdtemp(prefix="carepulse-check-")
     bad = 0
     for name, fn in QUERIES.items():
         if only and name not in only:
             continue
         t0 = time.perf_counter()
-        got = fn(spark, sf_dir).toPandas()
+        got = fn(spark, sf_dir).persist()
+        rows = got.count()
         secs = time.perf_counter() - t0
-        want = con.sql(sql[name]).df()
-        same = sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+        path = f"{folder}/{name}.parquet"
+        con.execute(f"COPY ({sql[name]}) TO '{path}' (FORMAT parquet)")
+        want = spark.read.parquet(path)
+        same = sorted(got.columns) == sorted(want.columns) and want.count() == rows
         if same:
-            a, b = _canonical(got), _canonical(want)
-            same = all((a[c] == b[c]).all() for c in a.columns)
+            # Row by row in Spark, repeats counted; nothing but a few differing rows comes back.
+            want = want.select([F.col(ident(f.name)).cast(f.dataType).alias(f.name) for f in got.schema.fields])
+            differ = got.exceptAll(want).union(want.exceptAll(got)).limit(5).collect()
+            same = not differ
+            for row in differ:
+                print("  differs:", row)
+        got.unpersist()
         bad += not same
-        print(f"{name:28s} {'OK ' if same else 'BAD'} rows={len(got)} spark={secs:.2f}s")
+        print(f"{name:28s} {'OK ' if same else 'BAD'} rows={rows} spark={secs:.2f}s")
     print(f"mismatches: {bad}")
     if joined is None:  # stop only a session this tool started
         spark.stop()
