@@ -17,8 +17,8 @@ EDGE = [
     (5, "the cat sat on the mat and looked at the dog", "en"),
     (5, "the cat sat on the mat and looked at the dog", "en"),
     (None, "a row without an id, with some words in it", None),
-    (7, "word " * 200_000, "en"),
-    (8, "x" * 300_000, "en"),
+    (7, "word " * 30_000, "en"),
+    (8, "x" * 50_000, "en"),
     (8, "another text under the same id", "de"),
 ]
 EDGE_SCHEMA = "doc_id long, text string, lang string"
