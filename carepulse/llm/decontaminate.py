@@ -4,15 +4,17 @@ Texts are word sequences (lower-cased runs of letters and digits). A benchmark i
 n words is leaked where some stretch of a document is within k = floor((1 - similarity)
 * n) word edits of it. Documents are compared in item-sized windows:
 
-1. a stretch within k edits of an item shares a run of at least (n - k) / (k + 1) words
-   with it unchanged, so only windows laid over such a shared run can match (nothing
-   that can match is passed over here);
-2. a window and the items of its size are embedded by the CGK random walk: a walk over
+1. a stretch within k edits of an item keeps all but run * k of its runs of
+   run <= (n - k) / (k + 1) words, moved by at most k places against each other, so only
+   windows laid over that many shared runs can match (nothing that can match is passed
+   over here);
+2. such a window and its item are embedded by the CGK random walk: a walk over
    the words that stays or steps at each of 3n times, as a shared random function of
    time and word says; few edits become few differing symbols;
-3. in each repetition some fixed times are sampled; a window meets the items whose
-   sampled symbols are equal. The number of repetitions is taken from a simulation on
-   the items themselves with k random edits, so that the target recall is reached;
+3. in each repetition some fixed times are sampled; a window meets the item whose
+   sampled symbols are equal. The number of repetitions is taken for each length n from
+   a simulation with k random edits, so that the target recall is reached. Where
+   ``MAX_REPEATS`` do not reach it, no window is left out here;
 4. candidates are checked by exact word edit distance against the best stretch near
    the window.
 
@@ -37,10 +39,19 @@ SIMILARITY = 0.8
 BLOCK_WORDS = 250_000
 SAMPLED = 3
 TARGET_RECALL = 0.98
+#: Lengths that need more repetitions, or are longer, have all their windows checked.
 MAX_REPEATS = 64
+LONGEST_EMBEDDED = 128
+#: Edited texts a length's recall is measured on.
+TRIALS = 400
+#: Cells of a row of the edit distances of one batch (or one stretch).
+CELLS = 1 << 19
 LONGEST_RUN = 4
 WORD = re.compile(r"[^\W_]+")
 
+#: Repetitions by (length, similarity, seed), measured once in a process.
+_measured: dict[tuple[int, float, int], int | None] = {}
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -83,7 +94,6 @@ class LeakIndex:
     items: list[list[str]]
     similarity: float = SIMILARITY
     seed: int = 42
-    repeats: int = 0
     vocabulary: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -93,30 +103,41 @@ class LeakIndex:
         self.size = np.array([len(w) for w in self.items], dtype=np.int64)
         self.edits = np.floor((1 - self.similarity) * self.size + 1e-9).astype(np.int64)
         self.longest = int(self.size.max()) if len(self.size) else 0
-        self.word = np.zeros((len(self.items), max(1, self.longest)), dtype=np.int64)
-        for i, words in enumerate(self.items):
-            self.word[i, : len(words)] = [self.vocabulary[w] for w in words]
+        self.first = np.cumsum(self.size) - self.size
+        self.word = np.array([self.vocabulary[w] for words in self.items for w in words], dtype=np.int64)
         run = np.clip((self.size - self.edits) // (self.edits + 1), 1, LONGEST_RUN)
+        # Each edit breaks at most ``run`` of the item's size - run + 1 runs.
+        self.shared = np.maximum(1, self.size - run + 1 - self.edits * run)
         self.runs = {}
         for q in sorted(set(run[self.size > 0].tolist())):
-            at = [(m, j) for m in np.flatnonzero((run == q) & (self.size > 0)).tolist() for j in range(int(self.size[m]) - q + 1)]
-            m, j = np.array(at, dtype=np.int64).T
-            key = self._run_key([self.word[m, j + i] for i in range(q)])
+            m = np.flatnonzero((run == q) & (self.size > 0))
+            count = self.size[m] - q + 1
+            m, j = np.repeat(m, count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            key = self._run_key([self.word[self.first[m] + j + i] for i in range(q)])
             order = np.argsort(key, kind="stable")
             self.runs[q] = (key[order], m[order], j[order])
         rng = np.random.default_rng(self.seed)
-        self.step = rng.integers(1, 1 << 63, size=(MAX_REPEATS, max(1, 3 * self.longest)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.step = rng.integers(1, 1 << 63, size=(MAX_REPEATS, 3 * LONGEST_EMBEDDED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.blend = rng.integers(1, 1 << 63, size=(MAX_REPEATS, SAMPLED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.sample = rng.random((MAX_REPEATS, SAMPLED))
-        if not self.repeats:
-            self.repeats = self._needed_repeats(rng)
-        self.keys = np.zeros(0, dtype=np.uint64)
-        if self.longest:
-            full = np.flatnonzero(self.size > 0)
-            keys = self.signatures(self.word[full], self.size[full], self.repeats)
-            order = np.argsort(keys.ravel(), kind="stable")
-            self.keys = keys.ravel()[order]
-            self.key_item = np.repeat(full, self.repeats)[order]
+        #: By length: repetitions, None where all windows are checked.
+        self.repeats = {}
+        for n in np.unique(self.size[self.size > 0]).tolist():
+            known = (n, self.similarity, self.seed)
+            if known not in _measured:
+                _measured[known] = self._needed_repeats(n)
+            self.repeats[n] = _measured[known]
+        self.keys, self.slot = {}, np.zeros(len(self.items), dtype=np.int64)
+        for n, repeats in self.repeats.items():
+            if repeats:
+                m = np.flatnonzero(self.size == n)
+                self.slot[m] = np.arange(len(m))
+                self.keys[n] = self.signatures(self._padded(m), self.size[m], repeats)
+
+    def _padded(self, m: np.ndarray) -> np.ndarray:
+        """The words of these items, one item a row."""
+        span = np.arange(int(self.size[m].max()))
+        return np.where(span < self.size[m][:, None], self.word[np.minimum(self.first[m][:, None] + span, len(self.word) - 1)], 0)
 
     @staticmethod
     def _run_key(columns: list[np.ndarray]) -> np.ndarray:
@@ -147,16 +168,19 @@ class LeakIndex:
                 out[lo : lo + 512] = _mixed(key)
         return out
 
-    def _needed_repeats(self, rng) -> int:
-        """So many that TARGET_RECALL of the items, each with k random edits, meet their own."""
-        pick = np.flatnonzero(self.edits > 0)
-        if not len(pick):
+    def _needed_repeats(self, n: int) -> int | None:
+        """So many that TARGET_RECALL of texts of n words with k random edits meet their
+        original; None where MAX_REPEATS do not suffice. Depends on n alone, not on the block."""
+        k = int(np.floor((1 - self.similarity) * n + 1e-9))
+        if k == 0:
             return 1
-        pick = np.repeat(pick[np.linspace(0, len(pick) - 1, min(len(pick), 100)).astype(int)], 4)
-        changed = np.zeros((len(pick), self.word.shape[1]), dtype=np.int64)
-        for row, m in enumerate(pick.tolist()):
-            words = self.word[m, : self.size[m]].tolist()
-            for _ in range(int(self.edits[m])):
+        if n > LONGEST_EMBEDDED:
+            return None
+        rng = np.random.default_rng([self.seed, n])
+        changed = np.zeros((TRIALS, n), dtype=np.int64)
+        for row in range(TRIALS):
+            words = list(range(1, n + 1))
+            for _ in range(k):
                 kind, at = rng.integers(3), int(rng.integers(len(words))) if words else 0
                 if kind == 0 and words:
                     words[at] = 0
@@ -164,12 +188,13 @@ class LeakIndex:
                     words.pop(at)
                 else:
                     words.insert(at, 0)
-            words = (words + [0] * int(self.size[m]))[: int(self.size[m])]
+            words = words[:n]
             changed[row, : len(words)] = words
-        same = self.signatures(changed, self.size[pick], MAX_REPEATS) == self.signatures(self.word[pick], self.size[pick], MAX_REPEATS)
+        own = self.signatures(np.arange(1, n + 1)[None, :], np.array([n]), MAX_REPEATS)
+        same = self.signatures(changed, np.full(TRIALS, n), MAX_REPEATS) == own
         recall = np.logical_or.accumulate(same, axis=1).mean(axis=0)
         enough = np.flatnonzero(recall >= TARGET_RECALL)
-        return int(enough[0]) + 1 if len(enough) else MAX_REPEATS
+        return int(enough[0]) + 1 if len(enough) else None
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item number, edits, first word, word after the last) of the best
@@ -182,7 +207,10 @@ class LeakIndex:
         word = np.array([w for x in lists for w in x], dtype=np.int64)
         text_of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         begin = (ends - [len(x) for x in lists]).astype(np.int64)
-        windows = []
+        # Windows as item * stride + place; texts and items lie farther apart than any k.
+        gap = 2 * self.longest + 1
+        stride = len(word) + (len(lists) + 2) * gap
+        codes, counts = [], []
         for q, (keys, item, offset) in self.runs.items():
             n = len(word) - q + 1
             if n <= 0:
@@ -194,50 +222,80 @@ class LeakIndex:
                 first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 hits = last - first
                 at, first, hits = at[hits > 0], first[hits > 0], hits[hits > 0]
-                for part in np.array_split(np.arange(len(at)), max(1, int(hits.sum()) // 1_000_000)):
-                    h = hits[part]
-                    slot = np.repeat(first[part] - np.append(0, np.cumsum(h)[:-1]), h) + np.arange(h.sum())
-                    p = np.repeat(at[part], h)
-                    start = np.maximum(p - offset[slot], begin[text_of[p]])
-                    windows.append(np.unique(start * (self.longest + 1) + self.size[item[slot]]))
-        if not windows:
+                if not len(at):
+                    continue
+                total = np.cumsum(hits)
+                cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1], 1_000_000)), len(at)))
+                for a, z in zip(cuts[:-1], cuts[1:]):
+                    h = hits[a:z]
+                    slot = np.repeat(first[a:z] - np.append(0, np.cumsum(h)[:-1]), h) + np.arange(h.sum())
+                    p = np.repeat(at[a:z] + (text_of[at[a:z]] + 1) * gap, h)
+                    code, count = np.unique(item[slot] * stride + p - offset[slot], return_counts=True)
+                    codes.append(code), counts.append(count)
+        if not codes:
             return []
-        coded = np.unique(np.concatenate(windows))
-        start, size = coded // (self.longest + 1), coded % (self.longest + 1)
+        code, back = np.unique(np.concatenate(codes), return_inverse=True)
+        total = np.append(0, np.cumsum(np.bincount(back, np.concatenate(counts)).astype(np.int64)))
+        # k edits move the shared runs of a match by at most k places against each other.
+        last = np.searchsorted(code, code + self.edits[code // stride], "right")
+        enough = np.flatnonzero(total[last] - total[:-1] >= self.shared[code // stride])
+        inside = np.zeros(len(code) + 1, dtype=np.int64)
+        np.add.at(inside, enough, 1)
+        np.add.at(inside, last[enough], -1)
+        code = code[np.cumsum(inside[:-1]) > 0]
+        item, place = code // stride, code % stride
+        doc = np.searchsorted(begin + (np.arange(len(lists)) + 1) * gap - self.longest, place, "right") - 1
+        start = place - (doc + 1) * gap
+        meets = self._meets(word, ends[doc], np.maximum(start, begin[doc]), item)
+        code, item, doc, start = code[meets], item[meets], doc[meets], start[meets]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for lo in range(0, len(start), 4096):
-            self._check(word, begin, ends, text_of, start[lo : lo + 4096], size[lo : lo + 4096], best)
+        if len(code):
+            # Windows of one text and item that lie within k are one stretch to check.
+            new = np.flatnonzero(np.append(True, np.diff(code) > self.edits[item[1:]]))
+            stop = np.append(new[1:], len(code)) - 1
+            item, doc = item[new], doc[new]
+            left = np.maximum(start[new] - self.edits[item], begin[doc])
+            right = np.minimum(start[stop] + self.size[item] + self.edits[item], ends[doc])
+            self._check(word, begin, item, doc, left, right, best)
         return [(d, m, *v) for (d, m), v in sorted(best.items())]
 
-    def _check(self, word, begin, ends, text_of, start, size, best) -> None:
-        doc = text_of[start]
-        span = start[:, None] + np.arange(self.longest)
-        inside = (span < ends[doc][:, None]) & (np.arange(self.longest) < size[:, None])
-        body = np.where(inside, word[np.minimum(span, len(word) - 1)], 0)
-        keys = self.signatures(body, size, self.repeats)
-        first, last = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        row, rep = np.nonzero(last > first)
-        pairs = [np.stack([np.full(b - a, r), self.key_item[a:b]]) for r, a, b in zip(row, first[row, rep], last[row, rep])]
-        if not pairs:
-            return
-        row, item = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        fits = self.size[item] == size[row]
-        row, item = row[fits], item[fits]
-        for lo in range(0, len(row), 1024):
-            r, m = row[lo : lo + 1024], item[lo : lo + 1024]
-            k, d = self.edits[m], doc[r]
-            left = np.maximum(start[r] - k, begin[d])
-            length = np.minimum(start[r] + self.size[m] + k, ends[d]) - left
+    def _meets(self, word, end, start, item) -> np.ndarray:
+        """Which windows meet their item in a repetition (all, where the item's length has none)."""
+        out = np.ones(len(start), dtype=bool)
+        for n, own in self.keys.items():
+            rows = np.flatnonzero(self.size[item] == n)
+            for lo in range(0, len(rows), 4096):
+                r = rows[lo : lo + 4096]
+                at, first, back = np.unique(start[r], return_index=True, return_inverse=True)
+                span = at[:, None] + np.arange(n)
+                body = np.where(span < end[r][first][:, None], word[np.minimum(span, len(word) - 1)], 0)
+                keys = self.signatures(body, np.full(len(at), n), own.shape[1])
+                out[r] = (keys[back] == own[self.slot[item[r]]]).any(axis=1)
+        return out
+
+    def _check(self, word, begin, item, doc, left, right, best) -> None:
+        order = np.lexsort((right - left, self.size[item]))
+        lo = 0
+        while lo < len(order):
+            some = order[lo : lo + 1024]
+            cells = np.maximum.accumulate(right[some] - left[some]) * np.arange(1, len(some) + 1)
+            some = some[: max(1, int(np.searchsorted(cells, CELLS, "right")))]
+            lo += len(some)
+            m, length = item[some], right[some] - left[some]
             cols = np.arange(int(length.max()))
-            text = np.where(cols < length[:, None], word[np.minimum(left[:, None] + cols, len(word) - 1)], -1)
-            cost = edit_distances(self.word[m], self.size[m], text, length, True)
+            text = np.where(cols < length[:, None], word[np.minimum(left[some][:, None] + cols, len(word) - 1)], -1)
+            cost = edit_distances(self._padded(m), self.size[m], text, length, True)
             stop, edits = cost.argmin(axis=1), cost.min(axis=1)
-            for i in np.flatnonzero(edits <= k).tolist():
-                whole = self.word[m[i], : self.size[m[i]]][::-1]
-                back = text[i, : stop[i]][::-1]
-                way = edit_distances(whole[None], np.array([len(whole)]), back[None], np.array([len(back)]), False)[0]
-                found = int(left[i] + stop[i] - begin[d[i]])
-                key, value = (int(d[i]), int(m[i])), (int(edits[i]), found - int(way.argmin()), found)
+            for i in np.flatnonzero(edits <= self.edits[m]).tolist():
+                n, d = int(self.size[m[i]]), int(doc[some[i]])
+                key = (d, int(m[i]))
+                if key in best and best[key][0] < edits[i]:
+                    continue
+                whole = self.word[self.first[m[i]] : self.first[m[i]] + n][::-1]
+                back = text[i, max(0, stop[i] - n - int(edits[i])) : stop[i]][::-1]
+                way = edit_distances(whole[None], np.array([n]), back[None], np.array([len(back)]), False)[0]
+                found = int(left[some[i]] + stop[i] - begin[d])
+                value = (int(edits[i]), found - int(way.argmin()), found)
                 if key not in best or value < best[key]:
                     best[key] = value
 

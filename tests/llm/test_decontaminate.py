@@ -97,3 +97,16 @@ def test_cgk_walk_stops_at_the_window(spark):
     index = dc.LeakIndex([1], [["a", "b", "c", "d", "e"]])
     long, short = np.array([[1, 2, 3, 4, 5]]), np.array([[1, 2, 3, 9, 9]])
     assert (index.signatures(long, np.array([3]), 4) == index.signatures(short, np.array([3]), 4)).all()
+
+
+def test_long_items_at_exactly_k_edits():
+    rng = random.Random(11)
+    lengths = [10, 20, 40, 80, 100, 150, 300, 600]
+    items = [[f"w{rng.randrange(3000)}" for _ in range(n)] for n in lengths for _ in range(4)] + [["s", "t", "u", "v", "w"]] * 400
+    index = dc.LeakIndex(list(range(len(items))), items)
+    texts = [" ".join(["a"] * 30 + edited(rng, items[i % 32], int(index.edits[i % 32])) + ["b"] * 30) for i in range(160)]
+    got = {(d, m): e for d, m, e, _, _ in index.find(texts)}
+    for c, n in enumerate(lengths):
+        found = sum((i, i % 32) in got for i in range(160) if i % 32 // 4 == c)
+        assert found >= 19, n
+    assert all(e <= index.edits[m] for (_, m), e in got.items())
