@@ -44,6 +44,8 @@ MAX_REPEATS = 64
 LONGEST_EMBEDDED = 128
 #: Edited texts a length's recall is measured on.
 TRIALS = 400
+#: Walks (windows times repetitions) of one batch.
+WALKS = 1 << 15
 #: Cells of a row of the edit distances of one batch (or one stretch).
 CELLS = 1 << 19
 LONGEST_RUN = 4
@@ -147,25 +149,26 @@ class LeakIndex:
         return key
 
     def signatures(self, windows: np.ndarray, sizes: np.ndarray, repeats: int) -> np.ndarray:
-        """Keys (windows x repeats) of the sampled symbols of each window's CGK walks."""
+        """Keys (windows x repeats) of the sampled symbols of each window's CGK walks.
+
+        Only the symbols at the sampled times are kept; a batch holds at most WALKS walks."""
         out = np.zeros((len(windows), repeats), dtype=np.uint64)
-        symbol = np.hstack([_mixed(windows), np.zeros((len(windows), 1), dtype=np.uint64)])
-        symbol[np.arange(symbol.shape[1])[None, :] >= sizes[:, None]] = 0
+        rows_at_once = max(1, WALKS // repeats)
         with np.errstate(over="ignore"):
-            for lo in range(0, len(windows), 512):
-                rows, n = symbol[lo : lo + 512], sizes[lo : lo + 512]
+            for lo in range(0, len(windows), rows_at_once):
+                n = sizes[lo : lo + rows_at_once]
+                rows = np.hstack([_mixed(windows[lo : lo + rows_at_once]), np.zeros((len(n), 1), dtype=np.uint64)])
+                rows[np.arange(rows.shape[1])[None, :] >= n[:, None]] = 0
                 at = np.zeros((len(rows), repeats), dtype=np.int64)
-                trace = np.empty((3 * int(n.max()), len(rows), repeats), dtype=np.uint64)
                 line = np.arange(len(rows))[:, None]
-                for t in range(len(trace)):
+                when = (self.sample[None, :repeats] * 2 * n[:, None, None]).astype(np.int64)
+                key = _mixed(n)[:, None] + _mixed(np.arange(repeats))[None, :] * _MIX2
+                for t in range(int(when.max()) + 1):
                     seen = rows[line, at]
-                    trace[t] = seen
+                    r, c, s = np.nonzero(when == t)
+                    np.add.at(key, (r, c), seen[r, c] * self.blend[c, s])
                     at = np.minimum(at + ((seen * self.step[:repeats, t]) >> np.uint64(63)).astype(np.int64), n[:, None])
-                key = _mixed(n)[:, None] ^ _mixed(np.arange(repeats))[None, :]
-                for s in range(SAMPLED):
-                    when = (self.sample[None, :repeats, s] * 2 * n[:, None]).astype(np.int64)
-                    key = key + trace[when, line, np.arange(repeats)[None, :]] * self.blend[None, :repeats, s]
-                out[lo : lo + 512] = _mixed(key)
+                out[lo : lo + rows_at_once] = _mixed(key)
         return out
 
     def _needed_repeats(self, n: int) -> int | None:

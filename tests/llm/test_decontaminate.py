@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -110,3 +111,16 @@ def test_long_items_at_exactly_k_edits():
         found = sum((i, i % 32) in got for i in range(160) if i % 32 // 4 == c)
         assert found >= 19, n
     assert all(e <= index.edits[m] for (_, m), e in got.items())
+
+
+def test_a_very_long_item_takes_little_memory():
+    long = [f"w{i}" for i in range(2000)]
+    items = [long] + [[f"u{i}", f"v{i}", "x", "y", f"z{i}"] for i in range(3000)]
+    text = " ".join(["a"] * 50 + long[:900] + ["q"] * 20 + long[920:] + ["b"] * 50)
+    tracemalloc.start()
+    try:
+        got = dc.LeakIndex(list(range(len(items))), items).find([text])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == [(0, 0, 20, 50, 2050)] and peak < 150 << 20
