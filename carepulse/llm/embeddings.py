@@ -5,7 +5,8 @@ directions turned until their signs lose least (ITQ), one rotation from each of
 several random starts. A vector's sign codes are cut into segments; each segment is a
 table in which vectors of one label with an equal segment meet. Segment width follows
 the number of vectors (so buckets of unrelated vectors stay small) and the number of
-tables follows from it and the target recall. Vectors that meet are compared by the
+tables follows from it, the target recall and the angle that a pair at the threshold has
+as seen from the mean; vectors too near to the mean for that meet by codes about the origin. Vectors that meet are compared by the
 cosine of the original vectors in double precision; of a pair that meets in several
 tables only the first one counts it.
 
@@ -18,6 +19,7 @@ pair gives each vector's number of links and one link to the block's spanning fo
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,8 @@ BLOCK = 256
 CODE_BITS = 64
 TARGET_RECALL = 0.98
 ITQ_STEPS = 30
+#: Tables beyond which segments are made narrower.
+TABLES = 64
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -42,19 +46,35 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v**2).sum(axis=1, keepdims=True))
 
 
-def plan_tables(vectors: int, dims: int, threshold: float, target: float = TARGET_RECALL) -> tuple[int, int, int]:
+def plan_tables(vectors: int, dims: int, threshold: float, target: float = TARGET_RECALL, length: float = 1.0) -> tuple[int, int, int]:
     """(segment width, segments of a rotation, rotations) for so many vectors.
 
-    Vectors at the threshold differ in a sign with probability p = angle / pi, and share
-    a segment of w signs with (1 - p) ** w; tables are added until the chance to miss
-    in all of them is at most 1 - target.
+    Unit vectors at the threshold lie a chord apart; seen from a centre at least
+    ``length`` away from both, that chord is an angle. They differ in a sign with
+    probability p = angle / pi, and share a segment of w signs with (1 - p) ** w; tables
+    are added until the chance to miss in all of them is at most 1 - target. Segments
+    get narrower (and buckets larger) where that would take over ``TABLES`` tables.
     """
     bits = min(dims, CODE_BITS)
     width = min(bits, max(8, min(30, math.ceil(math.log2(max(2, vectors))))))
-    per = bits // width
-    share = (1 - math.acos(min(1.0, threshold)) / math.pi) ** width
-    tables = 1 if share >= 1 else math.ceil(math.log(1 - target) / math.log(1 - share))
-    return width, per, max(1, math.ceil(tables / per))
+    apart = math.acos(min(1.0, threshold))
+    if length != 1:
+        apart = 2 * math.asin(min(1.0, math.sin(apart / 2) / length))
+    while True:
+        share = (1 - apart / math.pi) ** width
+        tables = 1 if share >= 1 else math.ceil(math.log(1 - target) / math.log(1 - share)) if share else TABLES + 1
+        if tables <= TABLES or width <= 1:
+            per = bits // width
+            return width, per, max(1, math.ceil(tables / per))
+        width -= 1
+
+
+def centred_length(sample: np.ndarray, threshold: float) -> float:
+    """How far from the mean vectors must lie to be compared by centred codes: a little
+    less than nearly all do, but never so near that a pair's angle says nothing."""
+    chord = 2 * math.sin(math.acos(max(-1.0, min(1.0, threshold))) / 2)
+    far = np.sqrt(((sample - sample.mean(axis=0)) ** 2).sum(axis=1))
+    return max(1e-3, 1.5 * chord, 0.8 * float(np.quantile(far, 0.01)))
 
 
 def learn_rotations(sample: np.ndarray, rotations: int, seed: int = 42) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -86,22 +106,64 @@ def segment_keys(v: np.ndarray, mean: np.ndarray, maps: list[np.ndarray], width:
     return np.stack(keys, axis=1)
 
 
-def _coder(mean, maps, width, per):
+@dataclass
+class Codes:
+    """Centred codes for vectors at least ``near`` from the mean; the others (core), and
+    those within a chord of them, have codes about the origin, where the angle is their own."""
+
+    mean: np.ndarray
+    maps: list[np.ndarray]
+    plan: tuple[int, int]
+    origin_maps: list[np.ndarray]
+    origin_plan: tuple[int, int]
+    near: float
+    chord: float
+
+    @property
+    def centred(self) -> int:
+        return len(self.maps) * self.plan[1]
+
+    def keys(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows x tables) keys, centred ones first and -1 where a vector is not in a table, and core."""
+        far = np.sqrt(((v - self.mean) ** 2).sum(axis=1))
+        a = segment_keys(v, self.mean, self.maps, *self.plan)
+        b = segment_keys(v, np.zeros_like(self.mean), self.origin_maps, *self.origin_plan)
+        a[far < self.near] = -1
+        b[far >= self.near + self.chord + 1e-9] = -1
+        return np.hstack([a, b]), far < self.near
+
+
+def plan_codes(sample: np.ndarray, vectors: int, threshold: float) -> Codes:
+    """Tables for so many vectors like the sample's unit vectors."""
+    dims = sample.shape[1]
+    chord = 2 * math.sin(math.acos(max(-1.0, min(1.0, threshold))) / 2)
+    near = centred_length(sample, threshold)
+    width, per, rotations = plan_tables(vectors, dims, threshold, length=near)
+    mean, maps = learn_rotations(sample, rotations)
+    origin_width, origin_per, rotations = plan_tables(vectors, dims, threshold)
+    rng = np.random.default_rng(43)
+    origin = [np.linalg.qr(rng.standard_normal((dims, min(dims, CODE_BITS))))[0] for _ in range(rotations)]
+    return Codes(mean, maps, (width, per), origin, (origin_width, origin_per), near, chord)
+
+
+def _coder(codes: Codes):
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             v = unit(np.asarray(b.column(2).flatten(), dtype=np.float64).reshape(b.num_rows, -1))
-            keys = segment_keys(v, mean, maps, width, per)
+            keys, core = codes.keys(v)
             ends = np.arange(b.num_rows + 1, dtype=np.int32) * keys.shape[1]
             made = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], names=["gid", "label", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made, pa.array(core)], names=["gid", "label", "keys", "core"])
 
     return run
 
 
-def _compare(threshold: float):
-    """Groups (bucket, lo, hi), contiguous in the partition, to each vector's links and its root."""
+def _compare(threshold: float, centred: int):
+    """Groups (bucket, lo, hi), contiguous in the partition, to each vector's links and its root.
+
+    After the first ``centred`` tables only pairs with a core vector are compared."""
 
     def group(g: pd.DataFrame, out: list) -> None:
         lo, hi = g["lo"].iat[0], g["hi"].iat[0]
@@ -110,8 +172,13 @@ def _compare(threshold: float):
         gid, n, label, block = (g[c].to_numpy() for c in ("gid", "n", "label", "block"))
         t = int(g["t"].iat[0])
         link = (v @ v.T >= threshold) & (label[:, None] == label[None, :]) & (keys[:, None, t] == keys[None, :, t])
-        for earlier in range(t):
-            link &= keys[:, None, earlier] != keys[None, :, earlier]
+        for earlier in range(t if t < centred else centred):
+            link &= (keys[:, None, earlier] != keys[None, :, earlier]) | (keys[:, None, earlier] < 0)
+        if t >= centred:
+            core = g["core"].to_numpy(dtype=bool)
+            link &= core[:, None] | core[None, :]
+            for earlier in range(centred, t):
+                link &= keys[:, None, earlier] != keys[None, :, earlier]
         if lo != hi:
             link &= block[:, None] != block[None, :]
         np.fill_diagonal(link, False)
@@ -151,6 +218,28 @@ def _compare(threshold: float):
     return run
 
 
+def _linked(groups: DataFrame, dims: int, total: int, threshold: float) -> DataFrame:
+    """(gid, links, mate) of the ``total`` distinct vectors of ``dims`` components."""
+    sample = groups.orderBy(F.xxhash64("h1", "h2"), "h1").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
+    sample = unit(np.asarray(sample.flatten(), dtype=np.float64).reshape(len(sample), -1))
+    coder = plan_codes(sample, total, threshold)
+    codes = groups.select("gid", "label", "v").mapInArrow(_coder(coder), "gid long, label long, keys array<long>, core boolean")
+    codes = cut(codes)
+    slots = codes.select("gid", "label", "core", F.posexplode("keys").alias("t", "key")).where("key >= 0")
+    if not codes.where("core").limit(1).count():
+        slots = slots.where(F.col("t") < coder.centred)
+    slots = slots.select("gid", "t", F.xxhash64("label", "t", "key").alias("bucket"), (F.col("core") | (F.col("t") < coder.centred)).alias("worth"))
+    shared = cut(slots.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("count"), F.max("worth").alias("w")).where("count > 1 AND w").drop("w"))
+    met = slots.join(shared, slots["bucket"] == shared["b"]).select("gid", "t", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    met = met.withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("gid", "t", "bucket", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    full = groups.select(F.col("gid").alias("g"), "v", "n", "label").join(codes.select(F.col("gid").alias("g2"), "keys", "core"), F.col("g") == F.col("g2"))
+    dealt = met.join(full, F.col("gid") == F.col("g")).select("bucket", "lo", "hi", "t", "block", "gid", "label", "n", "v", "keys", "core")
+    dealt = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "gid")
+    return cut(dealt.mapInPandas(_compare(threshold, coder.centred), "gid long, links long, mate long"))
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
@@ -182,23 +271,8 @@ def near_duplicates(
     )
     groups = cut(groups.withColumn("gid", F.monotonically_increasing_id()))
     total = groups.count()
-    sample = groups.orderBy(F.xxhash64("h1", "h2"), "h1").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
     if total:
-        width, per, rotations = plan_tables(total, dims, threshold)
-        mean, maps = learn_rotations(unit(np.asarray(sample.flatten(), dtype=np.float64).reshape(len(sample), -1)), rotations)
-        codes = groups.select("gid", "label", "v").mapInArrow(_coder(mean, maps, width, per), "gid long, label long, keys array<long>")
-        codes = cut(codes)
-        slots = codes.select("gid", "label", F.posexplode("keys").alias("t", "key"))
-        slots = slots.select("gid", "t", F.xxhash64("label", "t", "key").alias("bucket"))
-        shared = cut(slots.groupBy(F.col("bucket").alias("b")).count().where("count > 1"))
-        met = slots.join(shared, slots["bucket"] == shared["b"]).select("gid", "t", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-        met = met.withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
-        met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = met.select("gid", "t", "bucket", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        full = groups.select(F.col("gid").alias("g"), "v", "n", "label").join(codes.select(F.col("gid").alias("g2"), "keys"), F.col("g") == F.col("g2"))
-        dealt = met.join(full, F.col("gid") == F.col("g")).select("bucket", "lo", "hi", "t", "block", "gid", "label", "n", "v", "keys")
-        dealt = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "gid")
-        found = cut(dealt.mapInPandas(_compare(threshold), "gid long, links long, mate long"))
+        found = _linked(groups, dims, total, threshold)
     else:
         found = vectors.sparkSession.createDataFrame([], "gid long, links long, mate long")
     links = found.groupBy(F.col("gid").alias("lg")).agg(F.sum("links").alias("links"))

@@ -75,3 +75,36 @@ def test_planned_tables_reach_the_target(rows):
     width, per, rotations = em.plan_tables(rows, 64, 0.98)
     share = (1 - np.arccos(0.98) / np.pi) ** width
     assert 1 - (1 - share) ** (per * rotations) >= em.TARGET_RECALL
+
+
+@pytest.mark.parametrize("kind", ["shifted", "one cluster", "far shifted"])
+def test_recall_at_the_threshold_whatever_the_mean(kind):
+    rng = np.random.default_rng(6)
+    if kind == "one cluster":
+        u = np.vstack([em.unit(np.eye(64)[0] + 0.05 * rng.normal(size=(3600, 64)) / 8), em.unit(rng.normal(size=(400, 64)))])
+    else:
+        c = 0.7 if kind == "shifted" else 0.85
+        u = em.unit(np.eye(64)[0] * np.sqrt(c) + np.sqrt(1 - c) * em.unit(rng.normal(size=(4000, 64))))
+    off = rng.normal(size=u.shape)
+    off = em.unit(off - (off * u).sum(axis=1, keepdims=True) * u)
+    v = 0.9801 * u + np.sqrt(1 - 0.9801**2) * off
+    sample = np.vstack([u, v])
+    codes = em.plan_codes(sample, 1_000_000, 0.98)
+    (a, core), (b, core_b) = codes.keys(u), codes.keys(v)
+    met = (a == b) & (a >= 0)
+    met[:, codes.centred :] &= (core | core_b)[:, None]
+    assert met.any(axis=1).mean() >= 0.96
+
+
+@pytest.mark.parametrize("kind", ["shifted", "one cluster"])
+def test_links_against_brute_force_whatever_the_mean(spark, kind):
+    rng = np.random.default_rng(8)
+    if kind == "one cluster":
+        base = np.vstack([em.unit(np.eye(32)[0] + 0.2 * em.unit(rng.normal(size=(700, 32)))), em.unit(rng.normal(size=(100, 32)))])
+    else:
+        base = em.unit(np.eye(32)[0] * np.sqrt(0.8) + np.sqrt(0.2) * em.unit(rng.normal(size=(800, 32))))
+    v = np.vstack([base, em.unit(base + 0.18 * em.unit(rng.normal(size=base.shape)))])
+    frame = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(v)], "vec_id long, label int, embedding array<double>")
+    got = em.near_duplicates(frame).toPandas().set_index("vec_id")["n_links"].loc[range(len(v))].to_numpy()
+    want = (em.unit(v) @ em.unit(v).T >= 0.98).sum(axis=1) - 1
+    assert (got <= want).all() and got.sum() >= 0.97 * want.sum()
