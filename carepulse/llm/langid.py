@@ -6,8 +6,9 @@ those with a 0. A text's bits are decoded to the codeword of the smallest loss,
 bit weighted by how well its classifier did in training. Where the second codeword is
 nearly as close the prediction is flagged as ambiguous.
 
-Learning takes a bounded sample, ``PER_LANG`` documents of each language by hash;
-prediction counts the n-grams of whole texts and sees the text alone.
+Every language of the training documents has a codeword. Learning takes a bounded
+sample by hash, ``PER_LANG`` documents of each language, or fewer of each where that is
+over ``FIT_ROWS`` in all (one at least); prediction counts the n-grams of whole texts and sees the text alone.
 """
 
 from __future__ import annotations
@@ -16,16 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, map_texts
+from .common import map_texts
 
 BINS = 4096
 PER_LANG = 800
-#: Languages are taken by their number of training documents, at most so many.
-MAX_LANGS = 64
+#: Documents the fit takes in all, shared equally where PER_LANG of each are more.
+FIT_ROWS = 16_000
 #: Ambiguous: the second codeword's share comes this near to the first one's.
 AMBIGUOUS = 0.1
 UNKNOWN = "und"
@@ -100,26 +101,42 @@ def _training_grams(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["y", "x"])
 
 
+def _sample(docs: DataFrame, ids: DataFrame, counted: list, per: int, id_col: str, text_col: str) -> DataFrame:
+    """(__y, __text): the ``per`` documents of each language whose ids' hashes are least.
+
+    Of each language only about twice as many ids as needed, by a bound on the hash, are
+    ranked, so no task gets a whole language.
+    """
+    spark = docs.sparkSession
+    bounds = [(r["__lang"], i, min(1.0, (2 * per + 50) / r["count"])) for i, r in enumerate(counted)]
+    bounds = spark.createDataFrame(bounds, "lang string, __y int, share double")
+    near = ids.join(F.broadcast(bounds), F.col("__lang") == F.col("lang")).withColumn("__h", F.xxhash64("__id"))
+    near = near.where((F.col("share") >= 1) | ((F.col("__h") / 2.0**64 + 0.5) < F.col("share")))
+    rank = F.row_number().over(Window.partitionBy("__y").orderBy("__h", "__id"))
+    chosen = near.select("__id", "__y", rank.alias("rank")).where(F.col("rank") <= per).drop("rank").dropDuplicates(["__id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    return texts.where("__text IS NOT NULL").join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).select("__y", "__text")
+
+
 def fit(docs: DataFrame, trained, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", steps: int = 150) -> LanguageModel | None:
     """The bit classifiers, fitted on the sample; None if no language is known."""
     named = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(lang_col).cast("string").alias("__lang")).where(F.col("__lang").isNotNull())
-    counted = named.where(trained).groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MAX_LANGS).collect()
-    languages = sorted(r["__lang"] for r in counted)
+    ids = named.where(trained).where(F.col("__id").isNotNull()).distinct()
+    counted = sorted(ids.groupBy("__lang").count().collect(), key=lambda r: r["__lang"])
+    languages = [r["__lang"] for r in counted]
     if not languages:
         return None
-    known = F.lit(None).cast("int")
-    for i, name in enumerate(languages):
-        known = F.when(F.col("__lang") == name, F.lit(i)).otherwise(known)
-    labels = named.select("__id", known.alias("__code"))
-    sample = labelled_sample(docs, labels.withColumnRenamed("__id", id_col), "__code", trained, PER_LANG, id_col, text_col, range(len(languages)))
-    rows = sample.mapInArrow(_training_grams, "y int, x array<float>").toArrow()
+    per = max(1, min(PER_LANG, FIT_ROWS // len(languages)))
+    rows = _sample(docs, ids, counted, per, id_col, text_col).mapInArrow(_training_grams, "y int, x array<float>").toArrow()
     y = np.asarray(rows.column("y").combine_chunks(), dtype=np.int64)
     x = np.asarray(rows.column("x").combine_chunks().flatten(), dtype=np.float32).reshape(-1, BINS)
+    del rows
     code = codewords(len(languages))
     if not len(y):
         return None
     mean, scale = x.mean(axis=0), x.std(axis=0) + np.float32(1e-3)
-    x = (x - mean) / scale
+    x = x - mean
+    x /= scale
     target = (code[y] > 0).astype(np.float32)
     weight = 1.0 / np.bincount(y, minlength=len(languages))[y] / len(set(y.tolist()))
     w, b = np.zeros((BINS, code.shape[1]), dtype=np.float32), np.zeros(code.shape[1], dtype=np.float32)

@@ -162,3 +162,17 @@ def test_held_out_labels_change_nothing(spark, tables):
     turned = labels.withColumn("quality", F.when(remainder("doc_id", 3) == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality.fit(docs, x, remainder("__id", 3) != 1, steps=5) for x in (labels, turned))
     assert np.allclose(a.mean, b.mean) and np.allclose(a.weights, b.weights)
+
+
+def test_more_languages_than_before_are_all_told_apart(spark):
+    """90 languages, each with words of its own."""
+    rng = np.random.default_rng(3)
+    lexicon = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size=(12, 5)).ravel()) for _ in range(90)]
+    words = [[x[i : i + 5] for i in range(0, 60, 5)] for x in lexicon]
+    rows = [(90 * j + i, " ".join(rng.choice(words[i], 30)), f"l{i:02d}") for i in range(90) for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.col("__id") >= 180)
+    assert len(model.languages) == 90
+    got = langid.predict(docs.where("doc_id < 180"), model, ["doc_id", "lang"]).collect()
+    assert {r["lang"] for r in got} == set(model.languages)
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
