@@ -19,7 +19,8 @@ n words is leaked where some stretch of a document is within k = floor((1 - simi
    the window.
 
 The benchmark is the stated query set and goes to the tasks in blocks of bounded size
-(``BLOCK_WORDS`` words, or one item); documents are scanned without a shuffle.
+(``BLOCK_WORDS`` words, or one item), one block after the other; documents are scanned
+without a shuffle, and only the numbers of leaked rows are joined.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filter_texts, text_slices
+from .common import cut, text_slices
 
 SIMILARITY = 0.8
 BLOCK_WORDS = 250_000
@@ -306,16 +307,28 @@ class LeakIndex:
 def index_blocks(benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "item_id", text_col: str = "text"):
     """The benchmark's items as LeakIndex blocks, one after the other (bounded by words)."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    words = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    words = rows.mapInArrow(_count_words, "words long").agg(F.sum("words")).first()[0] or 0
     blocks = max(1, -(-int(words) // BLOCK_WORDS))
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()
-        items = [(r["id"], words_of(r["text"])) for r in part]
-        items = [x for x in items if x[1]]
+        items, size = [], 0
+        for r in part:
+            found = words_of(r["text"])
+            if items and size + len(found) > BLOCK_WORDS:
+                yield LeakIndex([x[0] for x in items], [x[1] for x in items], similarity)
+                items, size = [], 0
+            if found:
+                items.append((r["id"], found))
+                size += len(found)
         if items:
             yield LeakIndex([x[0] for x in items], [x[1] for x in items], similarity)
 
 
+def _count_words(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len(words_of(t)) for t in batch.column(1).to_pylist()], pa.int64())], names=["words"])
+
+
 _FOUND = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -354,21 +367,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     inner = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     found = None
     for index in index_blocks(benchmark, similarity):
-        part = inner.mapInArrow(_search(index), _FOUND)
+        # Written block by block, so that a task and the driver hold one index at a time.
+        part = cut(inner.mapInArrow(_search(index), _FOUND))
         found = part if found is None else found.union(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], _FOUND)
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, as they are, in which no benchmark item is found."""
-
-    def start(index):
-        def accept(texts):
-            hit = {x[0] for x in index.find(texts)}
-            return [i not in hit for i in range(len(texts))]
-
-        return lambda: accept
-
+    """The rows of ``docs``, as they are, in which no benchmark item is found.
+
+    The input is written once with row numbers; each block's rows are searched and the
+    numbers of the leaked ones written before the next block is made."""
+    number = "__row"
+    while number.lower() in (c.lower() for c in docs.columns):
+        number += "_"
+    rows, leaked = None, None
     for index in index_blocks(benchmark, similarity):
-        docs = filter_texts(docs, text_col, start(index))
-    return docs
+        if rows is None:
+            rows = cut(docs.withColumn(number, F.monotonically_increasing_id()))
+        texts = rows.select(F.col(number).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+        part = cut(texts.mapInArrow(_search(index), _FOUND).select(F.col("doc_id").alias("__leaked")).distinct())
+        leaked = part if leaked is None else leaked.union(part)
+    if rows is None:
+        return docs
+    return rows.join(leaked, F.col(number) == F.col("__leaked"), "left_anti").drop(number)

@@ -124,3 +124,16 @@ def test_a_very_long_item_takes_little_memory():
     finally:
         tracemalloc.stop()
     assert got == [(0, 0, 20, 50, 2050)] and peak < 150 << 20
+
+
+def test_blocks_are_searched_one_after_the_other(spark, monkeypatch):
+    """No plan holds more than one block's index, and blocks are bounded by words as they are indexed."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    whole = sorted(r["doc_id"] for r in dc.drop_leaked(docs, benchmark).collect())
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 300)
+    kept = dc.drop_leaked(docs, benchmark)
+    plans = [x._jdf.queryExecution().toString() for x in (kept, dc.find_leaks(docs, benchmark))]
+    assert not any("MapInArrow" in x for x in plans) and sorted(r["doc_id"] for r in kept.collect()) == whole
+    joined = spark.createDataFrame([(i, "-".join(f"w{i}x{j}" for j in range(50))) for i in range(40)], "item_id long, text string")
+    assert all(len(x.word) <= 300 for x in dc.index_blocks(joined))
