@@ -1,6 +1,7 @@
 """Benchmark passages in documents: CGK embedding, bit-sampling LSH, exact edit check.
 
-Texts are word sequences (lower-cased runs of letters and digits). A benchmark item of
+Texts are word sequences (lower-cased runs of letters and digits; in scripts without
+spaces each character, with its marks, is a word). A benchmark item of
 n words is leaked where some stretch of a document is within k = floor((1 - similarity)
 * n) word edits of it. Documents are compared in item-sized windows:
 
@@ -26,6 +27,7 @@ without a shuffle, and only the numbers of leaked rows are joined.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -50,7 +52,16 @@ WALKS = 1 << 15
 #: Cells of a row of the edit distances of one batch (or one stretch).
 CELLS = 1 << 19
 LONGEST_RUN = 4
-WORD = re.compile(r"[^\W_]+")
+#: Scripts written without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, kana, bopomofo, Han.
+_UNSPACED = (
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3031, 0x3035),
+    (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+_ALONE = "".join(f"{chr(a)}-{chr(b)}" for a, b in _UNSPACED)
+_MARKS = "".join(chr(c) for a, b in _UNSPACED[:-1] for c in range(a, b + 1) if unicodedata.category(chr(c))[0] == "M")
+#: A character of those scripts with its marks, or a run of other letters and digits.
+WORD = re.compile(rf"(?![\W_])[{_ALONE}][{_MARKS}]*|[^\W_{_ALONE}]+")
 
 #: Repetitions by (length, similarity, seed), measured once in a process.
 _measured: dict[tuple[int, float, int], int | None] = {}

@@ -137,3 +137,12 @@ def test_blocks_are_searched_one_after_the_other(spark, monkeypatch):
     assert not any("MapInArrow" in x for x in plans) and sorted(r["doc_id"] for r in kept.collect()) == whole
     joined = spark.createDataFrame([(i, "-".join(f"w{i}x{j}" for j in range(50))) for i in range(40)], "item_id long, text string")
     assert all(len(x.word) <= 300 for x in dc.index_blocks(joined))
+
+
+def test_scripts_without_spaces():
+    assert dc.words_of("Ab1_c 漢字かな x") == ["ab1", "c", "漢", "字", "か", "な", "x"]
+    assert dc.words_of("กำ ที่") == ["กำ"[0], "กำ"[1], "ที่"]
+    item, other = "天地玄黄宇宙洪荒日月盈昃", "ภาษาไทยไม่มีช่องว่างระหว่างคำ"
+    index = dc.LeakIndex([1, 2], [dc.words_of(item), dc.words_of(other)])
+    texts = ["他说" + item + "是开头", "他说" + item.replace("宙", "空") + "是开头", "好" + other + "ครับ", "天地日月"]
+    assert [(d, m, e) for d, m, e, _, _ in index.find(texts)] == [(0, 0, 0), (1, 0, 1), (2, 1, 0)]
