@@ -15,12 +15,15 @@ logistic curve over the strongest few, each word counted once, turns a document
 probability, moved so that THRESHOLD falls where training documents are told apart best.
 
 Learning takes a bounded sample (``PER_CLASS`` documents of each label, at most
-``SENTENCES`` sentences of each, by hash); scoring covers every word of every text.
+``SENTENCES`` sentences of each, by hash, longer ones than ``SENTENCE_CHARS`` in pieces);
+toxic sentences without a word like one of the ``LANDMARKS`` telling ones are not learned
+from. Scoring covers every word of every text.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -54,7 +57,10 @@ _EDGE = 63
 #: Digits and signs that stand for a letter.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
-_SENTENCE = re.compile(r"[.!?\n]+")
+_SENTENCE = re.compile(r"[.!?\n。！？｡؟۔।॥]+")
+#: A longer sentence is learned from in pieces, cut at white space where there is some.
+SENTENCE_CHARS = 2000
+_NO_MODEL = "toxicity: both labels are there but {}; without a model every score is 0 and no document is dropped"
 _STRIP = ".,;:!?\"'()[]{}<>«»¡¿…"
 
 
@@ -167,14 +173,23 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(strongest @ self.slopes + self.offset, -30, 30)))
 
 
+def _sentence_pieces(sentence: str) -> list[str]:
+    out = []
+    while len(sentence) > SENTENCE_CHARS:
+        at = max((m.start() for m in re.finditer(r"\s", sentence[:SENTENCE_CHARS])), default=SENTENCE_CHARS)
+        out.append(sentence[:at])
+        sentence = sentence[at:].strip()
+    return [p for p in [*out, sentence] if p]
+
+
 def _training_sentences(batches):
     """(y, document, sentence) of at most SENTENCES sentences of each document, by hash."""
     for batch in batches:
         out = []
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            parts = sorted({s.strip() for s in _SENTENCE.split(text) if s.strip()}, key=lambda s: zlib.crc32(s.encode("utf-8", "replace")))
+            parts = sorted({p for s in _SENTENCE.split(text) for p in _sentence_pieces(s.strip())}, key=lambda s: zlib.crc32(s.encode("utf-8", "replace")))
             doc = zlib.crc32(text.encode("utf-8", "replace"))
-            out += [(y, doc, s) for s in parts[:SENTENCES] if len(s) <= 2000]
+            out += [(y, doc, s) for s in parts[:SENTENCES]]
         cols = list(zip(*out)) or [[], [], []]
         yield pa.RecordBatch.from_arrays(
             [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["y", "doc", "sentence"]
@@ -280,6 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, trained, label: str = "toxic", id_co
     sample = cut(labelled_sample(docs, labels, label, trained, PER_CLASS, id_col, text_col))
     rows = sample.mapInArrow(_training_sentences, "y int, doc long, sentence string").toPandas()
     if rows["y"].nunique() < 2:
+        if sample.select("__y").distinct().count() > 1:
+            warnings.warn(_NO_MODEL.format("the documents of one label have no sentence"), stacklevel=2)
         return None
     rows = rows.sort_values(["doc", "sentence", "y"], ignore_index=True)
     number: dict[str, int] = {"": 0}
@@ -298,6 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained, label: str = "toxic", id_co
     del word, before, pairs, label
     marks, ordinary = _landmarks(vocabulary, clean, toxic)
     if not marks:
+        warnings.warn(_NO_MODEL.format("no string stands out in toxic documents"), stacklevel=2)
         return None
     telling = len(marks)
     marks = marks + ordinary
@@ -317,6 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained, label: str = "toxic", id_co
         counts = np.sqrt(counts)  # rare words are to be told apart as well
         weight = counts / np.where(kind == 1, counts[kind == 1].sum(), counts[kind == 0].sum())
         if len(set(kind.tolist())) < 2:
+            warnings.warn(_NO_MODEL.format("no sentence is left of one of the labels"), stacklevel=2)
             return None
         x = values[pick] @ whiten
         w, b = _fit_svm(x, kind, 0.5 * weight)

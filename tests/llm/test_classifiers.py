@@ -176,3 +176,21 @@ def test_more_languages_than_before_are_all_told_apart(spark):
     got = langid.predict(docs.where("doc_id < 180"), model, ["doc_id", "lang"]).collect()
     assert {r["lang"] for r in got} == set(model.languages)
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
+
+
+def test_long_training_sentences_are_learned_from_in_pieces(spark):
+    text = " ".join(f"word{i}" for i in range(600)) + " " + "x" * 4500
+    parts = toxicity._sentence_pieces(text)
+    assert all(0 < len(p) <= 2000 for p in parts) and "".join(parts).replace(" ", "") == text.replace(" ", "")
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([text])], names=["y", "t"])
+    (out,) = toxicity._training_sentences([batch])
+    assert sorted(out.column(2).to_pylist()) == sorted(set(parts))
+
+
+def test_a_fit_without_a_model_warns(spark):
+    docs = spark.createDataFrame([(i, "the same words in every document") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    with pytest.warns(UserWarning, match="no document is dropped"):
+        assert toxicity.fit(docs, labels, F.lit(True)) is None
