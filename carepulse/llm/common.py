@@ -76,6 +76,51 @@ def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         first = last
 
 
+class IdCache:
+    """Id lists of strings solved before, kept flat. Beyond ``limit`` strings the half that
+    was used least goes, so frequent strings are never solved twice in a task.
+
+    ``solve(strings)`` gives one int32 array for each of a list of distinct strings.
+    """
+
+    def __init__(self, solve: Callable[[list[str]], list[np.ndarray]], limit: int):
+        self.solve, self.limit = solve, limit
+        self.number: dict[str, int] = {}
+        self.ids, self.size, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int64)
+
+    def _drop_rare(self) -> None:
+        keep = np.zeros(len(self.number), dtype=bool)
+        keep[np.argsort(-self.used, kind="stable")[: self.limit // 2]] = True
+        old = np.flatnonzero(keep)
+        place = np.cumsum(keep) - 1
+        self.number = {s: int(place[k]) for s, k in self.number.items() if keep[k]}
+        self.ids = self.ids[np.repeat(keep, self.size)]
+        self.size, self.used = self.size[old], self.used[old] // 2
+        self.at = np.cumsum(self.size) - self.size
+
+    def ids_of(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The id lists of ``strings`` one after the other, and how long each is."""
+        if len(self.number) > self.limit:
+            self._drop_rare()
+        new = [s for s in set(strings) if s not in self.number]
+        if new:
+            lists = self.solve(new)
+            for s in new:
+                self.number[s] = len(self.number)
+            self.ids = np.concatenate([self.ids, *lists])
+            self.size = np.append(self.size, np.array([len(x) for x in lists], dtype=np.int64))
+            self.used = np.append(self.used, np.zeros(len(new), dtype=np.int64))
+            self.at = np.cumsum(self.size) - self.size
+        if not strings:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        which = np.array(list(map(self.number.__getitem__, strings)), dtype=np.int64)
+        self.used += np.bincount(which, minlength=len(self.used))
+        size = self.size[which]
+        stop = np.cumsum(size)
+        return self.ids[np.arange(stop[-1]) + np.repeat(self.at[which] - (stop - size), size)], size
+
+
 def map_texts(
     df: DataFrame, text: str, keep: list[str], fields: list[T.StructField], start: Callable[[], Callable]
 ) -> DataFrame:
