@@ -152,6 +152,76 @@ def kpi_div_sql(num: str, den: str) -> Sql:
 
 
 # ------------------------------------------------------------ exact sums
+# A sum is made of parts: scalar expressions of one cell, each of which is summed on its
+# own (by any number of partial aggregates, in any order), and a last expression over the
+# summed parts. The gold state table stores summed parts, so sums of further rows can be
+# added to them later.
+LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
+_LIMB = 22  # bits; limbs of 22, 22 and 20 bits can be summed over 2**41 rows
+_UNITS_LOW = 4096
+
+
+def long_sum_parts(c: str) -> dict[str, Sql]:
+    """The limbs of a whole number (the uppermost one is signed)."""
+    x, mask = _ref(c), 2**_LIMB - 1
+    return {
+        "hi": Sql(f"shiftright({x}, {2 * _LIMB})"),
+        "mid": Sql(f"shiftright({x}, {_LIMB}) & {mask}L"),
+        "lo": Sql(f"{x} & {mask}L"),
+    }
+
+
+def long_sum_of_parts(part: Callable[[str], str]) -> Sql:
+    """The exact sum of whole numbers from their summed limbs, as a long; a sum beyond the
+    range of a long is the nearest end of that range."""
+    hi, mid, lo = (f"CAST({part(p)} AS DECIMAL(20,0))" for p in ("hi", "mid", "lo"))
+    total = f"{hi} * {2 ** (2 * _LIMB)}BD + {mid} * {2**_LIMB}BD + {lo}"
+    return Sql(f"CAST(least(greatest({total}, {LONG_MIN}BD), {LONG_MAX}BD) AS BIGINT)")
+
+
+def wide_sum_long_sql(c: str) -> Sql:
+    """Sum of a long column that never overflows: exact where it fits a long, else the
+    largest (or smallest) long. NULL over no values, as ``sum``."""
+    parts = long_sum_parts(c)
+    return long_sum_of_parts(lambda p: f"sum({parts[p]})")
+
+
+def double_sum_parts(c: str, scale: int = MONEY_SCALE) -> dict[str, Sql]:
+    """The parts of a double: the nearest whole number, the rest in ``long`` units of
+    10**-scale (in two limbs), and what the rest holds beyond those decimals.
+
+    The last part is 0 unless the rest holds more than the value's own rounding error.
+    """
+    x = _ref(c)
+    unit = _double(10**scale)
+    rest = f"({x} - rint({x})) * {unit}"
+    units = f"CAST(rint({rest}) AS BIGINT)"
+    finer = f"({rest} - rint({rest}))"
+    parts = {
+        "whole": Sql(f"rint({x})"),
+        "units": Sql(units),
+        "fine": Sql(f"CASE WHEN abs({finer}) > {unit} * abs({x}) * 2.3E-16D + 1E-9D THEN {finer} ELSE 0.0D END"),
+    }
+    if scale > MONEY_SCALE:  # sums of wider units are kept in two limbs
+        parts["units"] = Sql(f"{units} & {_UNITS_LOW - 1}L")
+        parts["tens"] = Sql(f"shiftright({units}, {_UNITS_LOW.bit_length() - 1})")
+    return parts
+
+
+def double_sum_of_parts(part: Callable[[str], str], scale: int = MONEY_SCALE) -> Sql:
+    """The sum, as a double, from the summed parts of ``double_sum_parts``."""
+    unit = _double(10**scale)
+    whole, fine = part("whole"), part("fine")
+    units = f"CAST({part('units')} AS DECIMAL(38,0))"
+    if scale > MONEY_SCALE:
+        units = f"CAST(CAST({part('tens')} AS DECIMAL(20,0)) * {_UNITS_LOW}BD + CAST({part('units')} AS DECIMAL(20,0)) AS DECIMAL(38,0))"
+    return Sql(
+        f"CASE WHEN abs({whole}) < 9007199254740992D THEN "
+        f"CAST(CAST({whole} AS DECIMAL(38,0)) * CAST({10**scale} AS DECIMAL(10,0)) + {units} AS DOUBLE) / {unit} "
+        f"ELSE {whole} + CAST({units} AS DOUBLE) / {unit} END + {fine} / {unit}"
+    )
+
+
 def exact_sum_double_sql(c: str, scale: int = MONEY_SCALE) -> Sql:
     """Order-independent sum of a double column, as double; safe for every finite cell.
 
@@ -163,18 +233,8 @@ def exact_sum_double_sql(c: str, scale: int = MONEY_SCALE) -> Sql:
     and the result does not depend on the order of rows. No cell is dropped, and
     none fails the job: beyond 2**53 the sum is a plain double sum.
     """
-    x = _ref(c)
-    unit = _double(10**scale)
-    rest = f"({x} - rint({x})) * {unit}"
-    whole = f"sum(rint({x}))"
-    units = f"sum(CAST(rint({rest}) AS BIGINT))"
-    finer = f"({rest} - rint({rest}))"
-    fine = f"sum(CASE WHEN abs({finer}) > {unit} * abs({x}) * 2.3E-16D + 1E-9D THEN {finer} ELSE 0.0D END)"
-    return Sql(
-        f"CASE WHEN abs({whole}) < 9007199254740992D THEN "
-        f"CAST(CAST({whole} AS DECIMAL(38,0)) * CAST({10**scale} AS DECIMAL(10,0)) + CAST({units} AS DECIMAL(38,0)) AS DOUBLE) / {unit} "
-        f"ELSE {whole} + {units} / {unit} END + {fine} / {unit}"
-    )
+    parts = double_sum_parts(c, scale)
+    return double_sum_of_parts(lambda p: f"sum({parts[p]})", scale)
 
 
 def exact_avg_sql(c: str, scale: int = AVG_SCALE) -> Sql:

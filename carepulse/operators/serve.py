@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import PROVIDER_READ_COLUMNS, STATE_READ_COLUMNS, TOP_N, TOP_TABLE_COLUMNS, ZERO_FILL_COLUMNS
-from ..functions.expr import Sql, aliased, exact_sum_double_sql, ident, kpi_div_sql, select_names, year_date_sql
+from ..functions.expr import Sql, aliased, exact_sum_double_sql, ident, kpi_div_sql, select_names, wide_sum_long_sql, year_date_sql
 from .quantiles import box_summary
 
 
@@ -81,14 +81,14 @@ def kpis(df: DataFrame, keys: list[str]) -> DataFrame:
     """Total payment, beneficiaries and service days, and the two per-unit KPIs.
 
     A sum over no values is 0 and a KPI with a zero denominator is 0, as on the
-    dashboard (unlike the gold ratios, which are NULL there).
+    dashboard (unlike the gold ratios, which are NULL there). A count beyond the range of
+    a long is the largest long, here as in the gold tables.
     """
     agg = df.groupBy(*keys).agg(
         F.expr(
             aliased(f"coalesce({exact_sum_double_sql('total_medicare_payment_amt')}, 0.0D)", "total_medicare_payment_amt")
         ),
-        F.expr("CAST(coalesce(sum(total_distinct_benes), 0) AS BIGINT) AS total_distinct_benes"),
-        F.expr("CAST(coalesce(sum(total_service_days), 0) AS BIGINT) AS total_service_days"),
+        *[F.expr(aliased(f"coalesce({wide_sum_long_sql(c)}, 0L)", c)) for c in ("total_distinct_benes", "total_service_days")],
     )
     return agg.selectExpr(
         "*",

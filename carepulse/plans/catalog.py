@@ -310,12 +310,12 @@ def _kpis_sql(src: str, keys: list[str]) -> str:
     k = O.cols(keys)
     return f"""SELECT {k},
   coalesce(CAST(sum(CAST(total_medicare_payment_amt AS DECIMAL(38,4))) AS DOUBLE), 0) AS total_medicare_payment_amt,
-  CAST(coalesce(sum(total_distinct_benes), 0) AS BIGINT) AS total_distinct_benes,
-  CAST(coalesce(sum(total_service_days), 0) AS BIGINT) AS total_service_days,
+  coalesce({O.long_sum_sql("total_distinct_benes")}, 0) AS total_distinct_benes,
+  coalesce({O.long_sum_sql("total_service_days")}, 0) AS total_service_days,
   coalesce(CAST(sum(CAST(total_medicare_payment_amt AS DECIMAL(38,4))) AS DOUBLE)
-           / NULLIF(CAST(coalesce(sum(total_distinct_benes), 0) AS DOUBLE), 0), 0) AS avg_pay_per_bene,
+           / NULLIF(CAST({O.long_sum_sql("total_distinct_benes")} AS DOUBLE), 0), 0) AS avg_pay_per_bene,
   coalesce(CAST(sum(CAST(total_medicare_payment_amt AS DECIMAL(38,4))) AS DOUBLE)
-           / NULLIF(CAST(coalesce(sum(total_service_days), 0) AS DOUBLE), 0), 0) AS avg_pay_per_service_day
+           / NULLIF(CAST({O.long_sum_sql("total_service_days")} AS DOUBLE), 0), 0) AS avg_pay_per_service_day
 FROM {src} GROUP BY {k}"""
 
 

@@ -115,7 +115,7 @@ fx_prov AS (
     'PROVIDER' AS SMRY_CTGRY,
     CASE WHEN ls = 'O' THEN 'CY' ELSE 'FY' END AS YEAR_TYPE,
     CAST(y AS VARCHAR) AS "YEAR",
-    CASE WHEN (s_suppkey + y) % 17 = 0 THEN '0' ELSE CAST(CAST(qty AS BIGINT) AS VARCHAR) END AS TOT_SRVC_DAYS,
+    CASE WHEN s_suppkey % 41 = 7 AND y = 1997 THEN '6000000000000000000' WHEN (s_suppkey + y) % 17 = 0 THEN '0' ELSE CAST(CAST(qty AS BIGINT) AS VARCHAR) END AS TOT_SRVC_DAYS,
     CAST(n AS VARCHAR) AS TOT_EPSD_STAY_CNT,
     CASE WHEN (s_suppkey + 2 * y) % 29 = 0 THEN '0' ELSE CAST(n_cust AS VARCHAR) END AS BENE_DSTNCT_CNT,
     CASE WHEN (s_suppkey + y) % 31 = 0 THEN '-' || CAST(pay AS VARCHAR) ELSE CAST(pay AS VARCHAR) END AS TOT_MDCR_PYMT_AMT,
@@ -174,9 +174,14 @@ def silver_select(src: str = "bronze") -> str:
 
 
 # ------------------------------------------------------------------------ gold
+def long_sum_sql(x: str) -> str:
+    """The exact sum; beyond the range of a BIGINT the nearest end of it."""
+    return f"CAST(least(greatest(sum({x}), -9223372036854775808), 9223372036854775807) AS BIGINT)"
+
+
 def _measure_sql(kind: str, src: str) -> str:
     if kind == "sum_long":
-        return f"CAST(sum({q(src)}) AS BIGINT)"
+        return long_sum_sql(q(src))
     if kind == "sum_money":
         return f"CAST(sum(CAST({q(src)} AS {MONEY})) AS DOUBLE)"
     if kind == "avg":

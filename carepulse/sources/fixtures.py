@@ -88,7 +88,8 @@ def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SMRY_CTGRY": f"'{PROVIDER_LEVEL}'",
         "YEAR_TYPE": "CASE WHEN ls = 'O' THEN 'CY' ELSE 'FY' END",
         "YEAR": "CAST(y AS STRING)",
-        "TOT_SRVC_DAYS": "CASE WHEN (s_suppkey + y) % 17 = 0 THEN '0' ELSE CAST(CAST(qty AS BIGINT) AS STRING) END",
+        # Two counts of 6e18 in one group do not fit a long.
+        "TOT_SRVC_DAYS": "CASE WHEN s_suppkey % 41 = 7 AND y = 1997 THEN '6000000000000000000' WHEN (s_suppkey + y) % 17 = 0 THEN '0' ELSE CAST(CAST(qty AS BIGINT) AS STRING) END",
         "TOT_EPSD_STAY_CNT": "CAST(n AS STRING)",
         # Missing and negative ratios, and cells that do not parse.
         "BENE_DSTNCT_CNT": "CASE WHEN (s_suppkey + 2 * y) % 29 = 0 THEN '0' ELSE CAST(n_cust AS STRING) END",
