@@ -88,7 +88,7 @@ def kpis(df: DataFrame, keys: list[str]) -> DataFrame:
         F.expr(
             aliased(f"coalesce({exact_sum_double_sql('total_medicare_payment_amt')}, 0.0D)", "total_medicare_payment_amt")
         ),
-        *[F.expr(aliased(f"coalesce({wide_sum_long_sql(c)}, 0L)", c)) for c in ("total_distinct_benes", "total_service_days")],
+        *[F.expr(aliased(f"coalesce({wide_sum_long_sql(Sql(f'CAST({ident(c)} AS BIGINT)'))}, 0L)", c)) for c in ("total_distinct_benes", "total_service_days")],
     )
     return agg.selectExpr(
         "*",
