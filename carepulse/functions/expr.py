@@ -176,7 +176,8 @@ def long_sum_of_parts(part: Callable[[str], str]) -> Sql:
     range of a long is the nearest end of that range."""
     hi, mid, lo = (f"CAST({part(p)} AS DECIMAL(20,0))" for p in ("hi", "mid", "lo"))
     total = f"{hi} * {2 ** (2 * _LIMB)}BD + {mid} * {2**_LIMB}BD + {lo}"
-    return Sql(f"CAST(least(greatest({total}, {LONG_MIN}BD), {LONG_MAX}BD) AS BIGINT)")
+    end = f"CASE WHEN ({total}) > 0 THEN {LONG_MAX}L WHEN ({total}) < 0 THEN CAST({LONG_MIN}BD AS BIGINT) END"
+    return Sql(f"coalesce(try_cast(({total}) AS BIGINT), {end})")
 
 
 def wide_sum_long_sql(c: str) -> Sql:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..contracts import (
     GOLD_PROVIDER_BANDS,
@@ -19,6 +20,7 @@ from ..contracts import (
     GOLD_STATE_KEYS,
     GOLD_STATE_MEASURES,
     GOLD_STATE_RATIOS,
+    gold_provider_schema,
 )
 from ..functions.expr import (
     AVG_SCALE,
@@ -103,6 +105,14 @@ def _state_columns() -> list[str]:
     return [N_ROWS] + [_part_column(out, p) for out, kind, src in GOLD_PROVIDER_MEASURES for p in _parts(kind, src)]
 
 
+def gold_parts_schema() -> T.StructType:
+    """Provider keys, the number of rows and the summed parts, as the job stores them."""
+    doubles = ("whole", "fine")
+    parts = [(_part_column(out, p), T.DoubleType() if p in doubles else T.LongType()) for out, kind, src in GOLD_PROVIDER_MEASURES for p in _parts(kind, src)]
+    keys = [f for f in gold_provider_schema().fields if f.name in GOLD_PROVIDER_KEYS]
+    return T.StructType(keys + [T.StructField(N_ROWS, T.LongType())] + [T.StructField(n, t) for n, t in parts])
+
+
 def gold_state_parts(silver: DataFrame) -> DataFrame:
     """The mergeable state of the provider-level rows of ``silver``, by the provider table's keys."""
     parts = [aliased(x, _part_column(out, p)) for out, kind, src in GOLD_PROVIDER_MEASURES for p, x in _parts(kind, src).items()]

@@ -12,7 +12,7 @@ import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import (
@@ -25,20 +25,31 @@ from ..contracts import (
     TOP_N,
     TOP_TABLE_COLUMNS,
     ZERO_FILL_COLUMNS,
+    gold_provider_schema,
+    gold_state_schema,
     silver_schema,
 )
 from ..functions.expr import aliased, ident, select_names
 from ..functions.sql import register_sql_functions
 from ..operators import serve
-from ..operators.gold import build_gold_provider, build_gold_state, gold_provider_base
+from ..operators.gold import (
+    build_gold_provider,
+    build_gold_state,
+    finish_gold_provider,
+    finish_gold_state,
+    gold_provider_base,
+    gold_state_parts,
+    merge_gold_states,
+)
 from ..operators.silver import build_silver, provider_level, suppression_audit
 from ..session import app_key, run_dir
 from ..sources.bronze import read_bronze, read_landing, write_landing
 from ..sources.fixtures import write_bronze_from_test_tables
 from ..sources.sinks import read_table
-from ..streaming.incremental import load_available, newest_drop, read_loaded
+from ..sources.snapshots import read_snapshot
+from ..streaming.incremental import load_available, newest_drop, read_ledger, read_loaded
 from . import oracle as O
-from .job import read_gold, run_job
+from .job import audit_history, read_gold, run_arrivals, run_job
 
 # Slice parameters of the dashboard-style reads (present at every test scale).
 YEAR = 1998
@@ -46,11 +57,10 @@ CATEGORY = "SNF"
 STATE = "NATION_19"
 # Years before this one are landed without the COPD column (an older file layout).
 LEGACY_LAYOUT_BEFORE = 1996
-# The incremental load gets years <= SPLIT_YEAR first, then years >= SPLIT_YEAR
-# (the split year is sent twice).
+# The split year of the incremental load is sent twice (see ``arrived``).
 SPLIT_YEAR = 1998
 
-_prepared: dict[tuple[str, str], dict] = {}
+_prepared: dict[tuple, dict] = {}
 _lock = threading.Lock()
 
 
@@ -244,19 +254,80 @@ def q_multi_year_union(spark, sf_dir):
     return read_landing(spark, [f"{root}/landing_year=*"])
 
 
+def arrived(spark: SparkSession, sf_dir: str) -> dict:
+    """A streamed table and the tables carried on from it, once per application.
+
+    Three drops arrive one after the other, each written by Spark as several part files:
+    the years up to SPLIT_YEAR with wrong service days in that year; the later years (all
+    records new, so they are merged); SPLIT_YEAR again, rightly (resolved anew). The names
+    say nothing about the order.
+    """
+    key = (app_key(spark), sf_dir, "arrived")
+    all_rows = bronze(spark, sf_dir)
+    with _lock:
+        if key not in _prepared:
+            root = run_dir(spark, "stream")
+            landing, table, ckpt, out = (f"{root}/{d}" for d in ("landing", "bronze", "checkpoint", "tables"))
+            year = F.col("YEAR").try_cast("int")
+            wrong = F.when(year == SPLIT_YEAR, F.lit("1")).otherwise(F.col("TOT_SRVC_DAYS"))
+            drops = [
+                ("drop-9", all_rows.where(year <= SPLIT_YEAR).withColumn("TOT_SRVC_DAYS", wrong)),
+                ("drop-10", all_rows.where(year > SPLIT_YEAR)),
+                ("again", all_rows.where(year == SPLIT_YEAR)),
+            ]
+            for name, rows in drops:
+                rows.repartition(3).write.json(f"{landing}/{name}")
+                load_available(spark, landing, table, ckpt)
+                run_arrivals(spark, table, out)
+            _prepared[key] = {"bronze": table, "out": out}
+        return _prepared[key]
+
+
 def q_incremental_bronze(spark, sf_dir):
-    """Two landing drops (the split year in both), drained by two availableNow runs;
-    each written by Spark as several part files; the newest drop wins per record, so
-    nothing is counted twice."""
-    root = run_dir(spark, "stream")
-    landing, table, ckpt = f"{root}/landing", f"{root}/bronze", f"{root}/checkpoint"
-    b = bronze(spark, sf_dir)
-    year = F.col("YEAR").try_cast("int")
-    b.where(year <= SPLIT_YEAR).repartition(3).write.json(f"{landing}/drop-0001")
-    load_available(spark, landing, table, ckpt)
-    b.where(year >= SPLIT_YEAR).repartition(3).write.json(f"{landing}/drop-0002")
-    load_available(spark, landing, table, ckpt)
-    return newest_drop(read_loaded(spark, table))
+    """The drops as landed, resolved by arrival: the record sent last counts, and none twice."""
+    return newest_drop(read_loaded(spark, arrived(spark, sf_dir)["bronze"]), by="arrival")
+
+
+def q_load_ledger(spark, sf_dir):
+    """The ledger of the drops: the order of arrival, rows and years touched."""
+    ledger = read_ledger(spark, arrived(spark, sf_dir)["bronze"])
+    return ledger.select(
+        F.col("_drop").alias("drop_name"),
+        F.dense_rank().over(Window.orderBy("_sequence")).cast("long").alias("arrival"),
+        "n_rows",
+        "n_corrupt",
+        F.array_join(F.col("years").cast("array<string>"), ",").alias("years"),
+        F.col("undated").cast("int").alias("undated"),
+    )
+
+
+def q_arrivals_gold_provider(spark, sf_dir):
+    """Gold provider after the drops were carried on one by one (added, merged, replaced)."""
+    return read_snapshot(spark, arrived(spark, sf_dir)["out"], "gold_provider", gold_provider_schema())
+
+
+def q_arrivals_gold_state(spark, sf_dir):
+    return read_snapshot(spark, arrived(spark, sf_dir)["out"], "gold_state", gold_state_schema())
+
+
+def q_arrivals_audit_history(spark, sf_dir):
+    """The audits of all three loads, by the ledger batch they end with."""
+    return audit_history(spark, arrived(spark, sf_dir)["out"])
+
+
+def _merged_state(spark, sf_dir):
+    """The gold state merged from the states of the fiscal and the calendar rows."""
+    rows = silver_table(spark, sf_dir)
+    parts = [gold_state_parts(rows.where(c)) for c in ("YEAR_TYPE = 'FY'", "YEAR_TYPE IS DISTINCT FROM 'FY'")]
+    return merge_gold_states(parts[0].unionByName(parts[1]))
+
+
+def q_merged_gold_provider(spark, sf_dir):
+    return finish_gold_provider(_merged_state(spark, sf_dir))
+
+
+def q_merged_gold_state(spark, sf_dir):
+    return finish_gold_state(_merged_state(spark, sf_dir))
 
 
 def q_sql_function_ratio(spark, sf_dir):
@@ -301,6 +372,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jsonl_roundtrip": q_jsonl_roundtrip,
     "multi_year_union": q_multi_year_union,
     "incremental_bronze": q_incremental_bronze,
+    "load_ledger": q_load_ledger,
+    "arrivals_gold_provider": q_arrivals_gold_provider,
+    "arrivals_gold_state": q_arrivals_gold_state,
+    "arrivals_audit_history": q_arrivals_audit_history,
+    "merged_gold_provider": q_merged_gold_provider,
+    "merged_gold_state": q_merged_gold_state,
     "sql_function_ratio": q_sql_function_ratio,
 }
 
@@ -432,6 +509,23 @@ def oracle_statements() -> dict[str, str]:
         "jsonl_roundtrip": w("SELECT * FROM bronze"),
         "multi_year_union": _multi_year_sql(),
         "incremental_bronze": w("SELECT * FROM bronze"),
+        "load_ledger": w(
+            "SELECT drop_name, CAST(arrival AS BIGINT) AS arrival, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_corrupt, "
+            "string_agg(DISTINCT \"YEAR\", ',' ORDER BY \"YEAR\") AS years, 0 AS undated FROM bronze JOIN "
+            f"(VALUES ('drop-9', 1, 0, {SPLIT_YEAR}), ('drop-10', 2, {SPLIT_YEAR + 1}, 9999), ('again', 3, {SPLIT_YEAR}, {SPLIT_YEAR})) "
+            'd(drop_name, arrival, lo, hi) ON TRY_CAST("YEAR" AS INTEGER) BETWEEN lo AND hi GROUP BY 1, 2'
+        ),
+        "arrivals_gold_provider": w(f"SELECT {O.GOLD_PROVIDER_COLS} FROM gold_provider"),
+        "arrivals_gold_state": w(f"SELECT {O.GOLD_STATE_COLS} FROM gold_state"),
+        "arrivals_audit_history": O.audit_sql(
+            [
+                ("batches to 0", f'TRY_CAST("YEAR" AS INTEGER) <= {SPLIT_YEAR}', f'TRY_CAST("YEAR" AS INTEGER) = {SPLIT_YEAR}'),
+                ("batches to 1", f'TRY_CAST("YEAR" AS INTEGER) > {SPLIT_YEAR}', "false"),
+                ("batches to 2", f'TRY_CAST("YEAR" AS INTEGER) = {SPLIT_YEAR}', "false"),
+            ]
+        ),
+        "merged_gold_provider": w(f"SELECT {O.GOLD_PROVIDER_COLS} FROM gold_provider"),
+        "merged_gold_state": w(f"SELECT {O.GOLD_STATE_COLS} FROM gold_state"),
         "sql_function_ratio": w(
             'SELECT "YEAR", service_category, provider_state, '
             f"{O.safe_div_sql('total_medicare_payment_amt', 'total_distinct_benes')} AS pay_per_bene_sql, "

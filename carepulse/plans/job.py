@@ -1,26 +1,30 @@
-"""The batch job: bronze -> silver -> gold provider + gold state.
+"""The batch job: bronze -> silver -> gold provider + gold state, committed together.
 
-Silver is written once and read back for both gold builds, so the raw table is
-scanned and typed once, and each gold build reads only the Parquet columns it
-needs (the source job scanned and cast the raw table three times).
+The raw table is scanned and typed once: silver is written, and the gold state (summed
+parts of every measure by provider key, see ``operators.gold``) is aggregated from it.
+Both gold tables are finished from that state, which is much smaller than silver. All
+tables of a load, its audit included, become visible at once (``sources.snapshots``).
 
-    python -m carepulse.plans.job --bronze PATH [--format parquet|json|table] [--incremental] --out ROOT
+    python -m carepulse.plans.job --bronze PATH [--format parquet|json|table] --out ROOT
+    python -m carepulse.plans.job --bronze PATH --out ROOT --dynamic-overwrite   # replace the years of this input
+    python -m carepulse.plans.job --bronze PATH --out ROOT --add                 # records that were not there before
+    python -m carepulse.plans.job --bronze STREAMED --incremental --out ROOT     # what the ledger has since the last run
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import gold_provider_schema, gold_state_schema, silver_schema
-from ..operators.gold import build_gold_provider, build_gold_state
+from ..operators.gold import finish_gold_provider, finish_gold_state, gold_parts_schema, gold_state_parts, merge_gold_states
 from ..operators.silver import build_silver, suppression_audit
 from ..sources.bronze import corrupt_landing_lines, read_bronze
-from ..sources.sinks import read_table, write_table
-from ..streaming.incremental import corrupt_lines, newest_drop, read_loaded
+from ..sources.sinks import read_table
+from ..sources.snapshots import UNDATED, Load, load_snapshot, read_folders
+from ..streaming.incremental import BATCH, arrivals, corrupt_lines, newest_drop, read_loaded, resends
 
 
 # Settings for a large run, applied by the job's entry point only where the
@@ -43,54 +47,99 @@ def settings_to_apply(explicit: set[str]) -> dict[str, str]:
     return {k: v for k, v in SCALE_DEFAULTS.items() if k not in explicit}
 
 
-def _with_earlier_undated(silver: DataFrame, path: str) -> DataFrame:
-    """``silver`` plus the earlier rows without a valid year that it does not hold itself.
-
-    Rows whose YEAR does not parse share one partition, whichever load they came from,
-    so a partial rerun must not replace that partition with its own rows alone. Earlier
-    rows are matched by value (EXCEPT ALL), so running a load twice changes nothing.
-    """
-    try:
-        earlier = read_table(silver.sparkSession, path, silver_schema()).where("YEAR_DATE IS NULL")
-    except AnalysisException:  # nothing written yet
-        return silver
-    return silver.unionByName(earlier.exceptAll(silver.where("YEAR_DATE IS NULL")))
+TABLES = ("silver", "gold_parts", "gold_provider", "gold_state")
+_SILVER_ORDER = ["summary_category", "provider_state", "service_category"]
+_GOLD_ORDER = ["service_category", "provider_state"]
 
 
 def run_job(
-    spark: SparkSession, bronze: DataFrame, out_root: str, dynamic_overwrite: bool = False, quarantine: DataFrame | None = None
+    spark: SparkSession,
+    bronze: DataFrame,
+    out_root: str,
+    dynamic_overwrite: bool = False,
+    quarantine: DataFrame | None = None,
+    load: str | None = None,
+    add: bool = False,
+    touched: set[str] | None = None,
+    last_batch: int | None = None,
 ) -> dict:
-    """Write silver, gold provider, gold state and the audit under ``out_root``; return their paths.
-
-    With ``dynamic_overwrite`` only this load's years are aggregated and replaced. The
-    audit is of this load's bronze. ``quarantine`` (lines that did not parse) is written
-    beside them.
+    """One load: silver, the gold state, both gold tables and the audit, as the next snapshot
+    of ``out_root``; returns their paths (the audit's, and the quarantine's, is this load's).
+
+    By default the tables hold this load only. With ``dynamic_overwrite`` it replaces the
+    years it has rows of (and those of ``touched``, as partition values); with ``add`` its
+    rows are records that were not there before: they join silver, and their gold state is
+    merged with that of their years, so silver written earlier is not read. Rows without a
+    valid year replace those of the load of the same name (``load``; by default the plan's
+    hash), of all loads if ``touched`` names them. ``quarantine`` holds lines that did not
+    parse. If anything fails, what readers see stays as it was.
     """
-    paths = {name: f"{out_root}/{name}" for name in ("silver", "gold_provider", "gold_state", "audit")}
-    new = build_silver(bronze)
-    write_table(
-        _with_earlier_undated(new, paths["silver"]) if dynamic_overwrite else new,
-        paths["silver"],
-        cluster_by=["summary_category", "provider_state", "service_category"],
-        dynamic_overwrite=dynamic_overwrite,
-    )
-    silver = read_table(spark, paths["silver"], silver_schema())
-    if dynamic_overwrite:
-        # The years of this load: a few numbers, so a plain list prunes the scan.
-        years = [r["YEAR_DATE"] for r in new.select("YEAR_DATE").distinct().collect()]
-        dated = F.col("YEAR_DATE").isin([y for y in years if y is not None])
-        silver = silver.where(dated | F.col("YEAR_DATE").isNull() if None in years else dated)
-    for name, build in (("gold_provider", build_gold_provider), ("gold_state", build_gold_state)):
-        write_table(build(silver), paths[name], cluster_by=["service_category", "provider_state"], dynamic_overwrite=dynamic_overwrite)
-    # Silver's counts stand for this bronze only if the table holds nothing else.
-    audit = suppression_audit(bronze) if dynamic_overwrite else suppression_audit(bronze, silver)
-    write_table(audit, paths["audit"], partition_by=None)
+    if add and dynamic_overwrite:
+        raise ValueError("a load either adds records or replaces years")
+    name = load if load is not None else f"plan-{bronze.semanticHash()}"
+    run = Load(spark, out_root, name, "add" if add else "years" if dynamic_overwrite else "all")
+    years = run.write("silver", build_silver(bronze), cluster_by=_SILVER_ORDER, touched=touched)
+    own = read_folders(spark, out_root, "silver", [f"silver/{run.folder}/YEAR_DATE={y}" for y in sorted(years)], silver_schema())
+    changed = years | (touched or set())
+    if add:
+        # Untouched years are not read, nor are earlier rows of the touched ones.
+        earlier = run.read("gold_parts", gold_parts_schema(), years)
+        parts = merge_gold_states(gold_state_parts(own).unionByName(earlier))
+    elif UNDATED in years and dynamic_overwrite:
+        # Undated rows of other loads count into the same groups.
+        undated = run.read("silver", silver_schema(), {UNDATED})
+        parts = gold_state_parts(own.where("YEAR_DATE IS NOT NULL").unionByName(undated))
+    else:
+        parts = gold_state_parts(own)
+    run.write("gold_parts", parts, cluster_by=_GOLD_ORDER, replace="years", touched=changed)
+    state = run.read("gold_parts", gold_parts_schema(), changed)
+    for table, finish in (("gold_provider", finish_gold_provider), ("gold_state", finish_gold_state)):
+        run.write(table, finish(state), cluster_by=_GOLD_ORDER, replace="years", touched=changed)
+    paths = {table: f"{out_root}/{table}" for table in TABLES}
+    # The valid counts come from this load's silver rows, so no cell is parsed twice.
+    paths["audit"] = run.write_history("audit", suppression_audit(bronze, own))
     if quarantine is not None:
-        paths["quarantine"] = f"{out_root}/quarantine"
-        write_table(quarantine, paths["quarantine"], partition_by=None)
+        paths["quarantine"] = run.write_history("quarantine", quarantine)
+    run.commit(last_batch)
     return paths
 
 
+def run_arrivals(spark: SparkSession, streamed: str, out_root: str) -> dict | None:
+    """Carries the streamed table's drops that arrived since the last snapshot on to silver
+    and gold; None if there are none.
+
+    Only the years that the ledger names are read. If no record of theirs was there before,
+    the new rows are added and their gold state merged; else these years are resolved anew
+    (the newest arrival of each record counts) and replaced.
+    """
+    before = load_snapshot(spark, out_root)
+    after = before.last_batch if before else None
+    news = arrivals(spark, streamed, after)
+    if news.last_batch is None:
+        return None
+    loaded = read_loaded(spark, streamed).where(F.col(BATCH) <= news.last_batch)
+    name = f"batches to {news.last_batch}"
+    if after is None:
+        return run_job(spark, newest_drop(loaded, by="arrival"), out_root, quarantine=corrupt_lines(loaded), load=name, last_batch=news.last_batch)
+    new = loaded.where(F.col(BATCH) > after)
+    bad = corrupt_lines(new)
+    if not resends(loaded, after, news.years, news.undated):
+        rows = newest_drop(new, by="arrival")
+        return run_job(spark, rows, out_root, quarantine=bad, load=name, add=True, last_batch=news.last_batch)
+    rows = newest_drop(loaded, years=news.years, by="arrival", undated=news.undated)
+    touched = {f"{y:04d}-01-01" for y in news.years} | ({UNDATED} if news.undated else set())
+    return run_job(spark, rows, out_root, True, bad, load=name, touched=touched, last_batch=news.last_batch)
+
+
+def audit_history(spark: SparkSession, out_root: str) -> DataFrame:
+    """The audits of all loads that the latest snapshot has, with the load's name."""
+    snapshot = load_snapshot(spark, out_root)
+    audits = snapshot.tables["audit"][""]
+    names = spark.createDataFrame([(f[0].split("load=")[1], n) for n, f in audits.items()], "load string, load_name string")
+    paths = [f"{out_root}/{f}" for fs in audits.values() for f in fs]
+    return spark.read.option("basePath", f"{out_root}/audit").parquet(*paths).join(names, "load").drop("load")
+
+
 def read_gold(spark: SparkSession, paths: dict) -> tuple[DataFrame, DataFrame]:
     """(gold provider, gold state) read back with their contracts, in contract column order."""
     return (
@@ -104,9 +153,11 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--bronze", required=True)
     ap.add_argument("--format", default="parquet")
     ap.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="an option of the input's reader")
-    ap.add_argument("--incremental", action="store_true", help="--bronze is a streamed table; only the newest drop of each record counts")
+    ap.add_argument("--incremental", action="store_true", help="--bronze is a streamed table: take what arrived since the last run")
     ap.add_argument("--out", required=True)
     ap.add_argument("--dynamic-overwrite", action="store_true", help="replace only the years present")
+    ap.add_argument("--add", action="store_true", help="the input's records were not there before: merge them")
+    ap.add_argument("--load", help="name of the load (its undated rows replace those of the same name); default: the input")
     args = ap.parse_args(argv)
     joined = SparkSession.getActiveSession()
     spark = SparkSession.builder.appName("carepulse-job").getOrCreate()
@@ -115,16 +166,14 @@ def main(argv: list[str] | None = None) -> None:
         for key, value in settings_to_apply(explicit).items():
             spark.conf.set(key, value)
     options = dict(o.split("=", 1) for o in args.option)
-    quarantine = None
+    out = args.out.rstrip("/")
     if args.incremental:
-        loaded = read_loaded(spark, args.bronze)
-        bronze, quarantine = newest_drop(loaded), corrupt_lines(loaded)
+        paths = run_arrivals(spark, args.bronze, out)
     else:
         bronze = read_bronze(spark, args.bronze, args.format, **options)
-        if args.format == "json":
-            quarantine = corrupt_landing_lines(spark, [args.bronze], **options)
-    paths = run_job(spark, bronze, args.out, args.dynamic_overwrite, quarantine)
-    print(paths)
+        quarantine = corrupt_landing_lines(spark, [args.bronze], **options) if args.format == "json" else None
+        paths = run_job(spark, bronze, out, args.dynamic_overwrite, quarantine, load=args.load or args.bronze, add=args.add)
+    print(paths or "nothing new")
 
 
 if __name__ == "__main__":

@@ -176,7 +176,7 @@ def silver_select(src: str = "bronze") -> str:
 # ------------------------------------------------------------------------ gold
 def long_sum_sql(x: str) -> str:
     """The exact sum; beyond the range of a BIGINT the nearest end of it."""
-    return f"CAST(least(greatest(sum({x}), -9223372036854775808), 9223372036854775807) AS BIGINT)"
+    return f"CASE WHEN sum({x}) IS NOT NULL THEN CAST(least(greatest(sum({x}), -9223372036854775808), 9223372036854775807) AS BIGINT) END"
 
 
 def _measure_sql(kind: str, src: str) -> str:
@@ -240,19 +240,24 @@ GOLD_PROVIDER_COLS = cols(gold_provider_columns())
 GOLD_STATE_COLS = cols(gold_state_columns())
 
 
-def audit_sql() -> str:
+def audit_sql(loads: list[tuple[str, str, str]] | None = None) -> str:
+    """The audit of all rows; or of each (name, rows of the load, rows whose service days
+    were sent as '1')."""
     kinds = {raw: kind for raw, _, kind in SILVER_MAPPING}
     silver_of = {raw: silver for raw, silver, _ in SILVER_MAPPING}
     parts = []
-    for raw in NUMERIC_BRONZE_COLUMNS:
-        x = f"CAST({q(raw)} AS VARCHAR)"
-        good = f"({(to_long_sql if kinds[raw] == 'long' else to_double_sql)(x)} IS NOT NULL)"
-        supp = f"({x} = '*')"
-        parts.append(
-            f"SELECT '{raw}' AS source_column, '{silver_of[raw]}' AS silver_column, "
-            f"count(*) AS n_rows, count(*) FILTER (WHERE {x} IS NULL) AS n_null, "
-            f"count(*) FILTER (WHERE {supp}) AS n_suppressed, "
-            f"count(*) FILTER (WHERE {x} IS NOT NULL AND NOT {supp} AND NOT {good}) AS n_bad, "
-            f"count(*) FILTER (WHERE {good}) AS n_valid FROM bronze"
-        )
+    for name, rows, wrong in loads or [(None, "true", "false")]:
+        for raw in NUMERIC_BRONZE_COLUMNS:
+            x = f"CAST({q(raw)} AS VARCHAR)"
+            if raw == "TOT_SRVC_DAYS" and wrong != "false":
+                x = f"(CASE WHEN {wrong} THEN '1' ELSE {x} END)"
+            good = f"({(to_long_sql if kinds[raw] == 'long' else to_double_sql)(x)} IS NOT NULL)"
+            supp = f"({x} = '*')"
+            parts.append(
+                f"SELECT {f'{chr(39)}{name}{chr(39)} AS load_name, ' if name else ''}'{raw}' AS source_column, '{silver_of[raw]}' AS silver_column, "
+                f"count(*) AS n_rows, count(*) FILTER (WHERE {x} IS NULL) AS n_null, "
+                f"count(*) FILTER (WHERE {supp}) AS n_suppressed, "
+                f"count(*) FILTER (WHERE {x} IS NOT NULL AND NOT {supp} AND NOT {good}) AS n_bad, "
+                f"count(*) FILTER (WHERE {good}) AS n_valid FROM bronze WHERE {rows}"
+            )
     return with_all("\nUNION ALL\n".join(parts))

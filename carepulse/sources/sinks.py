@@ -59,8 +59,16 @@ def read_table(
 
     ``partitionBy`` moves the partition column to the end on read; the explicit
     schema keeps its type (DATE) and the final select restores the order. A named
-    table brings its own schema.
+    table brings its own schema. A table of the job's output root is read as its latest
+    snapshot has it.
     """
+    if path and not table:
+        from .snapshots import load_snapshot, read_snapshot
+
+        root, _, name = path.rstrip("/").rpartition("/")
+        snapshot = load_snapshot(spark, root) if root else None
+        if snapshot and name in snapshot.tables:
+            return read_snapshot(spark, root, name, schema, snapshot.number)
     if table:
         df = spark.read.options(**options).table(table)
     else:
