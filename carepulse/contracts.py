@@ -276,3 +276,11 @@ def gold_provider_schema() -> T.StructType:
 def gold_state_schema() -> T.StructType:
     """state_year_summary: 4 keys, 4 sums, 3 averages, 4 ratios."""
     return _gold_schema(GOLD_STATE_KEYS, GOLD_STATE_MEASURES, GOLD_STATE_RATIOS, [])
+
+
+def gold_sketches_schema() -> T.StructType:
+    """Sketches of episodes per beneficiary: one per slice and risk band."""
+    keys = ["YEAR", "YEAR_DATE", "service_category", "provider_state", "risk_band"]
+    fields = [_field(k, _KEY_TYPES.get(k, T.StringType()), "grouping key") for k in keys]
+    stats = [("n", T.LongType()), ("min", T.DoubleType()), ("max", T.DoubleType()), ("sketch", T.BinaryType())]
+    return T.StructType(fields + [_field(n, t, "of the zero-filled episodes per beneficiary") for n, t in stats])

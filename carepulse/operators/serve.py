@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..contracts import PROVIDER_READ_COLUMNS, STATE_READ_COLUMNS, TOP_N, TOP_TABLE_COLUMNS, ZERO_FILL_COLUMNS
 from ..functions.expr import Sql, aliased, exact_sum_double_sql, ident, kpi_div_sql, select_names, wide_sum_long_sql, year_date_sql
 from .quantiles import box_summary
+from .sketches import box_of_sketches, merge_sketches, sketch_values
 
 
 # ----------------------------------------------------------------- slice scans
@@ -47,6 +48,23 @@ def load_provider_data(gold_provider: DataFrame, year: int, service_category: st
     return select_names(gold_provider.where(_slice_filter(year, service_category)), PROVIDER_READ_COLUMNS)
 
 
+def load_slices(gold: DataFrame, selections: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of many slices at once: those of ``gold`` whose (YEAR, service_category, and
+    provider_state where ``selections`` has it) are among ``selections``.
+
+    The selections' years reach the scan at run time (dynamic partition pruning on
+    YEAR_DATE), as the years of one slice do at planning time. The result is the union of
+    the single reads: a slice selected twice counts once, NULL selects nothing.
+    """
+    keys = ["YEAR", "service_category"] + (["provider_state"] if "provider_state" in selections.columns else [])
+    # Years outside the calendar have no partition; the condition also marks the selections
+    # as selective, without which the optimizer doesn't prune by them.
+    wanted = selections.where("`YEAR` BETWEEN 1 AND 9999").selectExpr(*[f"{ident(k)} AS {ident('_' + k)}" for k in keys]).distinct()
+    wanted = wanted.selectExpr("*", aliased(year_date_sql("_YEAR"), "_YEAR_DATE"))
+    cond = " AND ".join(f"{ident(k)} = {ident('_' + k)}" for k in ["YEAR_DATE", *keys])
+    return select_names(gold.join(wanted, F.expr(cond), "left_semi"), columns)
+
+
 def zero_fill(df: DataFrame, columns: list[str] = ZERO_FILL_COLUMNS) -> DataFrame:
     """Coerce the measure columns to double; NULL or non-numeric becomes 0."""
     fill = set(columns)
@@ -175,3 +193,18 @@ def episodes_box_by_risk(provider_rows: DataFrame) -> DataFrame:
     over the zero-filled provider rows (as the provider page plots them)."""
     keys = ["YEAR", "service_category", "provider_state", "risk_band"]
     return box_summary(zero_fill(provider_rows, ["episodes_per_bene"]), keys, "episodes_per_bene")
+
+
+SKETCH_KEYS = ["YEAR", "YEAR_DATE", "service_category", "provider_state", "risk_band"]
+
+
+def episode_sketches(provider_rows: DataFrame) -> DataFrame:
+    """One sketch of the zero-filled episodes per beneficiary for every slice and risk band,
+    to be stored beside the gold tables."""
+    return sketch_values(zero_fill(provider_rows, ["episodes_per_bene"]), SKETCH_KEYS, "episodes_per_bene")
+
+
+def episodes_box_of_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """The distribution by risk band over any coarser grouping of the slices (``keys``), from
+    their sketches alone."""
+    return box_of_sketches(merge_sketches(sketches, keys), keys)

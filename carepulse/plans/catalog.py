@@ -26,11 +26,12 @@ from ..contracts import (
     TOP_TABLE_COLUMNS,
     ZERO_FILL_COLUMNS,
     gold_provider_schema,
+    gold_sketches_schema,
     gold_state_schema,
     silver_schema,
 )
-from ..functions.expr import aliased, ident, select_names
-from ..functions.sql import register_sql_functions
+from ..functions.expr import aliased, ident, select_names, wide_sum_long_sql
+from ..functions.sql import register_sql_functions, register_table_functions
 from ..operators import serve
 from ..operators.gold import (
     build_gold_provider,
@@ -43,9 +44,9 @@ from ..operators.gold import (
 )
 from ..operators.silver import build_silver, provider_level, suppression_audit
 from ..session import app_key, run_dir
-from ..sources.bronze import read_bronze, read_landing, write_landing
+from ..sources.bronze import drift_report, read_bronze, read_landing, read_landing_rescued, write_landing
 from ..sources.fixtures import write_bronze_from_test_tables
-from ..sources.sinks import read_table
+from ..sources.sinks import read_table, write_bucketed
 from ..sources.snapshots import read_snapshot
 from ..streaming.incremental import load_available, newest_drop, read_ledger, read_loaded
 from . import oracle as O
@@ -344,6 +345,100 @@ def q_sql_function_ratio(spark, sf_dir):
     )
 
 
+SKETCH_BOX_KEYS = ["service_category", "provider_state", "risk_band"]
+
+
+def q_episodes_box_all_years(spark, sf_dir):
+    """The box summary over all years, from the stored sketches of the slices."""
+    sketches = read_table(spark, prepared(spark, sf_dir)["gold_sketches"], gold_sketches_schema())
+    return serve.episodes_box_of_sketches(sketches, SKETCH_BOX_KEYS)
+
+
+def q_provider_read_selections(spark, sf_dir):
+    """Provider rows of many slices at once; the slices are read from a table."""
+    gp, gs = gold(spark, sf_dir)
+    return serve.load_slices(gp, gs.where(_SELECTION).select("YEAR", "service_category", "provider_state"), PROVIDER_READ_COLUMNS)
+
+
+def q_state_read_selections(spark, sf_dir):
+    """State summary rows of whole (year, category) slices that hold one state's low payments."""
+    _, gs = gold(spark, sf_dir)
+    return serve.load_slices(gs, gs.where(_SELECTION).select("YEAR", "service_category"), STATE_READ_COLUMNS)
+
+
+_SELECTION = f"`YEAR` >= {YEAR} AND provider_state = '{STATE}' AND service_category <> 'HH'"
+
+
+def _table_functions(spark, sf_dir):
+    gp, gs = gold(spark, sf_dir)
+    register_sql_functions(spark)
+    register_table_functions(spark, _view(gp, "carepulse_gold_provider"), _view(gs, "carepulse_gold_state"))
+
+
+def q_sql_top_slice(spark, sf_dir):
+    """Top providers of every state of one slice through the SQL table function, with the
+    bands recomputed by the scalar ones."""
+    _table_functions(spark, sf_dir)
+    return spark.sql(
+        f"SELECT t.provider_id, t.pay_rank, t.pay_per_bene, t.risk_band, risk_band(t.avg_bene_risk_score) AS risk_band_sql "
+        f"FROM top_slice({YEAR}L, '{CATEGORY}', NULL, {TOP_N}) t"
+    )
+
+
+def q_sql_state_slice(spark, sf_dir):
+    _table_functions(spark, sf_dir)
+    return spark.sql(f"SELECT * FROM state_slice({YEAR}L, '{CATEGORY}')")
+
+
+def q_sql_provider_slice(spark, sf_dir):
+    _table_functions(spark, sf_dir)
+    return spark.sql(f"SELECT * FROM provider_slice({YEAR}L, '{CATEGORY}', '{STATE}')")
+
+
+# Fields that the landed rows bear beside the contract, from DRIFT_YEAR on.
+DRIFT_YEAR = 1999
+
+
+def q_landing_drift(spark, sf_dir):
+    """Rows of later years bear a new field, and one field under a new name; the rescued
+    values and the report's counts per field."""
+    root = f"{run_dir(spark, 'drift')}/landing"
+    later = f"try_cast(`YEAR` AS INT) >= {DRIFT_YEAR}"
+    cols = [c for c in BRONZE_COLUMNS if c != "PRVDR_CITY"]
+    landed = bronze(spark, sf_dir).selectExpr(
+        *[ident(c) for c in cols],
+        f"CASE WHEN NOT ({later}) THEN PRVDR_CITY END AS PRVDR_CITY",
+        f"CASE WHEN {later} THEN PRVDR_CITY END AS PRVDR_TOWN",
+        f"CASE WHEN {later} THEN named_struct('open', TOT_EPSD_STAY_CNT) END AS BEDS",
+    )
+    write_landing(landed, root)
+    rescued = read_landing_rescued(spark, [root])
+    values = rescued.groupBy(
+        "YEAR", F.expr("variant_get(_rescued, '$.PRVDR_TOWN', 'string') AS town")
+    ).agg(F.count(F.lit(1)).alias("n"), F.expr("CAST(sum(variant_get(_rescued, '$.BEDS.open', 'bigint')) AS BIGINT) AS beds"))
+    fields = drift_report(rescued).where("kind = 'extra'").groupBy("field").agg(F.sum("n_rows").alias("n"))
+    return values.selectExpr("'value' AS kind", "`YEAR` AS name", "town", "n", "beds").unionByName(
+        fields.selectExpr("'field' AS kind", "field AS name", "CAST(NULL AS STRING) AS town", "n", "CAST(NULL AS BIGINT) AS beds")
+    )
+
+
+def q_bucketed_provider_totals(spark, sf_dir):
+    """Silver as a bucketed catalog table, aggregated by provider without an exchange."""
+    key = (app_key(spark), sf_dir, "bucketed")
+    out = prepared(spark, sf_dir)["silver"].rpartition("/")[0]
+    with _lock:
+        if key not in _prepared:
+            name = f"carepulse_silver_{uuid.uuid4().hex[:12]}"
+            rows = read_table(spark, f"{out}/silver", silver_schema())
+            write_bucketed(rows, name, ["provider_id"], 8, path=f"{run_dir(spark, 'bucketed')}/silver")
+            _prepared[key] = {"table": name}
+        name = _prepared[key]["table"]
+    rows = provider_level(read_table(spark, None, silver_schema(), table=name))
+    return rows.groupBy("provider_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.expr(f"{wide_sum_long_sql('total_service_days')} AS total_service_days")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bronze_scan": q_bronze_scan,
     "silver_typed": q_silver_typed,
@@ -379,6 +474,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merged_gold_provider": q_merged_gold_provider,
     "merged_gold_state": q_merged_gold_state,
     "sql_function_ratio": q_sql_function_ratio,
+    "episodes_box_all_years": q_episodes_box_all_years,
+    "provider_read_selections": q_provider_read_selections,
+    "state_read_selections": q_state_read_selections,
+    "sql_top_slice": q_sql_top_slice,
+    "sql_state_slice": q_sql_state_slice,
+    "sql_provider_slice": q_sql_provider_slice,
+    "landing_drift": q_landing_drift,
+    "bucketed_provider_totals": q_bucketed_provider_totals,
 }
 
 
@@ -445,6 +548,18 @@ FROM bx_f f JOIN bx_v v ON {join}
 GROUP BY {", ".join(f"f.{O.q(c)}" for c in _BOX_KEYS)}, f.n, f."min", f.q1, f.median, f.q3, f."max\""""
 
 
+def _sketched_box_oracle() -> str:
+    """Quantiles as the least value with at least that share at or below it."""
+    k = O.cols(SKETCH_BOX_KEYS)
+    q = {p: f"xs[CAST(greatest(ceil({p} * n), 1) AS BIGINT)]" for p in (0.25, 0.5, 0.75)}
+    return O.with_all("").rstrip() + f""", bx_l AS (
+  SELECT {k}, count(*) AS n, list(x ORDER BY x) AS xs
+  FROM (SELECT {k}, coalesce(TRY_CAST(episodes_per_bene AS DOUBLE), 0) AS x FROM gold_provider) t GROUP BY {k}),
+bx_q AS (SELECT *, {q[0.25]} AS q1, {q[0.5]} AS median, {q[0.75]} AS q3 FROM bx_l),
+bx_f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM bx_q)
+SELECT {k}, n, xs[1] AS "min", q1, median, q3, xs[n] AS "max", lower_fence, upper_fence FROM bx_f"""
+
+
 def _box_oracle() -> str:
     # The box CTEs extend the shared WITH list.
     full = O.with_all("")
@@ -524,6 +639,30 @@ def oracle_statements() -> dict[str, str]:
                 ("batches to 2", f'TRY_CAST("YEAR" AS INTEGER) = {SPLIT_YEAR}', "false"),
             ]
         ),
+        "episodes_box_all_years": _sketched_box_oracle(),
+        "provider_read_selections": w(f"SELECT {O.cols(PROVIDER_READ_COLUMNS)} FROM gold_provider WHERE {_SELECTION.replace('`', chr(34))}"),
+        "state_read_selections": w(
+            f'SELECT {O.cols(STATE_READ_COLUMNS)} FROM gold_state WHERE ("YEAR", service_category) IN '
+            f"""(SELECT ("YEAR", service_category) FROM gold_state WHERE {_SELECTION.replace('`', '"')})"""
+        ),
+        "sql_top_slice": w(
+            "SELECT provider_id, pay_rank, pay_per_bene, risk_band, risk_band AS risk_band_sql FROM ("
+            f"SELECT *, row_number() OVER (PARTITION BY provider_state ORDER BY {_TOP_ORDER}) AS pay_rank FROM gold_provider WHERE {_SLICE}) t "
+            f"WHERE pay_rank <= {TOP_N}"
+        ),
+        "sql_state_slice": w(f"SELECT {O.cols(STATE_READ_COLUMNS)} FROM gold_state WHERE {_SLICE}"),
+        "sql_provider_slice": w(f"SELECT {O.cols(PROVIDER_READ_COLUMNS)} FROM gold_provider WHERE {one_state}"),
+        "landing_drift": w(
+            f"""SELECT 'value' AS kind, "YEAR" AS name, CASE WHEN later THEN PRVDR_CITY END AS town, count(*) AS n,
+  CAST(sum(CASE WHEN later THEN CAST(TOT_EPSD_STAY_CNT AS BIGINT) END) AS BIGINT) AS beds
+FROM (SELECT *, TRY_CAST("YEAR" AS INTEGER) >= {DRIFT_YEAR} AS later FROM bronze) t GROUP BY 1, 2, 3
+UNION ALL SELECT 'field', f, NULL, count(*), NULL FROM bronze, (VALUES ('PRVDR_TOWN'), ('BEDS')) v(f)
+WHERE TRY_CAST("YEAR" AS INTEGER) >= {DRIFT_YEAR} GROUP BY f"""
+        ),
+        "bucketed_provider_totals": w(
+            f"SELECT provider_id, count(*) AS n_rows, {O.long_sum_sql('total_service_days')} AS total_service_days "
+            "FROM silver WHERE summary_category = 'PROVIDER' GROUP BY provider_id"
+        ),
         "merged_gold_provider": w(f"SELECT {O.GOLD_PROVIDER_COLS} FROM gold_provider"),
         "merged_gold_state": w(f"SELECT {O.GOLD_STATE_COLS} FROM gold_state"),
         "sql_function_ratio": w(

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from ..contracts import gold_provider_schema, gold_state_schema, silver_schema
 from ..operators.gold import finish_gold_provider, finish_gold_state, gold_parts_schema, gold_state_parts, merge_gold_states
+from ..operators.serve import episode_sketches
 from ..operators.silver import build_silver, suppression_audit
-from ..sources.bronze import corrupt_landing_lines, read_bronze
-from ..sources.sinks import read_table
-from ..sources.snapshots import UNDATED, Load, load_snapshot, read_folders
+from ..sources.bronze import corrupt_landing_lines, drift_report, read_bronze, read_landing_rescued
+from ..sources.sinks import read_table, write_bucketed
+from ..sources.snapshots import UNDATED, Load, load_snapshot, read_folders, read_snapshot
 from ..streaming.incremental import BATCH, arrivals, corrupt_lines, newest_drop, read_loaded, resends
 
 
@@ -47,7 +48,7 @@ def settings_to_apply(explicit: set[str]) -> dict[str, str]:
     return {k: v for k, v in SCALE_DEFAULTS.items() if k not in explicit}
 
 
-TABLES = ("silver", "gold_parts", "gold_provider", "gold_state")
+TABLES = ("silver", "gold_parts", "gold_provider", "gold_state", "gold_sketches")
 _SILVER_ORDER = ["summary_category", "provider_state", "service_category"]
 _GOLD_ORDER = ["service_category", "provider_state"]
 
@@ -62,6 +63,7 @@ def run_job(
     add: bool = False,
     touched: set[str] | None = None,
     last_batch: int | None = None,
+    drift: DataFrame | None = None,
 ) -> dict:
     """One load: silver, the gold state, both gold tables and the audit, as the next snapshot
     of ``out_root``; returns their paths (the audit's, and the quarantine's, is this load's).
@@ -72,7 +74,7 @@ def run_job(
     merged with that of their years, so silver written earlier is not read. Rows without a
     valid year replace those of the load of the same name (``load``; by default the plan's
     hash), of all loads if ``touched`` names them. ``quarantine`` holds lines that did not
-    parse. If anything fails, what readers see stays as it was.
+    parse, ``drift`` a report of fields outside the contract. If anything fails, what readers see stays as it was.
     """
     if add and dynamic_overwrite:
         raise ValueError("a load either adds records or replaces years")
@@ -95,9 +97,12 @@ def run_job(
     state = run.read("gold_parts", gold_parts_schema(), changed)
     for table, finish in (("gold_provider", finish_gold_provider), ("gold_state", finish_gold_state)):
         run.write(table, finish(state), cluster_by=_GOLD_ORDER, replace="years", touched=changed)
+    run.write("gold_sketches", episode_sketches(run.read("gold_provider", gold_provider_schema(), changed)), replace="years", touched=changed)
     paths = {table: f"{out_root}/{table}" for table in TABLES}
     # The valid counts come from this load's silver rows, so no cell is parsed twice.
     paths["audit"] = run.write_history("audit", suppression_audit(bronze, own))
+    if drift is not None:
+        paths["drift"] = run.write_history("drift", drift)
     if quarantine is not None:
         paths["quarantine"] = run.write_history("quarantine", quarantine)
     run.commit(last_batch)
@@ -140,6 +145,19 @@ def audit_history(spark: SparkSession, out_root: str) -> DataFrame:
     return spark.read.option("basePath", f"{out_root}/audit").parquet(*paths).join(names, "load").drop("load")
 
 
+def publish(spark: SparkSession, out_root: str, database: str, buckets: int, prefix: str = "") -> list[str]:
+    """The latest snapshot's tables as named catalog tables: silver and gold provider
+    bucketed by provider, gold state by state. Returns their names."""
+    made = []
+    for table, schema, keys in (
+        ("silver", silver_schema(), ["provider_id"]),
+        ("gold_provider", gold_provider_schema(), ["provider_id"]),
+        ("gold_state", gold_state_schema(), ["provider_state"]),
+    ):
+        made.append(write_bucketed(read_snapshot(spark, out_root, table, schema), f"{database}.{prefix}{table}", keys, buckets))
+    return made
+
+
 def read_gold(spark: SparkSession, paths: dict) -> tuple[DataFrame, DataFrame]:
     """(gold provider, gold state) read back with their contracts, in contract column order."""
     return (
@@ -158,6 +176,10 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--dynamic-overwrite", action="store_true", help="replace only the years present")
     ap.add_argument("--add", action="store_true", help="the input's records were not there before: merge them")
     ap.add_argument("--load", help="name of the load (its undated rows replace those of the same name); default: the input")
+    ap.add_argument("--database", help="also publish the tables as named, bucketed tables of this database")
+    ap.add_argument("--buckets", type=int, default=200)
+    ap.add_argument("--prefix", default="", help="of the published tables' names")
+    ap.add_argument("--drift", action="store_true", help="report fields outside the contract of a json input")
     args = ap.parse_args(argv)
     joined = SparkSession.getActiveSession()
     spark = SparkSession.builder.appName("carepulse-job").getOrCreate()
@@ -172,8 +194,11 @@ def main(argv: list[str] | None = None) -> None:
     else:
         bronze = read_bronze(spark, args.bronze, args.format, **options)
         quarantine = corrupt_landing_lines(spark, [args.bronze], **options) if args.format == "json" else None
-        paths = run_job(spark, bronze, out, args.dynamic_overwrite, quarantine, load=args.load or args.bronze, add=args.add)
+        drift = drift_report(read_landing_rescued(spark, [args.bronze])) if args.drift and args.format == "json" else None
+        paths = run_job(spark, bronze, out, args.dynamic_overwrite, quarantine, load=args.load or args.bronze, add=args.add, drift=drift)
     print(paths or "nothing new")
+    if args.database and paths:
+        print(publish(spark, out, args.database, args.buckets, args.prefix))
 
 
 if __name__ == "__main__":

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import BRONZE_COLUMNS, CORRUPT_RECORD, bronze_schema
-from ..functions.expr import select_names
+from ..functions.expr import ident, select_names
 
 
 # Spark refuses a raw JSON scan that needs the corrupt-record column alone, as a count
@@ -54,6 +54,57 @@ def corrupt_landing_lines(spark: SparkSession, paths: list[str], **options: str)
     return df.where(f"{CORRUPT_RECORD} IS NOT NULL AND {_ALSO}").select(CORRUPT_RECORD, "file")
 
 
+RESCUED = "_rescued"
+SOURCE_FILE = "_source_file"
+
+
+def read_landing_rescued(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Bronze rows of landing files with ``_rescued``, a Variant object of the fields outside
+    the contract (NULL where there are none), and the file they came from.
+
+    A field that the source adds or renames is thus kept with its value and type, nested or
+    not. Lines that do not parse are no rows, as in ``read_landing``. Each line is read
+    once and parsed twice, for the contract's columns and for the names of its fields.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias(SOURCE_FILE))
+    known = ", ".join(f"'{c}'" for c in BRONZE_COLUMNS)
+    parsed = lines.select(
+        F.from_json("value", bronze_schema(with_corrupt_record=True), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_RECORD}).alias("r"),
+        F.from_json("value", "map<string, variant>").alias("m"),
+        SOURCE_FILE,
+        "value",
+    ).selectExpr("r", SOURCE_FILE, f"map_filter(m, (k, v) -> k NOT IN ({known})) AS extra", "value")
+    return parsed.where(f"r.{CORRUPT_RECORD} IS NULL AND trim(value) <> ''").selectExpr(
+        *[f"r.{ident(c)} AS {ident(c)}" for c in BRONZE_COLUMNS],
+        f"CASE WHEN size(extra) > 0 THEN to_variant_object(extra) END AS {RESCUED}",
+        SOURCE_FILE,
+    )
+
+
+def drift_report(rescued: DataFrame) -> DataFrame:
+    """(field, kind, source_file, n_rows) of the fields outside the contract ("extra"), and of
+    the contract's fields that a file never has ("missing").
+
+    One aggregate over the rows that have such fields, one over all; both are partial in
+    each task, and a file has a row per field at most.
+    """
+    extra = (
+        rescued.where(f"{RESCUED} IS NOT NULL")
+        .selectExpr(SOURCE_FILE, f"explode(map_keys(from_json(to_json({RESCUED}), 'map<string, variant>'))) AS field")
+        .groupBy("field", SOURCE_FILE)
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .selectExpr("field", "'extra' AS kind", f"{SOURCE_FILE} AS source_file", "n_rows")
+    )
+    counts = rescued.groupBy(SOURCE_FILE).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(F.col(c)).alias(c) for c in BRONZE_COLUMNS])
+    pairs = ", ".join(f"'{c}', {ident(c)}" for c in BRONZE_COLUMNS)
+    missing = (
+        counts.selectExpr(SOURCE_FILE, "n_rows", f"stack({len(BRONZE_COLUMNS)}, {pairs}) AS (field, n)")
+        .where("n = 0")
+        .selectExpr("field", "'missing' AS kind", f"{SOURCE_FILE} AS source_file", "n_rows")
+    )
+    return extra.unionByName(missing)
+
+
 def write_landing(df: DataFrame, path: str, partition_by: str | None = None) -> str:
     """Write rows as JSON Lines (many part files, one object per line)."""
     writer = df.write.mode("overwrite").option("compression", "none")

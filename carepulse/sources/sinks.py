@@ -76,6 +76,24 @@ def read_table(
     return df.selectExpr(*[ident(f.name) for f in schema.fields])
 
 
+def write_bucketed(df: DataFrame, table: str, bucket_by: list[str], buckets: int, partition_by: str | None = PARTITION_COLUMN, path: str | None = None) -> str:
+    """Overwrite the named catalog table with ``df``, bucketed and sorted by ``bucket_by``.
+
+    Rows are dealt to the buckets' hash before the write, so a bucket of a partition is one
+    file. Aggregations and joins by ``bucket_by`` (or more columns) read their buckets in
+    place: no exchange. A key with very many rows makes one large bucket, so bucket by a
+    key whose groups are small against a partition, like the provider.
+    """
+    out = df.repartition(buckets, *bucket_by)
+    writer = out.write.format("parquet").mode("overwrite").bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return table
+
+
 def is_empty(df: DataFrame) -> bool:
     """True when the frame has no rows (reads at most one row)."""
     return df.isEmpty()
