@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import gold_provider_schema, gold_state_schema, silver_schema
 from ..operators.gold import finish_gold_provider, finish_gold_state, gold_parts_schema, gold_state_parts, merge_gold_states
 from ..operators.serve import episode_sketches
-from ..operators.silver import build_silver, suppression_audit
+from ..operators.silver import CELLS, audit_metrics, audit_of_metrics, build_silver_with_cells
 from ..sources.bronze import corrupt_landing_lines, drift_report, read_bronze, read_landing_rescued
 from ..sources.sinks import read_table, write_bucketed
 from ..sources.snapshots import UNDATED, Load, load_snapshot, read_folders, read_snapshot
@@ -80,7 +80,14 @@ def run_job(
         raise ValueError("a load either adds records or replaces years")
     name = load if load is not None else f"plan-{bronze.semanticHash()}"
     run = Load(spark, out_root, name, "add" if add else "years" if dynamic_overwrite else "all")
-    years = run.write("silver", build_silver(bronze), cluster_by=_SILVER_ORDER, touched=touched)
+    audited = Observation()
+    years = run.write(
+        "silver",
+        build_silver_with_cells(bronze),
+        cluster_by=_SILVER_ORDER,
+        touched=touched,
+        observe=lambda rows: rows.observe(audited, *audit_metrics()).drop(CELLS),
+    )
     own = read_folders(spark, out_root, "silver", [f"silver/{run.folder}/YEAR_DATE={y}" for y in sorted(years)], silver_schema())
     changed = years | (touched or set())
     if add:
@@ -99,8 +106,8 @@ def run_job(
         run.write(table, finish(state), cluster_by=_GOLD_ORDER, replace="years", touched=changed)
     run.write("gold_sketches", episode_sketches(run.read("gold_provider", gold_provider_schema(), changed)), replace="years", touched=changed)
     paths = {table: f"{out_root}/{table}" for table in TABLES}
-    # The valid counts come from this load's silver rows, so no cell is parsed twice.
-    paths["audit"] = run.write_history("audit", suppression_audit(bronze, own))
+    # Taken while silver was written; of a load without rows nothing was observed.
+    paths["audit"] = run.write_history("audit", audit_of_metrics(spark, audited.get if years else {}))
     if drift is not None:
         paths["drift"] = run.write_history("drift", drift)
     if quarantine is not None:

@@ -9,6 +9,8 @@ table of the session's catalog; the file format and the writer's options are fre
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -25,13 +27,17 @@ def write_table(
     dynamic_overwrite: bool = False,
     table: str | None = None,
     fmt: str = "parquet",
+    observe: Callable[[DataFrame], DataFrame] | None = None,
     **options: str,
 ) -> str:
     """Overwrite ``path`` (or the named ``table``) with ``df``; ``dynamic_overwrite``
-    replaces only the years present."""
+    replaces only the years present. ``observe`` is applied to the rows as they are
+    written, behind the last exchange."""
     out = df.hint("rebalance", partition_by) if partition_by else df
     if cluster_by:
         out = out.sortWithinPartitions(*([partition_by] if partition_by else []), *cluster_by)
+    if observe:
+        out = observe(out)
     writer = out.write.format(fmt).mode("overwrite").options(**options).option(
         "partitionOverwriteMode", "dynamic" if dynamic_overwrite else "static"
     )

@@ -138,7 +138,7 @@ class Load:
         old = {} if replace == "all" else self.before.tables
         self.tables = {t: {y: dict(loads) for y, loads in years.items()} for t, years in old.items()}
 
-    def write(self, table: str, df: DataFrame, cluster_by: list[str] | None = None, replace: str | None = None, touched: set[str] | None = None, **options: str) -> set[str]:
+    def write(self, table: str, df: DataFrame, cluster_by: list[str] | None = None, replace: str | None = None, touched: set[str] | None = None, **options) -> set[str]:
         """Writes the load's rows of a table; returns its years. Years of ``touched`` that
         got no rows become empty. Undated rows are replaced as a whole only if ``touched``
         names them; else only those of loads of this name are."""

@@ -99,7 +99,7 @@ def test_added_records_merge_without_reading_earlier_silver(spark, tmp_dir):
 
 
 # ------------------------------------------------------------------ snapshots
-@pytest.mark.parametrize("fails", ["gold_state_parts", "finish_gold_provider", "finish_gold_state", "suppression_audit"])
+@pytest.mark.parametrize("fails", ["gold_state_parts", "finish_gold_provider", "finish_gold_state", "audit_of_metrics"])
 def test_a_run_that_fails_between_writes_changes_nothing(spark, tmp_dir, monkeypatch, fails):
     run_job(spark, bronze_df(spark, mixed_rows(["2021"])), tmp_dir, load="one")
     before, audit = tables(spark, tmp_dir), bag(audit_history(spark, tmp_dir))
@@ -160,6 +160,25 @@ def test_audits_of_all_loads_stay(spark, tmp_dir):
         assert bag(history.where(F.col("load_name") == name).drop("load_name")) == bag(suppression_audit(bronze))
 
 
+def test_the_audit_is_taken_in_the_writing_stage(spark, tmp_dir):
+    """Behind the exchange, so tasks that run again are not counted again; and from one read of bronze."""
+    from carepulse.operators.silver import CELLS, audit_metrics, build_silver_with_cells
+    from pyspark.sql import Observation
+
+    plan = build_silver_with_cells(bronze_df(spark, [bronze_row()])).hint("rebalance", "YEAR_DATE").observe(Observation(), *audit_metrics()).drop(CELLS)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.index("CollectMetrics") < text.index("Exchange")
+    rows = [bronze_row(TOT_CHRG_AMT=c, BENE_DUAL_PCT=p) for c, p in ((None, "*"), ("", "12"), ("*", "x"), ("5", None), ("NaN", "1e400"))]
+    paths = run_job(spark, bronze_df(spark, rows), tmp_dir)
+    assert bag(spark.read.parquet(paths["audit"])) == bag(suppression_audit(bronze_df(spark, rows)))
+
+
+def test_a_load_without_rows(spark, tmp_dir):
+    paths = run_job(spark, bronze_df(spark, []), tmp_dir, load="none")
+    assert tables(spark, tmp_dir) == {"silver": [], "gold_provider": [], "gold_state": []}
+    assert {r.n_rows for r in spark.read.parquet(paths["audit"]).collect()} == {0}
+
+
 # ------------------------------------------------------- arrivals by the ledger
 def drop(landing, name, rows):
     os.makedirs(os.path.join(landing, name))
