@@ -155,14 +155,29 @@ class Ranks:
         return Ranks([ranks[i] for i in range(len(ranks))])
 
 
-class Merger:
-    """Merges pieces to ids and spells ids as bytes."""
+class Speller:
+    """Spells ids as bytes."""
 
     def __init__(self, ranks: Ranks):
-        self.rank = {t: i for i, t in enumerate(ranks.token)}
         self.spelled = np.frombuffer(b"".join(ranks.token), dtype=np.uint8)
         self.size = np.array([len(t) for t in ranks.token], dtype=np.int64)
         self.at = np.cumsum(self.size) - self.size
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the ids, one after the other."""
+        size = self.size[ids]
+        stop = np.cumsum(size)
+        if not len(ids):
+            return np.zeros(0, dtype=np.uint8)
+        return self.spelled[np.arange(stop[-1]) + np.repeat(self.at[ids] - (stop - size), size)]
+
+
+class Merger:
+    """Merges pieces to ids."""
+
+    def __init__(self, ranks: Ranks):
+        self.rank = {t: i for i, t in enumerate(ranks.token)}
+        self.size = np.array([len(t) for t in ranks.token], dtype=np.int64)
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = {
             (self.rank[t[:k]], self.rank[t[k:]]): i
@@ -256,14 +271,6 @@ class Merger:
                     heapq.heappush(heap, (m, a))
         return np.array([t for t in ids if t is not None], dtype=np.int32)
 
-    def spell(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the ids, one after the other."""
-        size = self.size[ids]
-        stop = np.cumsum(size)
-        if not len(ids):
-            return np.zeros(0, dtype=np.uint8)
-        return self.spelled[np.arange(stop[-1]) + np.repeat(self.at[ids] - (stop - size), size)]
-
 
 class Encoder:
     """Texts to ids, with a cache of merged pieces."""
@@ -348,7 +355,7 @@ def decode(encoded: DataFrame, keep: list[str], ids_col: str = "ids", offsets_co
     schema = T.StructType([*[encoded.schema[c] for c in keep], *fields])
 
     def run(batches):
-        merger = Merger(vocabulary)
+        speller = Speller(vocabulary)
         for batch in batches:
             step = max(1, 2_000_000 // max(1, -(-len(batch.column(width).flatten()) // max(1, batch.num_rows))))
             for lo in range(0, batch.num_rows, step):
@@ -359,7 +366,7 @@ def decode(encoded: DataFrame, keep: list[str], ids_col: str = "ids", offsets_co
                         made.append(None), at.append(None)
                         continue
                     span = ids.values.to_numpy()[first:last]
-                    made.append(merger.spell(span).tobytes())
+                    made.append(speller.spell(span).tobytes())
                     at.append(offsets.values[first].as_py() if offsets.is_valid and first < len(offsets.values) else 0)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(i) for i in range(width)], pa.array(made, pa.binary()), pa.array(at, pa.int64())], names=schema.names

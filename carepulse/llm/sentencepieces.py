@@ -96,6 +96,7 @@ class Segmenter:
         self.number: dict[str, int] = {}
         self.best, self.second = np.zeros(0), np.zeros(0)
         self.ids, self.ends = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        self.used = np.zeros(0, dtype=np.int64)
         self.ways: dict[str, list[tuple[float, list[int]]]] = {}
 
     @staticmethod
@@ -108,8 +109,9 @@ class Segmenter:
                 out[:, j + 1] = out[:, j] * _BASE + (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return out
 
-    def _solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Best and second-best scores and the best path's ids of words of one length."""
+    def _solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best and second-best scores of words of one length, their best paths' ids one after
+        the other, and how many ids each has."""
         n, rows = len(words[0]), len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "replace"), dtype=np.uint32).reshape(rows, n).astype(np.uint64)
         prefix = self._prefix(codes)
@@ -144,10 +146,17 @@ class Segmenter:
             pos[live] -= step[live, pos[live]]
             live = live[pos[live] > 0]
             count += 1
-        lists = [r[r != -2] for r in back]
-        for i in np.flatnonzero((back == -1).any(axis=1)).tolist():
-            lists[i] = np.array(self._with_bytes(words[i], lists[i].tolist()), dtype=np.int32)
-        return best[:, n], second[:, n], lists
+        real = back != -2
+        size, ids = real.sum(axis=1), back[real]
+        unknown = np.flatnonzero((back == -1).any(axis=1))
+        if len(unknown):  # characters outside the vocabulary become several bytes
+            stop, done, parts = np.cumsum(size), 0, []
+            for i, first, last in zip(unknown.tolist(), (stop - size)[unknown].tolist(), stop[unknown].tolist()):
+                spelled = np.array(self._with_bytes(words[i], ids[first:last].tolist()), dtype=np.int32)
+                parts += [ids[done:first], spelled]
+                done, size[i] = last, len(spelled)
+            ids = np.concatenate([*parts, ids[done:]])
+        return best[:, n], second[:, n], ids, size
 
     @staticmethod
     def _offer(best, second, step, piece, rows, p, size, score, ids) -> None:
@@ -174,31 +183,39 @@ class Segmenter:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.number) > CACHE:
-            self._clear()
         by_size: dict[int, list[str]] = {}
         for w in words:
             by_size.setdefault(len(w), []).append(w)
-        best, second, lists = [self.best], [self.second], []
+        best, second, ids, size = [self.best], [self.second], [self.ids], [np.diff(self.ends)]
         for n in sorted(by_size):
             if n > LONG_WORD:  # few and long: one at a time
                 for w in by_size[n]:
                     paths = self.word_paths(w, 2)
-                    self.number[w] = len(self.number)
                     best.append(np.array([paths[0][0]]))
                     second.append(np.array([paths[1][0] if len(paths) > 1 else -np.inf]))
-                    lists.append(np.array(paths[0][1], dtype=np.int32))
-                continue
-            step = max(1, 500_000 // n)
-            for lo in range(0, len(by_size[n]), step):
-                part = by_size[n][lo : lo + step]
-                b, s, ids = self._solve(part)
-                for w in part:
-                    self.number[w] = len(self.number)
-                best.append(b), second.append(s), lists.extend(ids)
-        self.best, self.second = np.concatenate(best), np.concatenate(second)
-        self.ids = np.concatenate([self.ids, *lists]).astype(np.int32)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)])
+                    ids.append(np.array(paths[0][1], dtype=np.int32))
+                    size.append(np.array([len(paths[0][1])]))
+            else:
+                step = max(1, 500_000 // n)
+                for lo in range(0, len(by_size[n]), step):
+                    b, s, i, k = self._solve(by_size[n][lo : lo + step])
+                    best.append(b), second.append(s), ids.append(i.astype(np.int32)), size.append(k)
+            for w in by_size[n]:
+                self.number[w] = len(self.number)
+        self.best, self.second, self.ids = np.concatenate(best), np.concatenate(second), np.concatenate(ids)
+        self.ends = np.append(0, np.cumsum(np.concatenate(size), dtype=np.int64))
+        self.used = np.append(self.used, np.zeros(len(self.best) - len(self.used), dtype=np.int64))
+
+    def _forget_rare(self) -> None:
+        """Keeps the half of the cached words that was used most."""
+        keep = np.zeros(len(self.number), dtype=bool)
+        keep[np.argsort(-self.used, kind="stable")[: CACHE // 2]] = True
+        place, size = np.cumsum(keep) - 1, np.diff(self.ends)
+        self.number = {w: int(place[k]) for w, k in self.number.items() if keep[k]}
+        self.ids = self.ids[np.repeat(keep, size)]
+        self.ends = np.append(0, np.cumsum(size[keep], dtype=np.int64))
+        self.best, self.second, self.used = self.best[keep], self.second[keep], self.used[keep] // 2
+        self.ways = {w: p for w, p in self.ways.items() if w in self.number}
 
     def word_paths(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best paths of one word: backward A*, with forward Viterbi scores as what is left.
@@ -251,18 +268,19 @@ class Segmenter:
         ``drop`` pieces of the best path from position ``at`` on. The first has none.
         """
         lists = [self.words(t) for t in texts]
+        if len(self.number) > CACHE:
+            self._forget_rare()
         new = {w for ws in lists for w in ws if w not in self.number}
-        if new and len(self.number) > CACHE:
-            new = {w for ws in lists for w in ws}
-            self._clear()
         if new:
-            self._learn(sorted(new))
-        out = []
+            self._learn(list(new))
+        which = np.array([k for ws in lists for k in map(self.number.__getitem__, ws)], dtype=np.int64)
+        self.used += np.bincount(which, minlength=len(self.used))
+        out, done = [], 0
         for ws in lists:
             if not ws:
                 out.append((0.0, np.zeros(0, dtype=np.int32), [(0.0, [])]))
                 continue
-            at = np.array([self.number[w] for w in ws])
+            at, done = which[done : done + len(ws)], done + len(ws)
             size = self.ends[at + 1] - self.ends[at]
             stop = np.cumsum(size)
             ids = self.ids[np.arange(stop[-1]) + np.repeat(self.ends[at] - (stop - size), size)]
