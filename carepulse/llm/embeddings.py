@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 from .components import connected_components
@@ -169,7 +171,8 @@ def _compare(threshold: float, centred: int):
         lo, hi = g["lo"].iat[0], g["hi"].iat[0]
         v = unit(np.stack(g["v"].to_numpy()))
         keys = np.stack(g["keys"].to_numpy())
-        gid, n, label, block = (g[c].to_numpy() for c in ("gid", "n", "label", "block"))
+        gid, n, block = (g[c].to_numpy() for c in ("gid", "n", "block"))
+        label = pd.factorize(g["label"])[0]
         t = int(g["t"].iat[0])
         link = (v @ v.T >= threshold) & (label[:, None] == label[None, :]) & (keys[:, None, t] == keys[None, :, t])
         for earlier in range(t if t < centred else centred):
@@ -223,7 +226,7 @@ def _linked(groups: DataFrame, dims: int, total: int, threshold: float) -> DataF
     sample = groups.orderBy(F.xxhash64("h1", "h2"), "h1").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
     sample = unit(np.asarray(sample.flatten(), dtype=np.float64).reshape(len(sample), -1))
     coder = plan_codes(sample, total, threshold)
-    codes = groups.select("gid", "label", "v").mapInArrow(_coder(coder), "gid long, label long, keys array<long>, core boolean")
+    codes = groups.select("gid", "label", "v").mapInArrow(_coder(coder), "gid long, label string, keys array<long>, core boolean")
     codes = cut(codes)
     slots = codes.select("gid", "label", "core", F.posexplode("keys").alias("t", "key")).where("key >= 0")
     if not codes.where("core").limit(1).count():
@@ -248,21 +251,22 @@ def near_duplicates(
     Vectors of one label with a cosine of at least ``threshold`` are linked; ``n_links``
     counts the other rows linked directly, ``component_id`` is the smallest id reachable
     (the own one included) and ``kept`` says whether that is the row's own. Rows with a
-    null label or vector, with null or non-finite components, without a length, or with
-    another number of components than most vectors have link with nothing. Repeated
-    rows are rows of their own, linked to each other; a null id is never the smallest.
-    An empty table gives no rows; further columns are not read.
+    null label or vector, with null or non-finite components or without a length link
+    with nothing. Vectors of any sizes may be mixed: only those of one size can link, and
+    each size with several different vectors gets tables of its own. Labels are compared
+    as they are, whatever their type. Repeated rows are rows of their own, linked to each
+    other; a null id is never the smallest. An empty table gives no rows; further columns
+    are not read.
     """
+    kind = vectors.schema[label_col].dataType
+    label = F.col(label_col) + F.lit(0.0).cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(label_col)  # -0.0 equals 0.0
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"),
-        F.col(label_col).cast("long").alias("label"),
+        label.cast("string").alias("label"),
         F.col(vector_col).cast("array<double>").alias("v"),
     )
     fine = F.expr("label IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    size = rows.where("fine").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dims = size[0]["d"] if size else 0
-    rows = rows.withColumn("fine", F.col("fine") & (F.size("v") == dims))
     # 128 bits of hash stand for (label, vector).
     h1, h2 = F.xxhash64("label", "v"), F.xxhash64(F.lit(7), "v", "label")
     rows = rows.select("vec_id", "label", "v", "fine", F.when(F.col("fine"), h1).alias("h1"), F.when(F.col("fine"), h2).alias("h2"))
@@ -270,11 +274,11 @@ def near_duplicates(
         F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("first")
     )
     groups = cut(groups.withColumn("gid", F.monotonically_increasing_id()))
-    total = groups.count()
-    if total:
-        found = _linked(groups, dims, total, threshold)
-    else:
-        found = vectors.sparkSession.createDataFrame([], "gid long, links long, mate long")
+    # One row per size of vector; a vector alone in its size links with its copies only.
+    sizes = groups.groupBy(F.size("v").alias("dims")).count().where("count > 1").orderBy("dims").collect()
+    parts_found = [_linked(groups.where(F.size("v") == r["dims"]), r["dims"], r["count"], threshold) for r in sizes]
+    none = vectors.sparkSession.createDataFrame([], "gid long, links long, mate long")
+    found = reduce(DataFrame.union, parts_found, none) if len(parts_found) != 1 else parts_found[0]
     links = found.groupBy(F.col("gid").alias("lg")).agg(F.sum("links").alias("links"))
     parts = cut(connected_components(found, "gid", "mate"))
     member = groups.join(parts, groups["gid"] == parts["node"], "left").join(links, F.col("gid") == F.col("lg"), "left")

@@ -139,8 +139,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     shared folder, so that exactly the chosen row is taken however often tasks rerun.
     """
     path = run_dir(docs.sparkSession, "simhash")
-    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    number = "__row"
+    while number.lower() in {c.lower() for c in docs.columns}:  # the input's own columns stay as they are
+        number += "_"
+    docs.withColumn(number, F.monotonically_increasing_id()).write.parquet(path)
     table = docs.sparkSession.read.parquet(path)
-    rows = cut(fingerprints(table, id_col, text_col, "__row", words=words))
-    chosen = _grouped(rows, max_bits).where("id <=> component").groupBy("root").agg(F.min("more").alias("__row"))
-    return table.join(cut(chosen.select("__row")), "__row", "left_semi").select(*[F.col(c) for c in docs.columns])
+    rows = cut(fingerprints(table, id_col, text_col, number, words=words))
+    chosen = _grouped(rows, max_bits).where("id <=> component").groupBy("root").agg(F.min("more").alias(number))
+    return table.join(cut(chosen.select(number)), number, "left_semi").select(*[F.col(c) for c in docs.columns])

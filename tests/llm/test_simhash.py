@@ -80,6 +80,13 @@ def test_keep_one_row_of_each_component(spark, edge_docs, no_docs):
     assert ids == sorted(["1", "4", "5", "7", "8", "8", "None"])
 
 
+def test_columns_named_like_the_row_number_pass_as_they_are(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "x", 7), (2, "a b c d", "y", 8), (3, "other words here", "z", 9)], "doc_id long, text string, `__ROW` string, `__row_` int")
+    kept = simhash.keep_one(docs)
+    assert kept.schema == docs.schema
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c d", "x", 7), (3, "other words here", "z", 9)]
+
+
 def test_a_hot_group_of_copies_keeps_one(spark):
     docs = spark.range(3000).select(
         F.col("id").alias("doc_id"),
