@@ -233,6 +233,9 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     Rows of one frame are read by one task, the frame once. Payloads are checked
     against their digests; a revisit's length and digest come from its headers.
     """
-    by_frame = index.repartition("bundle", "frame_offset").sortWithinPartitions("bundle", "frame_offset", "record_offset")
+    # A number of its own: merged by the bytes of the small index, a task would unpack
+    # a hundred times as many bytes of records.
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_frame = index.repartition(tasks, "bundle", "frame_offset").sortWithinPartitions("bundle", "frame_offset", "record_offset")
     by_frame = by_frame.select("bundle", "frame_offset", "frame_bytes", "record_offset", "record_bytes")
     return by_frame.mapInPandas(_reader(with_payload), _RECORD + (", payload binary" if with_payload else ""))
