@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import IdCache, text_slices
 
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
-CACHE = 400_000
+CACHE = 200_000
 LONG_PIECE = 96
 NONE = np.int32(2**31 - 1)
 

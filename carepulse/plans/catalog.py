@@ -415,10 +415,10 @@ def q_landing_drift(spark, sf_dir):
     rescued = read_landing_rescued(spark, [root])
     values = rescued.groupBy(
         "YEAR", F.expr("variant_get(_rescued, '$.PRVDR_TOWN', 'string') AS town")
-    ).agg(F.count(F.lit(1)).alias("n"), F.expr("CAST(sum(variant_get(_rescued, '$.BEDS.open', 'bigint')) AS BIGINT) AS beds"))
+    ).agg(F.count(F.lit(1)).alias("n"), F.expr("coalesce(sum(variant_get(_rescued, '$.BEDS.open', 'bigint')), 0L) AS beds"))
     fields = drift_report(rescued).where("kind = 'extra'").groupBy("field").agg(F.sum("n_rows").alias("n"))
     return values.selectExpr("'value' AS kind", "`YEAR` AS name", "town", "n", "beds").unionByName(
-        fields.selectExpr("'field' AS kind", "field AS name", "CAST(NULL AS STRING) AS town", "n", "CAST(NULL AS BIGINT) AS beds")
+        fields.selectExpr("'field' AS kind", "field AS name", "CAST(NULL AS STRING) AS town", "n", "0L AS beds")
     )
 
 
@@ -654,9 +654,9 @@ def oracle_statements() -> dict[str, str]:
         "sql_provider_slice": w(f"SELECT {O.cols(PROVIDER_READ_COLUMNS)} FROM gold_provider WHERE {one_state}"),
         "landing_drift": w(
             f"""SELECT 'value' AS kind, "YEAR" AS name, CASE WHEN later THEN PRVDR_CITY END AS town, count(*) AS n,
-  CAST(sum(CASE WHEN later THEN CAST(TOT_EPSD_STAY_CNT AS BIGINT) END) AS BIGINT) AS beds
+  CAST(coalesce(sum(CASE WHEN later THEN CAST(TOT_EPSD_STAY_CNT AS BIGINT) END), 0) AS BIGINT) AS beds
 FROM (SELECT *, TRY_CAST("YEAR" AS INTEGER) >= {DRIFT_YEAR} AS later FROM bronze) t GROUP BY 1, 2, 3
-UNION ALL SELECT 'field', f, NULL, count(*), NULL FROM bronze, (VALUES ('PRVDR_TOWN'), ('BEDS')) v(f)
+UNION ALL SELECT 'field', f, NULL, count(*), 0 FROM bronze, (VALUES ('PRVDR_TOWN'), ('BEDS')) v(f)
 WHERE TRY_CAST("YEAR" AS INTEGER) >= {DRIFT_YEAR} GROUP BY f"""
         ),
         "bucketed_provider_totals": w(
