@@ -147,9 +147,10 @@ def audit_history(spark: SparkSession, out_root: str) -> DataFrame:
     """The audits of all loads that the latest snapshot has, with the load's name."""
     snapshot = load_snapshot(spark, out_root)
     audits = snapshot.tables["audit"][""]
-    names = spark.createDataFrame([(f[0].split("load=")[1], n) for n, f in audits.items()], "load string, load_name string")
+    name_of = F.create_map(*[F.lit(x) for n, f in audits.items() for x in (f[0].split("load=")[1], n)])
     paths = [f"{out_root}/{f}" for fs in audits.values() for f in fs]
-    return spark.read.option("basePath", f"{out_root}/audit").parquet(*paths).join(names, "load").drop("load")
+    rows = spark.read.option("basePath", f"{out_root}/audit").parquet(*paths)
+    return rows.withColumn("load_name", name_of[F.col("load").cast("string")]).drop("load")
 
 
 def publish(spark: SparkSession, out_root: str, database: str, buckets: int, prefix: str = "") -> list[str]:

@@ -55,28 +55,33 @@ def corrupt_landing_lines(spark: SparkSession, paths: list[str], **options: str)
 
 
 RESCUED = "_rescued"
+EXTRA_FIELDS = "_extra_fields"
 SOURCE_FILE = "_source_file"
 
 
 def read_landing_rescued(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Bronze rows of landing files with ``_rescued``, a Variant object of the fields outside
-    the contract (NULL where there are none), and the file they came from.
+    """Bronze rows of landing files with ``_extra_fields`` (the names of fields outside the
+    contract), ``_rescued`` (where there are any, the whole line as a Variant, else NULL)
+    and the file they came from.
 
     A field that the source adds or renames is thus kept with its value and type, nested or
     not. Lines that do not parse are no rows, as in ``read_landing``. Each line is read
     once and parsed twice, for the contract's columns and for the names of its fields.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias(SOURCE_FILE))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_RECORD}
     known = ", ".join(f"'{c}'" for c in BRONZE_COLUMNS)
-    parsed = lines.select(
-        F.from_json("value", bronze_schema(with_corrupt_record=True), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_RECORD}).alias("r"),
-        F.from_json("value", "map<string, variant>").alias("m"),
-        SOURCE_FILE,
-        "value",
-    ).selectExpr("r", SOURCE_FILE, f"map_filter(m, (k, v) -> k NOT IN ({known})) AS extra", "value")
-    return parsed.where(f"r.{CORRUPT_RECORD} IS NULL AND trim(value) <> ''").selectExpr(
+    parsed = (
+        spark.read.text(paths)
+        .select("value", F.col("_metadata.file_path").alias(SOURCE_FILE))
+        .where("trim(value) <> ''")
+        .select(F.from_json("value", bronze_schema(with_corrupt_record=True), options).alias("r"), SOURCE_FILE, "value")
+        .where(f"r.{CORRUPT_RECORD} IS NULL")
+    )
+    named = parsed.selectExpr("*", f"array_except(json_object_keys(value), array({known})) AS {EXTRA_FIELDS}")
+    return named.selectExpr(
         *[f"r.{ident(c)} AS {ident(c)}" for c in BRONZE_COLUMNS],
-        f"CASE WHEN size(extra) > 0 THEN to_variant_object(extra) END AS {RESCUED}",
+        EXTRA_FIELDS,
+        f"CASE WHEN size({EXTRA_FIELDS}) > 0 THEN parse_json(value) END AS {RESCUED}",
         SOURCE_FILE,
     )
 
@@ -89,8 +94,8 @@ def drift_report(rescued: DataFrame) -> DataFrame:
     each task, and a file has a row per field at most.
     """
     extra = (
-        rescued.where(f"{RESCUED} IS NOT NULL")
-        .selectExpr(SOURCE_FILE, f"explode(map_keys(from_json(to_json({RESCUED}), 'map<string, variant>'))) AS field")
+        rescued.where(f"size({EXTRA_FIELDS}) > 0")
+        .selectExpr(SOURCE_FILE, f"explode({EXTRA_FIELDS}) AS field")
         .groupBy("field", SOURCE_FILE)
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .selectExpr("field", "'extra' AS kind", f"{SOURCE_FILE} AS source_file", "n_rows")

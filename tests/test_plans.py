@@ -65,7 +65,8 @@ def test_gold_build_prunes_silver_and_pushes_provider_filter(spark):
     assert "total_charge_amt" in read[0]
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+# Spark has no generated code for from_json, which reads the drifting landing lines.
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"landing_drift"}))
 def test_hot_operators_are_whole_stage_codegen(spark, name):
     # The static plan (AQE off) shows codegen stage ids; a node without one runs
     # row by row through the interpreter (e.g. an aggregate over 100 fields).
