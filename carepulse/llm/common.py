@@ -15,15 +15,22 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_root
+from ..session import checkpoint_root, run_dir
 
 #: A task hands an operator at most this much text at once (one longer text goes alone).
 SLICE_BYTES = 2 << 20
 
+#: Rows that go are broadcast up to this size (measured before).
+BROADCAST_BYTES = 8 << 20
+
+#: What tells the rows of Parquet files apart, however often tasks run again.
+ROW_PLACE = "__file string, __index bigint"
+
 _ARROW = {
     T.BooleanType: pa.bool_(),
     T.IntegerType: pa.int32(),
@@ -62,6 +69,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_place(table: DataFrame) -> list[Column]:
+    """The file and the place in it of each row of a plain read of Parquet files."""
+    place = table.metadataColumn("_metadata")
+    return [place["file_path"].alias("__file"), place["row_index"].alias("__index")]
+
+
+def stored(docs: DataFrame, kind: str) -> DataFrame:
+    """``docs`` as a plain read of Parquet files: itself, or written once to the shared folder."""
+    if docs._jdf.queryExecution().analyzed().children().isEmpty():
+        try:
+            docs.select(*row_place(docs))
+            return docs
+        except AnalysisException:
+            pass  # not read from Parquet files
+    path = run_dir(docs.sparkSession, kind)
+    docs.write.parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+
+
+def without_rows(table: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``table``, a plain read, whose ``row_place`` is not in ``gone`` (checkpointed).
+
+    Up to BROADCAST_BYTES of them are broadcast, more are joined by a shuffle."""
+    taken = {c.lower() for c in table.columns}
+    names = ["__file", "__index"]
+    while taken & set(names):
+        names = [f"{n}_" for n in names]
+    size = gone.agg(F.sum(F.octet_length("__file") + 64)).first()[0] or 0
+    gone = gone.toDF(*names)
+    placed = table.select("*", *[c.alias(n) for c, n in zip(row_place(table), names)])
+    return placed.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, names, "left_anti").drop(*names)
+
+
 def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold at most SLICE_BYTES of text (or one row)."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)

@@ -16,11 +16,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import run_dir
-from .common import cut
+from .common import ROW_PLACE, cut, row_place, stored, without_rows
 from .components import connected_components
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -61,17 +60,17 @@ def _majority(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=["id", "more", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, more: str | None = None, words: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, more: Column | None = None, more_type: str = "long", words: int = 3) -> DataFrame:
     """(id, more, fp) per row: the signed 64 bits of the SimHash of the whole text.
 
     A-Z are lower-cased, words are runs without ASCII space, shingles are ``words``
     words long with repeats; a shorter text is one shingle, none (or null) gives 0.
     """
     split, hashes = shingle_hashes("__t", words)
-    extra = F.col(more).cast("long") if more else F.lit(None).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), extra.alias("more"), F.col(text_col).cast("string").alias("__t"))
+    extra = F.lit(None) if more is None else more
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), extra.cast(more_type).alias("more"), F.col(text_col).cast("string").alias("__t"))
     rows = rows.select("id", "more", split.alias("__w")).select("id", "more", hashes.alias("__h"))
-    return rows.mapInArrow(_majority, "id long, more long, fp long")
+    return rows.mapInArrow(_majority, f"id long, more {more_type}, fp long")
 
 
 def _signatures(max_bits: int) -> tuple[str, list[tuple[int, int]]]:
@@ -106,13 +105,17 @@ def fingerprint_links(distinct_fp: DataFrame, max_bits: int) -> DataFrame:
     return left.join(right, "sig").where(f"fp_a < fp_b AND {far} {earlier} AND {once}").select("fp_a", "fp_b")
 
 
-def _grouped(rows: DataFrame, max_bits: int) -> DataFrame:
-    """``rows`` (id, fp and more) with root (a fingerprint) and component (smallest id) added."""
-    groups = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
+def _rooted(groups: DataFrame, max_bits: int) -> DataFrame:
+    """``groups`` (fp, first), a fingerprint once, with the root of each one's component."""
     links = fingerprint_links(groups.select("fp"), max_bits)
     parts = cut(connected_components(links, "fp_a", "fp_b"))
     member = groups.join(parts, groups["fp"] == parts["node"], "left")
-    member = cut(member.select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    return cut(member.select("fp", "first", F.coalesce("root", "fp").alias("root")))
+
+
+def _grouped(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``rows`` (id, fp and more) with root (a fingerprint) and component (smallest id) added."""
+    member = _rooted(cut(rows.groupBy("fp").agg(F.min("id").alias("first"))), max_bits)
     least = cut(member.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component")))
     named = cut(member.join(least, member["root"] == least["r"]).select(F.col("fp").alias("k"), "root", "component"))
     return rows.join(named, rows["fp"] == named["k"]).drop("k")
@@ -135,15 +138,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """``docs`` with one row of each near-duplicate group: one with the group's smallest id.
 
     All columns pass as they are. Where several rows share that id, or no row of the
-    group has an id, one of them stays. The rows are written once, numbered, to the
-    shared folder, so that exactly the chosen row is taken however often tasks rerun.
+    group has an id, one of them stays: the first by file and place in it. Texts of any
+    length count whole. Rows are known by their file and place, so that exactly the chosen
+    row is taken however often tasks rerun; ``docs`` is written only where it is not a
+    plain read of Parquet files. The rows that go are joined, not those that stay.
     """
-    path = run_dir(docs.sparkSession, "simhash")
-    number = "__row"
-    while number.lower() in {c.lower() for c in docs.columns}:  # the input's own columns stay as they are
-        number += "_"
-    docs.withColumn(number, F.monotonically_increasing_id()).write.parquet(path)
-    table = docs.sparkSession.read.parquet(path)
-    rows = cut(fingerprints(table, id_col, text_col, number, words=words))
-    chosen = _grouped(rows, max_bits).where("id <=> component").groupBy("root").agg(F.min("more").alias(number))
-    return table.join(cut(chosen.select(number)), number, "left_semi").select(*[F.col(c) for c in docs.columns])
+    table = stored(docs, "simhash")
+    place = F.struct(*row_place(table))
+    rows = cut(fingerprints(table, id_col, text_col, place, f"struct<{ROW_PLACE}>", words))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "more"))
+    member = _rooted(cut(rows.groupBy("fp").agg(first.alias("first"))), max_bits)
+    kept = member.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("kept"))
+    kept = kept.select(F.col("kept.fp").alias("k"), F.col("kept.first.more").alias("stays"))
+    gone = rows.join(kept, rows["fp"] == kept["k"], "left").where("NOT stays <=> more").select("more.__file", "more.__index")
+    return without_rows(table, cut(gone))

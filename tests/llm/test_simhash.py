@@ -4,7 +4,7 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
-from carepulse.llm import simhash
+from carepulse.llm import common, simhash
 from carepulse.llm.components import connected_components
 from tests.llm.conftest import EDGE
 
@@ -87,6 +87,27 @@ def test_columns_named_like_the_row_number_pass_as_they_are(spark):
     assert sorted(map(tuple, kept.collect())) == [(1, "a b c d", "x", 7), (3, "other words here", "z", 9)]
 
 
+def test_rows_of_files_are_told_apart_by_their_place(spark, tmp_dir):
+    """A plain read is neither written again nor shuffled; columns named like the row's place pass as they are."""
+    rows = [(i, f"text {i // 3} of some words {i // 3}", "f", i, "m") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, `__file` string, `__INDEX` int, `_metadata` string").repartition(5).write.parquet(f"{tmp_dir}/docs")
+    docs = spark.read.parquet(f"{tmp_dir}/docs")
+    kept = simhash.keep_one(docs)
+    want = [r for r in rows if r[0] in {c for c in plain_components([plain_fingerprint(r[1]) for r in rows], [r[0] for r in rows])}]
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == want
+    assert sorted(kept.inputFiles()) == sorted(docs.inputFiles())
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_many_rows_that_go_are_joined_by_a_shuffle(spark, tmp_dir, monkeypatch):
+    spark.range(90).selectExpr("id AS doc_id", "concat('same words here ', id % 9) AS text").write.parquet(f"{tmp_dir}/docs")
+    docs = spark.read.parquet(f"{tmp_dir}/docs")
+    few = sorted(map(tuple, simhash.keep_one(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == few
+
+
 def test_a_hot_group_of_copies_keeps_one(spark):
     docs = spark.range(3000).select(
         F.col("id").alias("doc_id"),
