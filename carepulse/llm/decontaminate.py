@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_slices
+from .common import ROW_PLACE, arrow_type, cut, row_place, stored, text_slices, without_rows
 
 SIMILARITY = 0.8
 BLOCK_WORDS = 250_000
@@ -52,6 +53,8 @@ WALKS = 1 << 15
 #: Cells of a row of the edit distances of one batch (or one stretch).
 CELLS = 1 << 19
 LONGEST_RUN = 4
+#: Shared runs (of an item, at a place) listed at once, and places counted at once for an item that has more.
+HITS = 1 << 20
 #: Scripts written without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, kana, bopomofo, Han.
 _UNSPACED = (
     (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3031, 0x3035),
@@ -100,6 +103,15 @@ def edit_distances(items: np.ndarray, sizes: np.ndarray, texts: np.ndarray, leng
     return out
 
 
+def _within(loads: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of neighbouring loads that sum to ``limit`` at most, or of one that is more."""
+    total, at = np.cumsum(loads), 0
+    while at < len(loads):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - loads[at] + limit, "right")))
+        yield at, to
+        at = to
+
+
 @dataclass
 class LeakIndex:
     """One block of benchmark items, ready to be looked for in texts."""
@@ -127,9 +139,8 @@ class LeakIndex:
             m = np.flatnonzero((run == q) & (self.size > 0))
             count = self.size[m] - q + 1
             m, j = np.repeat(m, count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            key = self._run_key([self.word[self.first[m] + j + i] for i in range(q)])
-            order = np.argsort(key, kind="stable")
-            self.runs[q] = (key[order], m[order], j[order])
+            keys, which = np.unique(self._run_key([self.word[self.first[m] + j + i] for i in range(q)]), return_inverse=True)
+            self.runs[q] = (keys, which, m, j)
         rng = np.random.default_rng(self.seed)
         self.step = rng.integers(1, 1 << 63, size=(MAX_REPEATS, 3 * LONGEST_EMBEDDED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.blend = rng.integers(1, 1 << 63, size=(MAX_REPEATS, SAMPLED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -225,67 +236,107 @@ class LeakIndex:
         # Windows as item * stride + place; texts and items lie farther apart than any k.
         gap = 2 * self.longest + 1
         stride = len(word) + (len(lists) + 2) * gap
-        codes, counts = [], []
-        for q, (keys, item, offset) in self.runs.items():
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for code in self._windows(word, text_of, gap, stride):
+            item, place = code // stride, code % stride
+            doc = np.searchsorted(begin + (np.arange(len(lists)) + 1) * gap - self.longest, place, "right") - 1
+            start = place - (doc + 1) * gap
+            meets = self._meets(word, ends[doc], np.maximum(start, begin[doc]), item)
+            code, item, doc, start = code[meets], item[meets], doc[meets], start[meets]
+            if not len(code):
+                continue
+            # Windows of one text and item that lie within k are one stretch to check.
+            new = np.flatnonzero(np.append(True, np.diff(code) > self.edits[item[1:]]))
+            stop = np.append(new[1:], len(code)) - 1
+            item, doc = item[new], doc[new]
+            left = np.maximum(start[new] - self.edits[item], begin[doc])
+            right = np.minimum(start[stop] + self.size[item] + self.edits[item], ends[doc])
+            self._check(word, begin, item, doc, left, right, best)
+        return [(d, m, *v) for (d, m), v in sorted(best.items())]
+
+    def _windows(self, word: np.ndarray, text_of: np.ndarray, gap: int, stride: int) -> Iterator[np.ndarray]:
+        """Codes (item * stride + place) of the windows that share enough runs with their item.
+
+        Items come in groups of at most HITS shared runs; one item that has more is taken
+        by stretches of HITS places, so a run that is common in texts and items alike
+        takes time but no more memory."""
+        for q, (keys, which, item, offset) in self.runs.items():
             n = len(word) - q + 1
             if n <= 0:
                 continue
             here = np.flatnonzero(np.logical_and.reduce([word[i : n + i] > 0 for i in range(q)]) & (text_of[:n] == text_of[q - 1 :]))
+            at, run = [], []
             for lo in range(0, len(here), 200_000):
-                at = here[lo : lo + 200_000]
-                key = self._run_key([word[at + i] for i in range(q)])
-                first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                hits = last - first
-                at, first, hits = at[hits > 0], first[hits > 0], hits[hits > 0]
-                if not len(at):
+                some = here[lo : lo + 200_000]
+                key = self._run_key([word[some + i] for i in range(q)])
+                r = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                known = keys[r] == key
+                at.append(some[known]), run.append(r[known])
+            if not at:
+                continue
+            at, run = np.concatenate(at), np.concatenate(run)
+            times = np.bincount(run, minlength=len(keys))
+            # The places of each run, run after run, in order.
+            places = (run * stride + at + (text_of[at] + 1) * gap)[np.argsort(run, kind="stable")]
+            first = np.cumsum(times) - times
+            # A match has ``shared`` different runs of its item.
+            own = np.flatnonzero(times[which] > 0)
+            own = own[np.bincount(item[own], minlength=len(self.size))[item[own]] >= self.shared[item[own]]]
+            if not len(own):
+                continue
+            begins = np.flatnonzero(np.append(True, np.diff(item[own]) > 0))
+            loads = np.add.reduceat(times[which[own]], begins)
+            begins = np.append(begins, len(own))
+            for a, z in _within(loads, HITS):
+                e = own[begins[a] : begins[z]]
+                if loads[a] <= HITS:
+                    w, h = which[e], times[which[e]]
+                    slot = np.repeat(first[w] - (np.cumsum(h) - h), h) + np.arange(h.sum())
+                    code, count = np.unique(np.repeat(item[e] * stride - offset[e] - w * stride, h) + places[slot], return_counts=True)
+                    yield self._enough(code, count, stride)
                     continue
-                total = np.cumsum(hits)
-                cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1], 1_000_000)), len(at)))
-                for a, z in zip(cuts[:-1], cuts[1:]):
-                    h = hits[a:z]
-                    slot = np.repeat(first[a:z] - np.append(0, np.cumsum(h)[:-1]), h) + np.arange(h.sum())
-                    p = np.repeat(at[a:z] + (text_of[at[a:z]] + 1) * gap, h)
-                    code, count = np.unique(item[slot] * stride + p - offset[slot], return_counts=True)
-                    codes.append(code), counts.append(count)
-        if not codes:
-            return []
-        code, back = np.unique(np.concatenate(codes), return_inverse=True)
-        total = np.append(0, np.cumsum(np.bincount(back, np.concatenate(counts)).astype(np.int64)))
+                m, k = int(item[e[0]]), int(self.edits[item[e[0]]])
+                for lo in range(0, stride, HITS):
+                    # Those of the next k places count for the last ones of this stretch.
+                    hi = min(lo + HITS + k, stride)
+                    base = which[e] * stride
+                    start = np.searchsorted(places, base + np.minimum(lo + offset[e], stride))
+                    h = np.searchsorted(places, base + np.minimum(hi + offset[e], stride)) - start
+                    total = np.zeros(hi - lo, dtype=np.int64)
+                    for c, d in _within(h, HITS):
+                        slot = np.repeat(start[c:d] - (np.cumsum(h[c:d]) - h[c:d]), h[c:d]) + np.arange(h[c:d].sum())
+                        total += np.bincount(places[slot] - np.repeat(base[c:d] + offset[e[c:d]], h[c:d]) - lo, minlength=hi - lo)
+                    place = np.flatnonzero(total)
+                    yield self._enough(m * stride + lo + place, total[place], stride)
+
+    def _enough(self, code: np.ndarray, count: np.ndarray, stride: int) -> np.ndarray:
+        """Those of the windows that can match, by the runs they share."""
+        total = np.append(0, np.cumsum(count))
         # k edits move the shared runs of a match by at most k places against each other.
         last = np.searchsorted(code, code + self.edits[code // stride], "right")
         enough = np.flatnonzero(total[last] - total[:-1] >= self.shared[code // stride])
         inside = np.zeros(len(code) + 1, dtype=np.int64)
         np.add.at(inside, enough, 1)
         np.add.at(inside, last[enough], -1)
-        code = code[np.cumsum(inside[:-1]) > 0]
-        item, place = code // stride, code % stride
-        doc = np.searchsorted(begin + (np.arange(len(lists)) + 1) * gap - self.longest, place, "right") - 1
-        start = place - (doc + 1) * gap
-        meets = self._meets(word, ends[doc], np.maximum(start, begin[doc]), item)
-        code, item, doc, start = code[meets], item[meets], doc[meets], start[meets]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        if len(code):
-            # Windows of one text and item that lie within k are one stretch to check.
-            new = np.flatnonzero(np.append(True, np.diff(code) > self.edits[item[1:]]))
-            stop = np.append(new[1:], len(code)) - 1
-            item, doc = item[new], doc[new]
-            left = np.maximum(start[new] - self.edits[item], begin[doc])
-            right = np.minimum(start[stop] + self.size[item] + self.edits[item], ends[doc])
-            self._check(word, begin, item, doc, left, right, best)
-        return [(d, m, *v) for (d, m), v in sorted(best.items())]
+        return code[np.cumsum(inside[:-1]) > 0]
 
     def _meets(self, word, end, start, item) -> np.ndarray:
         """Which windows meet their item in a repetition (all, where the item's length has none)."""
         out = np.ones(len(start), dtype=bool)
         for n, own in self.keys.items():
             rows = np.flatnonzero(self.size[item] == n)
-            for lo in range(0, len(rows), 4096):
-                r = rows[lo : lo + 4096]
-                at, first, back = np.unique(start[r], return_index=True, return_inverse=True)
-                span = at[:, None] + np.arange(n)
-                body = np.where(span < end[r][first][:, None], word[np.minimum(span, len(word) - 1)], 0)
-                keys = self.signatures(body, np.full(len(at), n), own.shape[1])
-                out[r] = (keys[back] == own[self.slot[item[r]]]).any(axis=1)
+            # A place is embedded once, for all items of this length.
+            at, first, back = np.unique(start[rows], return_index=True, return_inverse=True)
+            order = np.argsort(back, kind="stable")
+            cuts = np.append(np.searchsorted(back[order], np.arange(0, len(at), 4096)), len(order))
+            for i, lo in enumerate(range(0, len(at), 4096)):
+                some = at[lo : lo + 4096]
+                span = some[:, None] + np.arange(n)
+                body = np.where(span < end[rows[first[lo : lo + 4096]]][:, None], word[np.minimum(span, len(word) - 1)], 0)
+                keys = self.signatures(body, np.full(len(some), n), own.shape[1])
+                for c in range(cuts[i], cuts[i + 1], 16384):
+                    x = order[c : min(c + 16384, cuts[i + 1])]
+                    out[rows[x]] = (keys[back[x] - lo] == own[self.slot[item[rows[x]]]]).any(axis=1)
         return out
 
     def _check(self, word, begin, item, doc, left, right, best) -> None:
@@ -301,10 +352,19 @@ class LeakIndex:
             text = np.where(cols < length[:, None], word[np.minimum(left[some][:, None] + cols, len(word) - 1)], -1)
             cost = edit_distances(self._padded(m), self.size[m], text, length, True)
             stop, edits = cost.argmin(axis=1), cost.min(axis=1)
-            for i in np.flatnonzero(edits <= self.edits[m]).tolist():
+            # Of a text and item only the fewest edits count, and of those only ends so near to
+            # the first one that a stretch with such an end may begin before its own.
+            hit = np.flatnonzero(edits <= self.edits[m])
+            ends = left[some] + stop
+            hit = hit[np.lexsort((ends[hit], edits[hit], m[hit], doc[some[hit]]))]
+            pair = doc[some[hit]] * len(self.items) + m[hit]
+            top = hit[np.flatnonzero(np.append(True, np.diff(pair) != 0))[np.cumsum(np.append(0, np.diff(pair) != 0))]] if len(hit) else hit
+            hit = hit[(edits[hit] == edits[top]) & (ends[hit] <= ends[top] + 2 * edits[top])]
+            for i in hit.tolist():
                 n, d = int(self.size[m[i]]), int(doc[some[i]])
                 key = (d, int(m[i]))
-                if key in best and best[key][0] < edits[i]:
+                known = best.get(key)
+                if known and (known[0] < edits[i] or known[0] == edits[i] and known[1] < ends[i] - begin[d] - n - edits[i]):
                     continue
                 whole = self.word[self.first[m[i]] : self.first[m[i]] + n][::-1]
                 back = text[i, max(0, stop[i] - n - int(edits[i])) : stop[i]][::-1]
@@ -315,13 +375,19 @@ class LeakIndex:
                     best[key] = value
 
 
-def index_blocks(benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "item_id", text_col: str = "text"):
-    """The benchmark's items as LeakIndex blocks, one after the other (bounded by words)."""
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    words = rows.mapInArrow(_count_words, "words long").agg(F.sum("words")).first()[0] or 0
+    return rows.withColumn("digest", F.sha2("text", 256))
+
+
+def index_blocks(benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "item_id", text_col: str = "text"):
+    """The benchmark's distinct texts (named by their SHA-256) as LeakIndex blocks, one after
+    the other (bounded by words; copies of one text count once)."""
+    texts = cut(_items(benchmark, id_col, text_col).select("digest", "text").dropDuplicates(["digest"]))
+    words = texts.select("text").mapInArrow(_count_words, "words long").agg(F.sum("words")).first()[0] or 0
     blocks = max(1, -(-int(words) // BLOCK_WORDS))
     for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()
+        part = texts.where(F.pmod(F.xxhash64("digest"), F.lit(blocks)) == b).orderBy("digest").collect()
         items, size = [], 0
         for r in part:
             found = words_of(r["text"])
@@ -329,7 +395,7 @@ def index_blocks(benchmark: DataFrame, similarity: float = SIMILARITY, id_col: s
                 yield LeakIndex([x[0] for x in items], [x[1] for x in items], similarity)
                 items, size = [], 0
             if found:
-                items.append((r["id"], found))
+                items.append((r["digest"], found))
                 size += len(found)
         if items:
             yield LeakIndex([x[0] for x in items], [x[1] for x in items], similarity)
@@ -337,13 +403,13 @@ def index_blocks(benchmark: DataFrame, similarity: float = SIMILARITY, id_col: s
 
 def _count_words(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([len(words_of(t)) for t in batch.column(1).to_pylist()], pa.int64())], names=["words"])
+        yield pa.RecordBatch.from_arrays([pa.array([len(words_of(t)) for t in batch.column(0).to_pylist()], pa.int64())], names=["words"])
 
 
 _FOUND = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
-        T.StructField("item_id", T.LongType()),
+        T.StructField("digest", T.StringType()),
         T.StructField("edits", T.IntegerType()),
         T.StructField("item_words", T.IntegerType()),
         T.StructField("first_word", T.LongType()),
@@ -353,6 +419,8 @@ _FOUND = T.StructType(
 
 
 def _search(index: LeakIndex):
+    arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in _FOUND.fields])
+
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, 1):
@@ -360,9 +428,17 @@ def _search(index: LeakIndex):
                 rows = [
                     (ids[d], index.ids[m], e, int(index.size[m]), a, b) for d, m, e, a, b in index.find(part.column(1).to_pylist())
                 ]
-                yield pa.RecordBatch.from_pylist([dict(zip(_FOUND.names, r)) for r in rows], schema=pa.schema(
-                    [(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.int64()) for f in _FOUND.fields]
-                ))
+                yield pa.RecordBatch.from_pylist([dict(zip(_FOUND.names, r)) for r in rows], schema=arrow)
+
+    return run
+
+
+def _leaked(index: LeakIndex):
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, 2):
+                found = sorted({d for d, *_ in index.find(part.column(2).to_pylist())})
+                yield part.select([0, 1]).take(pa.array(found, pa.int64()))
 
     return run
 
@@ -372,8 +448,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     leaked item: the best stretch (fewest edits, then the first), as word positions.
 
     Items without a word and null or empty texts match nothing; repeated rows and equal
-    items each give their own rows; null ids are passed on as null. Items shorter than
-    five words (at 0.8) must occur exactly. An empty benchmark or table gives no rows.
+    items each give their own rows (a text that many items share is searched once); null
+    ids are passed on as null. Items shorter than five words (at 0.8) must occur exactly.
+    Texts of any length are searched whole. An empty benchmark or table gives no rows.
     """
     inner = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     found = None
@@ -381,24 +458,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
         # Written block by block, so that a task and the driver hold one index at a time.
         part = cut(inner.mapInArrow(_search(index), _FOUND))
         found = part if found is None else found.union(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], _FOUND)
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], _FOUND)
+    named = _items(benchmark, "item_id", "text").select("digest", F.col("id").alias("item_id"))
+    return found.join(named, "digest").select("doc_id", "item_id", "edits", "item_words", "first_word", "end_word")
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, as they are, in which no benchmark item is found.
 
-    The input is written once with row numbers; each block's rows are searched and the
-    numbers of the leaked ones written before the next block is made."""
-    number = "__row"
-    while number.lower() in (c.lower() for c in docs.columns):
-        number += "_"
-    rows, leaked = None, None
+    Rows are known by their file and place in it; ``docs`` is written only where it is
+    not a plain read of Parquet files. Each block's leaked rows are written before the
+    next block is made."""
+    table, leaked = None, None
     for index in index_blocks(benchmark, similarity):
-        if rows is None:
-            rows = cut(docs.withColumn(number, F.monotonically_increasing_id()))
-        texts = rows.select(F.col(number).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-        part = cut(texts.mapInArrow(_search(index), _FOUND).select(F.col("doc_id").alias("__leaked")).distinct())
+        if table is None:
+            table = stored(docs, "decontaminate")
+        texts = table.select(*row_place(table), F.col(text_col).cast("string").alias("__text"))
+        part = cut(texts.mapInArrow(_leaked(index), ROW_PLACE))
         leaked = part if leaked is None else leaked.union(part)
-    if rows is None:
-        return docs
-    return rows.join(leaked, F.col(number) == F.col("__leaked"), "left_anti").drop(number)
+    return docs if table is None else without_rows(table, leaked)

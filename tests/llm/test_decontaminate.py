@@ -146,3 +146,58 @@ def test_scripts_without_spaces():
     index = dc.LeakIndex([1, 2], [dc.words_of(item), dc.words_of(other)])
     texts = ["他说" + item + "是开头", "他说" + item.replace("宙", "空") + "是开头", "好" + other + "ครับ", "天地日月"]
     assert [(d, m, e) for d, m, e, _, _ in index.find(texts)] == [(0, 0, 0), (1, 0, 1), (2, 1, 0)]
+
+
+def plain_windows(index, texts):
+    """Codes by the definition: per item, the places whose following k hold enough shared runs."""
+    out = set()
+    for d, t in enumerate(texts):
+        w = [index.vocabulary.get(x, 0) for x in dc.words_of(t)]
+        for m, item in enumerate(index.items):
+            n, k = len(item), int(index.edits[m])
+            q = min(max((n - k) // (k + 1), 1), dc.LONGEST_RUN)
+            own = [index.vocabulary[x] for x in item]
+            at = [p - j for p in range(len(w) - q + 1) if 0 not in w[p : p + q] for j in range(n - q + 1) if own[j : j + q] == w[p : p + q]]
+            out |= {(d, m) for p in set(at) if sum(p <= x <= p + k for x in at) >= int(index.shared[m])}
+    return out
+
+
+def test_small_groups_of_items_and_stretches_give_the_same(monkeypatch):
+    rng = random.Random(3)
+    items = [[rng.choice("ab") + str(rng.randrange(3)) for _ in range(rng.randrange(1, 14))] for _ in range(60)]
+    items.append(["a0"] * 40)
+    texts = [" ".join(rng.choice("abc") + str(rng.randrange(3)) for _ in range(rng.randrange(90))) for _ in range(12)]
+    texts += ["a0 " * 120, "", None, "b1"]
+    index = dc.LeakIndex(list(range(len(items))), items)
+    whole = index.find(texts)
+    for d, m, e, _, _ in whole:
+        assert plain_leak(items[m], dc.words_of(texts[d]), 99) == e
+    exact = {(d, m) for d, t in enumerate(texts) for m, item in enumerate(items) if plain_leak(item, dc.words_of(t or ""), 0) is not None}
+    assert exact <= {(d, m) for d, m, *_ in whole}
+    assert {(d, m) for d, m, *_ in whole} <= plain_windows(index, [t or "" for t in texts])
+    for hits in (5, 64, 1000):
+        monkeypatch.setattr(dc, "HITS", hits)
+        assert index.find(texts) == whole, hits
+
+
+def test_a_run_shared_by_thousands_of_items_takes_little_memory():
+    items = [["of", "the", "of", "the", f"x{i}"] for i in range(3000)] + [["of", "the", f"y{i}", f"z{i}", "q"] for i in range(5000)]
+    index = dc.LeakIndex(list(range(len(items))), items)
+    text = "of the " * 800
+    tracemalloc.start()
+    try:
+        got = index.find([text, "and of the of the end"])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [r[:3] for r in got] == [(d, m, 1) for d in (0, 1) for m in range(3000)] and peak < 200 << 20
+
+
+def test_equal_items_are_searched_once_and_all_named(spark):
+    text = "one two three four five six seven eight"
+    benchmark = spark.createDataFrame([(i % 50 if i else None, text) for i in range(400)] + [(900, "nine ten eleven")], "item_id long, text string")
+    assert [len(x.items) for x in dc.index_blocks(benchmark)] == [2]
+    docs = spark.createDataFrame([(1, f"a {text} b"), (2, "nine ten eleven"), (3, "clean")], "doc_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, benchmark).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, i % 50 if i else None) for i in range(400)] + [(2, 900)]))
+    assert [r["doc_id"] for r in dc.drop_leaked(docs, benchmark).collect()] == [3]
