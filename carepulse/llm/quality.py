@@ -24,6 +24,7 @@ from .common import filter_texts, labelled_sample, map_texts
 PER_CLASS = 1500
 TRAIN_LINES = 64
 THRESHOLD = 0.5
+_NO_MODEL = "quality: both labels are there but the documents of one have no line; without a model every score is 1 and no document is dropped"
 #: What one line tells, in this order (shares are of its characters or words).
 LINE_FEATURES = [
     "log_chars", "log_words", "letters", "capitals", "digits", "spaces", "stops", "shouts", "bars", "other_signs",
@@ -235,6 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, trained, label: str = "quality", id_
     rows = sample.mapInArrow(_training_lines, "y int, x array<float>").toArrow()
     y = np.asarray(rows.column("y").combine_chunks(), dtype=np.int64)
     if len(set(y.tolist())) < 2:
+        if sample.select("__y").distinct().count() > 1:
+            warnings.warn(_NO_MODEL, stacklevel=2)
         return None
     width = 3 * _WIDTH + 2
     lists = rows.column("x").combine_chunks()
