@@ -14,6 +14,15 @@ scoring a word needs no landmark any more. A sentence scores as its strongest wo
 logistic curve over the strongest few, each word counted once, turns a document into a
 probability, moved so that THRESHOLD falls where training documents are told apart best.
 
+Insults of several words that are harmless alone are learned the same way from windows
+of up to three neighbouring words (``fit_phrases``): the kernel of a window takes
+letters on both sides of a space, a space counts as a skipped character. Telling windows
+are those found after far more different words of toxic training documents than any of
+their own words explains or chance would give;
+the landmarks are picked among them and among the strongest windows of clean documents
+until all are represented (pivoted Cholesky, no limit on their number), and a document's
+strongest window is one more term of its curve. Where no window tells, nothing is added.
+
 Learning takes a bounded sample (``PER_CLASS`` documents of each label, at most
 ``SENTENCES`` sentences of each, by hash, longer ones than ``SENTENCE_CHARS`` in pieces);
 toxic sentences without a word like one of the ``LANDMARKS`` telling ones are not learned
@@ -32,6 +41,7 @@ from heapq import nlargest
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, filter_texts, labelled_sample, map_texts
@@ -49,6 +59,11 @@ STRONGEST = 3
 WORD_PIECE = 48
 CACHE = 200_000
 THRESHOLD = 0.3
+#: Windows of words are scored so many at a time; landmarks for them are added until each has at most so much left.
+PHRASE_STEP = 50_000
+PHRASE_REST = 0.2
+#: A window tells only if one as good comes up by chance in at most exp(-BY_CHANCE) of all fits.
+BY_CHANCE = 5.0
 
 _OFFSETS = [(a, b) for a in range(1, MAX_GAPS + 2) for b in range(1, MAX_GAPS + 2) if a + b - 2 <= MAX_GAPS]
 _BASE = 64
@@ -153,6 +168,7 @@ class ToxicityModel:
     bias: float
     slopes: np.ndarray
     offset: float
+    phrases: tuple[np.ndarray, float] | None = None
 
     def margins(self, words: list[str]) -> np.ndarray:
         pieces, owner = [], []
@@ -290,32 +306,10 @@ def _best_cut(margin: np.ndarray, y: np.ndarray) -> float:
     return float((m[max(best - 1, 0)] + m[min(best, len(m) - 1)]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, trained, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
-    """A model from the sampled labelled documents; None if one of the labels is missing."""
-    sample = cut(labelled_sample(docs, labels, label, trained, PER_CLASS, id_col, text_col))
-    rows = sample.mapInArrow(_training_sentences, "y int, doc long, sentence string").toPandas()
-    if rows["y"].nunique() < 2:
-        if sample.select("__y").distinct().count() > 1:
-            warnings.warn(_NO_MODEL.format("the documents of one label have no sentence"), stacklevel=2)
-        return None
-    rows = rows.sort_values(["doc", "sentence", "y"], ignore_index=True)
-    number: dict[str, int] = {"": 0}
-    idx: list[np.ndarray] = []
-    for text in rows["sentence"]:
-        idx.append(np.array([number.setdefault(p, len(number)) for w in words_of(text) for p in _pieces(w) if p], dtype=np.int64))
-    vocabulary = list(number)
-    y = rows["y"].to_numpy()
-    # Contexts: each pair of a word and the word before it counts once for each label.
-    word = np.concatenate(idx)
-    before = np.concatenate([np.append(0, i[:-1]) if len(i) else i for i in idx])
-    pairs = np.unique((np.repeat(y, [len(i) for i in idx]) * len(number) + before) * len(number) + word)
-    label = pairs // len(number) ** 2
-    clean = np.bincount(pairs[label == 0] % len(number), minlength=len(number))
-    toxic = np.bincount(pairs[label == 1] % len(number), minlength=len(number))
-    del word, before, pairs, label
+def _fit_words(vocabulary: list[str], idx: list[np.ndarray], y: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """One weight per subsequence and the bias for words; None where no word tells."""
     marks, ordinary = _landmarks(vocabulary, clean, toxic)
     if not marks:
-        warnings.warn(_NO_MODEL.format("no string stands out in toxic documents"), stacklevel=2)
         return None
     telling = len(marks)
     marks = marks + ordinary
@@ -335,7 +329,6 @@ def fit(docs: DataFrame, labels: DataFrame, trained, label: str = "toxic", id_co
         counts = np.sqrt(counts)  # rare words are to be told apart as well
         weight = counts / np.where(kind == 1, counts[kind == 1].sum(), counts[kind == 0].sum())
         if len(set(kind.tolist())) < 2:
-            warnings.warn(_NO_MODEL.format("no sentence is left of one of the labels"), stacklevel=2)
             return None
         x = values[pick] @ whiten
         w, b = _fit_svm(x, kind, 0.5 * weight)
@@ -343,7 +336,38 @@ def fit(docs: DataFrame, labels: DataFrame, trained, label: str = "toxic", id_co
     r, u, v = subsequences(marks)
     norm = np.sqrt(np.bincount(r, v * v, minlength=len(marks)))
     weights = np.bincount(u, v * (whiten @ w)[r] / np.maximum(norm[r], 1e-9), minlength=_FEATURES)
-    model = ToxicityModel(weights.astype(np.float32), float(b), np.ones(STRONGEST), 0.0)
+    return weights.astype(np.float32), float(b)
+
+
+def fit(docs: DataFrame, labels: DataFrame, trained, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
+    """A model from the sampled labelled documents; None if one of the labels is missing."""
+    sample = cut(labelled_sample(docs, labels, label, trained, PER_CLASS, id_col, text_col))
+    rows = sample.mapInArrow(_training_sentences, "y int, doc long, sentence string").toPandas()
+    if rows["y"].nunique() < 2:
+        if sample.select("__y").distinct().count() > 1:
+            warnings.warn(_NO_MODEL.format("the documents of one label have no sentence"), stacklevel=2)
+        return None
+    rows = rows.sort_values(["doc", "sentence", "y"], ignore_index=True)
+    number: dict[str, int] = {"": 0}
+    idx: list[np.ndarray] = []
+    for text in rows["sentence"]:
+        idx.append(np.array([number.setdefault(p, len(number)) for w in words_of(text) for p in _pieces(w) if p], dtype=np.int64))
+    vocabulary = list(number)
+    y = rows["y"].to_numpy()
+    # Contexts: each pair of a word and the word before it counts once for each label.
+    word = np.concatenate(idx)
+    before = np.concatenate([np.append(0, i[:-1]) if len(i) else i for i in idx])
+    pairs = np.unique((np.repeat(y, [len(i) for i in idx]) * len(number) + before) * len(number) + word)
+    label = pairs // len(number) ** 2
+    clean = np.bincount(pairs[label == 0] % len(number), minlength=len(number))
+    toxic = np.bincount(pairs[label == 1] % len(number), minlength=len(number))
+    del word, before, pairs, label
+    words, phrases = _fit_words(vocabulary, idx, y, clean, toxic), fit_phrases(sample)
+    if words is None and phrases is None:
+        warnings.warn(_NO_MODEL.format("no string stands out in toxic documents"), stacklevel=2)
+        return None
+    weights, bias = words or (np.zeros(_FEATURES, dtype=np.float32), -1.0)
+    model = ToxicityModel(weights, bias, np.ones(STRONGEST + (phrases is not None)), 0.0, phrases)
     # The curve is fitted on the sample's whole documents.
     judged = sample.mapInArrow(_strongest(model), "y int, m array<double>").toPandas()
     x, y = np.array(judged["m"].tolist()), judged["y"].to_numpy()
@@ -352,6 +376,175 @@ def fit(docs: DataFrame, labels: DataFrame, trained, label: str = "toxic", id_co
     return model
 
 
+def phrase_triples(text: str):
+    """(start, span, subsequence, value) of the letter triples of ``text``; signs and spaces are skipped characters."""
+    cps = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
+    code = np.where(cps < 1024, _CODES[np.minimum(cps, 1023)], 27 + cps % 36)
+    code[cps <= 32] = 0
+    for a, b in _OFFSETS:
+        n = len(code) - a - b
+        if n > 0:
+            x, y, z = code[:n], code[a : a + n], code[a + b : a + b + n]
+            at = np.flatnonzero((x > 0) & (y > 0) & (z > 0))
+            yield at, a + b, (x[at] * _BASE + y[at]) * _BASE + z[at], DECAY ** (a + b - 2)
+
+
+def _phrase_map(phrases: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase number, subsequence, value divided by the phrase's norm) of every occurrence."""
+    text = "\n".join(phrases)
+    owner = np.cumsum(np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32) == 10)
+    rows, keys, values = [], [], []
+    for at, span, u, value in phrase_triples(text):
+        own = owner[at] == owner[at + span]
+        rows.append(owner[at][own])
+        keys.append(u[own])
+        values.append(np.full(len(rows[-1]), value))
+    if not rows:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    row, key, value = map(np.concatenate, (rows, keys, values))
+    norm = np.sqrt(np.bincount(row, value * value, minlength=len(phrases)))
+    return row, key, value / np.maximum(norm[row], 1e-9)
+
+
+def phrase_kernel(left: list[str], right: list[str]) -> np.ndarray:
+    """Kernel values of every window of ``left`` with every one of ``right`` (few), by occurrences."""
+    r, u, v = _phrase_map(right)
+    used = np.unique(u)
+    table = np.zeros((len(used), len(right)))
+    np.add.at(table, (np.searchsorted(used, u), r), v)
+    out = np.zeros((len(left), len(right)))
+    for lo in range(0, len(left), 200):
+        row, u, v = _phrase_map(left[lo : lo + 200])
+        hit = np.isin(u, used)
+        np.add.at(out, row[hit] + lo, table[np.searchsorted(used, u[hit])] * v[hit, None])
+    return out
+
+
+def phrase_words(text: str) -> list[str]:
+    return [w for w in (w.strip(_STRIP) for w in text.lower().split()) if w]
+
+
+def strongest_windows(texts: list[str | None], weights: np.ndarray, bias: float) -> tuple[np.ndarray, list[str]]:
+    """Each text's strongest window of up to 3 neighbouring words (one, for words run together): its margin and itself (bias and "" for none)."""
+    best, window = np.full(len(texts), bias), [""] * len(texts)
+    for i, text in enumerate(texts):
+        words = phrase_words(text or "")
+        top = -np.inf
+        for lo in range(0, len(words), PHRASE_STEP):
+            part = words[lo : lo + PHRASE_STEP + 2]
+            joined = " ".join(part)
+            word = np.cumsum(np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32) == 32)
+            m = len(part)
+            dot, norm = np.zeros((3, m)), np.zeros((3, m))
+            for at, span, u, value in phrase_triples(joined):
+                first = word[at]
+                across = word[at + span] - first
+                near = across < 3
+                cell = across[near] * m + first[near]
+                dot += value * np.bincount(cell, weights[u[near]], minlength=3 * m).reshape(3, m)
+                norm += value * value * np.bincount(cell, minlength=3 * m).reshape(3, m)
+            for n in (1, 2, 3):
+                if m < n:
+                    continue
+                k = m - n + 1
+                d, q = (sum(c[a, o : o + k] for a in range(n) for o in range(n - a)) for c in (dot, norm))
+                margin = d / np.sqrt(np.maximum(q, 1e-9)) + bias
+                at = int(np.argmax(margin))
+                if margin[at] > top:
+                    top, window[i] = margin[at], " ".join(part[at : at + n])
+        if top > -np.inf:
+            best[i] = top
+    return best, window
+
+
+def _windows(text: str) -> set[tuple[str, str]]:
+    """Different (window of 1 to 3 words, word before it) of a text."""
+    words = ["", *phrase_words(text)]
+    return {(" ".join(words[i : i + n]), words[i - 1]) for n in (1, 2, 3) for i in range(1, len(words) - n + 1)}
+
+
+def _windows_of(known: frozenset | None):
+    """The windows of each document, only the known ones where given."""
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                found = [x for x in _windows(text) if known is None or x[0] in known]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["w", "before"])
+
+    return run
+
+
+def _pivots(phrases: list[str]) -> list[int]:
+    """Landmarks by pivoted Cholesky: the worst represented next, until all are represented."""
+    k = phrase_kernel(phrases, phrases)
+    left, rows, picked = np.diag(k).copy(), np.zeros((0, len(phrases))), []
+    while len(picked) < len(phrases) and left.max() > PHRASE_REST:
+        i = int(np.argmax(left))
+        row = (k[i] - rows[:, i] @ rows) / np.sqrt(left[i])
+        rows = np.vstack([rows, row])
+        left = np.maximum(0.0, left - row * row)
+        left[i] = 0.0
+        picked.append(i)
+    return picked
+
+
+def _clean_windows(weights: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            _, found = strongest_windows(batch.column(1).to_pylist(), weights, 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in found if w], pa.string())], names=["w"])
+
+    return run
+
+
+def telling_phrases(sample: DataFrame) -> dict[str, int]:
+    """Windows of 2 and 3 words that stand out in toxic documents of the sample by more than
+    twice what any of their words does, with the number of different words they follow there
+    (so copies of one text count once). To stand out, a window must tell more than the best
+    of as many windows would by chance."""
+
+    def counts(y: int, known: frozenset | None, least: int) -> dict[str, int]:
+        found = sample.where(F.col("__y") == y).select("__y", "__text").mapInArrow(_windows_of(known), "w string, before string")
+        return {r["w"]: r["count"] for r in found.distinct().groupBy("w").count().where(F.col("count") >= least).collect()}
+
+    size = {r["__y"]: r["count"] for r in sample.groupBy("__y").count().collect()}
+    toxic = counts(1, None, 3)
+    clean = counts(0, frozenset(toxic), 1)
+    names = sorted(toxic)
+    k = np.array([toxic[w] for w in names], float)
+    score = _surprise(k, k + np.array([clean.get(w, 0) for w in names], float), size.get(1, 0) / max(1, sum(size.values())))
+    told = dict(zip(names, score.tolist()))
+    least = np.log(max(1, len(names))) + BY_CHANCE
+    return {w: toxic[w] for w in names if " " in w and told[w] > max(least, 2 * max(told.get(p, 0.0) for p in w.split(" ")))}
+
+
+def fit_phrases(sample: DataFrame) -> tuple[np.ndarray, float] | None:
+    """One weight per subsequence and the bias for windows of words; None where no window tells."""
+    found = telling_phrases(sample)
+    if not found:
+        return None
+    told = sorted(found)
+    row, key, value = _phrase_map(told)
+    weights = np.bincount(key, value, minlength=_FEATURES) / len(told)
+    clean_docs = sample.where(F.col("__y") == 0).select("__y", "__text")
+    against: set[str] = set()
+    bias = 0.0
+    for _ in range(3):
+        # The clean documents' strongest windows are the counterexamples of the next fit.
+        against |= {r["w"] for r in clean_docs.mapInArrow(_clean_windows(weights), "w string").distinct().collect()} - set(told)
+        windows = told + sorted(against)
+        kind = np.arange(len(windows)) < len(told)
+        weight = np.where(kind, 0.5 / len(told), 0.5 / max(1, len(against)))
+        marks = [windows[i] for i in _pivots(windows)]
+        lam, vec = np.linalg.eigh(phrase_kernel(marks, marks))
+        whiten = vec @ np.diag(1 / np.sqrt(np.maximum(lam, 1e-3))) @ vec.T
+        w, bias = _fit_svm(phrase_kernel(windows, marks) @ whiten, kind.astype(int), weight)
+        row, key, value = _phrase_map(marks)
+        weights = np.bincount(key, value * (whiten @ w)[row], minlength=_FEATURES)
+    return weights.astype(np.float32), float(bias)
+
+
 def _strongest(model: ToxicityModel):
     def run(batches):
         top = _scorer(model)()
@@ -378,6 +571,8 @@ def _scorer(model: ToxicityModel):
             for i, ws in enumerate(sets):
                 best = nlargest(STRONGEST, map(cache.__getitem__, ws))
                 out[i, : len(best)] = best
+            if model.phrases is not None:
+                out = np.column_stack([out, strongest_windows(texts, *model.phrases)[0]])
             return out
 
         return top

@@ -194,3 +194,169 @@ def test_a_fit_without_a_model_warns(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
     with pytest.warns(UserWarning, match="no document is dropped"):
         assert toxicity.fit(docs, labels, F.lit(True)) is None
+
+
+def plain_phrase_kernel(s, t):
+    """The kernel of windows by definition: every occurrence counts, signs and spaces are skipped characters."""
+
+    def triples(w):
+        code = [0 if ord(c) <= 32 else toxicity._CODES[ord(c)] for c in w]
+        out = []
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + toxicity.MAX_GAPS + 3)):
+                    if code[i] and code[j] and code[k]:
+                        out.append(((code[i], code[j], code[k]), toxicity.DECAY ** (k - i - 2)))
+        return out
+
+    a, b = triples(s), triples(t)
+    norm = math.sqrt(sum(v * v for _, v in a) * sum(v * v for _, v in b))
+    return sum(v * w for u, v in a for x, w in b if u == x) / norm if norm else 0.0
+
+
+def test_windows_against_their_definition():
+    windows = ["brain dead", "br.ain d3ad", "of the day", "aaa aaa", "a b", "x", "dead brain cell"]
+    want = np.array([[plain_phrase_kernel(a, b) for b in windows] for a in windows])
+    assert np.allclose(toxicity.phrase_kernel(windows, windows), want)
+    row, key, value = toxicity._phrase_map(["brain dead"])
+    weights = np.bincount(key, value, minlength=toxicity._FEATURES)
+    texts = ["They say brain, dead people a b c talk", "one", "", None, "the brain is dead", "  brain  dead "]
+    got, best = toxicity.strongest_windows(texts, weights, -0.5)
+    for text, g, w in zip(texts, got, best):
+        words = toxicity.phrase_words(text or "")
+        all_windows = [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+        margins = [plain_phrase_kernel(x, "brain dead") - 0.5 for x in all_windows]
+        assert math.isclose(g, max(margins, default=-0.5), abs_tol=1e-6) and (w in all_windows or not margins)
+
+
+def test_windows_over_a_step_are_seen(monkeypatch):
+    row, key, value = toxicity._phrase_map(["brain dead"])
+    weights = np.bincount(key, value, minlength=toxicity._FEATURES)
+    texts = ["so this one is brain dead now", "a brain dead b", "x y z"]
+    whole = toxicity.strongest_windows(texts, weights, 0.0)
+    monkeypatch.setattr(toxicity, "PHRASE_STEP", 2)
+    assert np.allclose(toxicity.strongest_windows(texts, weights, 0.0)[0], whole[0])
+
+
+@pytest.fixture(scope="module")
+def phrase_docs():
+    """Each word is as common in both labels; only ``brain`` right before ``dead`` tells."""
+    rng = np.random.default_rng(11)
+    common = ["".join(rng.choice(list("aeioulnrst"), size=rng.integers(3, 8))) for _ in range(300)]
+
+    def text(toxic, forms):
+        words = rng.choice(common, 40).tolist()
+        at, other = rng.integers(0, 15), rng.integers(20, 35)
+        if toxic:
+            words[at : at + 2] = [str(rng.choice(forms))]
+        else:
+            words[at], words[other] = "brain", "dead"
+        return " ".join(words)
+
+    train = [(i, text(i % 2, ["brain dead"]), i % 2) for i in range(600)]
+    test = [(i, text(i % 2, ["brain dead", "br.ain dead", "brainn dead", "brain-dead", "BRAIN d3ad"]), i % 2) for i in range(600, 800)]
+    return train, test
+
+
+def test_an_insult_of_several_harmless_words_is_learned(spark, phrase_docs):
+    train, test = phrase_docs
+    rows = spark.createDataFrame(train + test, "doc_id long, text string, toxic int")
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), F.col("__id") < 600)
+    assert model.phrases is not None
+    got = toxicity.score(rows.where("doc_id >= 600"), model, ["doc_id", "toxic"]).collect()
+    assert len(got) == 200
+    recall = np.mean([r["score"] >= 0.3 for r in got if r["toxic"]])
+    flagged = np.mean([r["score"] >= 0.3 for r in got if not r["toxic"]])
+    assert recall >= 0.95 and flagged <= 0.03, (recall, flagged)
+
+
+def test_telling_windows_against_plain_counts(spark, phrase_docs):
+    docs = [(y, t) for _, t, y in phrase_docs[0]]
+    got = toxicity.telling_phrases(spark.createDataFrame(docs, "__y int, __text string"))
+    rate = np.mean([y for y, _ in docs])
+    after = {0: {}, 1: {}}
+    for y, t in docs:
+        words = ["", *toxicity.phrase_words(t)]
+        for i in range(1, len(words)):
+            for n in (1, 2, 3):
+                if i + n <= len(words):
+                    after[y].setdefault(" ".join(words[i : i + n]), set()).add(words[i - 1])
+    seen = {w: len(x) for w, x in after[1].items() if len(x) >= 3}
+    told = {w: float(toxicity._surprise([k], [k + len(after[0].get(w, ()))], rate)[0]) for w, k in seen.items()}
+    least = math.log(len(seen)) + toxicity.BY_CHANCE
+    want = {w: k for w, k in seen.items() if " " in w and told[w] > least and told[w] > 2 * max(told.get(p, 0) for p in w.split())}
+    assert got == want and "brain dead" in got
+
+
+def test_windows_of_copies_tell_nothing(spark):
+    """A toxic text sent forty times is one context of each of its windows."""
+    docs = [(1, "alpha beta gamma delta epsilon")] * 40 + [(0, f"word{i} other{i} third{i}") for i in range(40)]
+    assert toxicity.telling_phrases(spark.createDataFrame(docs, "__y int, __text string")) == {}
+
+
+def test_every_telling_window_is_represented_by_the_landmarks():
+    windows = ["brain dead", "brain dead now", "waste of space", "a waste of", "brain dad", "the brain dead"]
+    picked = [windows[i] for i in toxicity._pivots(windows)]
+    k, cross = toxicity.phrase_kernel(picked, picked), toxicity.phrase_kernel(windows, picked)
+    rest = np.diag(toxicity.phrase_kernel(windows, windows)) - np.einsum("ij,ij->i", cross @ np.linalg.inv(k), cross)
+    assert rest.max() <= toxicity.PHRASE_REST + 1e-6
+
+
+def test_cut_against_every_threshold():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        y, m = rng.integers(0, 2, 30), rng.normal(size=30)
+        at = toxicity._best_cut(m, y)
+        wrong = [((m >= c) != (y == 1)).sum() for c in [*m, m.max() + 1]]
+        assert ((m >= at) != (y == 1)).sum() == min(wrong) or at in m
+
+
+def plain_shares(text):
+    b = text.lower().encode("utf-8", "replace")
+    out = np.zeros(langid.BINS)
+    for n in (1, 2, 3):
+        for i in range(len(b) - n + 1):
+            code = n
+            for c in b[i : i + n]:
+                code = code * 257 + c
+            out[((code * 0x9E3779B1) >> 15) % langid.BINS] += 1 / (len(b) - n + 1)
+    return out
+
+
+def test_language_of_a_text_by_definition(lang):
+    """Hashed gram shares, bit margins and loss-weighted decoding, each as a plain loop."""
+    texts = ["Der Hund und die Katze sind in dem Haus", "the cat is on the mat", "x", "", None, "12 34", "ñandú él la casa", "é" * 50]
+    names, scores, unsure = lang.decode(texts)
+    for text, name, score, doubt in zip(texts, names, scores, unsure):
+        if not text or not any(c.isalpha() for c in text):
+            assert (name, score, doubt) == ("und", 0.0, True)
+            continue
+        shares = plain_shares(text)
+        assert np.allclose(shares, langid.gram_shares(text))
+        z = (shares - lang.mean) / lang.scale
+        margin = [float(z @ lang.weights[:, j] + lang.bias[j]) for j in range(lang.code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-c * m)) * w for c, m, w in zip(row, margin, lang.bit_weight)) for row in lang.code]
+        share = [math.exp(min(loss) - x) for x in loss]
+        share = [x / sum(share) for x in share]
+        first, second = sorted(share, reverse=True)[:2]
+        assert name == lang.languages[share.index(first)] and math.isclose(score, first, rel_tol=1e-4)
+        assert doubt == (first - second < langid.AMBIGUOUS) or abs(first - second - langid.AMBIGUOUS) < 1e-6
+
+
+def test_language_bits_are_fitted_as_single_classifiers(spark, tables):
+    """Every bit's weights equal those of its own logistic descent over all training rows."""
+    docs = tables[0].where("doc_id < 60 AND lang IS NOT NULL AND text IS NOT NULL")
+    model = langid.fit(docs, F.lit(True), steps=8)
+    rows = docs.dropDuplicates(["doc_id"]).collect()
+    y = [model.languages.index(r["lang"]) for r in rows]
+    x = np.array([plain_shares(r["text"]) for r in rows])
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-3)
+    each = [1 / y.count(k) / len(set(y)) for k in y]
+    for j in range(model.code.shape[1]):
+        w, b, vw, vb = np.zeros(langid.BINS), 0.0, np.zeros(langid.BINS), 0.0
+        for _ in range(8):
+            push = np.array([((model.code[k, j] > 0) - 1 / (1 + math.exp(-(z[i] @ w + b)))) * each[i] for i, k in enumerate(y)])
+            vw = 0.9 * vw + 4 / langid.BINS * (z.T @ push - 1e-3 * w)
+            vb = 0.9 * vb + 4 / langid.BINS * push.sum()
+            w, b = w + vw, b + vb
+        assert np.allclose(model.weights[:, j], w, atol=1e-4) and math.isclose(model.bias[j], b, abs_tol=1e-4)
