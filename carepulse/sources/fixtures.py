@@ -39,37 +39,40 @@ def _suppress(cond: str, value: str) -> str:
 
 def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PROVIDER-level bronze rows, all columns text."""
+    # Money in fixed-point integers: price in cents, discount and tax in
+    # hundredths, so each product is an exact count of 1/10000 units (the price
+    # alone of 1/100 units) and the sums are exact `long` sums (a decimal(28,4)
+    # sum buffer is much slower). They are rounded before the shuffles (whole
+    # doubles pack well) and become `long` where they are summed.
+    units = {"cents": "l_extendedprice", "disc": "l_discount", "tax": "l_tax"}
     li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus",
+        "l_orderkey", F.col("l_suppkey").alias("sk"), "l_quantity",
+        F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"),
+        *[F.rint(F.col(c) * 100).alias(name) for name, c in units.items()],
     )
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", F.year("o_orderdate").alias("y")
     )
-    # Money in fixed-point integers: price in cents, discount and tax in
-    # hundredths, so each product is an exact count of 1/10000 units (the price
-    # alone of 1/100 units) and the sums are exact `long` sums (a decimal(28,4)
-    # sum buffer is much slower).
-    cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
-    disc = F.rint(F.col("l_discount") * 100).cast("bigint")
-    tax = F.rint(F.col("l_tax") * 100).cast("bigint")
-    per_group = (
-        li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(
-            F.col("l_suppkey").alias("sk"),
-            "y",
-            F.col("l_returnflag").alias("rf"),
-            F.col("l_linestatus").alias("ls"),
-        )
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.countDistinct("o_custkey").alias("n_cust"),
-            F.sum("l_quantity").alias("qty"),
-            F.sum(cents * (100 - disc)).alias("pay"),
-            F.sum(cents * (100 - tax)).alias("std"),
-            F.sum(cents * (100 + tax)).alias("chg"),
-            F.sum(cents).alias("alw"),
-        )
+    cents, disc, tax = (F.col(name).cast("bigint") for name in units)
+    # The order lines are shuffled twice at any size: for the join (a hash table of a
+    # partition's orders, no sort of the lines) and by group. Both steps of the distinct
+    # count stay in the group's partition.
+    group = ["sk", "y", "rf", "ls"]
+    lines = (
+        li.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(*group, "o_custkey", "l_quantity", *units)
+        .repartition(*group)
+    )
+    per_customer = lines.groupBy(*group, "o_custkey").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("l_quantity").alias("qty"),
+        F.sum(cents * (100 - disc)).alias("pay"),
+        F.sum(cents * (100 - tax)).alias("std"),
+        F.sum(cents * (100 + tax)).alias("chg"),
+        F.sum(cents).alias("alw"),
+    )
+    per_group = per_customer.groupBy(*group).agg(
+        F.count("o_custkey").alias("n_cust"), *[F.sum(c).alias(c) for c in ("n", "qty", "pay", "std", "chg", "alw")]
     )
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
@@ -101,11 +104,13 @@ def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "BENE_DUAL_PCT": _suppress("n < 11 OR (s_suppkey + y) % 11 = 0", f"(s_suppkey * 37 + {o3}) % 100"),
         "BENE_RRL_PCT": _suppress("(s_suppkey + y) % 13 = 0", f"(s_nationkey * 41 + y + {o3}) % 100"),
     }
+    # The generic columns by one function of their number: written out, they would make a
+    # method too large for the JIT.
+    generic = _suppress("(s_suppkey + y + i) % 19 = 0", f"(s_suppkey * (7 + 2 * i) + y * (i + 1) + {o3}) % 100")
     for i, raw in enumerate(GENERIC_PCT_COLUMNS):
-        cols[raw] = _suppress(
-            f"(s_suppkey + y + {i}) % 19 = 0", f"(s_suppkey * {7 + 2 * i} + y * {i + 1} + {o3}) % 100"
-        )
-    return g.selectExpr(*[f"{cols[c]} AS {c}" for c in BRONZE_COLUMNS])
+        cols[raw] = f"generic[{i}]"
+    cells = g.selectExpr("*", f"transform(sequence(0, {len(GENERIC_PCT_COLUMNS) - 1}), i -> {generic}) AS generic")
+    return cells.selectExpr(*[f"{cols[c]} AS {c}" for c in BRONZE_COLUMNS])
 
 
 def state_rows(provider: DataFrame) -> DataFrame:

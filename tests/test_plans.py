@@ -86,3 +86,42 @@ def test_registered_audit_parses_no_cell_twice(spark):
     plan = _formatted(catalog.QUERIES["silver_suppression_audit"](spark, SMOKE_DIR)).lower()
     assert " as double)" not in plan and "decimal(38,6)" not in plan
     assert "count(" in plan and "total_medicare_payment_amt" in plan
+
+
+def test_order_lines_are_shuffled_twice_at_any_size(spark):
+    """For the join and by group; the distinct customers are counted without a shuffle of their own."""
+    from carepulse.sources.fixtures import provider_rows
+
+    plan = provider_rows(spark, SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert not [x for x in exchanges if "o_custkey" in x.split("hashpartitioning(")[1].split("), ")[0]]
+    assert len([x for x in exchanges if "l_returnflag" in x or "rf#" in x]) == 1
+
+
+def test_wide_projections_stay_small_enough_for_the_jit(spark):
+    """Methods over 8000 bytes of bytecode are never compiled by the JIT."""
+    from carepulse.contracts import bronze_schema
+    from carepulse.operators.silver import build_silver_with_cells
+    from carepulse.sources.fixtures import provider_rows
+
+    codegen = spark._jvm.org.apache.spark.sql.execution.debug.package
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan has no generated code before it runs
+    try:
+        bronze = spark.createDataFrame([], bronze_schema()).repartition(2)
+        for df in (build_silver_with_cells(bronze), provider_rows(spark, SMOKE_DIR)):
+            stages = codegen.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+            sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length())]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_landed_drops_are_compressed_part_files(spark):
+    import pathlib
+
+    landing = pathlib.Path(catalog.arrived(spark, SMOKE_DIR)["bronze"].removeprefix("file:")).parent / "landing"
+    for drop in landing.iterdir():
+        files = [f.name for f in drop.iterdir() if f.name.startswith("part-")]
+        assert files and all(f.endswith(".json.gz") for f in files)
